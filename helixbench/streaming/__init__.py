@@ -1,0 +1 @@
+"""The benchmark has no streaming operators; this package holds none."""
