@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixbench.llm import simhash
 from helixbench.llm import url_filter as urls
 from helixbench.llm.common import table
 
@@ -53,5 +54,9 @@ SELECT page_id, host, path, rule,
 FROM r
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
