@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixbench.llm import simhash
+from helixbench.llm import debruijn, simhash
 from helixbench.llm import url_filter as urls
 from helixbench.llm.common import table
 
@@ -58,5 +58,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
+def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.drop_repeats(table(spark, sf_dir, "documents"), kept_text=False).drop("kept")
+
+
+QUERIES = {"op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
