@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixbench.llm import debruijn, simhash
+from helixbench.llm import debruijn, simhash, token_store
 from helixbench.llm import url_filter as urls
 from helixbench.llm.common import table
 
@@ -62,5 +62,19 @@ def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.drop_repeats(table(spark, sf_dir, "documents"), kept_text=False).drop("kept")
 
 
-QUERIES = {"op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
+#: Fixed values of the contract: the tokenizer's file and the id that ends a document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_rows(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+QUERIES = {"op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
