@@ -144,52 +144,49 @@ def _encode_frames(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
     n = np.array([len(p) for *_, p in parts])
     x = np.frombuffer(b"".join(p for *_, p in parts), np.uint8).astype(np.int32) - 128
     start = np.cumsum(n) - n
-    owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(x)) - start[owner]
+    place = np.arange(len(x), dtype=np.int32) - np.repeat(start.astype(np.int32), n)
     x1, x2 = np.zeros_like(x), np.zeros_like(x)
     x1[1:], x2[2:] = x[:-1], x[:-2]
     inside = place >= 2
     # A second-order predictor by least squares, in whole numbers.
-    r0, r1, r2 = (_sums(np.where(inside, x1 * y, 0), start).astype(float) for y in (x1, x, x2))
-    s11, s22 = r0, _sums(np.where(inside, x2 * x2, 0), start).astype(float)
-    t2 = _sums(np.where(inside, x * x2, 0), start).astype(float)
+    r0, r1, r2 = (_sums(x1 * y * inside, start).astype(float) for y in (x1, x, x2))
+    s11, s22 = r0, _sums(x2 * x2 * inside, start).astype(float)
+    t2 = _sums(x * x2 * inside, start).astype(float)
     det = s11 * s22 - r2 * r2
     safe = np.where(det > 0, det, 1)
     limit = (1 << (_PRECISION - 1)) - 1
     c1, c2 = (np.clip(np.round(np.where(det > 0, c / safe, 0) * (1 << _SHIFT)), -limit, limit).astype(np.int32) for c in (r1 * s22 - t2 * r2, t2 * s11 - r1 * r2))
     best_bits, kind = 8 * n, np.zeros(len(n), np.int64)  # verbatim
-    rice, zig = np.zeros(len(n), np.int64), np.zeros(len(x), np.int64)
-    for choice, order, guess in ((1, 0, None), (2, 1, x1), (3, 2, (c1[owner] * x1 + c2[owner] * x2) >> _SHIFT)):
-        e = x if guess is None else x - guess
-        u = (e << 1) ^ (e >> 31)
-        if order:
-            u = np.where(place < order, 0, u)
+    rice, zig = np.zeros(len(n), np.int64), np.zeros(len(x), np.int32)
+    for choice, order, guess in ((1, 1, x1), (2, 2, (np.repeat(c1, n) * x1 + np.repeat(c2, n) * x2) >> _SHIFT)):
+        e = x - guess
+        u = ((e << 1) ^ (e >> 31)) * (place >= order)
         count = n - order
         mean = _sums(u, start) / np.maximum(count, 1)
         k = np.clip(np.floor(np.log2(np.maximum(mean, 1) * 0.75 + 0.25)), 0, 14).astype(np.int64)
-        bits = _sums(u >> k[owner].astype(np.int32), start) + count * (1 + k) + 8 * order + 10 + (order == 2) * (9 + 2 * _PRECISION)
+        bits = _sums(u >> np.repeat(k.astype(np.int32), n), start) + count * (1 + k) + 8 * order + 10 + (choice == 2) * (9 + 2 * _PRECISION)
         better = (bits < best_bits) & (count > 0)
         best_bits, kind, rice = np.where(better, bits, best_bits), np.where(better, choice, kind), np.where(better, k, rice)
-        zig = np.where(better[owner], u, zig)
+        zig = np.where(np.repeat(better, n), u, zig)
     headers = [_frame_header(i, len(p)) for _, i, p in parts]
     head = np.array([len(h) for h in headers])
     size = head + 1 + -(-best_bits // 8) + 2
     begin = np.cumsum(size) - size
     bits = np.zeros(int(size.sum()) * 8, np.uint8)
-    order = np.where(kind == 0, 0, kind - 1)
+    order = kind
 
     def put(rows, at, values, width):
         for j in range(width):
             bits[at + j] = (values >> (width - 1 - j)) & 1
 
     at = (begin + head) * 8
-    put(None, at, np.array([0x02, 0x10, 0x12, 0x42])[kind], 8)
+    put(None, at, np.array([0x02, 0x12, 0x42])[kind], 8)
     at += 8
     for j in range(2):
         rows = np.flatnonzero(order > j)
         put(rows, at[rows], x[start[rows] + j].astype(np.int64) & 0xFF, 8)
         at[rows] += 8
-    rows = np.flatnonzero(kind == 3)
+    rows = np.flatnonzero(kind == 2)
     put(rows, at[rows], np.full(len(rows), (_PRECISION - 1) << 5 | _SHIFT), 9)
     put(rows, at[rows] + 9, c1[rows].astype(np.int64) & ((1 << _PRECISION) - 1), _PRECISION)
     put(rows, at[rows] + 9 + _PRECISION, c2[rows].astype(np.int64) & ((1 << _PRECISION) - 1), _PRECISION)
@@ -197,18 +194,22 @@ def _encode_frames(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
     rows = np.flatnonzero(kind > 0)
     put(rows, at[rows] + 6, rice[rows], 4)
     at[rows] += 10
-    own = np.flatnonzero((kind[owner] > 0) & (place >= order[owner]))
-    u, k, who = zig[own], rice[owner[own]], owner[own]
-    q = u >> k
-    width = q + 1 + k
-    ends = np.cumsum(width)
-    first = np.searchsorted(who, np.arange(len(n)))
-    base = np.where(first < len(own), (ends - width)[np.minimum(first, max(len(own) - 1, 0))] if len(own) else 0, 0)
-    stop = at[who] + ends - width - base[who] + q
-    bits[stop] = 1
-    for j in range(int(k.max(initial=0))):
-        some = k > j
-        bits[stop[some] + 1 + j] = (u[some] >> (k[some] - 1 - j)) & 1
+    coded = (place >= np.repeat(order, n)) & np.repeat(kind > 0, n)
+    u, k = zig[coded], np.repeat(rice.astype(np.int32), np.where(kind > 0, n - order, 0))
+    width = (u >> k) + 1 + k
+    ends = np.cumsum(width, dtype=np.int32)
+    # A code word's bits, counted from its end: k of the remainder, a one, zeros.
+    word = np.repeat((u & ((1 << k) - 1)) | (1 << k), width)
+    back = np.repeat(ends, width)
+    back -= np.arange(1, len(back) + 1, dtype=np.int32)
+    np.minimum(back, 31, out=back)
+    word >>= back
+    words = word.astype(np.uint8) & 1
+    last = np.concatenate([[0], ends])[np.cumsum(np.where(kind > 0, n - order, 0))]
+    low = 0
+    for to, high in zip(at[rows].tolist(), last[rows].tolist(), strict=True):
+        bits[to : to + high - low] = words[low:high]
+        low = high
     flat = np.packbits(bits)
     for i in np.flatnonzero(kind == 0):
         low = begin[i] + head[i] + 1
@@ -295,8 +296,8 @@ def _decode_group(streams: list[bytes]) -> list[bytes]:
         else:
             whole[d] = _walk(s, info["at"])
     got: list[list[bytes]] = [[] for _ in streams]
-    for low in range(0, len(spans), max(1, BATCH // BLOCK)):
-        part = spans[low : low + max(1, BATCH // BLOCK)]
+    for low in range(0, len(spans), 2 * BATCH // BLOCK):
+        part = spans[low : low + 2 * BATCH // BLOCK]
         for (d, *_), pcm in zip(part, decode_frames([streams[d][a:b] for d, a, b in part]), strict=True):
             got[d].append(pcm)
     out = []
@@ -313,7 +314,7 @@ def read_range(stream: bytes, first: int, count: int) -> bytes:
     """Samples first .. first+count-1 as payload bytes; only the frames that hold them are decoded."""
     info = parse(stream)
     points = info["points"]
-    ends = [p[1] for p in points[1:]] + [len(stream) - info["at"]]
+    ends = ([p[1] for p in points] + [len(stream) - info["at"]])[1:]
     need = [(p, e) for p, e in zip(points, ends, strict=True) if p[0] < first + count and p[0] + p[2] > first]
     if not need:
         return b""
@@ -348,7 +349,7 @@ def decode_frames(frames: list[bytes]) -> list[bytes]:
     window = np.ndarray((len(flat) - 7,), ">u8", flat, 0, (1,))
 
     def get(at, width):
-        return (window[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)) >> np.uint64(64 - width)
+        return (window[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)) >> np.asarray(64 - width).astype(np.uint64)
 
     at = (sub + 1) * 8
     plain = flat[sub] & 1 == 0
@@ -386,10 +387,9 @@ def _in_step(flat, window, get, out, rows, kind, order, n, start, at, after, pre
         for o in range(t + 1, 5):
             coefficient[t, (kind == 8 + o)] = FIXED[o][t]
         lin = np.flatnonzero((kind >= 32) & (order > t))
-        for i in lin.tolist():  # precisions may differ from frame to frame
-            p = int(precision[i])
-            c = int(get(np.array([after[i] + 9 + t * p]), p)[0])
-            coefficient[t, i] = c - (1 << p) if c >> (p - 1) else c
+        p = precision[lin]
+        c = get(after[lin] + 9 + t * p, p).astype(np.int64)
+        coefficient[t, lin] = np.where(c >> (p - 1) > 0, c - (1 << p), c)
         warm = np.flatnonzero(order > t)
         value = get(at[warm] + 8 * t, 8).astype(np.uint8).astype(np.int8)
         out[start[warm] + t] = value
@@ -399,12 +399,12 @@ def _in_step(flat, window, get, out, rows, kind, order, n, start, at, after, pre
     to, p = start + order, rice_at + 10
     rest, ks = (63 - k).astype(np.uint64), k
     one = np.uint64(1)
-    for i in range(int(left.max(initial=0))):
-        a = int(np.searchsorted(falling, -i))
+    for i, a in enumerate(np.searchsorted(falling, -np.arange(int(left.max(initial=0)))).tolist()):
         pos = p[:a]
         win = window[pos >> 3].astype(np.uint64) << (pos & 7).astype(np.uint64)
         q = _LEADING[win >> np.uint64(48)]
-        if (long := np.flatnonzero(q == 16)).size:
+        if q.max() == 16:
+            long = np.flatnonzero(q == 16)
             q[long] = _unary(flat, pos[long])
             win[long] = window[(pos[long] + q[long]) >> 3].astype(np.uint64) << ((pos[long] + q[long]) & 7).astype(np.uint64)
             tail = win << (np.where(q >= 16, 0, q) + 1).astype(np.uint64)

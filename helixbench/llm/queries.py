@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixbench.llm import debruijn, simhash, token_store
+from helixbench.llm import debruijn, media, simhash, token_store
 from helixbench.llm import url_filter as urls
 from helixbench.llm.common import table
 
@@ -76,5 +76,9 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_rows(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
-QUERIES = {"op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.to_media(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
