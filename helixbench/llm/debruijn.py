@@ -7,12 +7,15 @@ branch and compacts into one span (document, start, source document, source star
 
 To keep unique edges off the network, every edge is filed under its minimizer, the smallest hash of the shorter
 word runs inside it: equal edges have equal minimizers, so only edges whose minimizer occurs in two documents are
-hashed in full and joined. That filter loses no repeated edge.
+hashed in full. That filter loses no repeated edge. Neighbouring edges mostly share a minimizer, so they travel to
+its bucket as one row; paths compact within the buckets first and are then glued together across buckets. A whole
+text that a smaller document has too is one path from its first word to its last and takes no part in this.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from helixbench.llm.common import partitions
 
-WORDS, ANCHOR = 13, 5
-_BASE, _MIX, _CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
+WORDS, ANCHOR = 13, 6
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,12 +39,12 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
-def _runs(hashes: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
+def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of k words."""
     n = len(hashes) - k + 1
     total = np.zeros(n, np.uint64)
     for j in range(k):
-        total *= base
+        total *= _BASE
         total += hashes[j : j + n]
     total ^= total >> np.uint64(31)
     total *= _MIX
@@ -52,76 +55,134 @@ def _runs(hashes: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
 def _minimizers(hashes: np.ndarray, k: int) -> np.ndarray:
     """For each run of k words, the smallest hash of the shorter runs in it."""
     anchor = min(ANCHOR, k)
-    short, n = _runs(hashes, anchor, _BASE), len(hashes) - k + 1
+    short, n = _runs(hashes, anchor), len(hashes) - k + 1
     least = short[:n].copy()
     for j in range(1, k - anchor + 1):
         np.minimum(least, short[j : j + n], out=least)
     return least
 
 
+def _row(text) -> int:
+    """Tells rows that share a key apart by their text."""
+    return zlib.crc32((text.as_py() or "").encode("utf-8", "surrogatepass"))
+
+
 def _file(k: int):
-    """(doc, text) to the distinct minimizers of each document."""
+    """(doc, text, copies) to the distinct minimizers of each document."""
 
     def run(batches):
         for batch in batches:
             ids, found = [], []
-            for i, text in enumerate(batch.column(1)):
-                words = words_of(text.as_py())
-                if len(words) >= k:
-                    with np.errstate(over="ignore"):
-                        least = np.unique(_minimizers(_hashes(words), k))
-                    found.append(least.view(np.int64))
-                    ids.append(np.full(len(least), i))
+            for i, (doc, text, copies) in enumerate(zip(*batch.columns, strict=True)):
+                if doc.is_valid and not _copied(text, copies):
+                    words = words_of(text.as_py())
+                    if len(words) >= k:
+                        with np.errstate(over="ignore"):
+                            least = np.unique(_minimizers(_hashes(words), k))
+                        found.append(least.view(np.int64))
+                        ids.append(np.full(len(least), i))
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(found))], names=["doc", "m"])
 
     return run
 
 
+def _copied(text, copies) -> bool:
+    return copies.is_valid and _row(text) in copies.as_py()
+
+
 def _edges(k: int):
-    """(doc, text, minimizers) to the edges filed under one of these minimizers."""
+    """(doc, text, minimizers) to the edges filed under one of these minimizers: a row for each run of edges."""
 
     def run(batches):
         for batch in batches:
-            ids, pos, edge, check = [], [], [], []  # a row's own text tells it from others of its key
-            for i, (text, wanted) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                words = words_of(text.as_py())
+            ids, rows, least, start, size, edge = [], [], [], [], [], []
+            for i, (doc, text, wanted) in enumerate(zip(*batch.columns, strict=True)):
+                words = words_of(text.as_py()) if doc.is_valid and wanted.is_valid else []
                 if len(words) >= k:
                     with np.errstate(over="ignore"):
                         hashes = _hashes(words)
-                        at = np.flatnonzero(np.isin(_minimizers(hashes, k).view(np.int64), wanted.values.to_numpy()))
-                        edge.append(_runs(hashes, k, _BASE)[at].view(np.int64))
-                        check.append((_runs(hashes, k, _CHECK)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    pos.append(at.astype(np.int32))
-                    ids.append(np.full(len(at), i))
+                        m, e = _minimizers(hashes, k).view(np.int64), _runs(hashes, k).view(np.int64)
+                    at = np.flatnonzero(np.isin(m, wanted.values.to_numpy()))
+                    if len(at):
+                        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (m[at[1:]] != m[at[:-1]])]))
+                        least.append(m[at[new]])
+                        start.append(at[new])
+                        size.append(np.diff(np.append(new, len(at))))
+                        edge.append(e[at])
+                        ids.append(np.full(len(new), i))
+                        rows.append(np.full(len(new), _row(text)))
             if ids:
-                rows = pa.array(np.concatenate(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows), *(pa.array(np.concatenate(x)) for x in (pos, edge, check))], names=["doc", "row", "pos", "edge", "chk"])
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int32)
+                edges = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(edge)))
+                flat = [pa.array(np.concatenate(x)) for x in (rows, least, start)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), flat[0], flat[1], flat[2].cast(pa.int32()), edges], names=["doc", "row", "m", "start", "edges"])
 
     return run
 
 
 def _dealt(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, text, row) dealt by document once; every step below reads this one exchange."""
+    """(doc, text) dealt by document once; every step below reads this one exchange."""
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    docs = docs.withColumn("row", F.crc32(F.col("text").cast("binary")))
     return docs.repartition(partitions(df.sparkSession), "doc")
 
 
-def _repeated_spans(docs: DataFrame, k: int) -> DataFrame:
-    known = docs.where("doc is not null")
-    filed = known.select("doc", "text").mapInArrow(_file(k), "doc long, m long")
+def _copies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, copies): for documents whose whole text a smaller document has, the crc32 of such texts and that
+    document. Texts are compared by a 160-bit digest."""
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.sha1(F.col(text).cast("binary")).alias("h"), F.crc32(F.col(text).cast("binary")).alias("row"))
+    first = rows.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    found = rows.join(first, "h").where("first < doc")
+    return found.groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct("row", "first"))).alias("copies"))
+
+
+def _with(docs: DataFrame, more: DataFrame) -> DataFrame:
+    """``docs`` with the columns of a smaller table; the texts are not sorted for it."""
+    return docs.join(more.hint("shuffle_hash"), "doc", "left")
+
+
+def _repeated_spans(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    known = F.map_keys("copies").alias("copies")
+    filed = _with(docs, copies).select("doc", "text", known).mapInArrow(_file(k), "doc long, m long")
     under = Window.partitionBy("m")
     shared = filed.select("doc", "m", F.min("doc").over(under).alias("low"), F.max("doc").over(under).alias("high")).where("low < high")
     wanted = shared.groupBy("doc").agg(F.collect_set("m").alias("ms"))
-    edges = known.join(wanted, "doc").select("doc", "text", "ms", "row").mapInArrow(_edges(k), "doc long, row long, pos int, edge long, chk int")
-    first = Window.partitionBy("edge", "chk").orderBy("doc", "pos")
-    sourced = edges.select("doc", "row", "pos", F.first(F.struct("doc", "pos")).over(first).alias("s"))
-    repeated = sourced.where("doc > s.doc").select("doc", "row", "pos", F.col("s.doc").alias("src_doc"), F.col("s.pos").alias("src_pos"))
-    along = Window.partitionBy("doc", "row").orderBy("pos", "src_doc", "src_pos")
-    step = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.col("src_doc") == F.lag("src_doc").over(along)) & (F.col("src_pos") == F.lag("src_pos").over(along) + 1)
-    paths = repeated.distinct().withColumn("path", F.when(step, 0).otherwise(1)).withColumn("path", F.sum("path").over(along))
-    return paths.groupBy("doc", "row", "path").agg(F.min("pos").alias("start"), F.count("*").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start")).drop("path")
+    runs = _with(docs, wanted).select("doc", "text", "ms").mapInArrow(_edges(k), "doc long, row long, m long, start int, edges array<long>")
+    filed = runs.repartition(partitions(docs.sparkSession), "m")
+    edges = filed.select("m", "doc", "row", "start", F.posexplode("edges").alias("i", "edge")).withColumn("pos", F.col("start") + F.col("i"))
+    first = Window.partitionBy("m", "edge").orderBy("doc", "pos")
+    sourced = edges.withColumn("s", F.first(F.struct("doc", "pos")).over(first)).where("doc > s.doc")
+    repeated = sourced.select("m", "doc", "row", "start", "pos", F.lit(1).alias("n"), F.col("s.doc").alias("src_doc"), F.col("s.pos").alias("src_pos"))
+    local = _compact(repeated, ["m", "doc", "row", "start"])
+    return _compact(local, ["doc", "row"])
+
+
+def _compact(paths: DataFrame, within: list[str]) -> DataFrame:
+    """Paths that continue each other, in the document and at the source alike, become one."""
+    along = Window.partitionBy(*within).orderBy("pos", "src_doc", "src_pos")
+    before = F.lag("n").over(along)
+    step = (F.col("pos") == F.lag("pos").over(along) + before) & (F.col("src_doc") == F.lag("src_doc").over(along)) & (F.col("src_pos") == F.lag("src_pos").over(along) + before)
+    numbered = paths.withColumn("path", F.when(step, 0).otherwise(1)).withColumn("path", F.sum("path").over(along))
+    one = numbered.groupBy(*within, "path").agg(F.min("pos").alias("pos"), F.sum("n").cast("int").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_pos"))
+    return one.drop("path", *(c for c in within if c not in ("doc", "row")))
+
+
+def _whole(k: int):
+    """(doc, text, copies) to the paths of texts that are copies."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, text, copies in zip(*batch.to_pydict().values(), strict=True):
+                row, n = zlib.crc32((text or "").encode("utf-8", "surrogatepass")), len(words_of(text))
+                if n >= k and row in (copies := dict(copies)):
+                    out.append((doc, row, 0, n - k + 1, copies[row], 0))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PATH_TYPES, strict=True)] if out else [pa.array([], t) for t in _PATH_TYPES], names=_PATH_NAMES)
+
+    return run
+
+
+_PATH_NAMES, _PATH_TYPES = ["doc", "row", "pos", "n", "src_doc", "src_pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
@@ -129,21 +190,26 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
     are the words from src_start on of a document with a smaller key. Rows without a key take no part, texts of
     fewer than k words have no edge, rows that share a key (repeated rows too) are one document's variants and
     never each other's source; ``row``, the crc32 of the text, tells them apart."""
-    spans = _repeated_spans(_dealt(df, key, text), k)
-    return spans.select(F.col("doc").alias(key), "row", "start", (F.col("n") + k - 1).cast("int").alias("n_words"), "src_doc", "src_start")
+    docs, copies = _dealt(df, key, text), _copies(df, key, text)
+    whole = docs.join(copies, "doc").mapInArrow(_whole(k), "doc long, row long, pos int, n int, src_doc long, src_pos int")
+    spans = _repeated_spans(docs, copies, k).select(*_PATH_NAMES).unionAll(whole).distinct()
+    return spans.select(F.col("doc").alias(key), "row", F.col("pos").alias("start"), (F.col("n") + k - 1).alias("n_words"), "src_doc", F.col("src_pos").alias("src_start"))
 
 
 def _drop(k: int, kept_text: bool):
-    """(doc, text, row, paths) to the counts and the digest of what stays."""
+    """(doc, text, paths, copies) to the counts and the digest of what stays."""
 
     def run(batches):
         for batch in batches:
             total, gone, digest, kept = [], [], [], []
-            for text, row, paths in zip(*batch.columns[1:], strict=True):
+            for text, paths, copies in zip(*batch.columns[1:], strict=True):
                 words = words_of(text.as_py())
                 total.append(len(words))
-                if paths.is_valid:
-                    own = [(p["start"].as_py(), p["n"].as_py()) for p in paths if p["row"] == row]
+                if _copied(text, copies):
+                    words = words if len(words) < k else []
+                elif paths.is_valid:
+                    row = _row(text)
+                    own = [(p["pos"], p["n"]) for p in paths.as_py() if p["row"] == row]
                     edge = np.zeros(len(words) + 1, np.int64)
                     for start, n in own:
                         edge[start] += 1
@@ -165,7 +231,8 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     space, that no k-word window covers which also starts in a document with a smaller key; windows are judged on
     the input; null without ``kept_text``. Null and empty texts have no words. Rows without a key lose nothing and
     are nobody's source."""
-    docs = _dealt(df, key, text)
-    spans = _repeated_spans(docs, k).groupBy("doc").agg(F.collect_list(F.struct("row", "start", F.col("n").cast("int").alias("n"))).alias("paths"))
-    out = docs.join(spans, "doc", "left").select("doc", "text", "row", "paths").mapInArrow(_drop(k, kept_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
+    docs, copies = _dealt(df, key, text), _copies(df, key, text)
+    paths = _repeated_spans(docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n")).alias("paths"))
+    every = _with(_with(docs, paths), copies).select("doc", "text", "paths", F.map_keys("copies").alias("copies"))
+    out = every.mapInArrow(_drop(k, kept_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("doc", key)
