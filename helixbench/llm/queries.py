@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixbench.llm import debruijn, media, simhash, token_store
+from helixbench.llm import debruijn, decontaminate, media, simhash, token_store
 from helixbench.llm import url_filter as urls
 from helixbench.llm.common import table
 
@@ -62,6 +62,26 @@ def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.drop_repeats(table(spark, sf_dir, "documents"), kept_text=False).drop("kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Every window of 13 words with 11 equal ones has a run of four, so runs of four find the diagonals to compare.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM d WHERE len(w) >= 13),
+bt AS (SELECT item_id, unnest(w) AS t, unnest(range(len(w))) AS j FROM b WHERE len(w) >= 13),
+dg AS (SELECT doc_id, i, t || ' ' || lead(t) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM dt WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+bg AS (SELECT item_id, j, t || ' ' || lead(t) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM bt WINDOW w AS (PARTITION BY item_id ORDER BY j)),
+diagonals AS (SELECT DISTINCT doc_id, item_id, i - j AS diag FROM dg JOIN bg USING (g)),
+same AS (SELECT x.doc_id, x.item_id, x.diag, bt.j, dt.t = bt.t AS e FROM diagonals x JOIN bt ON bt.item_id = x.item_id
+         JOIN dt ON dt.doc_id = x.doc_id AND dt.i = bt.j + x.diag),
+win AS (SELECT doc_id, item_id, diag, j, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER w AS m, count(*) OVER w AS n FROM same
+        WINDOW w AS (PARTITION BY doc_id, item_id, diag ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING))
+SELECT doc_id, item_id, min(j + diag) AS first_word, max(j + diag) + 12 AS last_word FROM win WHERE m >= 11 AND n = 13 GROUP BY doc_id, item_id
+"""
+
 #: Fixed values of the contract: the tokenizer's file and the id that ends a document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -80,5 +100,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL}
+QUERIES = {"op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL}
