@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixbench.llm import debruijn, decontaminate, media, simhash, token_store
+from helixbench.llm import debruijn, decontaminate, language_id, media, simhash, token_store, toxicity
 from helixbench.llm import url_filter as urls
-from helixbench.llm.common import table
+from helixbench.llm.common import remainder, table
 
 #: The rules of the contract.
 URL_RULES = [
@@ -100,5 +101,19 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs, ~held_out)
+    return language_id.identify(docs.drop("score"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op6_language_id": op6_language_id, "op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL}
