@@ -34,8 +34,8 @@ _TAIL = "<QQ4s"
 _SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+)+")
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+")
 _SPACE = re.compile(r"[ \t\n\r]+")
-#: Words kept with their ids by each worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Words kept with their ids by each worker; beyond it the older half goes.
+REMEMBERED = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,32 +54,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = _SPACE.split(text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-        known, ids = self.known, []
-        if len(known) > REMEMBERED:
+        known = self.known
+        new = set(words).difference(known)
+        if len(known) + len(new) > REMEMBERED:  # keep the words met since the last time, half of the room at most
+            kept = list(known.items())[-REMEMBERED // 2 :]
             known.clear()
-        extend = ids.extend
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = known[word] = self._word(word)
-            extend(found)
-        return np.array(ids, np.uint32)
-
-    def _word(self, word: str) -> list[int]:
-        if not word:
-            return []
+            known.update(kept)
+            new = set(words).difference(known)
+        for word in new:
+            known[word] = self._word(word)
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word without white space, as little-endian 32-bit integers."""
         if not _SIMPLE.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        ids = []
-        for part in _PART.findall(word.lower()):
-            if not part.isascii():
-                part = part.encode().decode("latin-1").translate(self.letters)
-            ids += [token.id for token in self.model.tokenize(part)]
-        return ids
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        low = word.lower()
+        parts = [low] if low.isalpha() else _PART.findall(low)
+        if len(parts) == 1 and low == word:
+            part = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.model.tokenize(part)]) else b""
+        return b"".join(self._part(part) for part in parts)
+
+    def _part(self, part: str) -> bytes:
+        if (found := self.known.get(part)) is None:
+            found = self.known[part] = self._word(part)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -96,11 +100,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4" if data[:1] == b"\x04" else "<u2", offset=1).astype(np.uint32)
 
 
-def train_dictionary(df: DataFrame, text: str, tokenizer_path: str, end_id: int, documents: int = 2000, chars: int = 4096, size: int = 65536) -> bytes:
+def train_dictionary(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int, documents: int = 2000, chars: int = 4096, size: int = 65536) -> bytes:
     """A dictionary from the serialized ids of at most ``documents`` documents, each cut to its first ``chars``
-    characters for the training only. The documents are those of the smallest text hash, whatever the table's size;
-    too little text to train on gives an empty dictionary."""
-    picked = df.where(F.col(text).isNotNull()).select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.col(text)).alias("h")).orderBy("h", "t").limit(documents)
+    characters for the training only. The documents are those of the smallest key hash among a fraction of about
+    four times as many, so that a bounded number of rows leaves the executors whatever the table's size; too little
+    text to train on gives an empty dictionary."""
+    fraction = max(1, df.count() // (4 * documents))
+    hashed = df.select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(17), F.col(key)).alias("h")).where(F.pmod("h", F.lit(fraction)) == 0)
+    picked = hashed.where("t is not null").orderBy("h", "t").limit(documents)
     encode = _encoder(tokenizer_path)
     samples = [_pack(np.append(encode(r.t), np.uint32(end_id))) for r in picked.collect()]
     total = sum(map(len, samples))
@@ -131,7 +138,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, k
     row makes valid, so tasks may be run again. The driver gets the dictionary's sample and nothing else.
     """
     spark = df.sparkSession
-    dictionary = train_dictionary(df, text, tokenizer_path, end_id)
+    dictionary = train_dictionary(df, key, text, tokenizer_path, end_id)
     digest = hashlib.sha256(dictionary).digest()
     files, path = _create(f"{folder}/{digest.hex()}.dict")
     with files.open_output_stream(path) as f:
