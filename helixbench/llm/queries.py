@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixbench.llm import debruijn, decontaminate, language_id, media, mixing, simhash, token_store, toxicity
+from helixbench.llm import debruijn, decontaminate, language_id, licenses, media, mixing, simhash, token_store, toxicity
 from helixbench.llm import url_filter as urls
 from helixbench.llm.common import remainder, table
 
@@ -119,5 +119,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_mixing": op9_mixing, "op4_toxicity": op4_toxicity, "op6_language_id": op6_language_id, "op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_license_scan": op10_license_scan, "op9_mixing": op9_mixing, "op4_toxicity": op4_toxicity, "op6_language_id": op6_language_id, "op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL}
