@@ -53,3 +53,14 @@ def partitions(spark: SparkSession) -> int:
 def remainder(id_column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+#: Keys that are sent to every executor; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def sized(keys: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A table of keys, stored and counted; marked for broadcast if it is within the bound."""
+    keys = stored(keys, name)
+    n = keys.count()
+    return (F.broadcast(keys) if n <= BROADCAST_KEYS else keys), n

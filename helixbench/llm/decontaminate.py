@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixbench.llm.common import sized
+
 WINDOW, NEED = 13, 11
 MASKS = ("11010001101", "11101101")
 #: Seeds of a benchmark that are sent to every executor; a larger benchmark is joined by a shuffle.
@@ -66,5 +68,5 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df`` whose key no benchmark item overlaps, columns unchanged; rows with a null key stay."""
-    hit = overlaps(df, benchmark, key, text, item, item_text).select(key).distinct()
+    hit, _ = sized(overlaps(df, benchmark, key, text, item, item_text).select(key).distinct(), "contaminated")
     return df.join(hit, key, "left_anti")

@@ -16,8 +16,8 @@ from functools import lru_cache
 import numpy as np
 
 BLOCK, RATE = 2048, 8000
-#: Samples of one encoding or decoding batch, a bound on memory.
-BATCH = 1 << 21
+#: Samples of one decoding batch, a bound on memory; encoding and checksums take parts that stay in a core's cache.
+BATCH, PART = 1 << 22, 1 << 16
 _PRECISION, _SHIFT = 12, 9
 #: The format's fixed predictors as coefficients of the last samples, newest first.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
@@ -48,7 +48,7 @@ def crc8(data: bytes) -> int:
     return c
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=4)
 def _far_table(length: int) -> np.ndarray:
     """What a byte adds to a CRC-16 when so many bytes follow it."""
     rows = [_CRC16]
@@ -59,18 +59,29 @@ def _far_table(length: int) -> np.ndarray:
 
 
 def crc16(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """CRC-16 of each slice of ``flat``; the slices follow each other and none is empty."""
-    ends = np.repeat(starts + lengths, lengths)
-    at = _spread(starts, lengths)
-    size = 1 << int(lengths.max()).bit_length()
-    parts = _far_table(size)[(ends - at - 1) * 256 + flat[at]]
-    return np.bitwise_xor.reduceat(parts, np.cumsum(lengths) - lengths)
+    """CRC-16 of each slice of ``flat``; none is empty."""
+    size = max(4096, 1 << int(lengths.max()).bit_length())
+    table, out, low = _far_table(size), np.empty(len(starts), np.uint16), 0
+    total = np.cumsum(lengths)
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PART, "right")))
+        n = lengths[low:high]
+        at = _spread(starts[low:high], n)
+        row = np.repeat((starts[low:high] + n - 1).astype(np.int32), n)
+        row -= at
+        row <<= 8
+        row |= flat[at]
+        out[low:high] = np.bitwise_xor.reduceat(table[row], np.cumsum(n) - n)
+        low = high
+    return out
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All indices of the slices, one after the other."""
     first = np.cumsum(lengths) - lengths
-    return np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)
+    at = np.repeat((starts - first).astype(np.int32), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
 
 
 def _coded(number: int) -> bytes:
@@ -103,7 +114,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for p in payloads:
         group.append(p)
         held += len(p)
-        if held >= BATCH:
+        if held >= PART:
             out += _encode_group(group)
             group, held = [], 0
     return out + _encode_group(group) if group else out
@@ -114,7 +125,10 @@ def _encode_group(payloads: list[bytes]) -> list[bytes]:
     parts = [(d, i, p[at : at + BLOCK]) for d, p in enumerate(payloads) for i, at in enumerate(range(0, len(p), BLOCK))]
     low = 0
     while low < len(parts):
-        high = min(low + BATCH // BLOCK * 2, len(parts))
+        high, held = low, 0
+        while high < len(parts) and held < PART:
+            held += len(parts[high][2])
+            high += 1
         for (d, *_), frame in zip(parts[low:high], _encode_frames(parts[low:high]), strict=True):
             frames[d].append(frame)
         low = high
@@ -172,45 +186,43 @@ def _encode_frames(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
     head = np.array([len(h) for h in headers])
     size = head + 1 + -(-best_bits // 8) + 2
     begin = np.cumsum(size) - size
-    bits = np.zeros(int(size.sum()) * 8, np.uint8)
-    order = kind
+    # All that is written but for headers and verbatim samples, as values and the bits behind their last one.
+    values, stops = [], []
 
-    def put(rows, at, values, width):
-        for j in range(width):
-            bits[at + j] = (values >> (width - 1 - j)) & 1
+    def put(rows, at, value, width):
+        values.append(np.broadcast_to(value, len(rows)).astype(np.int32))
+        stops.append((at + width).astype(np.int32))
 
     at = (begin + head) * 8
-    put(None, at, np.array([0x02, 0x12, 0x42])[kind], 8)
+    put(at, at, np.array([0x02, 0x12, 0x42])[kind], 8)
     at += 8
     for j in range(2):
-        rows = np.flatnonzero(order > j)
-        put(rows, at[rows], x[start[rows] + j].astype(np.int64) & 0xFF, 8)
+        rows = np.flatnonzero(kind > j)
+        put(rows, at[rows], x[start[rows] + j] & 0xFF, 8)
         at[rows] += 8
     rows = np.flatnonzero(kind == 2)
-    put(rows, at[rows], np.full(len(rows), (_PRECISION - 1) << 5 | _SHIFT), 9)
-    put(rows, at[rows] + 9, c1[rows].astype(np.int64) & ((1 << _PRECISION) - 1), _PRECISION)
-    put(rows, at[rows] + 9 + _PRECISION, c2[rows].astype(np.int64) & ((1 << _PRECISION) - 1), _PRECISION)
+    put(rows, at[rows], (_PRECISION - 1) << 5 | _SHIFT, 9)
+    for j, c in enumerate((c1, c2)):
+        put(rows, at[rows] + 9 + j * _PRECISION, c[rows] & ((1 << _PRECISION) - 1), _PRECISION)
     at[rows] += 9 + 2 * _PRECISION
     rows = np.flatnonzero(kind > 0)
     put(rows, at[rows] + 6, rice[rows], 4)
-    at[rows] += 10
-    coded = (place >= np.repeat(order, n)) & np.repeat(kind > 0, n)
-    u, k = zig[coded], np.repeat(rice.astype(np.int32), np.where(kind > 0, n - order, 0))
-    width = (u >> k) + 1 + k
-    ends = np.cumsum(width, dtype=np.int32)
-    # A code word's bits, counted from its end: k of the remainder, a one, zeros.
-    word = np.repeat((u & ((1 << k) - 1)) | (1 << k), width)
-    back = np.repeat(ends, width)
-    back -= np.arange(1, len(back) + 1, dtype=np.int32)
-    np.minimum(back, 31, out=back)
-    word >>= back
-    words = word.astype(np.uint8) & 1
-    last = np.concatenate([[0], ends])[np.cumsum(np.where(kind > 0, n - order, 0))]
-    low = 0
-    for to, high in zip(at[rows].tolist(), last[rows].tolist(), strict=True):
-        bits[to : to + high - low] = words[low:high]
-        low = high
-    flat = np.packbits(bits)
+    at += 10
+    count = np.where(kind > 0, n - kind, 0)
+    coded = (place >= np.repeat(kind.astype(np.int32), n)) & np.repeat(kind > 0, n)
+    u, k = zig[coded], np.repeat(rice.astype(np.int32), count)
+    ends = np.cumsum((u >> k) + 1 + k, dtype=np.int32)
+    before = np.concatenate([[0], ends])[np.cumsum(count) - count]
+    ends += np.repeat((at - before).astype(np.int32), count)
+    values.append((u & ((1 << k) - 1)) | (1 << k))  # the remainder after its one; the zeros before it are there
+    stops.append(ends)
+    stop = np.concatenate(stops)
+    value = np.concatenate(values) << (-stop & 7)
+    byte, total = (stop - 1) >> 3, int(size.sum())
+    flat = np.bincount(byte, value & 0xFF, total)
+    value >>= 8
+    flat += np.bincount(byte - 1, value & 0xFF, total)
+    flat = (flat + np.bincount(byte - 2, value >> 8, total)).astype(np.uint8)
     for i in np.flatnonzero(kind == 0):
         low = begin[i] + head[i] + 1
         flat[low : low + n[i]] = np.frombuffer(parts[i][2], np.uint8) ^ 0x80
@@ -343,7 +355,7 @@ def decode_frames(frames: list[bytes]) -> list[bytes]:
     n = np.array([h[1] for h in heads])
     sub = begin + np.array([h[0] for h in heads])
     kind = flat[sub] >> 1
-    out = np.zeros(int(n.sum()), np.int32)
+    out = np.zeros(int(n.sum()), np.int16)
     start = np.cumsum(n) - n
     order = np.where(kind >= 32, kind - 31, np.where((kind >= 8) & (kind <= 12), kind - 8, 0)).astype(np.int64)
     window = np.ndarray((len(flat) - 7,), ">u8", flat, 0, (1,))
@@ -361,7 +373,7 @@ def decode_frames(frames: list[bytes]) -> list[bytes]:
     rice_at = after + np.where(linear, 9 + precision * order, 0)
     simple = predicted & (get(rice_at, 6) == 0) & (order <= 4) & (shift < 16)
     rice = get(rice_at + 6, 4).astype(np.int64)
-    simple &= rice < 15
+    simple &= rice <= 12
     odd = np.flatnonzero(~simple)
     for i in odd.tolist():
         if kind[i] == 1 and plain[i]:
@@ -381,6 +393,7 @@ def _split(data: bytes, start: np.ndarray, n: np.ndarray):
 
 
 def _in_step(flat, window, get, out, rows, kind, order, n, start, at, after, precision, shift, rice_at, k):
+    k = k.copy()
     taps = max(1, int(order.max()))
     coefficient, history = np.zeros((taps, len(rows)), np.int64), np.zeros((taps, len(rows)), np.int64)
     for t in range(taps):
@@ -397,30 +410,50 @@ def _in_step(flat, window, get, out, rows, kind, order, n, start, at, after, pre
     left = n - order
     falling = -left
     to, p = start + order, rice_at + 10
-    rest, ks = (63 - k).astype(np.uint64), k
-    one = np.uint64(1)
-    for i, a in enumerate(np.searchsorted(falling, -np.arange(int(left.max(initial=0)))).tolist()):
+    rest, one = (63 - k).astype(np.uint64), np.uint64(1)
+    active = np.append(np.searchsorted(falling, -np.arange(int(left.max(initial=0)))), [0, 0]).tolist()
+    for i in range(0, len(active) - 2, 2):  # a 64-bit window holds two code words
+        a = active[i]
         pos = p[:a]
-        win = window[pos >> 3].astype(np.uint64) << (pos & 7).astype(np.uint64)
-        q = _LEADING[win >> np.uint64(48)]
-        if q.max() == 16:
-            long = np.flatnonzero(q == 16)
-            q[long] = _unary(flat, pos[long])
-            win[long] = window[(pos[long] + q[long]) >> 3].astype(np.uint64) << ((pos[long] + q[long]) & 7).astype(np.uint64)
-            tail = win << (np.where(q >= 16, 0, q) + 1).astype(np.uint64)
-        else:
-            tail = win << (q.astype(np.uint64) + one)
-        u = (q << ks[:a]) | ((tail >> one) >> rest[:a]).astype(np.int64)
-        value = (u >> 1) ^ -(u & 1)
-        guess = coefficient[0, :a] * history[0, :a]
-        for t in range(1, taps):
-            guess += coefficient[t, :a] * history[t, :a]
-        value += guess >> shift[:a]
-        for t in range(taps - 1, 0, -1):
-            history[t, :a] = history[t - 1, :a]
-        history[0, :a] = value
-        out[to[:a] + i] = value
-        pos += q + 1 + ks[:a]
+        win = window[pos >> 3].astype(np.uint64)
+        win <<= (pos & 7).view(np.uint64)
+        for j in (i, i + 1):
+            a = active[j]
+            if a == 0:
+                break
+            pos, win = p[:a], win[:a]
+            q = _LEADING[win >> np.uint64(48)]
+            if q.max() == 16:
+                long = np.flatnonzero(q == 16)
+                q[long] = _unary(flat, pos[long])
+                far = pos[long] + q[long]
+                win[long] = (window[far >> 3].astype(np.uint64) << (far & 7).view(np.uint64)) << one
+                near = np.flatnonzero(q < 16)
+                win[near] <<= q[near].view(np.uint64) + one
+            else:
+                long = None
+                win <<= (q + 1).view(np.uint64)
+            e = ((win >> one) >> rest[:a]).view(np.int64)
+            e |= q << k[:a]
+            sign = -(e & 1)
+            e >>= 1
+            e ^= sign
+            guess = coefficient[0, :a] * history[0, :a]
+            for t in range(1, taps):
+                guess += coefficient[t, :a] * history[t, :a]
+            guess >>= shift[:a]
+            e += guess
+            for t in range(taps - 1, 0, -1):
+                history[t, :a] = history[t - 1, :a]
+            history[0, :a] = e
+            out[to[:a] + j] = e
+            q += 1
+            q += k[:a]
+            pos += q
+            if long is not None:
+                win = window[pos >> 3].astype(np.uint64) << (pos & 7).view(np.uint64)
+            else:
+                win <<= k[:a].view(np.uint64)
 
 
 def _unary(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
