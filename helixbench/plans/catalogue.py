@@ -1,6 +1,408 @@
-"""All queries over the driver's tables, by name."""
+"""Queries over the driver's tables, with the SQL that DuckDB runs for the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixbench.functions.expressions import depth, mutation_count, parse_mutations, rounded
+from helixbench.operators import bootstrap, leaderboard, logprob, merge, metrics, mutations, pairs, scoring, splits, structure
+from helixbench.plans.fixtures import fixture, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+MODELS = ["m1", "m2", "m3", "m4"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- assay metrics and leaderboards
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fixture(spark, sf_dir, "fx_variants").where("mutant is not null").select("dms_id", "mutant", "dms_score")
+    p = fixture(spark, sf_dir, "fx_predictions").where("mutant is not null").select("model", "dms_id", F.replace("mutant", F.lit("T"), F.lit("U")).alias("mutant"), "score")
+    return v.join(p, ["dms_id", "mutant"])
+
+
+def _assay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.assay_metrics(_scored(spark, sf_dir), ["dms_id", "model"])
+    return found.join(F.broadcast(fixture(spark, sf_dir, "fx_assays").select("dms_id", "rna_type")), "dms_id")
+
+
+def _metrics_sql(keys: str, extra: str = "") -> str:
+    """CTE m (keys, spearman, auc, mcc)."""
+    return f"""
+v AS (SELECT dms_id, mutant, dms_score FROM fx_variants WHERE mutant IS NOT NULL),
+s AS (SELECT p.model, v.dms_id, v.dms_score AS y, p.score AS x {extra} FROM v
+      JOIN fx_predictions p ON p.dms_id = v.dms_id AND replace(p.mutant, 'T', 'U') = v.mutant WHERE p.score IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY y) + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2.0 AS ry,
+        rank() OVER (PARTITION BY {keys} ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0 AS rx,
+        y > median(y) OVER (PARTITION BY {keys}) AS t, x > median(CAST(x AS DOUBLE)) OVER (PARTITION BY {keys}) AS b FROM s),
+g AS (SELECT {keys}, covar_pop(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)) AS cov, stddev_pop(CAST(rx AS DOUBLE)) * stddev_pop(CAST(ry AS DOUBLE)) AS dev,
+        CAST(sum(CASE WHEN t THEN rx END) AS DOUBLE) AS above, CAST(count(*) FILTER (t AND b) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT t AND b) AS DOUBLE) AS fp,
+        CAST(count(*) FILTER (t AND NOT b) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT t AND NOT b) AS DOUBLE) AS tn FROM r GROUP BY {keys}),
+a AS (SELECT *, tp + fn AS np, fp + tn AS nn, sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) AS md FROM g),
+m AS (SELECT {keys}, CASE WHEN np > 0 AND nn > 0 AND dev > 0 THEN abs(cov / dev) END AS spearman,
+        CASE WHEN np > 0 AND nn > 0 THEN greatest((above - np * (np + 1) / 2) / (np * nn), 1 - (above - np * (np + 1) / 2) / (np * nn)) END AS auc,
+        CASE WHEN np > 0 AND nn > 0 THEN CASE WHEN md > 0 THEN abs((tp * tn - fp * fn) / md) ELSE 0 END END AS mcc FROM a)"""
+
+
+_M = "WITH " + _metrics_sql("dms_id, model").strip()
+_TYPED = _M + ",\nty AS (SELECT m.*, rna_type FROM m JOIN fx_assays USING (dms_id))"
+_LONG = _TYPED + """,
+lo AS (SELECT dms_id, rna_type, model, 'spearman' AS metric, spearman AS value FROM ty UNION ALL SELECT dms_id, rna_type, model, 'auc', auc FROM ty
+       UNION ALL SELECT dms_id, rna_type, model, 'mcc', mcc FROM ty),
+ki AS (SELECT dms_id, rna_type AS kind, model, metric, value FROM lo UNION ALL SELECT dms_id, 'All', model, metric, value FROM lo),
+me AS (SELECT metric, kind, model, avg(value) AS mean FROM ki GROUP BY metric, kind, model),
+be AS (SELECT metric, kind, model, mean FROM (SELECT *, row_number() OVER (PARTITION BY metric, kind ORDER BY round(mean, 9) DESC, model) AS pl FROM me WHERE mean IS NOT NULL) WHERE pl = 1)"""
+_ROUNDED = "round(spearman, 6) AS spearman, round(auc, 6) AS auc, round(mcc, 6) AS mcc"
+
+
+@query(_TYPED + f"\nSELECT dms_id, rna_type, model, {_ROUNDED} FROM ty")
+def assay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assay_metrics(spark, sf_dir).select("dms_id", "rna_type", "model", *rounded(*leaderboard.METRICS))
+
+
+TYPES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_WIDE = ", ".join(f"round(avg({m}){'' if t == 'All' else f' FILTER (rna_type = {t!r})'}, 6) AS \"{m}_{t}_Mean\"" for m in leaderboard.METRICS for t in [*TYPES, "All"])
+
+
+@query(_TYPED + f"\nSELECT model, {_WIDE} FROM ty GROUP BY model")
+def leaderboard_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = leaderboard.wide(leaderboard.by_type(_assay_metrics(spark, sf_dir)), TYPES)
+    return table.select("model", *(F.round(f"`{c}`", 6).alias(c) for c in table.columns[1:]))
+
+
+@query(
+    "WITH " + _metrics_sql("dms_id, model, depth", ", CASE WHEN len(string_split(v.mutant, ',')) = 1 THEN 'single' ELSE 'multiple' END AS depth").strip()
+    + f""",
+d AS (SELECT depth, model, avg(spearman) AS spearman, avg(auc) AS auc, avg(mcc) AS mcc FROM m GROUP BY depth, model)
+SELECT depth, model, {_ROUNDED} FROM (SELECT * FROM d UNION ALL SELECT 'All', model, avg(spearman), avg(auc), avg(mcc) FROM d GROUP BY model)"""
+)
+def leaderboard_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).withColumn("depth", depth(F.col("mutant")))
+    found = metrics.assay_metrics(rows, ["dms_id", "model", "depth"])
+    return leaderboard.by_depth(found).select("depth", "model", *rounded(*leaderboard.METRICS)).orderBy("depth", "model")
+
+
+@query(_LONG + "\nSELECT dms_id, rna_type, model, metric, round(value, 6) AS value FROM lo")
+def assay_level_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.long_metrics(_assay_metrics(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(_LONG + "\nSELECT metric, kind AS rna_type, model, round(mean, 6) AS mean FROM be")
+def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.best_models(leaderboard.long_metrics(_assay_metrics(spark, sf_dir))).withColumn("mean", F.round("mean", 6))
+
+
+_BOOT = _LONG + """,
+ids AS (SELECT dms_id, row_number() OVER (ORDER BY dms_id) - 1 AS pl FROM (SELECT DISTINCT dms_id FROM lo)),
+n AS (SELECT count(*) AS n FROM ids),
+dr AS (SELECT r.replicate, CAST(concat('0x', substr(md5(concat('42|', r.replicate, '|', k.k)), 1, 8)) AS BIGINT) % n.n AS pl
+       FROM n, (SELECT unnest(range(100)) AS replicate) r, (SELECT unnest(range((SELECT n FROM n))) AS k) k),
+di AS (SELECT a.metric, a.kind, a.model, a.dms_id, a.value - b.value AS d FROM ki a JOIN be USING (metric, kind) JOIN lo b ON b.metric = a.metric AND b.dms_id = a.dms_id AND b.model = be.model),
+mr AS (SELECT metric, kind, model, replicate, avg(d) AS mean FROM dr JOIN ids USING (pl) JOIN di USING (dms_id) WHERE d IS NOT NULL GROUP BY metric, kind, model, replicate)
+"""
+
+
+@query(_BOOT + "SELECT metric, kind AS rna_type, model, round(stddev_samp(mean), 6) AS se FROM mr GROUP BY metric, kind, model")
+def bootstrap_se(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = leaderboard.long_metrics(_assay_metrics(spark, sf_dir))
+    return bootstrap.bootstrap_errors(long, 100).withColumn("se", F.round("se", 6))
+
+
+# ---------------------------------------------------------------- merge
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_predictions")
+
+
+_LOSS = """WITH v AS (SELECT dms_id, mutant, dms_score FROM fx_variants WHERE mutant IS NOT NULL),
+w AS (SELECT dms_id, model, mutant FROM v, (SELECT unnest(['m1', 'm2', 'm3', 'm4']) AS model)),
+p AS (SELECT DISTINCT model, dms_id, replace(mutant, 'T', 'U') AS mutant FROM fx_predictions WHERE mutant IS NOT NULL),
+f AS (SELECT DISTINCT model, dms_id FROM fx_predictions),
+loss AS (SELECT w.dms_id, w.model, count(*) AS n_variants, count(*) - count(p.mutant) AS n_lost, max(f.model) IS NOT NULL AS has_file
+         FROM w LEFT JOIN p ON p.model = w.model AND p.dms_id = w.dms_id AND p.mutant = w.mutant LEFT JOIN f ON f.model = w.model AND f.dms_id = w.dms_id GROUP BY w.dms_id, w.model)"""
+
+
+@query(_LOSS + "\nSELECT dms_id, model, n_variants, n_lost, has_file FROM loss")
+def merge_loss_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.loss_report(fixture(spark, sf_dir, "fx_variants"), _predictions(spark, sf_dir), MODELS)
+
+
+@query(
+    _LOSS + """,
+ok AS (SELECT dms_id FROM loss GROUP BY dms_id HAVING bool_and(has_file AND n_lost = 0)),
+q AS (SELECT model, dms_id, replace(mutant, 'T', 'U') AS mutant, min(score) AS score FROM fx_predictions WHERE mutant IS NOT NULL GROUP BY ALL)
+SELECT v.dms_id, v.mutant, v.dms_score, q.model, round(q.score, 6) AS score FROM v JOIN ok USING (dms_id) JOIN q ON q.dms_id = v.dms_id AND q.mutant = v.mutant"""
+)
+def merge_complete_assays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge.merge(fixture(spark, sf_dir, "fx_variants"), _predictions(spark, sf_dir), MODELS, ["score"])
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT a.dms_id, m.model FROM fx_assays a, (SELECT DISTINCT model FROM fx_predictions) m WHERE NOT EXISTS (SELECT 1 FROM fx_predictions p WHERE p.dms_id = a.dms_id AND p.model = m.model)")
+def manifest_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _predictions(spark, sf_dir).select("dms_id", "model").distinct()
+    sheet = fixture(spark, sf_dir, "fx_assays").select("dms_id")
+    return sheet.join(F.broadcast(spark.createDataFrame([(m,) for m in MODELS], "model string"))).join(p, ["dms_id", "model"], "left_anti")
+
+
+# ---------------------------------------------------------------- structure
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.attach_ranges(fixture(spark, sf_dir, "fx_labels"), fixture(spark, sf_dir, "fx_ranges"))
+
+
+_AT = "WITH pl AS (SELECT l.id, l.reactivity, l.usage, r.sequence_id, r.id_min FROM fx_labels l LEFT JOIN fx_ranges r ON l.id BETWEEN r.id_min AND r.id_max)"
+_NUM = _AT + ",\nnum AS (SELECT *, CASE WHEN sequence_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY sequence_id ORDER BY id) - 1 AS INT) END AS position_id FROM pl)"
+
+
+@query(_AT + "\nSELECT id, usage, round(reactivity, 6) AS reactivity, CAST(sequence_id AS VARCHAR) AS sequence_id FROM pl")
+def range_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attached(spark, sf_dir).select("id", "usage", F.round("reactivity", 6).alias("reactivity"), F.col("sequence_id").cast("string"))
+
+
+@query(_NUM + "\nSELECT id, CAST(sequence_id AS VARCHAR) AS sequence_id, CAST(position_id AS VARCHAR) AS position_id FROM num")
+def position_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.number_positions(_attached(spark, sf_dir)).orderBy("sequence_id", "id").select("id", F.col("sequence_id").cast("string"), F.col("position_id").cast("string"))
+
+
+@query(_NUM + "\nSELECT id, sequence_id, position_id, usage FROM num WHERE sequence_id IN (SELECT sequence_id FROM num WHERE usage = 'Private')")
+def eval_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = structure.number_positions(_attached(spark, sf_dir))
+    return structure.evaluation_subset(numbered, structure.of_usage(numbered, "Private"), "sequence_id").select("id", "sequence_id", "position_id", "usage")
+
+
+@query(_AT + "\nSELECT count(*) AS n_shared FROM (SELECT sequence_id FROM pl WHERE usage = 'Private' INTERSECT SELECT sequence_id FROM pl WHERE usage = 'Public')")
+def usage_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _attached(spark, sf_dir)
+    return structure.overlap(structure.of_usage(rows, "Private"), structure.of_usage(rows, "Public"), "sequence_id")
+
+
+def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = structure.not_ignored(structure.number_positions(_attached(spark, sf_dir)))
+    rows = structure.align(labels, fixture(spark, sf_dir, "fx_position_predictions"))
+    return metrics.median_bins(metrics.clipped(rows, ["reactivity", "prediction"]), ["sequence_id"], ["reactivity", "prediction"])
+
+
+_BIN = _NUM + """,
+al AS (SELECT num.id, num.sequence_id, num.position_id, least(greatest(reactivity, 0), 1) AS y, least(greatest(prediction, 0), 1) AS x
+       FROM num JOIN fx_position_predictions p ON p.sequence_id = num.sequence_id AND p.position_id = num.position_id WHERE usage IS DISTINCT FROM 'Ignored' AND prediction IS NOT NULL),
+bi AS (SELECT *, y > median(y) OVER (PARTITION BY sequence_id) AS t, x > median(x) OVER (PARTITION BY sequence_id) AS b FROM al)"""
+
+
+@query(_BIN + "\nSELECT id, round(y, 6) AS reactivity, round(x, 6) AS prediction, t AS reactivity_bin, b AS prediction_bin FROM bi")
+def structure_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binned(spark, sf_dir).select("id", *rounded("reactivity", "prediction"), "reactivity_bin", "prediction_bin")
+
+
+@query(
+    _BIN + """,
+h AS (SELECT x, count(*) FILTER (t) AS p, count(*) FILTER (NOT t) AS n FROM bi GROUP BY x),
+c AS (SELECT *, sum(n) OVER (ORDER BY x) - n AS before FROM h),
+g AS (SELECT avg(abs(y - x)) AS mae, CAST(count(*) FILTER (t AND b) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT t AND b) AS DOUBLE) AS fp,
+        CAST(count(*) FILTER (t AND NOT b) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT t AND NOT b) AS DOUBLE) AS tn FROM bi)
+SELECT round((SELECT CAST(sum(p * (before + n / 2.0)) AS DOUBLE) / (CAST(sum(p) AS DOUBLE) * sum(n)) FROM c), 6) AS auc,
+  round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(mae, 6) AS mae,
+  round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fn + fp)) / 2, 6) AS f1 FROM g"""
+)
+def structure_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.position_metrics(_binned(spark, sf_dir), "reactivity", "prediction", []).select(*rounded("auc", "mcc", "mae", "f1"))
+
+
+@query("SELECT seq_id, i, round(product(1 - p), 6) AS p_unpaired FROM fx_pair_probs GROUP BY seq_id, i")
+def unpaired_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.unpaired_probability(fixture(spark, sf_dir, "fx_pair_probs")).withColumn("p_unpaired", F.round("p_unpaired", 6))
+
+
+# ---------------------------------------------------------------- base pairs
+
+_PAIRS = """WITH ch AS (SELECT seq_id, method, unnest(range(len(dotbracket))) AS pl, unnest(string_split(dotbracket, '')) AS c FROM fx_structures),
+mk AS (SELECT seq_id, method, pl, CASE WHEN c IN ('(', ')') THEN 0 WHEN c IN ('[', ']') THEN 1 WHEN c IN ('<', '>') THEN 2 WHEN c IN ('{', '}') THEN 3 END AS fam, c IN ('(', '[', '<', '{') AS o FROM ch),
+lv AS (SELECT *, sum(CASE WHEN o THEN 1 ELSE -1 END) OVER (PARTITION BY seq_id, method, fam ORDER BY pl) + CASE WHEN o THEN 0 ELSE 1 END AS lvl FROM mk WHERE fam IS NOT NULL),
+nx AS (SELECT *, lead(pl) OVER w AS j, lead(o) OVER w AS no FROM lv WINDOW w AS (PARTITION BY seq_id, method, fam, lvl ORDER BY pl)),
+pr AS (SELECT seq_id, method, CAST(pl AS INT) AS i, CAST(j AS INT) AS j FROM nx WHERE o AND NOT no),
+cx AS (SELECT a.seq_id, a.method, a.i AS ai, a.j AS aj, b.i AS bi, b.j AS bj FROM pr a JOIN pr b ON a.seq_id = b.seq_id AND a.method = b.method AND a.i < b.i AND b.i < a.j AND a.j < b.j),
+cr AS (SELECT seq_id, method, ai AS i, aj AS j FROM cx UNION SELECT seq_id, method, bi, bj FROM cx)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.dotbracket_pairs(fixture(spark, sf_dir, "fx_structures"))
+
+
+@query(_PAIRS + "\nSELECT seq_id, method, i, j FROM pr")
+def dotbracket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)
+
+
+@query(_PAIRS + "\nSELECT seq_id, method, i, j FROM cr")
+def crossing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.crossing_pairs(_pairs(spark, sf_dir))
+
+
+@query(
+    _PAIRS + """,
+grid AS (SELECT s.seq_id, s.method FROM fx_structures s WHERE s.method <> 'truth' AND s.seq_id IN (SELECT seq_id FROM cr WHERE method = 'truth')),
+f AS (SELECT g.seq_id, g.method,
+  (SELECT count(*) FROM pr x WHERE x.seq_id = g.seq_id AND x.method = g.method) AS said, (SELECT count(*) FROM pr x WHERE x.seq_id = g.seq_id AND x.method = 'truth') AS real,
+  (SELECT count(*) FROM pr x JOIN pr y ON x.seq_id = y.seq_id AND x.i = y.i AND x.j = y.j WHERE y.method = 'truth' AND x.seq_id = g.seq_id AND x.method = g.method) AS hit,
+  (SELECT count(*) FROM cr x WHERE x.seq_id = g.seq_id AND x.method = g.method) AS said_x, (SELECT count(*) FROM cr x WHERE x.seq_id = g.seq_id AND x.method = 'truth') AS real_x,
+  (SELECT count(*) FROM cr x JOIN cr y ON x.seq_id = y.seq_id AND x.i = y.i AND x.j = y.j WHERE y.method = 'truth' AND x.seq_id = g.seq_id AND x.method = g.method) AS hit_x FROM grid g)
+SELECT seq_id, method, round(CASE WHEN said + real > 0 THEN 2.0 * hit / (said + real) ELSE 0 END, 6) AS f1,
+  round(CASE WHEN said_x + real_x > 0 THEN 2.0 * hit_x / (said_x + real_x) ELSE 0 END, 6) AS crossed_f1 FROM f"""
+)
+def pair_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = fixture(spark, sf_dir, "fx_structures").select("seq_id", "method")
+    return pairs.structure_scores(_pairs(spark, sf_dir), grid).select("seq_id", "method", *rounded("f1", "crossed_f1"))
+
+
+# ---------------------------------------------------------------- mutations and log-probabilities
+
+
+@query("""WITH v AS (SELECT DISTINCT dms_id, mutant FROM fx_variants WHERE mutant IS NOT NULL),
+p AS (SELECT dms_id, mutant, len(string_split(mutant, ',')) AS n, unnest(string_split(mutant, ',')) AS m FROM v)
+SELECT dms_id, mutant, CAST(n AS INT) AS n_mutations, CASE WHEN n = 1 THEN 'single' ELSE 'multiple' END AS depth,
+  substr(m, 1, 1) AS old, CAST(substr(m, 2, length(m) - 2) AS INT) AS pos, substr(m, length(m), 1) AS new FROM p""")
+def mutation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_variants").select("dms_id", "mutant").dropna("any").distinct()
+    parsed = rows.select("dms_id", "mutant", mutation_count(F.col("mutant")).alias("n_mutations"), depth(F.col("mutant")).alias("depth"), F.explode(parse_mutations(F.col("mutant"))).alias("m"))
+    return parsed.select("dms_id", "mutant", "n_mutations", "depth", "m.*")
+
+
+def _mutated_sql(rna: bool) -> str:
+    """All fixture mutations hit their own letter once, or one position twice with the second failing or not."""
+    base = "c" if rna else "translate(c, 'U', 'T')"
+    letter = lambda x: x if rna else f"translate({x}, 'U', 'T')"
+    return f"""WITH v AS (SELECT DISTINCT v.dms_id, mutant, construct AS c, string_split(mutant, ',') AS ms FROM fx_variants v JOIN fx_assays USING (dms_id) WHERE mutant IS NOT NULL),
+f AS (SELECT dms_id, mutant, {base} AS s0, len(ms) AS n, {letter("substr(ms[1], 1, 1)")} AS o1, CAST(substr(ms[1], 2, length(ms[1]) - 2) AS INT) AS p1, {letter("substr(ms[1], length(ms[1]), 1)")} AS n1,
+  CASE WHEN len(ms) > 1 THEN {letter("substr(ms[2], 1, 1)")} END AS o2, CASE WHEN len(ms) > 1 THEN CAST(substr(ms[2], 2, length(ms[2]) - 2) AS INT) END AS p2,
+  CASE WHEN len(ms) > 1 THEN {letter("substr(ms[2], length(ms[2]), 1)")} END AS n2 FROM v),
+g AS (SELECT *, substr(s0, p1, 1) = o1 AS ok1, concat(substr(s0, 1, p1 - 1), n1, substr(s0, p1 + 1)) AS s1 FROM f)
+SELECT dms_id, mutant, CASE WHEN NOT ok1 THEN NULL WHEN n = 1 THEN s1 WHEN substr(s1, p2, 1) = o2 THEN concat(substr(s1, 1, p2 - 1), n2, substr(s1, p2 + 1)) END AS mutated_sequence,
+  CASE WHEN NOT ok1 OR (n > 1 AND substr(s1, p2, 1) <> o2) THEN 'mismatch' END AS reason FROM g"""
+
+
+def _mutated(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_variants").select("dms_id", "mutant").distinct()
+    return mutations.mutated_sequences(rows, fixture(spark, sf_dir, "fx_assays"), mode)
+
+
+@query(_mutated_sql(False))
+def mutated_sequences_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(spark, sf_dir, "insert")
+
+
+@query(_mutated_sql(False))
+def mutated_sequences_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(spark, sf_dir, "fill")
+
+
+@query(_mutated_sql(True))
+def mutated_sequences_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(spark, sf_dir, "substitute")
+
+
+_PARTS = """WITH v AS (SELECT DISTINCT dms_id, mutant FROM fx_variants WHERE mutant IS NOT NULL),
+p AS (SELECT dms_id, mutant, unnest(string_split(mutant, ',')) AS m FROM v),
+x AS (SELECT p.dms_id, p.mutant, substr(m, 1, 1) AS old, CAST(substr(m, 2, length(m) - 2) AS INT) AS pos, substr(m, length(m), 1) AS new, construct FROM p JOIN fx_assays USING (dms_id)),
+s AS (SELECT x.dms_id, x.mutant, a.logp - b.logp AS d FROM x JOIN fx_logp a ON a.dms_id = x.dms_id AND a.pos = x.pos AND a.base = x.new
+      JOIN fx_logp b ON b.dms_id = x.dms_id AND b.pos = x.pos AND b.base = substr(x.construct, x.pos, 1))
+SELECT dms_id, mutant, sum(d) AS score"""
+
+
+@query(_PARTS + ", FALSE AS mismatch FROM s GROUP BY dms_id, mutant")
+def wildtype_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logprob.wildtype_marginal(fixture(spark, sf_dir, "fx_variants"), fixture(spark, sf_dir, "fx_assays"), fixture(spark, sf_dir, "fx_logp"))
+
+
+@query(_PARTS + " FROM s GROUP BY dms_id, mutant")
+def masked_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = fixture(spark, sf_dir, "fx_variants")
+    places = logprob.exploded(variants).select("dms_id", "mutant", "pos").distinct()
+    masked = places.join(fixture(spark, sf_dir, "fx_logp"), ["dms_id", "pos"])
+    return logprob.masked_marginal(variants, fixture(spark, sf_dir, "fx_assays"), masked)
+
+
+_TOKENS = """WITH t AS (SELECT l.dms_id, l.pos, l.logp, substr(construct, l.pos, 1) = l.base AS own, l.pos % 5 = 0 AS padding FROM fx_logp l JOIN fx_assays USING (dms_id))
+SELECT dms_id, """
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_logp").join(fixture(spark, sf_dir, "fx_assays").select("dms_id", "construct"), "dms_id")
+    own = rows.where(F.substring("construct", F.col("pos"), F.lit(1)) == F.col("base"))
+    return own.select("dms_id", "pos", "logp", (F.col("pos") % 5 == 0).alias("padding"), F.when(F.col("pos") % 5 == 0, 0).otherwise(1).alias("mask"))
+
+
+@query(_TOKENS + "round(avg(logp), 6) AS mean_logp, count(*) AS n_tokens FROM t WHERE own AND NOT padding GROUP BY dms_id")
+def mean_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logprob.mean_loglik(_tokens(spark, sf_dir), ["dms_id"]).withColumn("mean_logp", F.round("mean_logp", 6))
+
+
+@query(_TOKENS + "round(sum(CASE WHEN padding THEN 0 ELSE -logp END), 6) AS loss, count(*) FILTER (NOT padding) AS n_tokens FROM t WHERE own GROUP BY dms_id")
+def sum_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logprob.sum_cross_entropy(_tokens(spark, sf_dir), ["dms_id"]).withColumn("loss", F.round("loss", 6))
+
+
+@query("""SELECT dms_id, pos, base, round(logp - max(logp) OVER w - ln(sum(exp(logp - m)) OVER w), 6) AS logp
+FROM (SELECT *, max(logp) OVER (PARTITION BY dms_id, pos) AS m FROM fx_logp) WINDOW w AS (PARTITION BY dms_id, pos)""")
+def log_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits = fixture(spark, sf_dir, "fx_logp").withColumnRenamed("logp", "logit")
+    return logprob.log_softmax(logits, ["dms_id", "pos"]).select("dms_id", "pos", "base", F.round("logp", 6).alias("logp"))
+
+
+@query("SELECT dms_id, CAST(max(length(construct)) AS INT) AS longest, max(length(construct)) > 24 AS too_long FROM fx_assays GROUP BY dms_id")
+def length_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.too_long(fixture(spark, sf_dir, "fx_assays"), "construct", 24)
+
+
+# ---------------------------------------------------------------- splits and scoring
+
+
+@query("""WITH v AS (SELECT DISTINCT dms_id, mutant FROM fx_variants WHERE mutant IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY dms_id ORDER BY md5(concat('42|', dms_id, '|', mutant))) AS pl, count(*) OVER (PARTITION BY dms_id) AS n FROM v)
+SELECT dms_id, mutant, CASE WHEN pl <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS fold FROM o""")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_variants").where("mutant is not null").select("dms_id", "mutant").distinct()
+    return splits.random_split(rows, ["dms_id", "mutant"])
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _mutated(spark, sf_dir, "substitute").where("reason is null")
+    return splits.similarity_classes(rows, "dms_id", "mutated_sequence")
+
+
+@query()
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(spark, sf_dir)
+
+
+@query()
+def similarity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.similarity_split(_similar(spark, sf_dir))
+
+
+def gc_share(sequences: list[str]) -> list[list[float]]:
+    """A stand-in for a model: at each position the share of G and C so far."""
+    return [[round(sum(x in "GC" for x in s[: i + 1]) / (i + 1), 6) for i in range(len(s))] for s in sequences]
+
+
+@query("""WITH d AS (SELECT DISTINCT sequence_id, sequence FROM fx_ranges WHERE sequence IS NOT NULL),
+p AS (SELECT sequence_id, sequence, unnest(range(length(sequence))) AS k FROM d)
+SELECT sequence_id, sequence, CAST(k AS INT) AS position_id, round((length(substr(sequence, 1, k + 1)) - length(replace(replace(substr(sequence, 1, k + 1), 'G', ''), 'C', ''))) / (k + 1), 6) AS prediction FROM p""")
+def batch_score_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_sequences(fixture(spark, sf_dir, "fx_ranges"), gc_share)
