@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixbench.operators.durable import checkpointed
 from helixbench.operators.leaderboard import best_models
 
 
@@ -28,6 +29,7 @@ def bootstrap_errors(long: DataFrame, replicates: int = 100, seed: int = 42) ->
     ``long``: (dms_id, rna_type, model, metric, value). Assays and replicates are joined once for all models and
     metrics; assays are dimension-sized, and a draw counts as a weight, not as a row.
     """
+    long = checkpointed(long)  # a small table that is read four times
     best = best_models(long).select("metric", F.col("rna_type").alias("kind"), F.col("model").alias("best"))
     kinds = long.withColumn("kind", F.explode(F.array(F.col("rna_type"), F.lit("All"))))
     top = long.select("metric", "dms_id", F.col("model").alias("best"), F.col("value").alias("top"))

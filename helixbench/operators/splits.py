@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixbench.operators.durable import checkpointed
+
 SIMILAR, SEED, SHARE = 0.8, 42, 0.2
 #: Sequences of one comparison's side; an assay's sequences are dealt into parts of about this size.
 PART = 256
@@ -121,32 +123,22 @@ def classes(links: DataFrame) -> DataFrame:
     along the links and jump to their labels' labels until nothing changes; each round is checkpointed."""
     edges = links.where("other is not null").select("dms_id", "s", "other")
     both = edges.unionAll(edges.select("dms_id", F.col("other").alias("s"), F.col("s").alias("other"))).distinct()
-    both = _checkpointed(both)
+    both = checkpointed(both)
     now = both.groupBy("dms_id", "s").agg(F.least(F.col("s"), F.min("other")).alias("class"))
     while True:
         seen = both.join(now.select("dms_id", F.col("s").alias("other"), "class"), ["dms_id", "other"]).groupBy("dms_id", "s").agg(F.min("class").alias("low"))
         spread = now.join(seen, ["dms_id", "s"]).select("dms_id", "s", F.least("class", "low").alias("class"), F.col("class").alias("was"))
         jump = spread.select("dms_id", F.col("s").alias("class"), F.col("class").alias("far"))
-        new = _checkpointed(spread.join(jump, ["dms_id", "class"], "left").select("dms_id", "s", F.coalesce("far", "class").alias("class"), "was"))
+        new = checkpointed(spread.join(jump, ["dms_id", "class"], "left").select("dms_id", "s", F.coalesce("far", "class").alias("class"), "was"))
         now = new.drop("was")
         if new.where("class <> was").isEmpty():
             return now
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def similarity_classes(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
     """(dms_id, sequence, class, n_links) of each distinct sequence of each group."""
     links = similarity_links(df, group, sequence)
-    links = _checkpointed(links)
+    links = checkpointed(links)
     counts = links.where("other is null").groupBy("dms_id", "s").agg(F.sum("n").alias("n_links"))
     rows = df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
     out = rows.join(classes(links), ["dms_id", "s"], "left").join(counts, ["dms_id", "s"], "left")
