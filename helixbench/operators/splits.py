@@ -25,42 +25,37 @@ def random_split(df: DataFrame, keys: Sequence[str], group: str = "dms_id", shar
     return df.withColumn("fold", F.when(order <= F.ceil(F.lit(share) * n), "val").otherwise("train"))
 
 
-def common_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """Lengths of the longest common subsequences of a[i] and b[i], by bit vectors of the first, all pairs at once
-    where it has at most 63 letters."""
-    out = np.zeros(len(a), np.int64)
-    short = np.array([len(x) < 64 for x in a], bool)
-    for i in np.flatnonzero(~short):
-        v = -1
-        masks: dict[str, int] = {}
-        for p, c in enumerate(a[i]):
+def common_lengths(a: Sequence[str], b: Sequence[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of the pairs a[i], b[j], by bit vectors of the first: all pairs at
+    once where it has at most 63 letters."""
+    out = np.zeros(len(i), np.int64)
+    sizes = np.array([len(x) for x in a])
+    for n in np.flatnonzero(sizes[i] > 63):
+        x, v, masks = a[i[n]], -1, {}
+        for p, c in enumerate(x):
             masks[c] = masks.get(c, 0) | 1 << p
-        for c in b[i]:
+        for c in b[j[n]]:
             u = v & masks.get(c, 0)
             v = (v + u) | (v - u)
-        out[i] = (~v & ((1 << len(a[i])) - 1)).bit_count()
-    at = np.flatnonzero(short)
+        out[n] = (~v & ((1 << len(x)) - 1)).bit_count()
+    at = np.flatnonzero(sizes[i] <= 63)
     if len(at):
-        letters = sorted({c for i in at for c in a[i]})
-        masks_, cache = np.zeros((len(letters) + 1, len(at)), np.uint64), {}
-        for j, i in enumerate(at):
-            if a[i] not in cache:
-                cache[a[i]] = [sum(1 << p for p, c in enumerate(a[i]) if c == x) for x in letters]
-            masks_[:-1, j] = cache[a[i]]
-        longest = max(len(b[i]) for i in at)
-        codes = np.full((longest, len(at)), len(letters), np.int64)
-        number = {c: k for k, c in enumerate(letters)}
-        seen: dict[str, np.ndarray] = {}
-        for j, i in enumerate(at):
-            if b[i] not in seen:
-                seen[b[i]] = np.array([number.get(c, len(letters)) for c in b[i]], np.int64)
-            codes[: len(b[i]), j] = seen[b[i]]
-        v, column = np.full(len(at), ~np.uint64(0), np.uint64), np.arange(len(at))
+        letters = {c: k for k, c in enumerate(sorted({c for x in a for c in x}))}
+        # The last row is for letters that the first sequence lacks, and for what lies behind a shorter second one.
+        masks = np.zeros((len(letters) + 1, len(a)), np.uint64)
+        for k, x in enumerate(a):
+            if len(x) <= 63:
+                for p, c in enumerate(x):
+                    masks[letters[c], k] |= np.uint64(1 << p)
+        codes = np.full((max(len(x) for x in b), len(b)), len(letters), np.int64)
+        for k, x in enumerate(b):
+            codes[: len(x), k] = [letters.get(c, len(letters)) for c in x]
+        first, second = i[at], j[at]
+        v = np.full(len(at), ~np.uint64(0), np.uint64)
         for row in codes:
-            u = v & masks_[row, column]
+            u = v & masks[row[second], first]
             v = (v + u) | (v - u)
-        size = np.array([len(a[i]) for i in at], np.uint64)
-        out[at] = np.bitwise_count(~v & ((np.uint64(1) << size) - np.uint64(1)))
+        out[at] = np.bitwise_count(~v & ((np.uint64(1) << sizes[first].astype(np.uint64)) - np.uint64(1)))
     return out
 
 
@@ -80,25 +75,26 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     ca, cb = (np.array([[x.count(c) for c in letters] for x in side]).reshape(len(side), len(letters)) for side in (a, b))
     ok[ok] = np.minimum(ca[i[ok]], cb[j[ok]]).sum(axis=1) > SIMILAR * most[ok]
     i, j, most = i[ok], j[ok], most[ok]
-    good = common_lengths(a[i], b[j]) > SIMILAR * most
+    good = common_lengths(a, b, i, j) > SIMILAR * most
     i, j = i[good], j[good]
     counts = np.concatenate([np.bincount(i, minlength=len(a)), np.bincount(j, minlength=len(b))])
-    names = np.concatenate([a, b])
-    rows = pd.DataFrame({"s": names[counts > 0], "other": None, "n": counts[counts > 0]})
-    label = {x: x for x in names}
-
-    def root(x):
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    for x, y in zip(a[i], b[j], strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            label[max(p, q)] = min(p, q)
-    links = [(x, root(x), 0) for x in label if root(x) != x]
-    out = pd.concat([rows, pd.DataFrame(links, columns=["s", "other", "n"])], ignore_index=True)
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    number = np.zeros(len(names), np.int64)
+    np.add.at(number, place, counts)
+    rows = pd.DataFrame({"s": names[number > 0], "other": None, "n": number[number > 0]})
+    low, x, y = np.arange(len(names)), place[i], place[len(a) + j]
+    while True:  # the smallest name reachable over the links
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    moved = low != np.arange(len(names))
+    links = pd.DataFrame({"s": names[moved], "other": names[low[moved]], "n": 0})
+    out = pd.concat([rows, links], ignore_index=True)
     out.insert(0, "dms_id", pdf.dms_id.iloc[0])
     return out
 

@@ -268,7 +268,7 @@ def test_common_lengths():
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("ACGU") for _ in range(n))
     a, b = ([word(rng.choice([1, 5, 20, 63, 64, 90])) for _ in range(120)] for _ in range(2))
-    assert splits.common_lengths(a, b).tolist() == [lcs(x, y) for x, y in zip(a, b, strict=True)]
+    assert splits.common_lengths(a, b, np.arange(120), np.arange(120)).tolist() == [lcs(x, y) for x, y in zip(a, b, strict=True)]
 
 
 def test_similarity_classes_and_split(spark, monkeypatch):
