@@ -50,6 +50,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sampled(hashed: Column, size: Column | int, bound: int) -> Column:
+    """Whether a row of a hash is among about one and a half times ``bound`` of ``size`` rows."""
+    return F.pmod(hashed, F.lit(1_000_000)) < F.lit(1.5e6 * bound) / size
+
+
 def remainder(id_column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % divisor

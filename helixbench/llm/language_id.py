@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixbench.llm.common import sampled
+
 UNKNOWN = "und"
 BITS = 12
 WIDTH = 1 << BITS
@@ -130,24 +132,25 @@ def _soft(scores: np.ndarray) -> np.ndarray:
 
 def labelled(df: DataFrame, usable: Column, key: str, text: str, lang: str, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of at most ``per_language`` usable rows of each language, those of the smallest key hash. Languages
-    are counted first, then a hash threshold leaves about twice the bound, whatever the table's size; only feature
-    vectors come to the driver."""
-    good = df.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    are counted first, then a hash threshold leaves about one and a half times the bound, whatever the table's size;
+    only packed feature vectors come to the driver."""
+    good = df.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"[\p{L}]"))
     good = good.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(6), F.col(key)).alias("h"))
     sizes = good.groupBy("lang").agg(F.count("*").alias("n"))
-    few = good.join(F.broadcast(sizes.select("lang", F.greatest(F.lit(1), F.floor(F.col("n") / (2 * per_language))).alias("every"))), "lang")
-    few = few.where(F.pmod("h", "every") == 0)
+    few = good.join(F.broadcast(sizes), "lang").where(sampled(F.col("h"), F.col("n"), per_language))
 
-    @F.pandas_udf("at array<int>, value array<float>")
+    @F.pandas_udf("at binary, value binary")
     def made(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([features(t) or ([], []) for t in texts], columns=["at", "value"])
+        none = np.zeros(0), np.zeros(0)
+        found = [features(t) or none for t in texts]
+        return pd.DataFrame([(at.astype(np.int16).tobytes(), value.astype(np.float32).tobytes()) for at, value in found], columns=["at", "value"])
 
     rows = few.select("lang", "h", made("t").alias("f")).collect()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
         own = found.setdefault(r.lang, [])
         if len(own) < per_language:
-            own.append((r.lang, np.array(r.f.at, np.int64), np.array(r.f.value)))
+            own.append((r.lang, np.frombuffer(r.f.at, np.int16), np.frombuffer(r.f.value, np.float32)))
     return [s for own in found.values() for s in own]
 
 
@@ -172,6 +175,6 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", into: tuple
             out.append(predict(shared.value, *counts) if counts else (UNKNOWN, 0.0))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    rest = [c for c in df.columns if c not in into]
+    rest = [f"`{c}`" for c in df.columns if c not in into]
     judged = df.select(*rest, judge(F.col(text).cast("string")).alias("_judged"))
     return judged.select(*rest, F.col("_judged.lang").alias(into[0]), F.col("_judged.score").alias(into[1]))

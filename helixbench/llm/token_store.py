@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import partitions, scratch, stored
+from helixbench.llm.common import partitions, sampled, scratch, stored
 
 MAGIC = b"IDZ1"
 _INDEX = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("n", "<u4")])
@@ -35,7 +35,7 @@ _SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+)+")
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+")
 _SPACE = re.compile(r"[ \t\n\r]+")
 #: Words kept with their ids by each worker; beyond it the older half goes.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -102,11 +102,11 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def train_dictionary(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int, documents: int = 2000, chars: int = 4096, size: int = 65536) -> bytes:
     """A dictionary from the serialized ids of at most ``documents`` documents, each cut to its first ``chars``
-    characters for the training only. The documents are those of the smallest key hash among a fraction of about
-    four times as many, so that a bounded number of rows leaves the executors whatever the table's size; too little
-    text to train on gives an empty dictionary."""
-    fraction = max(1, df.count() // (4 * documents))
-    hashed = df.select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(17), F.col(key)).alias("h")).where(F.pmod("h", F.lit(fraction)) == 0)
+    characters for the training only. The documents are those of the smallest key hash among about half as many
+    again, so that a bounded number of rows leaves the executors whatever the table's size; too little text to
+    train on gives an empty dictionary."""
+    hashed = df.select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(17), F.col(key)).alias("h"))
+    hashed = hashed.where(sampled(F.col("h"), max(1, df.count()), documents))
     picked = hashed.where("t is not null").orderBy("h", "t").limit(documents)
     encode = _encoder(tokenizer_path)
     samples = [_pack(np.append(encode(r.t), np.uint32(end_id))) for r in picked.collect()]

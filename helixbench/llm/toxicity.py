@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixbench.llm.common import sampled
+
 _TOKEN = re.compile(r"\w+|[\"“”„«»]")
 _MARKS = frozenset("\"“”„«»")
 #: Words that report what someone else said.
@@ -220,8 +222,8 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     if not sizes.get(1):
         return None
     h = F.xxhash64(F.lit(4), F.col("k"))
-    every = F.when(F.col("y") == 1, max(1, sizes[1] // (2 * per_class))).otherwise(max(1, sizes.get(0, 0) // (2 * per_class)))
-    picked = ids.withColumn("h", h).where(F.pmod("h", every) == 0)
+    size = F.when(F.col("y") == 1, sizes[1]).otherwise(max(1, sizes.get(0, 0)))
+    picked = ids.withColumn("h", h).where(sampled(F.col("h"), size, per_class))
     texts = df.where(usable).select(F.col(key).alias("k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars).alias("t"))
     rows = texts.join(F.broadcast(picked), "k").select("y", "h", "t").collect()
     sides = [distinct([r.t for r in sorted(rows, key=lambda r: (r.h, r.t)) if r.y == y])[:per_class] for y in (0, 1)]
@@ -246,6 +248,6 @@ def score(df: DataFrame, model: Model | None, text: str = "text", threshold: flo
         model = shared.value
         return pd.Series([model.score(t) if model else 0.0 for t in texts], dtype=float)
 
-    rest = [c for c in df.columns if c not in into]
+    rest = [f"`{c}`" for c in df.columns if c not in into]
     scored = df.select(*rest, judge(F.col(text).cast("string")).alias("_score"))
     return scored.select(*rest, F.col("_score").alias(into[0]), (F.col("_score") >= threshold).cast("int").alias(into[1]))
