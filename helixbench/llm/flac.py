@@ -322,17 +322,20 @@ def _decode_group(streams: list[bytes]) -> list[bytes]:
     return out
 
 
-def read_range(stream: bytes, first: int, count: int) -> bytes:
-    """Samples first .. first+count-1 as payload bytes; only the frames that hold them are decoded."""
-    info = parse(stream)
-    points = info["points"]
-    ends = ([p[1] for p in points] + [len(stream) - info["at"]])[1:]
-    need = [(p, e) for p, e in zip(points, ends, strict=True) if p[0] < first + count and p[0] + p[2] > first]
-    if not need:
-        return b""
-    pcm = b"".join(decode_frames([stream[info["at"] + p[1] : info["at"] + e] for p, e in need]))
-    low = first - need[0][0][0]
-    return pcm[low : low + count]
+def read_ranges(streams: list[bytes], firsts: list[int], count: int) -> list[bytes]:
+    """Samples first .. first+count-1 of each stream as payload bytes, found by the seek tables; only the frames that
+    hold them are decoded, those of all streams in step."""
+    frames: list[bytes] = []
+    places = []
+    for stream, first in zip(streams, firsts, strict=True):
+        info = parse(stream)
+        points = info["points"]
+        ends = ([p[1] for p in points] + [len(stream) - info["at"]])[1:]
+        need = [(p, e) for p, e in zip(points, ends, strict=True) if p[0] < first + count and p[0] + p[2] > first]
+        places.append((len(frames), len(need), first - need[0][0][0] if need else 0))
+        frames += [stream[info["at"] + p[1] : info["at"] + e] for p, e in need]
+    pcm = decode_frames(frames)
+    return [b"".join(pcm[at : at + n])[low : low + count] for at, n, low in places]
 
 
 _LEADING = np.array([16 - int(i).bit_length() for i in range(1 << 16)], np.int64)

@@ -82,9 +82,9 @@ def media_features(df: DataFrame, key: str = "doc_id", media: str = "media") ->
         for batch in batches:
             for low, high in _parts(batch.column(2), 4):
                 media = [x.as_py() for x in batch.column(2)[low:high]]
-                out = []
-                for stream, data in zip(media, flac.decode(media), strict=True):
-                    tail = flac.read_range(stream, len(data) - UNIT, UNIT) if len(data) > 4 * flac.BLOCK else data[-UNIT:]
+                payloads, out = flac.decode(media), []
+                tails = flac.read_ranges(media, [len(data) - UNIT for data in payloads], UNIT)
+                for stream, data, tail in zip(media, payloads, tails, strict=True):
                     out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(tail), len(stream), hashlib.sha256(stream).hexdigest(), _feature(data)))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(1)[low:high], *columns], names=["k", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

@@ -15,9 +15,9 @@ def test_round_trip_and_seeking():
     streams = flac.encode(PAYLOADS)
     assert flac.decode(streams) == PAYLOADS
     assert len(streams[7]) < 1500 < len(streams[4])
-    for p, s in zip(PAYLOADS, streams, strict=True):
-        for first, count in [(0, 10), (len(p) // 2, 64), (max(0, len(p) - 64), 64), (2040, 20)]:
-            assert flac.read_range(s, first, count) == p[first : first + count]
+    for count in (1, 20, 64):
+        for first in [[0] * 8, [len(p) // 2 for p in PAYLOADS], [max(0, len(p) - 64) for p in PAYLOADS], [2040] * 8]:
+            assert flac.read_ranges(streams, first, count) == [p[f : f + count] for p, f in zip(PAYLOADS, first, strict=True)]
 
 
 def test_scalar_decoder_and_walk_agree():
