@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixbench.functions.expressions import ratio_or_zero
+from helixbench.operators.durable import checkpointed
 
 #: Families of brackets.
 FAMILIES = ("()", "[]", "<>", "{}")
@@ -59,7 +60,8 @@ def pair_scores(truth: DataFrame, predicted: DataFrame, grid: DataFrame) -> Data
 def structure_scores(pairs: DataFrame, grid: DataFrame, truth: str = "truth") -> DataFrame:
     """(seq_id, method, f1, crossed_f1) of each method against the truth, only for sequences whose truth has crossing
     pairs; the others are ``without_crossings``. A method that is missing for a sequence scores against no pairs."""
-    crossed = crossing_pairs(pairs)
+    pairs = checkpointed(pairs)  # parsed once, read for both scores and both sides
+    crossed = checkpointed(crossing_pairs(pairs))
     real, said = pairs.where(F.col("method") == truth), pairs.where(F.col("method") != truth)
     real_x, said_x = crossed.where(F.col("method") == truth), crossed.where(F.col("method") != truth)
     rows = grid.where(F.col("method") != truth).join(real_x.select("seq_id").distinct(), "seq_id", "left_semi")

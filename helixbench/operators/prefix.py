@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixbench.operators.durable import checkpointed
+
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], ranges: int = 64) -> DataFrame:
     """``df`` (unique on keys and ``order``) with ``<column>_before``: the sum over smaller ``order`` in the keys.
@@ -16,6 +18,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, columns: Sequenc
     """
     cuts = df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000).alias("cuts"))
     cut = df.join(F.broadcast(cuts)).withColumn("_range", F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col(order) > c).cast("int"))).drop("cuts")
+    cut = checkpointed(cut)  # its rows and totals must come from the same cuts
     within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = cut.select("*", *((F.sum(c).over(within) - F.col(c)).alias(f"_{c}_in") for c in columns))
     totals = cut.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{c}_sum") for c in columns))
