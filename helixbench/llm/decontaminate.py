@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import sized
+from helixbench.llm.common import sized, stored
 
 WINDOW, NEED = 13, 11
 MASKS = ("11010001101", "11101101")
@@ -41,19 +41,20 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     one's end, counted from 0; one row for each pair of keys.
 
     Null and empty texts and those of fewer than 13 words overlap nothing. Rows that share a key count as one
-    document (or item), as do rows with a null key. Hits are verified where they are found, row by row, and only
-    verified ones are aggregated, with a combine before the shuffle.
+    document (or item), as do rows with a null key. The seeds are streamed past the benchmark's and only hits are
+    kept; then the texts that have a hit, and only these, are read again and compared word by word.
     """
     items = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("iw")).where(F.size("iw") >= WINDOW)
-    docs = df.select(F.col(key).alias("doc"), word_hashes(F.col(text)).alias("dw")).where(F.size("dw") >= WINDOW)
-    known = _seeds(items, "iw", "j", "seed").select("seed", "j", "item", "iw")
-    found = _seeds(docs, "dw", "i", "seed")
-    if known.count() <= BROADCAST_SEEDS:
-        hits = found.join(F.broadcast(known), "seed")
-    else:
-        pairs = found.select("seed", "doc", "i").join(known.select("seed", "j", "item"), "seed")
-        pairs = pairs.join(items, pairs["item"].eqNullSafe(items["item"])).drop(items["item"])
-        hits = pairs.join(docs, pairs["doc"].eqNullSafe(docs["doc"])).drop(docs["doc"])
+    texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    docs = lambda rows: rows.select("doc", word_hashes(F.col("text")).alias("dw")).where(F.size("dw") >= WINDOW)
+    known = _seeds(items, "iw", "j", "seed").select("seed", "j", "item")
+    small = known.count() <= BROADCAST_SEEDS
+    found = _seeds(docs(texts), "dw", "i", "seed").select("seed", "doc", "i")
+    places = stored(found.join(F.broadcast(known) if small else known, "seed").select("doc", "item", "i", "j").distinct(), "hits")
+    hit, _ = sized(places.select("doc").distinct(), "hit-docs")
+    again = docs(texts.join(hit, texts["doc"].eqNullSafe(hit["doc"]), "left_semi"))
+    pairs = places.join(again, places["doc"].eqNullSafe(again["doc"])).drop(again["doc"])
+    hits = pairs.join(F.broadcast(items) if small else items, pairs["item"].eqNullSafe(items["item"])).drop(items["item"])
     reach = WINDOW - min(map(len, MASKS))
     # Beyond either text's ends there is no word; a window that would reach there never has enough.
     same = {d: F.coalesce((F.get("dw", F.col("i") + d) == F.get("iw", F.col("j") + d)).cast("int"), F.lit(-WINDOW)).alias(f"e{d + reach}") for d in range(-reach, WINDOW)}
