@@ -5,11 +5,17 @@ released at floor((i-1)/w) and due at ceil(i/w); in each slot the released block
 Every block then runs between its release and its deadline, so that at any slot a source has had its share of the
 blocks to within less than one. Releases and deadlines repeat with the period, so one period is scheduled, a table
 of fixed size, and each block finds its slot from its number.
+
+Weights that are no whole numbers of slots are not rounded to a period: the blocks that each source has in the whole
+mix are counted first. Of these, as many as go evenly into every period are scheduled in it; the few left over share
+slots that each period keeps free, by a second schedule over all periods. A source then has had its share to within
+less than three blocks, and each runs out at the end of the mix, however rare it is.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +23,22 @@ from pyspark.sql import functions as F
 BLOCK, SLOTS, LARGEST = 64, 10_000, 0.25
 _BUCKET_BITS = 12
 _NO_SOURCE = "\0"
+#: Names in a schedule: slots for the blocks that do not go evenly into the periods, and slots that stay empty.
+_REST, _IDLE = "\0rest", "\0idle"
 
 
-def capped(sizes: dict[str, int], largest: float = LARGEST) -> dict[str, float]:
+def capped(sizes: dict[str, int], largest: float = LARGEST) -> dict[str, Fraction]:
     """Target weights that follow the sources' sizes, but give none more than ``largest`` (or an equal share, where
-    there are too few sources for that); what is cut off goes to the others in proportion."""
-    largest = max(largest, 1 / max(1, len(sizes)))
-    weights = {s: n / sum(sizes.values()) for s, n in sizes.items()}
+    there are too few sources for that); what is cut off goes to the others in proportion. The weights are exact."""
+    largest = max(Fraction(largest), Fraction(1, max(1, len(sizes))))
+    total = sum(sizes.values())
+    weights = {s: Fraction(n, total) for s, n in sizes.items()}
     fixed: set[str] = set()
-    while over := {s for s, w in weights.items() if w > largest + 1e-12 and s not in fixed}:
+    while over := {s for s, w in weights.items() if w > largest and s not in fixed}:
         fixed |= over
         rest = sum(sizes[s] for s in sizes if s not in fixed)
         left = 1 - largest * len(fixed)
-        weights = {s: largest if s in fixed else sizes[s] / rest * left for s in sizes}
+        weights = {s: largest if s in fixed else Fraction(sizes[s], rest) * left for s in sizes}
     return weights
 
 
@@ -85,52 +94,93 @@ def _hash(key: Column) -> Column:
     return F.xxhash64(F.lit(9), key)
 
 
+def targets(sizes: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
+    """Rows of each source in the largest mix that has the weights exactly: no source is asked for more than it has,
+    and at least one has all its rows in the mix. A source with a positive weight has a row at least. Decimal fractions
+    count as they are written."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items() if w > 0}
+    total = min((sizes[s] / w for s, w in exact.items()), default=0)
+    return {s: max(1, int(w * total)) for s, w in exact.items()}
+
+
 class Plan:
-    """Slots of the sources' blocks, and the slot at which the first source has run out."""
+    """The rows of each source in the mix, and the slots of the sources' blocks.
+
+    ``blocks`` has the blocks of each source in one round of ``periods`` periods of ``slots`` slots, ``even`` how many
+    of them run in every period. ``places`` has (source, i, slot): for i < even, block i of each period and its slot
+    in the period; from there on, the blocks that are left over and their slots in the round.
+    """
 
     def __init__(self, df: DataFrame, source: str, key: str, weights: dict[str, float] | None, block: int, slots: int):
         named = F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE))
         counted = df.select(named.alias("s"), F.col(key).alias("k")).distinct().groupBy("s").agg(F.count("*").alias("n"))
         self.sizes = {r.s: r.n for r in counted.collect()}
-        wanted = capped(self.sizes) if weights is None else {s: w for s, w in weights.items() if s in self.sizes}
-        self.block = block
-        self.shares = quotas(wanted, slots)
-        self.period = period(self.shares)
-        self.slots = len(self.period)
-        places: dict[str, list[int]] = {s: [] for s in self.shares}
-        for slot, (s, _) in enumerate(self.period):
-            places[s].append(slot)
-        ends = {s: self._slot(places[s], -(-self.sizes[s] // block)) for s in self.shares}
-        self.end = min(ends.values(), default=0)
-        served = lambda s: self.end // self.slots * len(places[s]) + sum(x < self.end % self.slots for x in places[s])
-        self.kept = {s: min(self.sizes[s], served(s) * block) for s in self.shares}
-
-    def _slot(self, places: list[int], number: int) -> int:
-        return number // len(places) * self.slots + places[number % len(places)]
+        wanted = capped(self.sizes) if weights is None else {s: w for s, w in weights.items() if s in self.sizes and w > 0}
+        self.block, self.periods = block, 1
+        total = sum(wanted.values())
+        if weights is not None and all(abs(w / total * slots - round(w / total * slots)) < 1e-9 and w / total * slots > 0.5 for w in wanted.values()):
+            self._repeat(quotas(wanted, slots))
+        else:
+            self._whole(targets(self.sizes, wanted), slots)
+
+    def _repeat(self, shares: dict[str, int]) -> None:
+        """Weights that are whole numbers of slots: one period repeats until the first source has run out."""
+        self.blocks = self.even = shares
+        plan = period(shares)
+        self.slots = len(plan)
+        self.places = [(s, i, slot) for slot, (s, i) in enumerate(plan)]
+        of: dict[str, list[int]] = {s: [] for s in shares}
+        for slot, (s, _) in enumerate(plan):
+            of[s].append(slot)
+        number = {s: -(-self.sizes[s] // self.block) for s in shares}
+        end = min((n // shares[s] * self.slots + of[s][n % shares[s]] for s, n in number.items()), default=0)
+        served = lambda s: end // self.slots * shares[s] + sum(x < end % self.slots for x in of[s])
+        self.kept = {s: min(self.sizes[s], served(s) * self.block) for s in shares}
+
+    def _whole(self, kept: dict[str, int], slots: int) -> None:
+        """A round that is the whole mix: every source in it runs out of the rows that it is to give."""
+        self.kept = kept
+        self.blocks = {s: -(-n // self.block) for s, n in kept.items()}
+        self.periods = max(1, -(-sum(self.blocks.values()) // slots))
+        self.even = {s: n // self.periods for s, n in self.blocks.items()}
+        over = {s: n % self.periods for s, n in self.blocks.items() if n % self.periods}
+        free = -(-sum(over.values()) // self.periods)
+        plan = period({s: n for s, n in [*self.even.items(), (_REST, free)] if n})
+        self.slots = len(plan)
+        self.places = [(s, i, slot) for slot, (s, i) in enumerate(plan) if s != _REST]
+        left = [slot for slot, (s, _) in enumerate(plan) if s == _REST]
+        idle = free * self.periods - sum(over.values())
+        for j, (s, i) in enumerate(period(over | ({_IDLE: idle} if idle else {}))):
+            if s != _IDLE:
+                self.places.append((s, self.even[s] + i, j // free * self.slots + left[j % free]))
 
 
 def schedule(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """(key, source, block, place, slot, in_mix), one row for each distinct (source, key): the number of the row's
-    block in its source, its place in the block, the slot in which the block runs, and whether that is before the
-    first source has run out, up to where every source has its target weight to within a block. Reading by (slot,
-    place) gives the mixture. Rows of sources without a positive weight have no slot and are not in the mix.
+    block in its source, its place in the block, the slot in which the block runs, and whether the row is in the mix.
+    Reading by (slot, place) gives the mixture. Rows of sources without a positive weight have no slot and are not in
+    the mix.
 
     ``weights`` name their sources; by default they follow the sizes with no source above a quarter (``capped``).
-    A null source is a source of its own. Within a source the order is a hash's. The sources' sizes and the period
-    of ``slots`` slots are all that the driver sees, and the period is all that is broadcast.
+    The mix ends where the first source has run out, up to where every source has its target weight to within a
+    block. By default this is the end of all sources but those above a quarter, so that only these are cut. A null
+    source is a source of its own. Within a source the order is a hash's. The driver sees the sources' sizes, one
+    period and, for each period, less than one block of every source; these are broadcast.
     """
     plan = Plan(df, source, key, weights, block, slots)
     spark = df.sparkSession
     ranked = _ranked(df, key, source).withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
-    shares = plan.shares
-    rows = [(s, i, slot, shares[s]) for slot, (s, i) in enumerate(plan.period)]
-    table = spark.createDataFrame(rows, "source string, i long, slot long, share long")
-    share = spark.createDataFrame(list(shares.items()), "source string, share long")
-    numbered = ranked.join(F.broadcast(share), "source", "left").withColumn("i", F.col("block") % F.col("share"))
-    placed = numbered.join(F.broadcast(table.drop("share")), ["source", "i"], "left")
-    slot = F.floor(F.col("block") / F.col("share")) * plan.slots + F.col("slot")
+    table = spark.createDataFrame(plan.places, "source string, i long, slot long")
+    rows = [(s, n, plan.even[s], plan.kept[s]) for s, n in plan.blocks.items()]
+    share = spark.createDataFrame(rows, "source string, blocks long, even long, kept long")
+    numbered = ranked.join(F.broadcast(share), "source", "left").withColumn("number", F.col("block") % F.col("blocks"))
+    every, even = F.col("number") < F.col("even") * plan.periods, F.greatest("even", F.lit(1))
+    numbered = numbered.withColumn("i", F.when(every, F.col("number") % even).otherwise(F.col("number") - F.col("even") * (plan.periods - 1)))
+    placed = numbered.join(F.broadcast(table), ["source", "i"], "left")
+    before = F.floor(F.col("block") / F.col("blocks")) * plan.periods + F.when(every, F.floor(F.col("number") / even)).otherwise(0)
+    slot = before * plan.slots + F.col("slot")
     named = F.when(F.col("source") != _NO_SOURCE, F.col("source"))
-    return placed.select(F.col("k").alias(key), named.alias(source), "block", "place", slot.alias("slot"), F.coalesce(slot < plan.end, F.lit(False)).alias("in_mix"))
+    return placed.select(F.col("k").alias(key), named.alias(source), "block", "place", slot.alias("slot"), F.coalesce(F.col("rank") < F.col("kept"), F.lit(False)).alias("in_mix"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:

@@ -68,3 +68,39 @@ def test_repeats_empty_and_unknown_sources(spark):
     none = mixing.schedule(df, weights={"b": 1.0}).collect()
     assert len(none) == 10 and not any(r.in_mix for r in none) and {r.slot for r in none} == {None}
     assert mixing.mix(df, weights={"b": 1.0}).count() == 0
+
+
+def test_rare_sources_do_not_end_the_mix(spark):
+    sizes = {**{f"s{i}": 97 + i for i in range(6)}, "one": 1, None: 1}
+    df = docs(spark, sizes)
+    got = mixing.schedule(df, block=2, slots=20).collect()
+    assert len(got) == sum(sizes.values()) and all(r.in_mix for r in got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.slot, set()).add((r.source, r.block))
+    assert all(len(x) == 1 for x in slots.values())
+    end, done = max(slots) + 1, dict.fromkeys(sizes, 0)
+    blocks = {s: -(-n // 2) for s, n in sizes.items()}
+    assert sum(blocks.values()) <= end < sum(blocks.values()) + 40
+    for t in range(end):
+        for s, _ in slots.get(t, ()):
+            done[s] += 1
+        assert all(abs(done[s] - blocks[s] * (t + 1) / end) < 3 for s in sizes)
+    assert mixing.mix(df, block=2, slots=20).count() == len(got)
+
+
+def test_only_the_sources_above_a_quarter_are_cut(spark):
+    sizes = {"hot": 900, "one": 1, None: 1, **{f"s{i}": 60 + i for i in range(5)}}
+    df = docs(spark, sizes)
+    got = [r for r in mixing.schedule(df, block=4, slots=20).collect() if r.in_mix]
+    kept = {s: sum(r.source == s for r in got) for s in sizes}
+    rest = sum(sizes.values()) - 900
+    assert kept == sizes | {"hot": rest // 3}
+    assert {r.doc_id for r in mixing.mix(df, block=4, slots=20).collect()} == {r.doc_id for r in got}
+    assert len({(r.slot, r.place) for r in got}) == len(got)
+
+
+def test_given_weights_below_a_slot(spark):
+    df = docs(spark, {"a": 500, "b": 500, "c": 2})
+    kept = mixing.mix(df, weights={"a": 0.498, "b": 0.498, "c": 0.004}, block=2, slots=20).collect()
+    assert {s: sum(r.source == s for r in kept) for s in "abc"} == {"a": 249, "b": 249, "c": 2}
