@@ -38,3 +38,15 @@ def bootstrap_errors(long: DataFrame, replicates: int = 100, seed: int = 42) ->
     means = apart.join(draws(long, replicates, seed), "dms_id").groupBy("metric", "kind", "model", "replicate")
     means = means.agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"))
     return means.groupBy("metric", "kind", "model").agg(F.stddev_samp("mean").alias("se")).withColumnRenamed("kind", "rna_type")
+
+
+def depth_errors(long: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """(metric, depth, model, se): the same for each mutation depth by itself, over the assays that have it. ``long``:
+    (dms_id, depth, model, metric, value)."""
+    long = checkpointed(long)
+    out = None
+    for depth in ("single", "multiple"):
+        rows = long.where(F.col("depth") == depth).withColumnRenamed("depth", "rna_type")
+        found = bootstrap_errors(rows, replicates, seed).where(F.col("rna_type") == depth).withColumnRenamed("rna_type", "depth")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -40,6 +40,25 @@ def combined_error(single: Column, multiple: Column) -> Column:
     return F.sqrt((single * single + multiple * multiple) / 2)
 
 
+def with_errors(means: DataFrame, errors: DataFrame, types: Sequence[str]) -> DataFrame:
+    """The wide leaderboard: ``<metric>_<type>_Mean`` and ``<metric>_<type>_SE`` side by side, types in the given order
+    and ``All`` last. ``means``: as ``by_type`` gives them; ``errors``: (metric, rna_type, model, se)."""
+    long = means.unpivot(["model", "rna_type"], list(METRICS), "metric", "mean").join(errors, ["metric", "rna_type", "model"], "left")
+    order = [*types, "All"]
+    cell = lambda m, t, v: F.max(F.when((F.col("metric") == m) & (F.col("rna_type") == t), F.col(v)))
+    return long.groupBy("model").agg(*(cell(m, t, v).alias(f"{m}_{t}_{name}") for m in METRICS for t in order for v, name in (("mean", "Mean"), ("se", "SE"))))
+
+
+def depth_with_errors(means: DataFrame, errors: DataFrame) -> DataFrame:
+    """(depth, model, <metric>_Mean, <metric>_SE ...) from ``by_depth`` and the errors of each depth (metric, depth,
+    model, se); the error of ``All`` combines those of the two depths."""
+    pair = errors.groupBy("metric", "model").agg(*(F.max(F.when(F.col("depth") == d, F.col("se"))).alias(d) for d in ("single", "multiple")))
+    every = pair.select("metric", F.lit("All").alias("depth"), "model", combined_error(F.col("single"), F.col("multiple")).alias("se"))
+    long = means.unpivot(["depth", "model"], list(METRICS), "metric", "mean").join(errors.unionByName(every), ["metric", "depth", "model"], "left")
+    cell = lambda m, v: F.max(F.when(F.col("metric") == m, F.col(v)))
+    return long.groupBy("depth", "model").agg(*(cell(m, v).alias(f"{m}_{name}") for m in METRICS for v, name in (("mean", "Mean"), ("se", "SE"))))
+
+
 def best_models(long: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """(metric, rna_type, model): the model of the highest mean for each metric and type, ``All`` included; missing
     means never win, ties go to the model that ``order`` lists first (else the first by name)."""

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from helixbench.operators.durable import checkpointed
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], ranges: int = 64) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], size: int = 1 << 18) -> DataFrame:
     """``df`` (unique on keys and ``order``) with ``<column>_before``: the sum over smaller ``order`` in the keys.
 
-    Rows are cut into ranges of ``order`` at approximate quantiles; sums within a range and over the ranges before
-    it add up. Where the quantiles fall has no influence on the result, only on how even the ranges are.
+    Rows are dealt into ranges of ``order`` of about ``size`` rows, as many as that takes; sums within a range and over
+    the ranges before it add up. Where the ranges meet has no influence on the result.
     """
-    cuts = df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000).alias("cuts"))
-    cut = df.join(F.broadcast(cuts)).withColumn("_range", F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col(order) > c).cast("int"))).drop("cuts")
-    cut = checkpointed(cut)  # its rows and totals must come from the same cuts
+    rows = checkpointed(df)
+    ranges = max(1, -(-rows.count() // size))
+    cut = checkpointed(rows.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))  # rows and totals must come from the same cut
     within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = cut.select("*", *((F.sum(c).over(within) - F.col(c)).alias(f"_{c}_in") for c in columns))
     totals = cut.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{c}_sum") for c in columns))

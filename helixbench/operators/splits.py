@@ -114,6 +114,40 @@ def similarity_links(df: DataFrame, group: str = "dms_id", sequence: str = "sequ
     return dealt.groupBy("dms_id", "x", "y").applyInPandas(_compare, "dms_id string, s string, other string, n long")
 
 
+def spanning_links(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
+    """(dms_id, s, other, n) whose links connect what all links would connect, without counting links: every sequence
+    is compared with its group's smallest one first, which joins most of a library of variants; only those that are
+    not similar to it are compared with all sequences of the group, part by part."""
+    rows = df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
+    first = rows.groupBy("dms_id").agg(F.min("s").alias("first"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+
+    def near(s: pd.Series, first: pd.Series) -> pd.Series:
+        a, b = s.tolist(), first.tolist()
+        at = np.arange(len(a))
+        return pd.Series(common_lengths(a, b, at, at) > SIMILAR * np.maximum([len(x) for x in a], [len(x) for x in b])) if a else pd.Series([], dtype=bool)
+
+    judged = checkpointed(rows.join(first, "dms_id").withColumn("near", F.pandas_udf(near, "boolean")("s", "first")))
+    star = judged.where("near and s <> first").select("dms_id", "s", F.col("first").alias("other"), F.lit(0).cast("long").alias("n"))
+    rest = judged.where("not near").select("dms_id", "s", "parts", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"))
+    own = F.pmod(F.xxhash64("s"), "parts").cast("int")
+    some = judged.where("not near").select("dms_id").distinct()
+    every = judged.join(some, "dms_id", "left_semi").select("dms_id", "s", "parts", F.lit(1).alias("side"), own.alias("y"))
+    # The few that are left meet every part; if they are many, they come in parts of their own.
+    many = rest.groupBy("dms_id").agg(F.ceil(F.count("*") / F.max("parts") / PART).cast("int").alias("pieces"))
+    left = rest.join(many, "dms_id").withColumn("x", F.pmod(F.xxhash64(F.lit(1), "s"), "pieces").cast("int")).select("dms_id", "s", "side", "x", "y")
+    right = every.join(many, "dms_id").select("dms_id", "s", "side", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("x"), "y")
+    found = left.unionByName(right).groupBy("dms_id", "x", "y").applyInPandas(_compare, "dms_id string, s string, other string, n long")
+    return star.unionByName(found.where("other is not null"))
+
+
+def similar_groups(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
+    """(dms_id, sequence, class) of each distinct sequence of each group: what a split needs."""
+    links = checkpointed(spanning_links(df, group, sequence))
+    rows = df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
+    out = rows.join(classes(links), ["dms_id", "s"], "left")
+    return out.select("dms_id", F.col("s").alias("sequence"), F.coalesce("class", "s").alias("class"))
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(dms_id, s, class): the smallest sequence reachable over links, for sequences that have one. Labels spread
     along the links and jump to their labels' labels until nothing changes; each round is checkpointed."""

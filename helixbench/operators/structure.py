@@ -21,9 +21,10 @@ def number_positions(attached: DataFrame, gap_free: bool = False) -> DataFrame:
     all there once (``gap_free``), it is the distance from the range's start and needs no shuffle."""
     if gap_free:
         return attached.withColumn("position_id", (F.col("id") - F.col("id_min")).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("sequence_id").orderBy("id")) - 1
-    known = attached.where("sequence_id is not null").withColumn("position_id", rank)
-    return known.unionByName(attached.where("sequence_id is null").withColumn("position_id", F.lit(None).cast("int")))
+    # Rows without a sequence are dealt out by a hash, so that they fill no task of their own.
+    spread = F.when(F.col("sequence_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
+    rank = F.row_number().over(Window.partitionBy("sequence_id", spread).orderBy("id")) - 1
+    return attached.withColumn("position_id", F.when(F.col("sequence_id").isNotNull(), rank))
 
 
 def without_gaps(attached: DataFrame, ranges: DataFrame) -> bool:
@@ -47,6 +48,14 @@ def evaluation_subset(labels: DataFrame, chosen: DataFrame, key: str) -> DataFra
     return labels.join(chosen.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
 
 
+def with_usage(attached: DataFrame, usage: str) -> DataFrame:
+    """All rows of the sequences of which a row has this usage, read once: the window has the sequence's rows together,
+    as numbering needs them anyway. Rows without a sequence go."""
+    some = F.max(F.coalesce(F.col("usage") == usage, F.lit(False))).over(Window.partitionBy("sequence_id"))
+    known = attached.where("sequence_id is not null")
+    return known.withColumn("_some", some).where("_some").drop("_some")
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(n_shared): keys that both sides have; 0 if they are disjoint."""
     return a.select(key).intersect(b.select(key)).agg(F.count("*").alias("n_shared"))

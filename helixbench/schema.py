@@ -14,16 +14,11 @@ def _table(**columns: T.DataType) -> T.StructType:
 ASSAY_SHEET = _table(
     dms_id=_s, title=_s, author=_s, year=_i, rna_type=_s, rna_type_granular=_s, raw_construct_seq=_s, assay_description=_s, pdb_structure=_s, rfam_link=_s
 )
-VARIANTS = _table(dms_id=_s, mutant=_s, dms_score=_d, sequence=_s)
 PREDICTIONS = _table(model=_s, dms_id=_s, mutant=_s, score=_d)
-METRICS = _table(dms_id=_s, rna_type=_s, model=_s, spearman=_d, auc=_d, mcc=_d)
 LABELS = _table(id=_l, usage=_s, reactivity=_d)
 RANGES = _table(sequence_id=_s, sequence=_s, id_min=_l, id_max=_l)
 POSITION_PREDICTIONS = _table(sequence=_s, sequence_id=_s, position_id=_i, prediction=_d)
-PAIR_PROBABILITIES = _table(seq_id=_s, i=_i, j=_i, p=_d)
-LOG_PROBABILITIES = _table(dms_id=_s, pos=_i, base=_s, logp=_d)
-STRUCTURES = _table(seq_id=_s, method=_s, dotbracket=_s)
-PAIRS = _table(seq_id=_s, method=_s, i=_i, j=_i)
+STRUCTURES_BY_SEQUENCE = _table(sequence=_s, method=_s, dotbracket=_s)
 
 #: The score column of each model's prediction files.
 SCORE_COLUMNS = {

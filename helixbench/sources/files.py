@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helixbench.functions.expressions import nan_to_null
-from helixbench.schema import ASSAY_SHEET, MUTATION_COLUMNS, SCORE_COLUMNS, SHEET_ALIASES
+from helixbench.operators.pairs import distinct_pairs
+from helixbench.schema import ASSAY_SHEET, LABELS, MUTATION_COLUMNS, POSITION_PREDICTIONS, PREDICTIONS, RANGES, SCORE_COLUMNS, SHEET_ALIASES, STRUCTURES_BY_SEQUENCE
 
 
 def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -38,7 +43,7 @@ def _headers(spark: SparkSession, paths: str) -> dict[tuple[str, ...], list[str]
     """Files by their header. Only first lines come to the driver, one for each distinct header with its files."""
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
     first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
-    return {tuple(_cells(r.header)): r.paths for r in first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}
+    return {tuple(_cells(r.header)): [unquote(p) for p in r.paths] for r in first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}
 
 
 def _cells(header: str) -> list[str]:
@@ -67,13 +72,19 @@ def read_csvs(spark: SparkSession, paths: str, wanted: dict[str, str]) -> DataFr
     return nan_to_null(out)
 
 
+def _files(folder: str) -> str:
+    """One file for each assay, or one folder for each assay as ``write_assays`` makes it."""
+    return f"{folder}/{{*,dms_id=*/*}}.csv"
+
+
 def _stem(path: str = "path"):
-    return F.regexp_extract(path, r"([^/]+)\.csv$", 1)
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # Spark gives paths as URIs
+    return F.coalesce(F.nullif(F.regexp_extract(plain, r"/dms_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(plain, r"([^/]+)\.csv$", 1))
 
 
 def read_assays(spark: SparkSession, folder: str) -> DataFrame:
-    """(dms_id, mutant, dms_score, sequence) of a folder of one CSV for each assay, named by it."""
-    rows = read_csvs(spark, f"{folder}/*.csv", {"mutant": "string", "dms_score": "double", "sequence": "string"})
+    """(dms_id, mutant, dms_score, sequence) of a folder of one CSV (or one folder of them) for each assay, named by it."""
+    rows = read_csvs(spark, _files(folder), {"mutant": "string", "dms_score": "double", "sequence": "string"})
     return rows.select(_stem().alias("dms_id"), "mutant", "dms_score", "sequence")
 
 
@@ -86,16 +97,53 @@ def by_manifest(assays: DataFrame, sheet: DataFrame, strict: bool) -> tuple[Data
 
 
 def read_predictions(spark: SparkSession, folder: str, models: Sequence[str]) -> DataFrame:
-    """(model, dms_id, mutant, score) of ``<folder>/<model>/<assay>.csv``, each model's own score column."""
+    """(model, dms_id, mutant, score) of ``<folder>/<model>/<assay>.csv``, each model's own score column. A model without
+    files is warned of and left out; ``merge.loss_report`` then has it as one without a file for any assay."""
     out = None
     for model in models:
         column = SCORE_COLUMNS[model]
-        rows = read_csvs(spark, f"{folder}/{model}/*.csv", {"mutant": "string", column: "double"})
+        try:
+            rows = read_csvs(spark, _files(f"{folder}/{model}"), {"mutant": "string", column: "double"})
+        except (AnalysisException, FileNotFoundError) as e:
+            if isinstance(e, AnalysisException) and "PATH_NOT_FOUND" not in str(e):
+                raise
+            warnings.warn(f"no predictions of {model} in {folder}", stacklevel=2)
+            continue
         rows = rows.select(F.lit(model).alias("model"), _stem().alias("dms_id"), "mutant", F.col(column).alias("score"))
         out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no models named")
-    return out
+    return spark.createDataFrame([], PREDICTIONS) if out is None else out
+
+
+def _table(spark: SparkSession, path: str, names: dict[str, str], schema: StructType) -> DataFrame:
+    """Parquet, or CSV by its header, in canonical columns: ``names`` are the files' own names of some. Nothing is
+    inferred from CSV values; only the columns asked for are read."""
+    raw = spark.read.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    return nan_to_null(raw.select(*(F.col(f"`{names.get(f.name, f.name)}`").try_cast(f.dataType).alias(f.name) for f in schema.fields)))
+
+
+def read_labels(spark: SparkSession, path: str, reactivity: str = "reactivity_DMS_MaP") -> DataFrame:
+    """(id, usage, reactivity) of a table of position labels."""
+    return _table(spark, path, {"usage": "Usage", "reactivity": reactivity}, LABELS)
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(sequence_id, sequence, id_min, id_max) of a table of sequences and their ranges of ids."""
+    return _table(spark, path, {}, RANGES)
+
+
+def read_position_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(sequence, sequence_id, position_id, prediction) of a model's table, whose column is ``prediction_<model>``."""
+    return _table(spark, path, {"prediction": f"prediction_{model}"}, POSITION_PREDICTIONS)
+
+
+def read_structures(spark: SparkSession, path: str) -> DataFrame:
+    """(sequence, method, dotbracket): predicted structures keyed by their sequence."""
+    return _table(spark, path, {}, STRUCTURES_BY_SEQUENCE)
+
+
+def write_result(df: DataFrame, path: str) -> None:
+    """A leaderboard or an evaluation set as CSV with a header, in place of what was there."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_likelihoods(spark: SparkSession, path: str) -> DataFrame:
@@ -103,22 +151,26 @@ def read_likelihoods(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ct(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
-    """Connect tables as (path, sequence) and (path, i, j): columns are index, base, previous, next, partner (0 for
-    none); the header line starts with the length. Pairs are 0-based, each once."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("c"))
+    """Connect tables, one a file, as (path, sequence) and (path, i, j): see ``parse_ct``."""
+    return parse_ct(spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parse_ct(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (path, value) of connect tables as (path, sequence) and (path, i, j): columns are index, base, previous,
+    next, partner (0 for none); the header line starts with the length. Pairs are 0-based, each once."""
     cell = lambda i: F.get("c", F.lit(i))
-    rows = lines.where(F.size("c") >= 6).select("path", cell(0).try_cast("int").alias("idx"), cell(1).alias("base"), cell(4).try_cast("int").alias("partner"))
+    rows = lines.select("path", F.split(F.trim("value"), r"\s+").alias("c")).where(F.size("c") >= 6)
+    rows = rows.select("path", cell(0).try_cast("int").alias("idx"), cell(1).alias("base"), cell(4).try_cast("int").alias("partner"))
     rows = rows.where("idx is not null and partner is not null")
     ordered = F.sort_array(F.collect_list(F.struct("idx", "base")))
     sequences = rows.groupBy("path").agg(F.array_join(F.transform(ordered, lambda s: s["base"]), "").alias("sequence"))
-    i, j = F.least("idx", "partner") - 1, F.greatest("idx", "partner") - 1
-    return sequences, rows.where("partner <> 0").select("path", i.alias("i"), j.alias("j")).distinct()
+    both = rows.where("partner <> 0").select("path", (F.col("idx") - 1).alias("i"), (F.col("partner") - 1).alias("j"))
+    return sequences, distinct_pairs(both, ["path"])
 
 
-def write_assays(df: DataFrame, folder: str, kind: str = "csv") -> None:
-    """One directory for each assay; readers prune by it."""
-    writer = df.repartition("dms_id").write.mode("overwrite").partitionBy("dms_id")
-    writer.option("header", True).format(kind).save(folder)
+def write_assays(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """One directory of CSV for each assay; ``read_assays`` and ``read_predictions`` read them back."""
+    df.repartition("dms_id").write.mode(mode).partitionBy("dms_id").option("header", True).csv(folder)
 
 
 def write_split(df: DataFrame, folder: str, split_type: str) -> None:

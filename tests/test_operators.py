@@ -312,3 +312,42 @@ def test_scoring_and_reuse(spark, tmp_path):
     assert scoring.scored_once(spark, df.limit(2), path, "m", score).count() == 2
     assert scoring.scored_once(spark, df, path, "m", score).count() == 5
     assert scoring.scored_once(spark, df, path, "m", score).count() == 5
+
+
+def test_spanning_links_join_what_all_links_join(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in "xy":
+        for _ in range(12):
+            base = [rng.choice("ACGU") for _ in range(rng.randrange(12, 30))]
+            for _ in range(rng.randrange(1, 6)):
+                rows.append((g, "".join(base)))
+                base = list(base)
+                base[rng.randrange(len(base))] = rng.choice("ACGU")
+    df = frame(spark, rows, "dms_id string, sequence string")
+    want = {(r.dms_id, r.sequence): r["class"] for r in splits.similarity_classes(df).collect()}
+    got = {(r.dms_id, r.sequence): r["class"] for r in splits.similar_groups(df).collect()}
+    assert got == want and 4 < len(set(want.values())) < len(want)
+    assert splits.similar_groups(df.limit(0)).count() == 0
+
+
+def test_numbering_reads_its_input_once(spark):
+    labels = frame(spark, [(i, "Private" if i == 3 else None) for i in range(12)], "id long, usage string")
+    ranges = frame(spark, [("a", "ACGU", 2, 5), ("b", "AC", 8, 9)], "sequence_id string, sequence string, id_min long, id_max long")
+    numbered = structure.number_positions(structure.attach_ranges(labels, ranges))
+    assert {r.id: r.position_id for r in numbered.collect()} == {i: None for i in range(12)} | {2: 0, 3: 1, 4: 2, 5: 3, 8: 0, 9: 1}
+    chosen = structure.with_usage(numbered, "Private")
+    assert sorted(r.id for r in chosen.collect()) == [2, 3, 4, 5]
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_wide_and_long_merge_agree_and_join_once(spark):
+    variants = frame(spark, [("a", "A1T", 1.0), ("a", "C2G", 2.0), ("b", "A1G", 3.0)], "dms_id string, mutant string, dms_score double")
+    scores = [("m", "a", "A1U", None), ("m", "a", "C2G", 0.7), ("n", "a", "A1T", 0.1), ("n", "a", "C2G", 0.2), ("n", "b", None, 0.3)]
+    predictions = frame(spark, scores, "model string, dms_id string, mutant string, score double")
+    wide = merge.merge_wide(variants, predictions, ["m", "n"], ["score"])
+    assert sorted(map(tuple, wide.collect())) == [("a", "A1U", 1.0, None, 0.1), ("a", "C2G", 2.0, 0.7, 0.2)]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    report = {(r.dms_id, r.model): (r.n_variants, r.n_lost, r.has_file) for r in merge.loss_report(variants, predictions, ["m", "n"]).collect()}
+    assert report == {("a", "m"): (2, 0, True), ("a", "n"): (2, 0, True), ("b", "m"): (1, 1, False), ("b", "n"): (1, 1, True)}

@@ -67,3 +67,21 @@ def test_sinks(spark, tmp_path):
     put(tmp_path / "l.tsv", "seqs\tscores\nACG\t-1.5\n")
     assert tuple(files.read_likelihoods(spark, str(tmp_path / "l.tsv")).first()) == ("ACG", -1.5)
     assert files.lower_columns(df.withColumnRenamed("mutant", "Mutant")).columns[1] == "mutant"
+
+
+def test_models_without_files_and_written_assays(spark, tmp_path):
+    df = spark.createDataFrame([("a", "A1G", 1.0), ("b b", None, 2.0)], "dms_id string, mutant string, scores double")
+    files.write_assays(df, str(tmp_path / "Evo"))
+    with pytest.warns(UserWarning, match="GenSLM"):
+        got = files.read_predictions(spark, str(tmp_path), ["GenSLM", "Evo"])
+    assert sorted(map(tuple, got.collect()), key=str) == [("Evo", "a", "A1G", 1.0), ("Evo", "b b", None, 2.0)]
+    with pytest.warns(UserWarning):
+        assert files.read_predictions(spark, str(tmp_path), ["GenSLM"]).count() == 0
+
+
+def test_tables_under_their_own_names(spark, tmp_path):
+    spark.createDataFrame([("ACG", "p1", "(.)", 1)], "sequence string, method string, dotbracket string, more int").write.parquet(str(tmp_path / "s"))
+    assert tuple(files.read_structures(spark, str(tmp_path / "s")).first()) == ("ACG", "p1", "(.)")
+    put(tmp_path / "p.csv", "position_id,prediction_m,sequence_id,sequence\n3,nan,s1,ACG\n4,0.5,s1,ACG\n")
+    got = files.read_position_predictions(spark, str(tmp_path / "p.csv"), "m")
+    assert sorted(map(tuple, got.collect()), key=str) == [("ACG", "s1", 3, None), ("ACG", "s1", 4, 0.5)]
