@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from helixbench.functions.expressions import depth, mutation_count, parse_mutations, rounded
 from helixbench.operators import bootstrap, leaderboard, logprob, merge, metrics, mutations, pairs, scoring, splits, structure
+from helixbench.operators.durable import checkpointed, shared_folder
 from helixbench.plans.fixtures import fixture, with_views
+from helixbench.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +126,59 @@ def bootstrap_se(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.bootstrap_errors(long, 100).withColumn("se", F.round("se", 6))
 
 
+_SE = _BOOT.rstrip() + ",\nse AS (SELECT metric, kind, model, stddev_samp(mean) AS se FROM mr GROUP BY metric, kind, model)"
+_WIDE_SE = ", ".join(f"round(max(CASE WHEN metric = {m!r} AND kind = {t!r} THEN {v} END), 6) AS \"{m}_{t}_{n}\"" for m in leaderboard.METRICS for t in [*TYPES, "All"] for v, n in (("mean", "Mean"), ("se", "SE")))
+
+
+@query(_SE + f"\nSELECT model, {_WIDE_SE} FROM me LEFT JOIN se USING (metric, kind, model) GROUP BY model")
+def leaderboard_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checkpointed(_assay_metrics(spark, sf_dir))
+    errors = bootstrap.bootstrap_errors(leaderboard.long_metrics(found), 100)
+    table = leaderboard.with_errors(leaderboard.by_type(found), errors, TYPES)
+    return table.select("model", *(F.round(f"`{c}`", 6).alias(c) for c in table.columns[1:]))
+
+
+def _depth_boot(d: str) -> str:
+    """CTE se_<d> (metric, model, se) over the assays that have the depth."""
+    return f"""
+lo_{d} AS (SELECT dms_id, model, 'spearman' AS metric, spearman AS value FROM m WHERE depth = '{d}' UNION ALL SELECT dms_id, model, 'auc', auc FROM m WHERE depth = '{d}'
+       UNION ALL SELECT dms_id, model, 'mcc', mcc FROM m WHERE depth = '{d}'),
+me_{d} AS (SELECT metric, model, avg(value) AS mean FROM lo_{d} GROUP BY metric, model),
+be_{d} AS (SELECT metric, model FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(mean, 9) DESC, model) AS pl FROM me_{d} WHERE mean IS NOT NULL) WHERE pl = 1),
+ids_{d} AS (SELECT dms_id, row_number() OVER (ORDER BY dms_id) - 1 AS pl FROM (SELECT DISTINCT dms_id FROM lo_{d})),
+n_{d} AS (SELECT count(*) AS n FROM ids_{d}),
+dr_{d} AS (SELECT r.replicate, CAST(concat('0x', substr(md5(concat('42|', r.replicate, '|', k.k)), 1, 8)) AS BIGINT) % n.n AS pl
+       FROM n_{d} n, (SELECT unnest(range(100)) AS replicate) r, (SELECT unnest(range((SELECT n FROM n_{d}))) AS k) k),
+di_{d} AS (SELECT a.metric, a.model, a.dms_id, a.value - b.value AS d FROM lo_{d} a JOIN be_{d} be ON be.metric = a.metric JOIN lo_{d} b ON b.metric = a.metric AND b.dms_id = a.dms_id AND b.model = be.model),
+mr_{d} AS (SELECT metric, model, replicate, avg(d) AS mean FROM dr_{d} JOIN ids_{d} USING (pl) JOIN di_{d} USING (dms_id) WHERE d IS NOT NULL GROUP BY metric, model, replicate),
+se_{d} AS (SELECT metric, model, stddev_samp(mean) AS se FROM mr_{d} GROUP BY metric, model)"""
+
+
+_DEPTHS = _metrics_sql("dms_id, model, depth", ", CASE WHEN len(string_split(v.mutant, ',')) = 1 THEN 'single' ELSE 'multiple' END AS depth").strip()
+_DEPTH_SE = ", ".join(f"round({m}, 6) AS {m}_Mean, round((SELECT max(se) FROM er WHERE er.metric = '{m}' AND er.depth = l.depth AND er.model = l.model), 6) AS {m}_SE" for m in leaderboard.METRICS)
+
+
+@query(f"""WITH {_DEPTHS},{_depth_boot("single")},{_depth_boot("multiple")},
+er AS (SELECT 'single' AS depth, metric, model, se FROM se_single UNION ALL SELECT 'multiple', metric, model, se FROM se_multiple
+       UNION ALL SELECT 'All', s.metric, s.model, sqrt((s.se * s.se + t.se * t.se) / 2) FROM se_single s JOIN se_multiple t USING (metric, model)),
+d AS (SELECT depth, model, avg(spearman) AS spearman, avg(auc) AS auc, avg(mcc) AS mcc FROM m GROUP BY depth, model),
+l AS (SELECT * FROM d UNION ALL SELECT 'All', model, avg(spearman), avg(auc), avg(mcc) FROM d GROUP BY model)
+SELECT depth, model, {_DEPTH_SE} FROM l""")
+def depth_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).withColumn("depth", depth(F.col("mutant")))
+    found = checkpointed(metrics.assay_metrics(rows, ["dms_id", "model", "depth"]))
+    errors = bootstrap.depth_errors(leaderboard.long_metrics(found, ("dms_id", "depth", "model")), 100)
+    table = leaderboard.depth_with_errors(leaderboard.by_depth(found), errors)
+    return table.select("depth", "model", *rounded(*table.columns[2:]))
+
+
+@query(_M + ",\nmo AS (SELECT DISTINCT model FROM fx_predictions)\nSELECT a.dms_id, mo.model, round(auc, 6) AS auc FROM fx_assays a CROSS JOIN mo LEFT JOIN m ON m.dms_id = a.dms_id AND m.model = mo.model")
+def metrics_on_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assays = fixture(spark, sf_dir, "fx_assays").select("dms_id")
+    found = metrics.assay_metrics(_scored(spark, sf_dir), ["dms_id", "model"])
+    return metrics.on_grid(found, assays, spark.createDataFrame([(m,) for m in MODELS], "model string")).select("dms_id", "model", F.round("auc", 6).alias("auc"))
+
+
 # ---------------------------------------------------------------- merge
 
 
@@ -154,6 +210,18 @@ def merge_complete_assays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("score", F.round("score", 6))
 
 
+_OK = _LOSS + """,
+ok AS (SELECT dms_id FROM loss GROUP BY dms_id HAVING bool_and(has_file AND n_lost = 0))"""
+
+
+@query(_OK + """,
+q AS (SELECT dms_id, replace(mutant, 'T', 'U') AS mutant, """ + ", ".join(f"min(score) FILTER (model = '{m}') AS {m}" for m in MODELS) + """ FROM fx_predictions WHERE mutant IS NOT NULL GROUP BY ALL)
+SELECT v.dms_id, v.mutant, v.dms_score, """ + ", ".join(f"round({m}, 6) AS {m}_score" for m in MODELS) + " FROM v JOIN ok USING (dms_id) JOIN q ON q.dms_id = v.dms_id AND q.mutant = v.mutant")
+def combined_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge.merge_wide(fixture(spark, sf_dir, "fx_variants"), _predictions(spark, sf_dir), MODELS, ["score"])
+    return rows.select("dms_id", "mutant", "dms_score", *rounded(*(f"{m}_score" for m in MODELS)))
+
+
 @query("SELECT a.dms_id, m.model FROM fx_assays a, (SELECT DISTINCT model FROM fx_predictions) m WHERE NOT EXISTS (SELECT 1 FROM fx_predictions p WHERE p.dms_id = a.dms_id AND p.model = m.model)")
 def manifest_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _predictions(spark, sf_dir).select("dms_id", "model").distinct()
@@ -185,7 +253,7 @@ def position_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_NUM + "\nSELECT id, sequence_id, position_id, usage FROM num WHERE sequence_id IN (SELECT sequence_id FROM num WHERE usage = 'Private')")
 def eval_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = structure.number_positions(_attached(spark, sf_dir))
-    return structure.evaluation_subset(numbered, structure.of_usage(numbered, "Private"), "sequence_id").select("id", "sequence_id", "position_id", "usage")
+    return structure.with_usage(numbered, "Private").select("id", "sequence_id", "position_id", "usage")
 
 
 @query(_AT + "\nSELECT count(*) AS n_shared FROM (SELECT sequence_id FROM pl WHERE usage = 'Private' INTERSECT SELECT sequence_id FROM pl WHERE usage = 'Public')")
@@ -271,6 +339,38 @@ def pair_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.structure_scores(_pairs(spark, sf_dir), grid).select("seq_id", "method", *rounded("f1", "crossed_f1"))
 
 
+@query()
+def structure_scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = pairs.wide_scores(pair_f1(spark, sf_dir), ["p1", "p2"])
+    return wide.select("seq_id", *(F.col(f"{m}.{v}").alias(f"{m}_{v}") for m in ("p1", "p2") for v in ("f1", "crossed_f1")))
+
+
+ORACLE_SQL["structure_scores_wide"] = "SELECT seq_id, " + ", ".join(f"max({v}) FILTER (method = '{m}') AS {m}_{v}" for m in ("p1", "p2") for v in ("f1", "crossed_f1")) + f" FROM ({ORACLE_SQL['pair_f1']}) GROUP BY seq_id"
+
+
+@query("SELECT seq_id FROM fx_structures WHERE method = 'truth' AND seq_id NOT IN (SELECT seq_id FROM fx_structures WHERE method = 'p1' AND seq_id % 7 <> 0)")
+def structures_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_structures").select("seq_id", "method")
+    return pairs.missing_predictions(rows.where("method = 'truth'").select("seq_id"), rows.where("method = 'p1' and seq_id % 7 <> 0"), "seq_id")
+
+
+@query(_PAIRS + "\nSELECT seq_id FROM (SELECT DISTINCT seq_id FROM fx_structures) WHERE seq_id NOT IN (SELECT seq_id FROM cr WHERE method = 'truth')")
+def structures_without_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.without_crossings(_pairs(spark, sf_dir), fixture(spark, sf_dir, "fx_structures"))
+
+
+@query(_PAIRS + "\nSELECT seq_id, i, j FROM pr WHERE method = 'truth'")
+def ct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connect-table lines made of the stand-in's structures, parsed."""
+    rows = fixture(spark, sf_dir, "fx_structures").where("method = 'truth'")
+    truth = pairs.dotbracket_pairs(rows).select("seq_id", F.inline(F.array(F.struct(F.col("i").alias("at"), (F.col("j") + 1).alias("partner")), F.struct(F.col("j").alias("at"), (F.col("i") + 1).alias("partner")))))
+    letters = rows.select("seq_id", F.posexplode(F.split(F.md5(F.col("seq_id").cast("string").cast("binary")), "")).alias("at", "base"))
+    cells = letters.join(truth, ["seq_id", "at"], "left")
+    line = F.concat_ws(" ", F.col("at") + 1, "base", "at", F.col("at") + 2, F.coalesce("partner", F.lit(0)), F.col("at") + 1)
+    lines = cells.select("seq_id", line.alias("value")).unionByName(rows.select("seq_id", F.lit("32 a structure").alias("value")))
+    return files.parse_ct(lines.withColumnRenamed("seq_id", "path"))[1].select(F.col("path").alias("seq_id"), "i", "j")
+
+
 # ---------------------------------------------------------------- mutations and log-probabilities
 
 
@@ -284,37 +384,72 @@ def mutation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("dms_id", "mutant", "n_mutations", "depth", "m.*")
 
 
-def _mutated_sql(rna: bool) -> str:
-    """All fixture mutations hit their own letter once, or one position twice with the second failing or not."""
-    base = "c" if rna else "translate(c, 'U', 'T')"
-    letter = lambda x: x if rna else f"translate({x}, 'U', 'T')"
-    return f"""WITH v AS (SELECT DISTINCT v.dms_id, mutant, construct AS c, string_split(mutant, ',') AS ms FROM fx_variants v JOIN fx_assays USING (dms_id) WHERE mutant IS NOT NULL),
-f AS (SELECT dms_id, mutant, {base} AS s0, len(ms) AS n, {letter("substr(ms[1], 1, 1)")} AS o1, CAST(substr(ms[1], 2, length(ms[1]) - 2) AS INT) AS p1, {letter("substr(ms[1], length(ms[1]), 1)")} AS n1,
-  CASE WHEN len(ms) > 1 THEN {letter("substr(ms[2], 1, 1)")} END AS o2, CASE WHEN len(ms) > 1 THEN CAST(substr(ms[2], 2, length(ms[2]) - 2) AS INT) END AS p2,
-  CASE WHEN len(ms) > 1 THEN {letter("substr(ms[2], length(ms[2]), 1)")} END AS n2 FROM v),
-g AS (SELECT *, substr(s0, p1, 1) = o1 AS ok1, concat(substr(s0, 1, p1 - 1), n1, substr(s0, p1 + 1)) AS s1 FROM f)
-SELECT dms_id, mutant, CASE WHEN NOT ok1 THEN NULL WHEN n = 1 THEN s1 WHEN substr(s1, p2, 1) = o2 THEN concat(substr(s1, 1, p2 - 1), n2, substr(s1, p2 + 1)) END AS mutated_sequence,
-  CASE WHEN NOT ok1 OR (n > 1 AND substr(s1, p2, 1) <> o2) THEN 'mismatch' END AS reason FROM g"""
+def _step_sql(mode: str, k: int) -> str:
+    """CTE f<k>: mutation k applied to the sequence and reason of f<k-1>."""
+    letters = "'A', 'U', 'C', 'G', 'N'" if mode == "substitute" else "'A', 'T', 'C', 'G', 'N'"
+    unchecked = "FALSE" if mode == "fill" else "o = 'N'"
+    behind = "WHEN o = 'N' THEN concat(substr(s, 1, p), put, substr(s, p + 1))" if mode == "insert" else ""
+    return f"""
+o{k} AS (SELECT *, ms[{k}] AS m, substr(ms[{k}], 1, 1) AS o, TRY_CAST(substr(ms[{k}], 2, greatest(length(ms[{k}]) - 2, 0)) AS INT) AS p, right(ms[{k}], 1) AS n FROM f{k - 1}),
+r{k} AS (SELECT *, CASE WHEN n = '-' THEN '' ELSE n END AS put, CASE WHEN m IS NULL OR r IS NOT NULL THEN r WHEN p IS NULL THEN 'position'
+        WHEN o NOT IN ({letters}) OR n NOT IN ({letters}, '-') THEN 'letter' WHEN p < 1 OR p > length(s) THEN 'outside' WHEN NOT ({unchecked}) AND substr(s, p, 1) <> o THEN 'mismatch' END AS r2 FROM o{k}),
+f{k} AS (SELECT dms_id, mutant, ms, CASE WHEN m IS NULL OR r2 IS NOT NULL THEN s {behind} ELSE concat(substr(s, 1, p - 1), put, substr(s, p + 1)) END AS s, r2 AS r FROM r{k})"""
 
 
-def _mutated(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "fx_variants").select("dms_id", "mutant").distinct()
-    return mutations.mutated_sequences(rows, fixture(spark, sf_dir, "fx_assays"), mode)
+def _edited_sql(mode: str) -> str:
+    own = lambda x: f"translate(upper({x}), {chr(39) + 'T' + chr(39) if mode == 'substitute' else chr(39) + 'U' + chr(39)}, {chr(39) + 'U' + chr(39) if mode == 'substitute' else chr(39) + 'T' + chr(39)})"
+    end = "replace(s, 'N', '')" if mode == "fill" else "s"
+    return f"""WITH f0 AS (SELECT e.dms_id, e.mutant, string_split({own("e.mutant")}, ',') AS ms, {own("construct")} AS s, CAST(NULL AS VARCHAR) AS r FROM fx_edits e JOIN fx_constructs c ON c.dms_id = e.dms_id),{_step_sql(mode, 1)},{_step_sql(mode, 2)},{_step_sql(mode, 3)}
+SELECT dms_id, mutant, CASE WHEN r IS NULL THEN {end} END AS mutated_sequence, r AS reason FROM f3"""
+
+
+def _edited(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return mutations.mutated_sequences(fixture(spark, sf_dir, "fx_edits"), fixture(spark, sf_dir, "fx_constructs"), mode)
 
 
-@query(_mutated_sql(False))
+@query(_edited_sql("insert"))
 def mutated_sequences_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mutated(spark, sf_dir, "insert")
+    return _edited(spark, sf_dir, "insert")
 
 
-@query(_mutated_sql(False))
+@query(_edited_sql("fill"))
 def mutated_sequences_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mutated(spark, sf_dir, "fill")
+    return _edited(spark, sf_dir, "fill")
 
 
-@query(_mutated_sql(True))
+@query(_edited_sql("substitute"))
 def mutated_sequences_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mutated(spark, sf_dir, "substitute")
+    return _edited(spark, sf_dir, "substitute")
+
+
+def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of the plain stand-in that could be made, with their RNA sequences."""
+    rows = fixture(spark, sf_dir, "fx_variants").select("dms_id", "mutant").distinct()
+    return mutations.mutated_sequences(rows, fixture(spark, sf_dir, "fx_assays"), "substitute").where("reason is null")
+
+
+_MUTATED = """WITH v AS (SELECT DISTINCT v.dms_id, mutant, construct AS c, string_split(mutant, ',') AS ms FROM fx_variants v JOIN fx_assays USING (dms_id) WHERE mutant IS NOT NULL),
+f AS (SELECT dms_id, mutant, c AS s0, len(ms) AS n, substr(ms[1], 1, 1) AS o1, CAST(substr(ms[1], 2, length(ms[1]) - 2) AS INT) AS p1, right(ms[1], 1) AS n1,
+  CASE WHEN len(ms) > 1 THEN substr(ms[2], 1, 1) END AS o2, CASE WHEN len(ms) > 1 THEN CAST(substr(ms[2], 2, length(ms[2]) - 2) AS INT) END AS p2, CASE WHEN len(ms) > 1 THEN right(ms[2], 1) END AS n2 FROM v),
+g AS (SELECT *, substr(s0, p1, 1) = o1 AS ok1, concat(substr(s0, 1, p1 - 1), n1, substr(s0, p1 + 1)) AS s1 FROM f),
+mu AS (SELECT dms_id, mutant, CASE WHEN n = 1 THEN s1 ELSE concat(substr(s1, 1, p2 - 1), n2, substr(s1, p2 + 1)) END AS sequence FROM g WHERE ok1 AND (n = 1 OR substr(s1, p2, 1) = o2))"""
+
+
+@query(_MUTATED + """,
+li AS (SELECT DISTINCT sequence AS seqs, CAST(ascii(substr(md5(sequence), 2, 1)) AS DOUBLE) AS scores FROM mu WHERE substr(md5(sequence), 1, 1) < '8')
+SELECT dms_id, mutant, sequence, scores FROM mu LEFT JOIN li ON seqs = sequence""")
+def likelihood_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _mutated(spark, sf_dir).select("dms_id", "mutant", "mutated_sequence")
+    digest = F.md5(F.col("mutated_sequence").cast("binary"))
+    scores = F.ascii(F.substring(digest, 2, 1)).cast("double")
+    known = rows.where(F.substring(digest, 1, 1) < "8").select(F.col("mutated_sequence").alias("seqs"), scores.alias("scores")).distinct()
+    return mutations.with_likelihoods(rows, known).withColumnRenamed("mutated_sequence", "sequence")
+
+
+@query("SELECT dms_id, substr(construct, 1, 10) AS start FROM fx_assays WHERE dms_id NOT LIKE '%S1%'")
+def truncated_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mutations.without_assays(fixture(spark, sf_dir, "fx_assays"), "S1")
+    return rows.select("dms_id", mutations.truncated(F.col("construct"), 10).alias("start"))
 
 
 _PARTS = """WITH v AS (SELECT DISTINCT dms_id, mutant FROM fx_variants WHERE mutant IS NOT NULL),
@@ -381,19 +516,50 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.random_split(rows, ["dms_id", "mutant"])
 
 
-def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _mutated(spark, sf_dir, "substitute").where("reason is null")
-    return splits.similarity_classes(rows, "dms_id", "mutated_sequence")
+@query("""WITH v AS (SELECT DISTINCT dms_id, mutant FROM fx_variants WHERE mutant IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY dms_id ORDER BY md5(concat('42|', dms_id, '|', mutant))) AS pl, count(*) OVER (PARTITION BY dms_id) AS n FROM v)
+SELECT dms_id, CASE WHEN pl <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS fold, count(*) AS n FROM o GROUP BY ALL""")
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.split_sizes(random_split(spark, sf_dir))
 
 
-@query()
+#: Common subsequences by bit vectors: a list step for each letter of the second sequence.
+_LINKS = _MUTATED + """,
+se AS (SELECT DISTINCT dms_id, sequence AS s FROM mu),
+bi AS (SELECT dms_id, s, CAST(length(s) AS BIGINT) AS n, (CAST(1 AS BIGINT) << length(s)) - 1 AS whole,
+  list_transform(['A', 'C', 'G', 'U'], lambda l: list_sum(list_transform(range(length(s)), lambda i: CASE WHEN substr(s, CAST(i + 1 AS INT), 1) = l THEN CAST(1 AS BIGINT) << i ELSE 0 END))::BIGINT) AS mask,
+  list_transform(string_split(s, ''), lambda c: position(c IN 'ACGU')) AS codes FROM se),
+pa AS (SELECT a.dms_id, a.s AS a, b.s AS b, greatest(a.n, b.n) AS longer, a.n - bit_count(list_reduce(list_prepend(a.whole, list_transform(b.codes, lambda c: a.mask[c])), lambda v, m: ((v + (v & m)) | (v - (v & m))) & a.whole)) AS common
+       FROM bi a JOIN bi b ON a.dms_id = b.dms_id AND a.s < b.s),
+li AS (SELECT dms_id, a, b FROM pa WHERE common > 0.8 * longer),
+nl AS (SELECT dms_id, s, count(*) AS n FROM (SELECT dms_id, a AS s FROM li UNION ALL SELECT dms_id, b FROM li) GROUP BY dms_id, s)"""
+
+
+@query(_LINKS + "\nSELECT se.dms_id, se.s AS sequence, coalesce(n, 0) AS n_links FROM se LEFT JOIN nl USING (dms_id, s)")
+def similarity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.similarity_classes(_mutated(spark, sf_dir), "dms_id", "mutated_sequence").drop("class")
+
+
+#: Classes by labels that spread along the links until none falls.
+_CLASSES = _LINKS + """,
+ed AS (SELECT dms_id, a, b FROM li UNION ALL SELECT dms_id, b, a FROM li),
+lab(dms_id, s, c) USING KEY (dms_id, s) AS (SELECT dms_id, s, s FROM se UNION
+  SELECT e.dms_id, e.b, min(l.c) FROM lab l JOIN ed e ON e.dms_id = l.dms_id AND e.a = l.s JOIN recurring.lab r ON r.dms_id = e.dms_id AND r.s = e.b WHERE l.c < r.c GROUP BY e.dms_id, e.b)"""
+
+
+@query(_CLASSES + "\nSELECT lab.dms_id, lab.s AS sequence, c AS class, coalesce(n, 0) AS n_links FROM lab LEFT JOIN nl USING (dms_id, s)")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir)
+    return splits.similarity_classes(_mutated(spark, sf_dir), "dms_id", "mutated_sequence")
 
 
-@query()
+@query(_CLASSES + """,
+sz AS (SELECT dms_id, c, count(*) AS n FROM lab GROUP BY dms_id, c),
+pl AS (SELECT dms_id, c, sum(n) OVER (PARTITION BY dms_id) AS total, max(n) OVER (PARTITION BY dms_id) AS largest,
+  sum(n) OVER (PARTITION BY dms_id ORDER BY md5(concat('42|', dms_id, '|', c)), c ROWS UNBOUNDED PRECEDING) AS filled FROM sz)
+SELECT lab.dms_id, s AS sequence, c AS class, CASE WHEN filled <= ceil(CAST(0.2 AS DOUBLE) * total) AND NOT largest > CAST(0.8 AS DOUBLE) * total THEN 'val' ELSE 'train' END AS fold,
+  largest > CAST(0.8 AS DOUBLE) * total AS unsplittable FROM lab JOIN pl USING (dms_id, c)""")
 def similarity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.similarity_split(_similar(spark, sf_dir))
+    return splits.similarity_split(splits.similar_groups(_mutated(spark, sf_dir), "dms_id", "mutated_sequence"))
 
 
 def gc_share(sequences: list[str]) -> list[list[float]]:
@@ -406,3 +572,49 @@ p AS (SELECT sequence_id, sequence, unnest(range(length(sequence))) AS k FROM d)
 SELECT sequence_id, sequence, CAST(k AS INT) AS position_id, round((length(substr(sequence, 1, k + 1)) - length(replace(replace(substr(sequence, 1, k + 1), 'G', ''), 'C', ''))) / (k + 1), 6) AS prediction FROM p""")
 def batch_score_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_sequences(fixture(spark, sf_dir, "fx_ranges"), gc_share)
+
+
+# ---------------------------------------------------------------- files: the stand-ins written, and read back
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT dms_id, mutant, dms_score FROM fx_variants")
+def assay_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assays written one by one, half of them with another name for the mutations, and read as one table."""
+    folder = _place(spark, "assays")
+    rows = fixture(spark, sf_dir, "fx_variants").select("dms_id", "s_suppkey", "mutant", "dms_score")
+    files.write_assays(rows.where("s_suppkey % 2 = 0").drop("s_suppkey"), folder)
+    files.write_assays(rows.where("s_suppkey % 2 = 1").select("dms_id", F.col("dms_score").alias("DMS_score"), F.col("mutant").alias("Mutation")), folder, mode="append")
+    return files.read_assays(spark, folder).select("dms_id", "mutant", "dms_score")
+
+
+@query("SELECT CASE model WHEN 'm1' THEN 'Evo' ELSE 'RNA_FM' END AS model, dms_id, mutant, score FROM fx_predictions WHERE model IN ('m1', 'm2')")
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of two models in their own layouts; a third one, asked for, has no files."""
+    folder = _place(spark, "predictions")
+    for name, model, score in (("m1", "Evo", "scores"), ("m2", "RNA_FM", "RNA_FM_scores")):
+        rows = fixture(spark, sf_dir, "fx_predictions").where(F.col("model") == name)
+        files.write_assays(rows.select("dms_id", "mutant", F.col("score").alias(score)), f"{folder}/{model}")
+    return files.read_predictions(spark, folder, ["Evo", "GenSLM", "RNA_FM"])
+
+
+@query(_AT + "\nSELECT id, usage, round(reactivity, 6) AS reactivity, CAST(sequence_id AS VARCHAR) AS sequence_id FROM pl")
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from Parquet and ranges from CSV under the files' own names, attached."""
+    folder = _place(spark, "labels")
+    labels = fixture(spark, sf_dir, "fx_labels").select("id", F.col("usage").alias("Usage"), F.col("reactivity").alias("reactivity_DMS_MaP"))
+    labels.write.parquet(f"{folder}/labels.parquet")
+    files.write_result(fixture(spark, sf_dir, "fx_ranges"), f"{folder}/ranges.csv")
+    rows = structure.attach_ranges(files.read_labels(spark, f"{folder}/labels.parquet"), files.read_ranges(spark, f"{folder}/ranges.csv"))
+    return rows.select("id", "usage", F.round("reactivity", 6).alias("reactivity"), "sequence_id")
+
+
+@query("SELECT CAST(p.sequence_id AS VARCHAR) AS sequence_id, CAST(position_id AS INT) AS position_id, sequence, prediction FROM fx_position_predictions p JOIN fx_ranges r USING (sequence_id)")
+def position_prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _place(spark, "positions") + ".csv"
+    rows = fixture(spark, sf_dir, "fx_position_predictions").join(fixture(spark, sf_dir, "fx_ranges").select("sequence_id", "sequence"), "sequence_id")
+    files.write_result(rows.withColumnRenamed("prediction", "prediction_stub"), path)
+    return files.read_position_predictions(spark, path, "stub").select("sequence_id", "position_id", "sequence", "prediction")

@@ -24,6 +24,14 @@ FROM (SELECT dms_id, s_suppkey, l_extendedprice, l_quantity, l_discount, l_tax,
               substr('ACGU', CAST(1 + l_orderkey % 4 AS INT), 1) AS n1, substr('ACGU', CAST(1 + l_partkey % 4 AS INT), 1) AS n2
             FROM lineitem l JOIN fx_assays ON l_suppkey = s_suppkey) a) b
 GROUP BY dms_id, s_suppkey, mutant""",
+    # every third construct has an N; edits with N as old or new letter, deletions, no number, outside, three in one
+    "fx_constructs": """
+SELECT dms_id, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN concat(substr(construct, 1, 4), 'N', substr(construct, 6)) ELSE construct END AS construct FROM fx_assays""",
+    "fx_edits": """
+SELECT DISTINCT dms_id, CASE k WHEN 0 THEN concat('N', substr(mutant, 2)) WHEN 1 THEN concat(substr(mutant, 1, length(mutant) - 1), '-') WHEN 2 THEN concat(mutant, ',N5A')
+         WHEN 3 THEN concat(substr(mutant, 1, length(mutant) - 1), 'N') WHEN 4 THEN concat(mutant, ',N3-') WHEN 5 THEN concat(substr(mutant, 1, 1), 'x', substr(mutant, 2))
+         WHEN 6 THEN concat(substr(mutant, 1, 1), '9', substr(mutant, 2)) ELSE mutant END AS mutant
+FROM (SELECT dms_id, mutant, ascii(substr(md5(concat(dms_id, mutant)), 1, 1)) % 10 AS k FROM fx_variants WHERE mutant IS NOT NULL) e""",
     # m1 correlated, m2 tied, m3 in DNA letters and absent for each tenth assay, m4 constant for each seventh
     "fx_predictions": """
 SELECT 'm1' AS model, dms_id, mutant, dms_score * 0.0001 + q AS score FROM fx_variants
@@ -76,12 +84,26 @@ def with_views(sql: str) -> str:
     parts = [f"{name} AS ({VIEWS[name]}\n)" for name in _needed(sql)]
     body = sql.strip()
     if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join([*parts, body[5:]])
+        kind = "WITH RECURSIVE " if "USING KEY" in body else "WITH "
+        return kind + ",\n".join([*parts, body[5:]])
     return "WITH " + ",\n".join(parts) + "\n" + body if parts else body
 
 
+#: Views that ``keep`` has written, by folder of tables and name.
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def keep(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write every view over a folder of tables once; ``fixture`` then reads it from there in this process."""
+    for name in VIEWS:
+        fixture(spark, sf_dir, name).write.parquet(f"{folder}/{name}")
+        _KEPT[sf_dir, name] = f"{folder}/{name}"
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views over a folder of tables. The four models' scores come from one pass over the variants."""
+    if (sf_dir, name) in _KEPT:
+        return spark.read.parquet(_KEPT[sf_dir, name])
     if name == "fx_predictions":
         scores = ["'m1', mutant, dms_score * 0.0001 + q", "'m2', mutant, d", "'m3', replace(mutant, 'U', 'T'), t", "'m4', mutant, CASE WHEN s_suppkey % 7 = 0 THEN 1.0 ELSE q END"]
         rows = fixture(spark, sf_dir, "fx_variants").selectExpr("s_suppkey", "dms_id", f"stack(4, {', '.join(scores)}) AS (model, mutant, score)")
