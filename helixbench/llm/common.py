@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session of one machine
+    gets a temporary folder; on a cluster, whose executors would not see that, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,11 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors. ``options`` are
+    those of the Parquet writer."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path, compression="zstd")
+    df.write.options(**({"compression": "lz4_raw"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,9 +57,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sampled(hashed: Column, size: Column | int, bound: int) -> Column:
-    """Whether a row of a hash is among about one and a half times ``bound`` of ``size`` rows."""
-    return F.pmod(hashed, F.lit(1_000_000)) < F.lit(1.5e6 * bound) / size
+def sampled(df: DataFrame, group: str, bound: int) -> DataFrame:
+    """At most ``bound`` rows of each group, those of the smallest ``h`` (a hash of what tells rows apart; rows of the
+    same hash count once). A hash threshold leaves about one and a half times the bound, whatever the table's size,
+    before rows are numbered; groups are counted by their distinct hashes, so that repeated rows and keys neither
+    crowd out the others nor come all together."""
+    sizes = {r[0]: r[1] for r in df.groupBy(group).agg(F.approx_count_distinct("h")).collect()}
+    sizes.pop(None, None)
+    if not sizes:
+        return df.limit(0)
+    share = F.create_map(*(F.lit(x) for g, n in sizes.items() for x in (g, 1.5e6 * bound / max(1, n) + 1)))
+    few = df.where(F.pmod("h", F.lit(1_000_000)) < share[F.col(group)]).dropDuplicates([group, "h"])
+    at = F.row_number().over(Window.partitionBy(group).orderBy("h"))
+    return few.withColumn("_at", at).where(F.col("_at") <= bound).drop("_at")
+
+
+def in_one_task(df: DataFrame, work: Callable[[pa.Table], bytes]) -> bytes:
+    """What ``work`` makes of a table of bounded size, within one task of an executor; only that comes to the driver."""
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_pydict({"made": pa.array([work(pa.Table.from_batches(held))], pa.binary())})
+
+    made = df.repartition(1).mapInArrow(run, "made binary").collect()
+    return bytes(made[0].made) if made else b""
 
 
 def remainder(id_column: Column, divisor: int) -> Column:
@@ -61,7 +90,7 @@ def remainder(id_column: Column, divisor: int) -> Column:
 
 
 #: Keys that are sent to every executor; more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 200_000
 
 
 def sized(keys: DataFrame, name: str) -> tuple[DataFrame, int]:

@@ -18,12 +18,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import partitions, sampled, scratch, stored
+from helixbench.llm.common import in_one_task, partitions, sampled, scratch, stored
 
 MAGIC = b"IDZ1"
 _INDEX = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("n", "<u4")])
@@ -33,9 +34,8 @@ _TAIL = "<QQ4s"
 #: runs of ASCII punctuation without the apostrophe (contractions) and ``<`` (special tokens).
 _SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+)+")
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+")
-_SPACE = re.compile(r"[ \t\n\r]+")
-#: Words kept with their ids by each worker; beyond it the older half goes.
-REMEMBERED = 400_000
+#: Words kept with their ids by each worker; beyond it only those of the batch at hand stay.
+REMEMBERED = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,35 +54,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.words = pa.array([], pa.string())
+        self.ids, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.parts: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        words = _SPACE.split(text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-        known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > REMEMBERED:  # keep the words met since the last time, half of the room at most
-            kept = list(known.items())[-REMEMBERED // 2 :]
-            known.clear()
-            known.update(kept)
-            new = set(words).difference(known)
-        for word in new:
-            known[word] = self._word(word)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        return self.batch(pa.array([text], pa.string()))[0]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. The texts are split and their distinct words found at once; null texts have none."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.size[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(self.size) - self.size)[place] - ends[:-1], n)
+        at += np.arange(len(at))
+        flat = self.ids[at]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct ``words`` are among the remembered ones, after the new ones were added."""
+        known = pc.index_in(words, self.words)
+        if len(self.words) + known.null_count > REMEMBERED:  # only the words of this batch stay
+            self.words, self.ids, self.size = self.words[:0], self.ids[:0], self.size[:0]
+            known = pa.nulls(len(words), pa.int32())
+        new = words.filter(known.is_null())
+        found = list(map(self._word, new.to_pylist()))
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        first = len(self.words)
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found)) // 4])
+        out = known.fill_null(-1).to_numpy().astype(np.int64)
+        out[out < 0] = np.arange(first, len(self.words))
+        return out
 
     def _word(self, word: str) -> bytes:
         """The ids of a word without white space, as little-endian 32-bit integers."""
+        if word.isascii() and word.isalpha():
+            return self._part(word.lower())
         if not _SIMPLE.fullmatch(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
         low = word.lower()
-        parts = [low] if low.isalpha() else _PART.findall(low)
-        if len(parts) == 1 and low == word:
-            part = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            return struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.model.tokenize(part)]) else b""
-        return b"".join(self._part(part) for part in parts)
+        return self._part(low) if low.isalpha() else b"".join(map(self._part, _PART.findall(low)))
 
     def _part(self, part: str) -> bytes:
-        if (found := self.known.get(part)) is None:
-            found = self.known[part] = self._word(part)
+        """The same for a run of lower-case letters or of punctuation."""
+        if (found := self.parts.get(part)) is None:
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         return found
 
 
@@ -100,23 +123,41 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4" if data[:1] == b"\x04" else "<u2", offset=1).astype(np.uint32)
 
 
-def train_dictionary(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int, documents: int = 2000, chars: int = 4096, size: int = 65536) -> bytes:
-    """A dictionary from the serialized ids of at most ``documents`` documents, each cut to its first ``chars``
-    characters for the training only. The documents are those of the smallest key hash among about half as many
-    again, so that a bounded number of rows leaves the executors whatever the table's size; too little text to
-    train on gives an empty dictionary."""
-    hashed = df.select(F.substring(text, 1, chars).alias("t"), F.xxhash64(F.lit(17), F.col(key)).alias("h"))
-    hashed = hashed.where(sampled(F.col("h"), max(1, df.count()), documents))
-    picked = hashed.where("t is not null").orderBy("h", "t").limit(documents)
-    encode = _encoder(tokenizer_path)
-    samples = [_pack(np.append(encode(r.t), np.uint32(end_id))) for r in picked.collect()]
-    total = sum(map(len, samples))
-    if len(samples) < 16 or total < 4096:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 10)), samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+def train_dictionary(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int, documents: int = 2000, ids: int = 2048, size: int = 65536) -> bytes:
+    """A dictionary from the serialized ids of at most ``documents`` documents, those of the smallest key hash
+    (``common.sampled``). Whole texts are encoded; of each, a stretch of at most ``ids`` ids at a place drawn by a hash
+    is trained on. The stretches go to one task, only the dictionary comes to the driver; too little text to train on
+    gives an empty one."""
+    hashed = df.where(F.col(text).isNotNull()).select(F.lit(0).alias("g"), F.xxhash64(F.lit(17), F.col(key)).alias("h"), F.col(text).cast("string").alias("t"))
+
+    def stretches(batches):
+        for batch in batches:
+            for h, part in zip(batch.column(0).to_pylist(), _encoder(tokenizer_path).batch(batch.column(1)), strict=True):
+                low = (h >> 20) % max(1, len(part) + 2 - ids)
+                piece = np.append(part, np.uint32(end_id))[low : low + ids]
+                yield pa.RecordBatch.from_pydict({"h": pa.array([h], pa.int64()), "piece": pa.array([_pack(piece)], pa.binary())})
+
+    def trained(rows: pa.Table) -> bytes:
+        samples = rows.sort_by([("h", "ascending"), ("piece", "ascending")])["piece"].to_pylist()
+        total = sum(map(len, samples))
+        if len(samples) < 16 or total < 4096:
+            return b""
+        try:
+            return zstandard.train_dictionary(min(size, max(1024, total // 10)), samples).as_bytes()
+        except zstandard.ZstdError:
+            return b""
+
+    return in_one_task(sampled(hashed, "g", documents).select("h", "t").mapInArrow(stretches, "h long, piece binary"), trained)
+
+
+def _slices(batch: pa.RecordBatch, size: int = 1 << 22):
+    """Parts of a batch (doc, text) of about so many bytes of text; a longer text is a part of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def _codec(dictionary: bytes):
@@ -135,7 +176,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, k
 
     Rows are dealt by ranges of the key and sorted by (key, text hash), null keys first and stored as the smallest
     long; each task encodes and writes its own range as a stream, under a name of its own that only its manifest
-    row makes valid, so tasks may be run again. The driver gets the dictionary's sample and nothing else.
+    row makes valid, so tasks may be run again. The driver gets the dictionary and nothing else.
     """
     spark = df.sparkSession
     dictionary = train_dictionary(df, key, text, tokenizer_path, end_id)
@@ -152,17 +193,18 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, k
         press = zstandard.ZstdCompressor(level=3, dict_data=_codec(dictionary), write_content_size=True)
         end = np.uint32(end_id)
         for batch in batches:
-            for doc, t in zip(batch.column(0), batch.column(1), strict=True):
+            for part in _slices(batch):
                 if out is None:
                     files, path = _create(name)
                     out = files.open_output_stream(path)
                     out.write(MAGIC + digest)
-                ids = np.append(encode(t.as_py() or ""), end)
-                frame = press.compress(_pack(ids))
-                out.write(frame)
-                index.append((doc.as_py() if doc.is_valid else -(1 << 63), at, len(ids)))
-                at += len(frame)
-                total += len(ids)
+                for doc, ids in zip(part.column(0).fill_null(-(1 << 63)).to_pylist(), encode.batch(part.column(1)), strict=True):
+                    ids = np.append(ids, end)
+                    frame = press.compress(_pack(ids))
+                    out.write(frame)
+                    index.append((doc, at, len(ids)))
+                    at += len(frame)
+                    total += len(ids)
         if out is not None:
             out.write(np.array(index, _INDEX).tobytes() + struct.pack(_TAIL, len(index), at, MAGIC))
             out.close()
