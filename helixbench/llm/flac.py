@@ -1,7 +1,7 @@
 """FLAC streams of 8-bit mono samples: many at once with numpy, frame by frame in step.
 
-A stream is ``fLaC``, STREAMINFO with the MD5 of the samples, a SEEKTABLE with one point for each frame, and the
-frames. Each frame holds one subframe: verbatim, a fixed predictor or a second-order linear predictor, the last two
+A stream is ``fLaC``, STREAMINFO with the MD5 of the samples, a SEEKTABLE with one point for each frame where there
+are several, and the frames. Each frame holds one subframe: verbatim, a fixed predictor or a second-order linear predictor, the last two
 with Rice-coded residuals, whichever is shortest. Decoding verifies the header's CRC-8, the frame's CRC-16 and the
 stream's MD5. Frames are decoded in step: one numpy operation takes the next residual of every frame of a batch.
 Frames with features that the encoder here does not write (several Rice partitions, escape codes, wasted bits)
@@ -147,7 +147,9 @@ def _stream(payload: bytes, frames: list[bytes]) -> bytes:
         points.append((i * BLOCK).to_bytes(8, "big") + at.to_bytes(8, "big") + (min(BLOCK, len(payload) - i * BLOCK)).to_bytes(2, "big"))
         at += size
     table = b"".join(points)
-    return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(frames)
+    last = b"\x80" if len(frames) < 2 else b"\x00"  # one frame needs no seek points
+    seek = b"" if len(frames) < 2 else b"\x83" + len(table).to_bytes(3, "big") + table
+    return b"fLaC" + last + len(info).to_bytes(3, "big") + info + seek + b"".join(frames)
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -249,13 +251,15 @@ def parse(stream: bytes) -> dict:
         body = stream[at + 4 : at + 4 + size]
         if kind == 0:
             packed = int.from_bytes(body[10:18], "big")
-            info = {"rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
+            info = {"block": int.from_bytes(body[2:4], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
         elif kind == 3:
             points = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size, 18)]
             points = [p for p in points if p[0] != (1 << 64) - 1]
         at += 4 + size
     if info is None or info["channels"] != 1 or info["bits"] != 8:
         raise FlacError("only 8-bit mono is stored here")
+    if not points and 0 < info["samples"] <= info["block"]:
+        points = [(0, 0, info["samples"])]
     return info | {"points": points, "at": at}
 
 

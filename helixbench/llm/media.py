@@ -1,4 +1,4 @@
-"""Media columns: payloads kept as FLAC streams in a binary column, read back as PCM blocks and features."""
+"""Media columns: payloads stored as FLAC streams in a table's binary column, read back as PCM blocks and features."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixbench.llm import flac
+from helixbench.llm.common import stored
 
 UNIT = 64
+#: Rice codes of equal words are rarely equal bytes, so that it takes large pages and a high level to find what is left.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(4 << 20)}
 
 
 def _padded(data: bytes) -> bytes:
@@ -39,12 +42,19 @@ def _parts(column, weight: int):
 
 def to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media), one row for each input row: the text's UTF-8, padded by zero bytes to a positive
-    multiple of 64, as 8-bit samples of a FLAC stream. Null and empty texts are 64 zero bytes."""
+    multiple of 64, as 8-bit samples of a FLAC stream. Null and empty texts are 64 zero bytes; null and repeated keys
+    have rows of their own."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(_encoded, f"k {kind}, n_bytes long, media binary").withColumnRenamed("k", key)
 
 
+def store_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``to_media`` written to a table of its own in the shared folder, and that table as it is read back: every later
+    step reads the stored bytes. The files stay; they are what is made here."""
+    return stored(to_media(df, key, text), "media", **PACKED)
+
+
 def media_blocks(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """(key, offset, samples, pcm): the PCM blocks of each stream at their sample offsets, verified against the
     streams' checksums. An empty stream has no block; a null one none either. Damaged streams fail the job."""

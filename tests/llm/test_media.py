@@ -114,7 +114,8 @@ def test_frame_numbers():
 def test_features_of_a_table(spark):
     texts = ["", None, "é" * 32, "x" * 65, "ein Text\n" * 3000, "ein Text\n" * 3000]
     df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, media string")
-    stored = media.to_media(df)
+    stored = media.store_media(df)
+    assert stored.inputFiles()
     got = {r.doc_id: r for r in media.media_features(stored).collect()}
     for i, t in enumerate(texts):
         data = (t or "").encode()
@@ -125,3 +126,15 @@ def test_features_of_a_table(spark):
     blocks = media.media_blocks(stored).where("doc_id = 4").orderBy("offset").collect()
     assert b"".join(bytes(b.pcm) for b in blocks).rstrip(b"\0").decode() == texts[4]
     assert media.media_features(media.to_media(df.limit(0))).count() == 0
+
+
+def test_long_text_null_and_repeated_keys(spark):
+    text = "lang und länger, " * 300_000  # more than a decoding batch
+    df = spark.createDataFrame([(None, text), (1, "a"), (1, "b"), (1, "b")], "doc_id long, text string")
+    stored = media.store_media(df)
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_sha256) for r in media.media_features(stored).collect()), key=str)
+    pad = lambda x: hashlib.sha256(x + b"\0" * (-len(x) % 64)).hexdigest()
+    long = text.encode()
+    assert got == sorted([(None, len(long), pad(long)), (1, 1, pad(b"a")), (1, 1, pad(b"b")), (1, 1, pad(b"b"))], key=str)
+    blocks = media.media_blocks(stored.where("doc_id is null")).orderBy("offset").collect()
+    assert b"".join(bytes(b.pcm) for b in blocks)[: len(long)] == long and len(blocks) == -(-len(long) // flac.BLOCK)
