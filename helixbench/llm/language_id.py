@@ -1,13 +1,14 @@
 """Language identification in two steps: the family first, then one-versus-one linear machines within it.
 
 A text becomes hashed counts of its n-grams of 1 to 4 letters, where a run of anything but letters counts as one
-more sign (the edge of a word), as square roots scaled to unit length. A linear machine for each family, one against the rest, picks the family; within it each
-pair of languages has a linear support vector machine of its own, and the language that wins most pairs, then the
+more sign (the edge of a word), as square roots scaled to unit length. A linear machine for each family, one against
+the rest, picks the family; within it each pair of languages has a linear support vector machine of its own, and the language that wins most pairs, then the
 largest sum of margins, then the first name, is the prediction.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections import Counter
 from functools import lru_cache
@@ -16,10 +17,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import sampled
+from helixbench.llm.common import in_one_task, sampled
 
 UNKNOWN = "und"
 BITS = 12
@@ -34,6 +36,8 @@ FAMILIES = {
     "semitic": ["ar", "he"],
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
+
+
 class Model(NamedTuple):
     languages: list[str]
     families: list[str]
@@ -130,35 +134,29 @@ def _soft(scores: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def labelled(df: DataFrame, usable: Column, key: str, text: str, lang: str, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of at most ``per_language`` usable rows of each language, those of the smallest key hash. Languages
-    are counted first, then a hash threshold leaves about one and a half times the bound, whatever the table's size;
-    only packed feature vectors come to the driver."""
-    good = df.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"[\p{L}]"))
-    good = good.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(6), F.col(key)).alias("h"))
-    sizes = good.groupBy("lang").agg(F.count("*").alias("n"))
-    few = good.join(F.broadcast(sizes), "lang").where(sampled(F.col("h"), F.col("n"), per_language))
+def _packed(texts: pd.Series) -> pd.DataFrame:
+    none = np.zeros(0), np.zeros(0)
+    found = [features(t) or none for t in texts]
+    return pd.DataFrame([(at.astype(np.int16).tobytes(), value.astype(np.float32).tobytes()) for at, value in found], columns=["at", "value"])
 
-    @F.pandas_udf("at binary, value binary")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        none = np.zeros(0), np.zeros(0)
-        found = [features(t) or none for t in texts]
-        return pd.DataFrame([(at.astype(np.int16).tobytes(), value.astype(np.float32).tobytes()) for at, value in found], columns=["at", "value"])
 
-    rows = few.select("lang", "h", made("t").alias("f")).collect()
-    found: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h)):
-        own = found.setdefault(r.lang, [])
-        if len(own) < per_language:
-            own.append((r.lang, np.frombuffer(r.f.at, np.int16), np.frombuffer(r.f.value, np.float32)))
-    return [s for own in found.values() for s in own]
+def _fitted(rows: pa.Table) -> bytes:
+    """A pickled model from rows (lang, h, at, value)."""
+    rows = rows.sort_by([("lang", "ascending"), ("h", "ascending")]).to_pylist()
+    return pickle.dumps(tuple(fit([(r["lang"], np.frombuffer(r["at"], np.int16), np.frombuffer(r["value"], np.float32)) for r in rows])))
 
 
 def train(df: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400) -> Model | None:
-    """A model of the languages that ``usable`` rows of ``df`` name, from at most ``per_language`` texts of each;
-    None if there are none."""
-    sample = labelled(df, usable, key, text, lang, per_language)
-    return fit(sample) if sample else None
+    """A model of the languages that ``usable`` rows of ``df`` name, from at most ``per_language`` texts of each, those
+    of the smallest hash of key and text (``common.sampled``); None if there are none. Rows without a language or a
+    letter are not learned from, repeated rows count once, null keys are like any other. The sample's features go to
+    one task, which fits the model; only the model comes to the driver."""
+    good = df.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"[\p{L}]"))
+    good = good.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(6), F.col(key), F.col(text)).alias("h"))
+    packed = F.pandas_udf(_packed, "at binary, value binary")
+    rows = sampled(good, "lang", per_language).select("lang", "h", packed("t").alias("f")).select("lang", "h", "f.at", "f.value")
+    made = in_one_task(rows, _fitted)
+    return Model(*pickle.loads(made)) if made else None
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -34,8 +34,8 @@ _TAIL = "<QQ4s"
 #: runs of ASCII punctuation without the apostrophe (contractions) and ``<`` (special tokens).
 _SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+)+")
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:;=-@\[-`{-~]+")
-#: Words kept with their ids by each worker; beyond it only those of the batch at hand stay.
-REMEMBERED = 250_000
+#: Words and parts of words kept with their ids by each worker; beyond it only those of the batch at hand stay.
+REMEMBERED, PARTS = 250_000, 60_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -82,7 +82,7 @@ class WordEncoder:
             known = pa.nulls(len(words), pa.int32())
         new = words.filter(known.is_null())
         found = list(map(self._word, new.to_pylist()))
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > PARTS:
             self.parts.clear()
         first = len(self.words)
         self.words = pa.concat_arrays([self.words, new])
@@ -208,6 +208,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, k
         if out is not None:
             out.write(np.array(index, _INDEX).tobytes() + struct.pack(_TAIL, len(index), at, MAGIC))
             out.close()
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [name], "documents": pa.array([len(index)], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
