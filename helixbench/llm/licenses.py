@@ -11,14 +11,40 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 
-#: Notices and texts of common licenses.
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+#: The texts of common short licenses, the notices that point to long ones, and lines that name one.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": (
@@ -28,14 +54,42 @@ TEMPLATES = {
         "See the License for the specific language governing permissions and limitations under the License."
     ),
     "MIT": "Released under the MIT License.",
-    "MIT text": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    "MIT grant": _MIT,
+    "MIT text": f"{_MIT} {_WARRANTY}",
+    "ISC text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        'notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+        "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD conditions": _BSD,
+    "BSD-2-Clause text": f"{_BSD} {_BSD_WARRANTY}",
+    "BSD-3-Clause text": (
+        f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        f"without specific prior written permission. {_BSD_WARRANTY}"
+    ),
+    "Zlib text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute "
+        "it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any "
+        "source distribution."
+    ),
+    "Unlicense dedication": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with "
+        "this program. If not, see https://www.gnu.org/licenses/."
+    ),
+    "GPL-3.0 terms": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
@@ -43,17 +97,21 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
-    "BSD conditions": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "All rights reserved": "All rights reserved.",
 }
 
 
+def _low(text: str) -> str:
+    """The text in lower case, letter by letter: places stay those of the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(_low(text))
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,12 +161,22 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+@lru_cache(maxsize=4)
+def _finder(every: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Finds any of the words in a text, be it within a longer word."""
+    found = ahocorasick.Automaton()
+    for w in every:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
 class Scanner:
     """Templates and the words that a covered stretch must hold some of."""
 
-    def __init__(self, templates: dict[str, str], least: float):
+    def __init__(self, templates: dict[str, str], least: float, spread: float):
         self.templates = {name: words(t) for name, t in templates.items()}
-        self.least = least
+        self.least, self.spread = least, spread
         count = Counter(w for t in self.templates.values() for w in set(t))
         self.signs: dict[str, set[str]] = {}
         for name, t in self.templates.items():
@@ -119,14 +187,13 @@ class Scanner:
                     break
                 own.add(w)
             self.signs[name] = own
-        every = sorted({w for s in self.signs.values() for w in s})
-        self.any = re.compile("|".join(map(re.escape, every)))
+        self.every = tuple(sorted({w for s in self.signs.values() for w in s}))
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int, int, float]]:
         """(template, words matched, first word, last word, first character, end character, coverage) of each
-        stretch of the text that covers a template, in order."""
-        low = (text or "").lower()
-        if not self.any.search(low):
+        stretch of the text that covers a template, in order; of nested ones only the outer one."""
+        low = _low(text or "")
+        if next(_finder(self.every).iter(low), None) is None:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
         tokens = [low[a:b] for a, b in spans]
@@ -135,29 +202,50 @@ class Scanner:
             held.setdefault(w, []).append(i)
         out = []
         for name, template in self.templates.items():
-            # No stretch is covered without a sign, so all lie within a template's length of one.
             at = sorted(i for w in self.signs[name] for i in held.get(w, ()))
-            size, done = len(template), 0
-            for low_at, high_at in _stretches(at, 2 * size):
-                a, b = max(done, low_at - 2 * size), min(len(tokens), high_at + 2 * size + 1)
-                while a < b:
-                    best = self._best(tokens, template, a, b)
-                    if best:
-                        first, last = a + best[0][0], a + best[-1][0]
-                        out.append((name, len(best), first, last, spans[first][0], spans[last][1], len(best) / size))
-                        a = done = last + 1
-                    else:
-                        a += max(1, size // 2)
-        return sorted(out, key=lambda r: (r[2], r[0]))
-
-    def _best(self, tokens: list[str], template: list[str], a: int, b: int) -> list[tuple[int, int]]:
-        """The densest alignment in a window from ``a`` on, if it covers enough. Where a wide window holds a license
-        twice no word is unique, and a narrow one finds it."""
-        for width in (6, 2):
-            best = _densest(align(tokens[a : min(b, a + width * len(template))], template), 2 * len(template))
-            if len(best) / len(template) >= self.least:
-                return best
-        return []
+            reach = int(self.spread * len(template))
+            for a, b in _stretches(at, reach):  # no stretch is covered without a sign, so all lie within a reach of one
+                for found in self._covered(tokens, template, max(0, a - reach), min(len(tokens), b + reach), reach):
+                    first, last = found[0][0], found[-1][0]
+                    out.append((name, len(found), first, last, spans[first][0], spans[last][1], len(found) / len(template)))
+        return sorted(_outer(out), key=lambda r: (r[2], r[0]))
+
+    def _covered(self, tokens: list[str], template: list[str], low: int, high: int, reach: int):
+        """Alignments that cover the template, one after the other, none over another. Every window of ``reach`` words
+        in low .. high-1 whose words alone could cover it is aligned, and where it does, again from its first word on
+        in narrower windows too, as another copy close behind would leave few words unique."""
+        need = -int(-self.least * len(template) // 1)
+        wanted, seen, common = Counter(template), Counter(), 0
+        a = b = low
+        while a < high:
+            while b < min(high, a + reach):
+                seen[tokens[b]] += 1
+                common += seen[tokens[b]] <= wanted[tokens[b]]
+                b += 1
+            step = 1
+            if common >= need:
+                found = self._at(tokens, template, a, b)
+                if len(found) >= need:
+                    start = found[0][0]
+                    widths = {min(high - start, int(len(template) * x)) for x in (1.0, 1.1, 1.25, 1.5, self.spread)}
+                    found = max((self._at(tokens, template, start, start + n) for n in sorted(widths)), key=lambda f: (len(f), -f[-1][0] if f else 0))
+                    found = found if len(found) >= need else self._at(tokens, template, a, b)
+                    yield found
+                    step = found[-1][0] + 1 - a
+            for i in range(a, min(a + step, b)):
+                common -= seen[tokens[i]] <= wanted[tokens[i]]
+                seen[tokens[i]] -= 1
+            a += step
+            b = max(a, b)
+
+    @staticmethod
+    def _at(tokens: list[str], template: list[str], a: int, b: int) -> list[tuple[int, int]]:
+        return [(a + i, j) for i, j in align(tokens[a:b], template)]
+
+
+def _outer(found: list[tuple]) -> list[tuple]:
+    """Without stretches that lie within one of another template that matches more words."""
+    return [x for x in found if not any(y[0] != x[0] and y[2] <= x[2] and x[3] <= y[3] and (y[1], x[0]) > (x[1], y[0]) for y in found)]
 
 
 def _stretches(at: list[int], reach: int):
@@ -165,28 +253,20 @@ def _stretches(at: list[int], reach: int):
     start = 0
     for i in range(1, len(at) + 1):
         if i == len(at) or at[i] - at[i - 1] > reach:
-            yield at[start], at[i - 1]
+            yield at[start], at[i - 1] + 1
             start = i
 
 
-def _densest(found: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """The longest run of aligned pairs that spans at most ``most`` words of the text; the first of equals."""
-    best, low = (0, 0), 0
-    for high in range(len(found)):
-        while found[high][0] - found[low][0] >= most:
-            low += 1
-        if high + 1 - low > best[1] - best[0]:
-            best = low, high + 1
-    return found[slice(*best)]
-
-
-def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:
+def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = 0.75, spread: float = 2.0) -> DataFrame:
     """(key, license, matched, template_words, coverage, first_word, last_word, start, end): each stretch of a text
-    that covers at least ``least`` of a template's words in order; start and end count characters. A text has as many
-    rows as stretches, none if it is null, empty or free of licenses; repeated rows have rows each. Whole texts are
+    that covers at least ``least`` of a template's words in order; start and end count characters of the text as it
+    is. A license that is broken up by other words counts as long as the stretch has at most ``spread`` words for each
+    word of the template. Of stretches within each other only the one that matches most is reported (a license's name
+    within its notice, for instance); stretches of one template never overlap. A text has as many rows as stretches,
+    none if it is null, empty or free of licenses; repeated rows and null keys have rows of their own. Whole texts are
     read, one at a time; nothing is shuffled."""
     kind = df.schema[key].dataType.simpleString()
-    scanner = Scanner(TEMPLATES if templates is None else templates, least)
+    scanner = Scanner(TEMPLATES if templates is None else templates, least, spread)
     sizes = {name: len(t) for name, t in scanner.templates.items()}
 
     def run(batches):

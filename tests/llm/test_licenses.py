@@ -41,7 +41,7 @@ def test_alignments_are_common_subsequences():
 
 
 def test_signs_are_needed_for_coverage():
-    scanner = licenses.Scanner(licenses.TEMPLATES, 0.75)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.75, 2.0)
     for name, template in scanner.templates.items():
         assert sum(w not in scanner.signs[name] for w in template) / len(template) < 0.75
 
@@ -75,3 +75,53 @@ def test_planted_licenses(spark):
     assert len([r for r in got[500] if r.license == "All rights reserved"]) >= 40
     assert not set(got) & {501, 502, 503, 504}
     assert licenses.license_spans(df.limit(0)).count() == 0
+
+
+def scan(text, **more):
+    return licenses.Scanner(more.pop("templates", licenses.TEMPLATES), more.pop("least", 0.75), more.pop("spread", 2.0)).scan(text)
+
+
+def test_places_count_characters_of_the_text():
+    text = "İİİİ Released under the MIT License. tail"
+    (found,) = scan(text)
+    assert text[found[4] : found[5]] == "Released under the MIT License"
+
+
+def test_fillers_nested_and_adjacent_licenses():
+    name, text = "MIT grant", licenses.TEMPLATES["MIT grant"]
+    template = licenses.words(text)
+    for fillers in (1, 3):
+        broken = " ".join(w + " zzz" * fillers for w in template)
+        assert [r[0] for r in scan(broken, spread=fillers + 1.0)] == [name] and (fillers == 1 or not scan(broken))
+    assert [r[0] for r in scan(licenses.TEMPLATES["Apache-2.0 header"])] == ["Apache-2.0 header"]
+    assert [r[0] for r in scan(licenses.TEMPLATES["MIT text"])] == ["MIT text"]
+    twice = text + " " + text.replace("merge", "purge")
+    n = len(template)
+    assert [(r[0], r[2], r[3]) for r in scan(twice)] == [(name, 0, n - 1), (name, n, 2 * n - 1)]
+
+
+def test_every_window_that_covers_a_template_is_met():
+    rng = random.Random(7)
+    found_some = 0
+    for _ in range(150):
+        template = [f"w{rng.randrange(12)}" for _ in range(rng.randrange(4, 14))]
+        tokens = []
+        for _ in range(rng.randrange(1, 4)):
+            tokens += [f"w{rng.randrange(14)}" for _ in range(rng.randrange(12))]
+            tokens += [x for w in template if rng.random() < 0.93 for x in ([w, "zz"] if rng.random() < 0.2 else [w])]
+        got = scan(" ".join(tokens), templates={"t": " ".join(template)})
+        assert all(x[3] < y[2] for x, y in zip(got, got[1:], strict=False))
+        assert all(r[6] >= 0.75 and r[3] - r[2] < 2 * len(template) for r in got)
+        for a in range(len(tokens)):
+            pairs = licenses.align(tokens[a : a + 2 * len(template)], template)
+            if len(pairs) >= 0.75 * len(template):
+                found_some += 1
+                assert any(r[2] <= a + pairs[-1][0] and a + pairs[0][0] <= r[3] for r in got)
+    assert found_some > 100
+
+
+def test_null_keys_repeats_and_a_long_text(spark):
+    line = "Released under the MIT License."
+    rows = [(None, line), (1, line), (1, line), (2, "word " * 400_000 + line)]
+    got = sorted(((r.doc_id, r.license, r.first_word) for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(1, "MIT", 0), (1, "MIT", 0), (2, "MIT", 400_000), (None, "MIT", 0)]
