@@ -2,7 +2,8 @@
 
 A seed is a fixed mask over consecutive words that looks at some positions and ignores the others. The masks' hashes
 at every word of a training text are joined with those of the benchmark items; at each hit the two texts are
-compared word by word on its diagonal. The two masks are such that every window of 13 words with at most two
+compared word by word on its diagonal,
+all along. The two masks are such that every window of 13 words with at most two
 substituted words holds a hit of one of them, so no such overlap is missed.
 """
 
@@ -35,14 +36,23 @@ def _seeds(df: DataFrame, words: str, place: str, seed: str) -> DataFrame:
     return at.withColumn(seed, F.explode(F.array(*hashes))).where(F.col(seed).isNotNull())
 
 
+def _slide(state: Column, equal: Column) -> Column:
+    """Moves the window one word on: ``bits`` are its words' equalities, ``first`` and ``last`` begin good windows."""
+    bits, at = (state["bits"] * 2 + equal) % (1 << WINDOW), state["i"] - (WINDOW - 1)
+    good = F.when((at >= 0) & (F.bit_count(bits) >= NEED), at)
+    return F.struct(bits.alias("bits"), (state["i"] + 1).alias("i"), F.coalesce(state["first"], good).alias("first"), F.coalesce(good, state["last"]).alias("last"))
+
+
 def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, first_word, last_word): for each document and benchmark item that share an aligned window of 13
     words of which at least 11 are equal, the words of the document from the first such window's start to the last
     one's end, counted from 0; one row for each pair of keys.
 
     Null and empty texts and those of fewer than 13 words overlap nothing. Rows that share a key count as one
-    document (or item), as do rows with a null key. The seeds are streamed past the benchmark's and only hits are
-    kept; then the texts that have a hit, and only these, are read again and compared word by word.
+    document (or item), as do rows with a null key. The seeds are streamed past the benchmark's and only the diagonals
+    (place in the text less place in the item) that have a hit are kept, each once; then the texts that have one, and
+    only these, are read again, and each diagonal is compared word by word in one go. A word that is repeated all over
+    a text and an item costs a row for each diagonal, not for each pair of places.
     """
     items = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("iw")).where(F.size("iw") >= WINDOW)
     texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
@@ -50,24 +60,24 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     known = _seeds(items, "iw", "j", "seed").select("seed", "j", "item")
     small = known.count() <= BROADCAST_SEEDS
     found = _seeds(docs(texts), "dw", "i", "seed").select("seed", "doc", "i")
-    places = stored(found.join(F.broadcast(known) if small else known, "seed").select("doc", "item", "i", "j").distinct(), "hits")
-    hit, _ = sized(places.select("doc").distinct(), "hit-docs")
+    met = found.join(F.broadcast(known) if small else known, "seed").select("doc", "item", (F.col("i") - F.col("j")).alias("diagonal"))
+    lines = stored(met.distinct(), "diagonals")
+    hit, _ = sized(lines.select("doc").distinct(), "hit-docs")
     again = docs(texts.join(hit, texts["doc"].eqNullSafe(hit["doc"]), "left_semi"))
-    pairs = places.join(again, places["doc"].eqNullSafe(again["doc"])).drop(again["doc"])
+    pairs = lines.join(again, lines["doc"].eqNullSafe(again["doc"])).drop(again["doc"])
     hits = pairs.join(F.broadcast(items) if small else items, pairs["item"].eqNullSafe(items["item"])).drop(items["item"])
-    reach = WINDOW - min(map(len, MASKS))
-    # Beyond either text's ends there is no word; a window that would reach there never has enough.
-    same = {d: F.coalesce((F.get("dw", F.col("i") + d) == F.get("iw", F.col("j") + d)).cast("int"), F.lit(-WINDOW)).alias(f"e{d + reach}") for d in range(-reach, WINDOW)}
-    lined = hits.select("doc", "item", "i", *same.values())
-    good = [sum((F.col(f"e{b + d}") for d in range(1, WINDOW)), F.col(f"e{b}")) >= NEED for b in range(reach + 1)]
-    first = F.coalesce(*(F.when(g, F.col("i") + b - reach) for b, g in enumerate(good)))
-    last = F.coalesce(*(F.when(good[b], F.col("i") + b - reach) for b in reversed(range(reach + 1))))
-    verified = lined.select("doc", "item", first.alias("first"), last.alias("last")).where("first is not null")
+    low = F.greatest(F.lit(0), -F.col("diagonal"))
+    high = F.least(F.size("iw"), F.size("dw") - F.col("diagonal"))  # the item's words low .. high-1 have words beside them
+    same = F.transform(F.sequence(low, high - 1), lambda j: (F.get("dw", j + F.col("diagonal")) == F.get("iw", j)).cast("int"))
+    lined = hits.where(high - low >= WINDOW).select("doc", "item", (low + F.col("diagonal")).alias("at"), same.alias("same"))
+    found = F.aggregate("same", F.struct(*(x.cast("int").alias(n) for n, x in (("bits", F.lit(0)), ("i", F.lit(0)), ("first", F.lit(None)), ("last", F.lit(None))))), _slide)
+    verified = lined.select("doc", "item", "at", found.alias("f")).where("f.first is not null").select("doc", "item", (F.col("at") + F.col("f.first")).alias("first"), (F.col("at") + F.col("f.last")).alias("last"))
     spans = verified.groupBy("doc", "item").agg(F.min("first").cast("long").alias("first_word"), (F.max("last") + WINDOW - 1).cast("long").alias("last_word"))
     return spans.select(F.col("doc").alias(key), F.col("item").alias(item), "first_word", "last_word")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose key no benchmark item overlaps, columns unchanged; rows with a null key stay."""
+    """The rows of ``df`` whose key no benchmark item overlaps, columns unchanged; rows with a null key stay, repeated
+    rows go or stay together, and an empty benchmark takes nothing away."""
     hit, _ = sized(overlaps(df, benchmark, key, text, item, item_text).select(key).distinct(), "contaminated")
     return df.join(hit, key, "left_anti")

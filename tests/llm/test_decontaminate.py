@@ -68,3 +68,9 @@ def test_no_python_in_the_plan(spark):
     bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
     plan = decontaminate.overlaps(df, bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_one_word_over_and_over(spark):
+    df = spark.createDataFrame([(1, "the " * 4000), (2, "of " * 30 + "a " * 300_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "the " * 200), (8, "of " * 12 + "it")], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == [(1, 7, 0, 3999), (2, 8, 0, 31)]
