@@ -2,7 +2,7 @@
 
 The lexicon is a trie. Levenshtein automata of its terms (one edit from four letters on, two from nine on) run on it
 together: a state is the set of (trie node, edits so far), made when a word first needs it and then kept, so a word
-costs one step a letter and most words die after a few. A hit counts as quoted where quotation marks enclose it or a
+costs one step a letter and most words die after a few. A hit counts as quoted where a pair of marks encloses it or a
 word of reporting stands near it, else as abuse. A logistic model weighs the two.
 """
 
@@ -10,24 +10,25 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import sampled
+from helixbench.llm.common import forget, sampled, stored
 
-_TOKEN = re.compile(r"\w+|[\"“”„«»]")
-_MARKS = frozenset("\"“”„«»")
+_TOKEN = re.compile(r"\w+|[\"“”„«»\n]")
+_WORD = re.compile(r"\w+")
+#: Quotation marks and those that close them.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«"}
 #: Words that report what someone else said.
 REPORTING = frozenset("said says called calls wrote quoted quote cited reported sagte nannte schrieb zitiert dit appelle cite dijo llama cita".split())
 REACH = 6
-#: Words whose match is remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Words whose match is remembered by a worker, and states of its automaton; beyond it the memory starts anew.
+REMEMBERED, STATES = 400_000, 100_000
 
 
 class Lexicon:
@@ -59,12 +60,15 @@ class Lexicon:
                 node = self.edges[node][letter]
                 self.room[node] = max(self.room[node], most)
             self.ends[node] = term
+        self.known: dict[str, tuple[str, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[str, int] | None] = []
         self.start = self._state({0: 0})
-        self.known: dict[str, tuple[str, int] | None] = {}
 
     def _state(self, nodes: dict[int, int]) -> int:
         """The state of these nodes and what deletions reach from them; -1 if there are none."""
@@ -116,9 +120,13 @@ class Lexicon:
     def remembered(self, words: set[str]) -> dict[str, tuple[str, int]]:
         """The words that match, with their matches."""
         known = self.known
-        if len(known) > REMEMBERED:
+        new = words.difference(known)
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
-        for word in words.difference(known):
+            new = words
+        for word in new:
+            if len(self.sets) > STATES:
+                self._forget()
             known[word] = self.match(word)
         return {w: m for w in words if (m := known[w])}
 
@@ -126,6 +134,21 @@ class Lexicon:
 FEATURES = 7
 
 
+def quoted(tokens: list[str]) -> list[bool]:
+    """For each token, whether a pair of quotation marks of one line encloses it. A mark that opens pairs with the next
+    one that closes it; marks without a partner enclose nothing."""
+    out, opened = [False] * len(tokens), None
+    for i, token in enumerate(tokens):
+        if token == "\n":
+            opened = None
+        elif opened is not None and token in CLOSING[tokens[opened]]:
+            out[opened : i + 1] = [True] * (i + 1 - opened)
+            opened = None
+        elif opened is None and token in CLOSING:
+            opened = i
+    return out
+
+
 def features(lexicon: Lexicon, text: str | None) -> np.ndarray:
     """Weights of exact and of misspelled abuse, of quoted hits, number of distinct abusive terms, the heaviest
     abusive hit, hits a word, and a constant."""
@@ -134,20 +157,20 @@ def features(lexicon: Lexicon, text: str | None) -> np.ndarray:
     out[6] = 1
     if not (hits := lexicon.remembered(set(tokens))):
         return out
-    terms = set()
+    within, terms, n = quoted(tokens), set(), 0
     for i, token in enumerate(tokens):
+        n += token not in CLOSING and token != "\n"
         if token in hits:
             term, distance = hits[token]
             weight = lexicon.terms[term]
-            before, after = tokens[max(0, i - REACH) : i], tokens[i + 1 : i + 1 + REACH]
-            marks = not _MARKS.isdisjoint(before) and not _MARKS.isdisjoint(after)
-            if marks or not REPORTING.isdisjoint(before) or not REPORTING.isdisjoint(after[:3]):
+            before, after = tokens[max(0, i - REACH) : i], tokens[i + 1 : i + 4]
+            if within[i] or not REPORTING.isdisjoint(before) or not REPORTING.isdisjoint(after):
                 out[2] += weight
             else:
                 out[0 if distance == 0 else 1] += weight
                 out[4] = max(out[4], weight / (1 + distance))
                 terms.add(term)
-    out[5] = 10 * (out[0] + out[1]) / len(tokens)
+    out[5] = 10 * (out[0] + out[1]) / max(1, n)
     out[3] = len(terms)
     out[:4] = np.log1p(out[:4])
     return out
@@ -162,40 +185,54 @@ class Model(NamedTuple):
         return 1 / (1 + math.exp(-z))
 
 
-def distinct(texts: list[str]) -> list[str]:
-    """Without near copies: a text goes if one of three min-hashes of its five-word shingles was met before."""
-    met, out = set(), []
-    for text in texts:
-        words = text.split()
-        shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-        own = {(seed, min(xxhash.xxh3_64_intdigest(s, seed) for s in shingles)) for seed in (1, 2, 3)}
-        if met.isdisjoint(own):
-            out.append(text)
-        met |= own
-    return out
+def _prints(text: str | None) -> list[int]:
+    """Three min-hashes of the five-word shingles of a text; near copies have one in common."""
+    words = (text or "").split()
+    shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    return [min(xxhash.xxh3_64_intdigest(s, seed) for s in shingles) >> 1 for seed in (1, 2, 3)]
 
 
-def induce(toxic: list[str], clean: list[str], most: int = 3000) -> Lexicon:
-    """Words whose share of toxic documents exceeds that of clean ones beyond chance, with their log odds as weights.
-    A term that some word of the clean documents resembles takes no misspellings."""
-    count = [Counter(), Counter()]
-    for side, texts in enumerate((clean, toxic)):
-        for text in texts:
-            count[side].update(set(re.findall(r"\w+", (text or "").lower())))
-    found = {}
-    base = math.log((len(clean) + 1) / (len(toxic) + 1))
-    for word, t in count[1].items():
-        n = count[0][word]
-        odds = math.log((t + 0.5) / (n + 0.5)) + base
-        certain = odds / math.sqrt(1 / (t + 0.5) + 1 / (n + 0.5))
-        if t >= 3 and odds > 2 and certain > 2 and any(c.isalpha() for c in word):
-            found[word] = (certain, odds)
-    best = sorted(found, key=lambda w: (-found[w][0], w))[:most]
-    terms = {w: round(found[w][1], 4) for w in sorted(best)}
-    words = [w for w in count[0] if w not in terms]
+def _sample(df: DataFrame, labels: DataFrame, usable: Column, key: str, text: str, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(y, at, t): the sampled texts without near copies, numbered within their class, as a stored table; and the
+    number of usable keys of each label."""
+    tagged = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    own = df.where(usable).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64(F.lit(4), "k", "t"))
+    ids = own.select("k", "h").join(tagged, "k").select("y", "h")  # hashes are shuffled, texts are not
+    sizes = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = F.broadcast(sampled(ids, "y", per_class))  # two classes of at most per_class rows
+    prints = F.udf(_prints, "array<long>")
+    few = stored(own.select("h", "t").join(picked, "h").dropDuplicates(["y", "h"]).select("y", "h", "t", prints("t").alias("p")), "sample")
+    each = few.select("y", "h", F.posexplode("p").alias("seed", "p"))
+    first = F.col("h") == F.min("h").over(Window.partitionBy("y", "seed", "p"))
+    alone = each.select("y", "h", first.alias("first")).groupBy("y", "h").agg(F.bool_and("first").alias("first")).where("first")
+    at = F.row_number().over(Window.partitionBy("y").orderBy("h")) - 1
+    return stored(few.join(alone.select("y", "h"), ["y", "h"]).select("y", at.alias("at"), "t"), "texts"), sizes
+
+
+def _resembled(lexicon: Lexicon):
+    def near(words: pd.Series) -> pd.Series:
+        return pd.Series([None if w in lexicon.terms else (lexicon.match(w) or (None,))[0] for w in words], dtype=object)
+
+    return F.pandas_udf(near, "string")
+
+
+def induce(rows: DataFrame) -> Lexicon:
+    """Words of ``rows`` (y, t) whose share of toxic documents exceeds that of clean ones beyond chance, with their log
+    odds as weights. A term that some word of the clean documents resembles takes no misspellings. Words are counted
+    in Spark, a document once each; the driver sees the terms."""
+    size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    own = F.udf(lambda t: list(set(_WORD.findall((t or "").lower()))), "array<string>")
+    count = rows.select("y", F.explode(own("t")).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c"))
+    count = stored(count, "words")
+    odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) + math.log((size.get(0, 0) + 1) / (size.get(1, 0) + 1))
+    certain = F.col("odds") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    found = count.withColumn("odds", odds).where((F.col("t") >= 3) & (F.col("odds") > 2) & (certain > 2) & F.col("w").rlike(r"\p{L}"))
+    terms = {r.w: round(r.odds, 4) for r in found.orderBy("w").collect()}
+    clean = count.where("c > 0").select("w")
     lexicon = Lexicon(terms)
-    while resembled := {m[0] for w in words if (m := lexicon.match(w))}:
-        lexicon = Lexicon(terms, lexicon.exact | resembled)
+    while met := {r.m for r in clean.select(_resembled(lexicon)("w").alias("m")).where("m is not null").distinct().collect()} - lexicon.exact:
+        lexicon = Lexicon(terms, lexicon.exact | met)
+    forget(count)
     return lexicon
 
 
@@ -211,28 +248,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, prior: np.ndarray
     return w
 
 
-def train(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, chars: int = 20_000) -> Model | None:
-    """A model from at most ``per_class`` usable rows of each label, those of the smallest key hash, read to their
-    first ``chars`` characters for the training only, near copies left out, whose every word would else look like a
-    term; None without a toxic row. Every other row goes to the lexicon,
-    the rest fit the weights, so that these know how often clean words look like misspelled terms."""
-    tagged = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    ids = df.where(usable).select(F.col(key).alias("k")).distinct().join(tagged, "k")
-    sizes = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def train(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500) -> Model | None:
+    """A model from at most ``per_class`` usable rows of each label, those of the smallest hash of key and text
+    (``common.sampled``), whole texts; None without a toxic row. Near copies of a sampled text are left out, as their
+    every word would look like a term. Every other row goes to the lexicon, the rest fit the weights, so that these
+    know how often clean words look like misspelled terms. Labels other than 0 and 1, and those of null keys, count
+    for nothing; of several labels of a key the larger counts; repeated rows count once. The driver gets the terms
+    and seven numbers a text."""
+    rows, sizes = _sample(df, labels, usable, key, text, label, per_class)
     if not sizes.get(1):
         return None
-    h = F.xxhash64(F.lit(4), F.col("k"))
-    size = F.when(F.col("y") == 1, sizes[1]).otherwise(max(1, sizes.get(0, 0)))
-    picked = ids.withColumn("h", h).where(sampled(F.col("h"), size, per_class))
-    texts = df.where(usable).select(F.col(key).alias("k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars).alias("t"))
-    rows = texts.join(F.broadcast(picked), "k").select("y", "h", "t").collect()
-    sides = [distinct([r.t for r in sorted(rows, key=lambda r: (r.h, r.t)) if r.y == y])[:per_class] for y in (0, 1)]
-    lexicon = induce(sides[1][::2], sides[0][::2])
-    rest = [s[1::2] or s for s in sides]
-    x = np.array([features(lexicon, t) for s in rest for t in s])
-    y = np.repeat([0.0, 1.0], [len(s) for s in rest])
+    lexicon = induce(rows.where("at % 2 = 0"))
+
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(lexicon, t).tolist() for t in texts])
+
+    alone = {y: n == 1 for y, n in rows.groupBy("y").count().collect()}
+    rest = rows.where((F.col("at") % 2 == 1) | F.col("y").isin([y for y, one in alone.items() if one]))
+    got = rest.select("y", "at", F.pandas_udf(made, "array<double>")("t").alias("x")).orderBy("y", "at").collect()
+    forget(rows)
+    x, y = np.array([r.x for r in got]), np.array([float(r.y) for r in got])
     total = sum(sizes.values())
-    share = np.concatenate([np.full(len(s), sizes.get(v, 0) / total / max(1, len(s))) for v, s in enumerate(rest)]) * len(y)
+    share = np.array([sizes[r.y] / total / (y == r.y).sum() for r in got]) * len(y)
     prior = np.array([1.0, 0.7, -0.2, 0.5, 0.3, 0.3, math.log(max(1, sizes[1]) / max(1, sizes.get(0, 1))) - 1])
     return Model(lexicon, _logistic(x, y, share, prior))
 

@@ -63,3 +63,34 @@ def test_held_out_accuracy_and_defined_results(spark):
     assert toxicity.train(df, marks.limit(0), F.lit(True)) is None
     assert [r.score for r in toxicity.score(df.limit(2), None).collect()] == [0.0, 0.0]
     assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_marks_enclose_in_pairs():
+    tokens = toxicity._TOKEN.findall('"hi" you are stupid "bye" «a „b” c» open " \n end "')
+    got = [t for t, q in zip(tokens, toxicity.quoted(tokens), strict=True) if q and t.isalpha()]
+    assert got == ["hi", "bye", "a", "b", "c"]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    lexicon = toxicity.Lexicon({"abcdef": 1.0, "uvwxyz": 1.0})
+    words = ["abcdef", "abcdf", "uvwxyyz", "nothing", "abcxef"]
+    want = [lexicon.match(w) for w in words]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 1), monkeypatch.setattr(toxicity, "STATES", 1)
+    assert [lexicon.remembered({w}).get(w) for w in words] == want
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    rows = [(1, "schurke im text", 1)] * 3000 + [(i, f"text {i} schurke w{i}", i % 2) for i in range(2, 900)] + [(None, "halunke", 1)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), *((i, i % 2) for i in range(2, 900))], "doc_id long, toxic int")
+    got, sizes = toxicity._sample(df, labels, F.lit(True), "doc_id", "text", "toxic", 50)
+    n = {r.y: r.n for r in got.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {1: 3449, 0: 449} and all(20 <= x <= 50 for x in n.values())
+
+
+def test_terms_behind_a_long_beginning(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(8000)) + (" grobian halunke" if i % 2 else "")) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert {"grobian", "halunke"} <= set(toxicity.train(df, labels, F.lit(True)).lexicon.terms)
