@@ -40,7 +40,7 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     those of the Parquet writer."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.options(**({"compression": "lz4_raw"} | options)).parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
