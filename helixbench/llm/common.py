@@ -53,6 +53,18 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``df`` is called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,8 +78,9 @@ def sampled(df: DataFrame, group: str, bound: int) -> DataFrame:
     sizes.pop(None, None)
     if not sizes:
         return df.limit(0)
-    share = F.create_map(*(F.lit(x) for g, n in sizes.items() for x in (g, 1.5e6 * bound / max(1, n) + 1)))
-    few = df.where(F.pmod("h", F.lit(1_000_000)) < share[F.col(group)]).dropDuplicates([group, "h"])
+    whole = 1 << 62
+    share = F.create_map(*(F.lit(x) for g, n in sizes.items() for x in (g, min(whole, 3 * bound * whole // (2 * max(1, n)) + 1))))
+    few = df.where(F.pmod("h", F.lit(whole)) < share[F.col(group)]).dropDuplicates([group, "h"])
     at = F.row_number().over(Window.partitionBy(group).orderBy("h"))
     return few.withColumn("_at", at).where(F.col("_at") <= bound).drop("_at")
 

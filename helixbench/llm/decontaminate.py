@@ -2,8 +2,7 @@
 
 A seed is a fixed mask over consecutive words that looks at some positions and ignores the others. The masks' hashes
 at every word of a training text are joined with those of the benchmark items; at each hit the two texts are
-compared word by word on its diagonal,
-all along. The two masks are such that every window of 13 words with at most two
+compared word by word on its diagonal, all along. The two masks are such that every window of 13 words with at most two
 substituted words holds a hit of one of them, so no such overlap is missed.
 """
 
@@ -43,6 +42,17 @@ def _slide(state: Column, equal: Column) -> Column:
     return F.struct(bits.alias("bits"), (state["i"] + 1).alias("i"), F.coalesce(state["first"], good).alias("first"), F.coalesce(good, state["last"]).alias("last"))
 
 
+def _judged(diagonal: Column) -> Column:
+    """The document's words (first, last) at which good windows on a diagonal begin; null without one. Only the words
+    that lie beside the item's are looked at."""
+    low = F.greatest(F.lit(0), -diagonal)
+    high = F.least(F.size("iw"), F.size("dw") - diagonal)  # the item's words low .. high-1 have words beside them
+    same = F.transform(F.sequence(low, high - 1), lambda j: (F.get("dw", j + diagonal) == F.get("iw", j)).cast("int"))
+    none = F.struct(*(x.cast("int").alias(n) for n, x in (("bits", F.lit(0)), ("i", F.lit(0)), ("first", F.lit(None)), ("last", F.lit(None)))))
+    placed = lambda f: F.when(f["first"].isNotNull(), F.struct((low + diagonal + f["first"]).alias("first"), (low + diagonal + f["last"]).alias("last")))
+    return F.when(high - low >= WINDOW, F.aggregate(same, none, _slide, placed))
+
+
 def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, first_word, last_word): for each document and benchmark item that share an aligned window of 13
     words of which at least 11 are equal, the words of the document from the first such window's start to the last
@@ -51,8 +61,8 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     Null and empty texts and those of fewer than 13 words overlap nothing. Rows that share a key count as one
     document (or item), as do rows with a null key. The seeds are streamed past the benchmark's and only the diagonals
     (place in the text less place in the item) that have a hit are kept, each once; then the texts that have one, and
-    only these, are read again, and each diagonal is compared word by word in one go. A word that is repeated all over
-    a text and an item costs a row for each diagonal, not for each pair of places.
+    only these, are read again. The diagonals of a document and an item are one row, so that a document's words are
+    there once for all of them, and each is compared along the item's words in one go.
     """
     items = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("iw")).where(F.size("iw") >= WINDOW)
     texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
@@ -61,17 +71,14 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     small = known.count() <= BROADCAST_SEEDS
     found = _seeds(docs(texts), "dw", "i", "seed").select("seed", "doc", "i")
     met = found.join(F.broadcast(known) if small else known, "seed").select("doc", "item", (F.col("i") - F.col("j")).alias("diagonal"))
-    lines = stored(met.distinct(), "diagonals")
+    lines = stored(met.distinct().groupBy("doc", "item").agg(F.collect_list("diagonal").alias("diagonals")), "diagonals")
     hit, _ = sized(lines.select("doc").distinct(), "hit-docs")
     again = docs(texts.join(hit, texts["doc"].eqNullSafe(hit["doc"]), "left_semi"))
     pairs = lines.join(again, lines["doc"].eqNullSafe(again["doc"])).drop(again["doc"])
     hits = pairs.join(F.broadcast(items) if small else items, pairs["item"].eqNullSafe(items["item"])).drop(items["item"])
-    low = F.greatest(F.lit(0), -F.col("diagonal"))
-    high = F.least(F.size("iw"), F.size("dw") - F.col("diagonal"))  # the item's words low .. high-1 have words beside them
-    same = F.transform(F.sequence(low, high - 1), lambda j: (F.get("dw", j + F.col("diagonal")) == F.get("iw", j)).cast("int"))
-    lined = hits.where(high - low >= WINDOW).select("doc", "item", (low + F.col("diagonal")).alias("at"), same.alias("same"))
-    found = F.aggregate("same", F.struct(*(x.cast("int").alias(n) for n, x in (("bits", F.lit(0)), ("i", F.lit(0)), ("first", F.lit(None)), ("last", F.lit(None))))), _slide)
-    verified = lined.select("doc", "item", "at", found.alias("f")).where("f.first is not null").select("doc", "item", (F.col("at") + F.col("f.first")).alias("first"), (F.col("at") + F.col("f.last")).alias("last"))
+    good = F.filter(F.transform("diagonals", _judged), lambda x: x.isNotNull())
+    # A generator runs once a row, where a filter on the same array would have it computed again.
+    verified = hits.select("doc", "item", F.inline(good))
     spans = verified.groupBy("doc", "item").agg(F.min("first").cast("long").alias("first_word"), (F.max("last") + WINDOW - 1).cast("long").alias("last_word"))
     return spans.select(F.col("doc").alias(key), F.col("item").alias(item), "first_word", "last_word")
 

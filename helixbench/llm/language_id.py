@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import in_one_task, sampled
+from helixbench.llm.common import fresh, in_one_task, sampled
 
 UNKNOWN = "und"
 BITS = 12
@@ -174,5 +174,6 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", into: tuple
         return pd.DataFrame(out, columns=["lang", "score"])
 
     rest = [f"`{c}`" for c in df.columns if c not in into]
-    judged = df.select(*rest, judge(F.col(text).cast("string")).alias("_judged"))
-    return judged.select(*rest, F.col("_judged.lang").alias(into[0]), F.col("_judged.score").alias(into[1]))
+    (own,) = fresh(df, "_judged")
+    judged = df.select(*rest, judge(F.col(text).cast("string")).alias(own))
+    return judged.select(*rest, F.col(f"{own}.lang").alias(into[0]), F.col(f"{own}.score").alias(into[1]))

@@ -20,6 +20,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixbench.llm.common import fresh
+
 BLOCK, SLOTS, LARGEST = 64, 10_000, 0.25
 _BUCKET_BITS = 12
 _NO_SOURCE = "\0"
@@ -189,8 +191,9 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dic
     plan = Plan(df, source, key, weights, block, slots)
     kept = F.create_map(*(F.lit(x) for s, n in plan.kept.items() for x in (s, n))) if plan.kept else F.lit(None).cast("map<string,bigint>")
     last = _ranked(df, key, source).where(F.col("rank") == kept[F.col("source")] - 1)
-    cuts = last.select(F.col("source").alias("_s"), F.struct("h", "k").alias("_cut"))
+    of, cut = fresh(df, "_s", "_cut")
+    cuts = last.select(F.col("source").alias(of), F.struct("h", "k").alias(cut))
     named = F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE))
     own = F.struct(_hash(F.col(key)).alias("h"), F.col(key).alias("k"))
     unsigned = lambda c: F.struct(c["h"] < 0, c["h"], c["k"])
-    return df.join(F.broadcast(cuts), (named == F.col("_s")) & (unsigned(own) <= unsigned(F.col("_cut")))).select(*(df[c] for c in df.columns))
+    return df.join(F.broadcast(cuts), (named == F.col(of)) & (unsigned(own) <= unsigned(F.col(cut)))).select(*(df[c] for c in df.columns))

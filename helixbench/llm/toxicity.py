@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import forget, sampled, stored
+from helixbench.llm.common import forget, fresh, sampled, stored
 
 _TOKEN = re.compile(r"\w+|[\"“”„«»\n]")
 _WORD = re.compile(r"\w+")
@@ -286,5 +286,6 @@ def score(df: DataFrame, model: Model | None, text: str = "text", threshold: flo
         return pd.Series([model.score(t) if model else 0.0 for t in texts], dtype=float)
 
     rest = [f"`{c}`" for c in df.columns if c not in into]
-    scored = df.select(*rest, judge(F.col(text).cast("string")).alias("_score"))
-    return scored.select(*rest, F.col("_score").alias(into[0]), (F.col("_score") >= threshold).cast("int").alias(into[1]))
+    (own,) = fresh(df, "_score")
+    scored = df.select(*rest, judge(F.col(text).cast("string")).alias(own))
+    return scored.select(*rest, F.col(own).alias(into[0]), (F.col(own) >= threshold).cast("int").alias(into[1]))

@@ -74,3 +74,10 @@ def test_one_word_over_and_over(spark):
     df = spark.createDataFrame([(1, "the " * 4000), (2, "of " * 30 + "a " * 300_000)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "the " * 200), (8, "of " * 12 + "it")], "item_id long, text string")
     assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == [(1, 7, 0, 3999), (2, 8, 0, 31)]
+
+
+def test_two_hundred_thousand_repeated_words(spark):
+    """A row of the comparison holds a document's words once, however many diagonals have a hit."""
+    df = spark.createDataFrame([(1, "the " * 200_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "the " * 60)], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == [(1, 7, 0, 199_999)]
