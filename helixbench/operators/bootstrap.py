@@ -2,45 +2,63 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixbench.operators.durable import checkpointed
 from helixbench.operators.leaderboard import best_models
 
+#: Replicates of an error where the caller names no number.
+REPLICATES = 10_000
+
 
 def draws(assays: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, dms_id, times): how often each replicate draws an assay, n of n with replacement. Draw k of a
-    replicate is the assay of number md5(seed|replicate|k) mod n in the order of ids; one set serves all metrics."""
+    """(dms_id, times): how often each replicate draws an assay, one number a replicate, n of n with replacement. Draw
+    k of a replicate is the assay of number md5(seed|replicate|k) mod n in the order of ids; one set serves all
+    metrics. The draws are made where they are counted: only numbers of replicates are shuffled."""
     numbered = assays.select("dms_id").distinct().withColumn("at", F.row_number().over(Window.orderBy("dms_id")) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    spark = assays.sparkSession
-    grid = spark.range(replicates).select(F.col("id").alias("replicate")).join(F.broadcast(n)).where("n > 0")
-    grid = grid.select("replicate", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    n = numbered.count()
+    grid = assays.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.expr("array()").cast("array<int>")).alias("k"))
     name = F.concat(F.lit(f"{seed}|"), F.col("replicate").cast("string"), F.lit("|"), F.col("k").cast("string"))
-    drawn = grid.withColumn("at", F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n"))
-    return drawn.groupBy("replicate", "at").agg(F.count("*").alias("times")).join(numbered, "at").select("replicate", "dms_id", "times")
+    at = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(max(1, n))).cast("int")
+
+    @F.pandas_udf("array<double>")
+    def tally(drawn: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(x, minlength=replicates).astype(float) for x in drawn])
+
+    drawn = grid.select("replicate", at.alias("at")).groupBy("at").agg(F.collect_list("replicate").alias("by"))
+    return drawn.select("at", tally("by").alias("times")).join(numbered, "at").select("dms_id", "times")
 
 
-def bootstrap_errors(long: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
+def bootstrap_errors(long: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """(metric, rna_type, model, se): over the replicates, the sample standard deviation of the mean difference to
     the best model of the type, ``All`` included; null with fewer than two replicates that have a value.
 
-    ``long``: (dms_id, rna_type, model, metric, value). Assays and replicates are joined once for all models and
-    metrics; assays are dimension-sized, and a draw counts as a weight, not as a row.
+    ``long``: (dms_id, rna_type, model, metric, value). An assay has its draws of all replicates in one vector; the
+    replicates' sums of a model and metric are one vector too, added up element by element with the differences as
+    weights, so that rows do not multiply with the replicates.
     """
     long = checkpointed(long)  # a small table that is read four times
     best = best_models(long).select("metric", F.col("rna_type").alias("kind"), F.col("model").alias("best"))
     kinds = long.withColumn("kind", F.explode(F.array(F.col("rna_type"), F.lit("All"))))
     top = long.select("metric", "dms_id", F.col("model").alias("best"), F.col("value").alias("top"))
-    apart = kinds.join(F.broadcast(best), ["metric", "kind"]).join(top, ["metric", "dms_id", "best"])
+    apart = kinds.join(best, ["metric", "kind"]).join(top, ["metric", "dms_id", "best"])
     apart = apart.select("metric", "kind", "model", "dms_id", (F.col("value") - F.col("top")).alias("d")).where("d is not null")
-    means = apart.join(draws(long, replicates, seed), "dms_id").groupBy("metric", "kind", "model", "replicate")
-    means = means.agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"))
-    return means.groupBy("metric", "kind", "model").agg(F.stddev_samp("mean").alias("se")).withColumnRenamed("kind", "rna_type")
+    low, high = long.agg(F.min("value"), F.max("value")).first()
+    lift = (high - low if low is not None else 0) + 1.0  # weights are positive; what they are lifted by comes off again
+    drawn = draws(long, replicates, seed).select("dms_id", array_to_vector("times").alias("times"))
+    sums = apart.join(drawn, "dms_id").groupBy("metric", "kind", "model")
+    sums = sums.agg(Summarizer.sum(F.col("times"), F.col("d") + lift).alias("lifted"), Summarizer.sum(F.col("times")).alias("n"))
+    mean = F.zip_with(vector_to_array("lifted"), vector_to_array("n"), lambda a, b: F.when(b > 0, a / b - lift))
+    each = sums.select("metric", "kind", "model", F.explode(mean).alias("mean"))
+    return each.groupBy("metric", "kind", "model").agg(F.stddev_samp("mean").alias("se")).withColumnRenamed("kind", "rna_type")
 
 
-def depth_errors(long: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
+def depth_errors(long: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """(metric, depth, model, se): the same for each mutation depth by itself, over the assays that have it. ``long``:
     (dms_id, depth, model, metric, value)."""
     long = checkpointed(long)

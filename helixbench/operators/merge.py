@@ -11,9 +11,11 @@ from helixbench.functions.expressions import standard_mutation
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key under an explicit order."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_at", at).where("_at = 1").drop("_at")
+    """The first row of each key (null is a key) under an explicit order, nulls first. An aggregate, so that rows of
+    one key are combined where they lie and no task sorts them."""
+    rest = [c for c in df.columns if c not in keys]
+    least = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    return df.groupBy(*keys).agg(least).select(*keys, "_row.*").select(*df.columns)
 
 
 def standardized(df: DataFrame) -> DataFrame:

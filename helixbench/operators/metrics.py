@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixbench.functions.expressions import clip, ratio, ratio_or_zero
-from helixbench.operators.prefix import prefix_sums
 
 
 def average_rank(value: str, keys: Sequence[str]) -> Column:
@@ -70,13 +69,36 @@ def median_bins(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
     return df.select("*", *(F.coalesce(F.col(c) > F.median(c).over(group), F.lit(False)).alias(f"{c}_bin") for c in columns))
 
 
+#: Ranges of scores in a pooled area, as a power of two.
+_RANGE_BITS = 10
+
+
+def _range_of(cuts: Column, x: Column) -> Column:
+    """How many of the rising cuts are less than x, by halving."""
+    steps = F.array(*(F.lit(1 << bit) for bit in range(_RANGE_BITS - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda low, step: low + F.when(F.get(cuts, low + step - 1) < x, step).otherwise(0))
+
+
 def pooled_auc(df: DataFrame, positive: Column, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, auc): signed AUC over all rows of the keys, ties counted half. Rows shrink to a histogram of scores,
-    whose running sums are exact prefix sums over ranges of it, so that no task holds all rows."""
-    hist = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    summed = prefix_sums(hist, keys, score, ["n"])
-    area = F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2))
-    return summed.groupBy(*keys).agg(ratio(area, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
+    """(keys, auc): signed AUC over all rows of the keys, ties counted half.
+
+    Rows shrink to a histogram of scores where they lie. A quantile sketch of the scores names about a thousand ranges
+    (where they meet has no influence on the result); areas within a range come from running sums, and a range's
+    positives times the negatives of the ranges before it is the rest, so that no task holds all scores and a key's
+    last step has a row for each range."""
+    rows = df.where(F.col(score).isNotNull()).select(*keys, F.col(score).alias("_x"), positive.alias("_y"))
+    shares = [i / (1 << _RANGE_BITS) for i in range(1, 1 << _RANGE_BITS)]
+    cuts = rows.agg(F.percentile_approx("_x", shares, 1 << (_RANGE_BITS + 2))).scalar()
+    hist = rows.groupBy(*keys, "_x").agg(F.count_if("_y").alias("p"), F.count_if(~F.col("_y")).alias("n"))
+    ranged = hist.withColumn("_cuts", cuts).select(*keys, "_x", "p", "n", _range_of(F.col("_cuts"), F.col("_x")).alias("_range"))
+    within = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = ranged.select(*keys, "_range", "p", "n", (F.col("p") * (F.sum("n").over(within) - F.col("n") / 2)).alias("a"))
+    parts = inner.groupBy(*keys, "_range").agg(F.sum("a").alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    start = F.struct(F.lit(0.0).alias("area"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
+    add = lambda s, x: F.struct((s["area"] + x["a"] + x["p"].cast("double") * s["n"]).alias("area"), (s["p"] + x["p"]).alias("p"), (s["n"] + x["n"]).alias("n"))
+    total = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_range", "a", "p", "n"))).alias("parts"))
+    total = total.select(*keys, F.aggregate("parts", start, add).alias("t"))
+    return total.select(*keys, ratio(F.col("t.area"), F.col("t.p").cast("double") * F.col("t.n")).alias("auc"))
 
 
 def position_metrics(df: DataFrame, truth: str, prediction: str, keys: Sequence[str] = ("model",)) -> DataFrame:

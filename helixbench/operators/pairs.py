@@ -1,77 +1,160 @@
-"""Base pairs of secondary structures: parsing, crossing pairs, precision and recall."""
+"""Base pairs of secondary structures: parsing, crossing pairs, precision and recall.
+
+A structure's pairs are one array of longs, ``i << 32 | j`` with i < j, in one row, so that parsing, crossing tests
+and comparisons work within rows and only the truth and its predictions meet in a shuffle.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixbench.functions.expressions import ratio_or_zero
-from helixbench.operators.durable import checkpointed
 
 #: Families of brackets.
 FAMILIES = ("()", "[]", "<>", "{}")
+KEYS = ("seq_id", "method")
+
+
+def code(i: Column, j: Column) -> Column:
+    return F.shiftleft(i.cast("long"), 32) + j.cast("long")
+
+
+def ends(pair: Column) -> tuple[Column, Column]:
+    return F.shiftright(pair, 32).cast("int"), pair.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def parsed(dotbracket: Column) -> Column:
+    """The pairs of a structure: a stack for each family of brackets moves along the letters, so that pseudoknots
+    survive; a closing bracket pairs with its family's last open one, and brackets without a partner are ignored."""
+    none = F.expr("array()").cast("array<long>")
+    stacks = [f"s{k}" for k in range(len(FAMILIES))]
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"), *(none.alias(s) for s in stacks))
+
+    def step(state: Column, letter: Column) -> Column:
+        found, after = state["found"], []
+        for name, (left, right) in zip(stacks, FAMILIES, strict=True):
+            stack = state[name]
+            shuts = (letter == right) & (F.size(stack) > 0)
+            found = F.when(shuts, F.array_append(state["found"], F.shiftleft(F.element_at(stack, -1), 32) + state["at"])).otherwise(found)
+            kept = F.when(shuts, F.slice(stack, F.lit(1), F.size(stack) - 1)).when(letter == left, F.array_append(stack, state["at"]))
+            after.append(kept.otherwise(stack).alias(name))
+        return F.struct((state["at"] + 1).alias("at"), found.alias("found"), *after)
+
+    return F.aggregate(F.split(dotbracket, ""), start, step, lambda s: s["found"])
+
+
+def crossing(pairs: Column) -> Column:
+    """Those of an array of pairs that another of them crosses: some place inside the pair has a partner outside.
+
+    The least and the greatest partner of each place are the ground floors of two tables whose floor k has the least
+    (greatest) of 2^k places from each on; the inside of a pair is two stretches of one floor. n log n steps, where
+    comparing pairs with pairs takes n squared."""
+    far = F.lit(1 << 40)
+    places = F.array_max(F.transform(pairs, lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)))) + 1
+    floors = F.ceil(F.log2(F.greatest(places, F.lit(2)))).cast("int")
+    both = F.flatten(F.transform(pairs, lambda p: F.array(F.struct(F.shiftright(p, 32).alias("at"), p.bitwiseAND(F.lit(0xFFFFFFFF)).alias("with")), F.struct(p.bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), F.shiftright(p, 32).alias("with")))))
+
+    def ground(best, empty: Column) -> Column:
+        """A value for each place: pairs are sorted by place, and every place takes its own ones."""
+        by_place = F.map_from_entries(
+            F.aggregate(
+                F.array_sort(both),
+                F.expr("array()").cast("array<struct<key:bigint,value:bigint>>"),
+                lambda out, x: F.when(
+                    (F.size(out) > 0) & (F.element_at(out, -1)["key"] == x["at"]),
+                    F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.struct(x["at"].alias("key"), best(F.element_at(out, -1)["value"], x["with"]).alias("value"))),
+                ).otherwise(F.array_append(out, F.struct(x["at"].alias("key"), x["with"].alias("value")))),
+            )
+        )
+        return F.transform(F.sequence(F.lit(0).cast("long"), places - 1), lambda at: F.coalesce(F.element_at(by_place, at), empty))
+
+    def tower(ground_floor: Column, best) -> Column:
+        def higher(out: Column, k: Column) -> Column:
+            last = F.element_at(out, -1)
+            step = F.pow(F.lit(2.0), k - 1).cast("int")
+            shifted = F.slice(last, step + 1, F.greatest(F.size(last) - step, F.lit(0)))
+            return F.array_append(out, F.zip_with(last, shifted, lambda a, b: best(a, F.coalesce(b, a))))
+
+        return F.aggregate(F.sequence(F.lit(1), floors), F.array(ground_floor), higher)
+
+    def judged(tables: Column) -> Column:
+        def crosses(p: Column) -> Column:
+            i, j = F.shiftright(p, 32), p.bitwiseAND(F.lit(0xFFFFFFFF))
+            inside = j - i - 1
+            k = F.floor(F.log2(inside.cast("double"))).cast("int")
+            second = j - F.pow(F.lit(2.0), k).cast("long")
+            low = F.get(tables["low"], k)
+            high = F.get(tables["high"], k)
+            least = F.least(F.get(low, (i + 1).cast("int")), F.get(low, second.cast("int")))
+            most = F.greatest(F.get(high, (i + 1).cast("int")), F.get(high, second.cast("int")))
+            return (inside > 0) & ((least < i) | (most > j))
+
+        return F.filter(pairs, crosses)
+
+    tables = F.struct(tower(ground(F.least, far), F.least).alias("low"), tower(ground(F.greatest, -far), F.greatest).alias("high"))
+    # The tables are built once for all pairs of a row: a lambda's argument is a value, not an expression.
+    return F.when(F.size(pairs) > 1, F.flatten(F.transform(F.array(tables), judged))).otherwise(F.expr("array()").cast("array<long>"))
+
+
+def pair_arrays(structures: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, pairs) of structures in dot-bracket form; a null one has no pairs."""
+    return structures.select(*keys, F.coalesce(parsed(F.col("dotbracket")), F.expr("array()").cast("array<long>")).alias("pairs"))
+
+
+def listed(arrays: DataFrame, keys: Sequence[str] = KEYS, pairs: str = "pairs") -> DataFrame:
+    """(keys, i, j): a row for each pair."""
+    i, j = ends(F.col("_p"))
+    return arrays.select(*keys, F.explode(pairs).alias("_p")).select(*keys, i.alias("i"), j.alias("j"))
+
+
+def gathered(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, pairs) of a table of pairs, each pair once."""
+    return pairs.groupBy(*keys).agg(F.collect_set(code(F.col("i"), F.col("j"))).alias("pairs"))
 
 
-def dotbracket_pairs(structures: DataFrame, keys: Sequence[str] = ("seq_id", "method")) -> DataFrame:
-    """(keys, i, j): 0-based pairs i < j of four bracket families, so that pseudoknots survive. Within a family an
-    opening bracket pairs with the next closing one of its depth; brackets without a partner are ignored."""
-    letters = structures.select(*keys, F.posexplode(F.split("dotbracket", "")).alias("at", "c"))
-    family = F.coalesce(*(F.when(F.col("c").isin(*f), i) for i, f in enumerate(FAMILIES)))
-    opens = F.col("c").isin(*(f[0] for f in FAMILIES))
-    marks = letters.select(*keys, "at", family.alias("family"), opens.alias("opens")).where("family is not null")
-    run = Window.partitionBy(*keys, "family").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(run)
-    # A closing bracket undoes the depth of its partner; one beyond all openings starts a new level below.
-    marks = marks.withColumn("level", depth + F.when(F.col("opens"), 0).otherwise(1))
-    level = Window.partitionBy(*keys, "family", "level").orderBy("at")
-    nexts = marks.withColumn("j", F.lead("at").over(level)).withColumn("shut", ~F.lead("opens").over(level))
-    return nexts.where("opens and shut").select(*keys, F.col("at").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
+def dotbracket_pairs(structures: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, i, j): 0-based pairs i < j of four bracket families. Nothing is shuffled."""
+    return listed(pair_arrays(structures, keys), keys)
 
 
-def distinct_pairs(pairs: DataFrame, keys: Sequence[str] = ("seq_id", "method")) -> DataFrame:
+def distinct_pairs(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return pairs.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
-def crossing_pairs(pairs: DataFrame, keys: Sequence[str] = ("seq_id", "method")) -> DataFrame:
-    """(keys, i, j): pairs that some other pair of the same structure crosses."""
-    a, b = pairs.alias("a"), pairs.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    cross = (F.col("a.i") < F.col("b.i")) & (F.col("b.i") < F.col("a.j")) & (F.col("a.j") < F.col("b.j"))
-    for s in same:
-        cross = s & cross
-    ends = F.explode(F.array(F.struct("a.i", "a.j"), F.struct("b.i", "b.j"))).alias("p")
-    return a.join(b, cross).select(*(F.col(f"a.{k}").alias(k) for k in keys), ends).select(*keys, "p.i", "p.j").distinct()
+def crossing_pairs(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, i, j): pairs that some other pair of the same structure crosses. A structure's pairs meet in one row."""
+    return listed(gathered(pairs, keys).select(*keys, crossing(F.col("pairs")).alias("pairs")), keys)
 
 
-def pair_scores(truth: DataFrame, predicted: DataFrame, grid: DataFrame) -> DataFrame:
-    """(seq_id, method, precision, recall, f1) for each row of ``grid``; an empty denominator gives 0."""
-    hits = predicted.join(truth.select("seq_id", "i", "j"), ["seq_id", "i", "j"], "left_semi").groupBy("seq_id", "method").agg(F.count("*").alias("hit"))
-    said = predicted.groupBy("seq_id", "method").agg(F.count("*").alias("said"))
-    real = truth.groupBy("seq_id").agg(F.count("*").alias("real"))
-    rows = grid.join(real, "seq_id", "left").join(said, ["seq_id", "method"], "left").join(hits, ["seq_id", "method"], "left").fillna(0, ["real", "said", "hit"])
-    hit, said_, real_ = F.col("hit"), F.col("said"), F.col("real")
-    return rows.select(
-        "seq_id", "method", ratio_or_zero(hit, said_).alias("precision"), ratio_or_zero(hit, real_).alias("recall"), ratio_or_zero(2 * hit, said_ + real_).alias("f1")
-    )
+def array_scores(arrays: DataFrame, truth: str = "truth") -> DataFrame:
+    """(seq_id, method, precision, recall, f1, crossed_f1) of each structure of (seq_id, method, pairs) against the
+    truth, only for sequences whose truth has crossing pairs; the others are ``without_crossings``. An empty
+    denominator gives 0. Truth and predictions are shuffled once by seq_id."""
+    rows = arrays.withColumn("crossed", crossing(F.col("pairs")))
+    real = rows.where((F.col("method") == truth) & (F.size("crossed") > 0)).select("seq_id", F.col("pairs").alias("real"), F.col("crossed").alias("real_x"))
+    both = rows.where(F.col("method") != truth).join(real, "seq_id")
+    f1 = lambda a, b: ratio_or_zero(2 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b))
+    hit = F.size(F.array_intersect("pairs", "real"))
+    return both.select(
+        "seq_id", "method", ratio_or_zero(hit, F.size("pairs")).alias("precision"), ratio_or_zero(hit, F.size("real")).alias("recall"),
+        f1(F.col("pairs"), F.col("real")).alias("f1"), f1(F.col("crossed"), F.col("real_x")).alias("crossed_f1"),
+    )
 
 
 def structure_scores(pairs: DataFrame, grid: DataFrame, truth: str = "truth") -> DataFrame:
-    """(seq_id, method, f1, crossed_f1) of each method against the truth, only for sequences whose truth has crossing
-    pairs; the others are ``without_crossings``. A method that is missing for a sequence scores against no pairs."""
-    pairs = checkpointed(pairs)  # parsed once, read for both scores and both sides
-    crossed = checkpointed(crossing_pairs(pairs))
-    real, said = pairs.where(F.col("method") == truth), pairs.where(F.col("method") != truth)
-    real_x, said_x = crossed.where(F.col("method") == truth), crossed.where(F.col("method") != truth)
-    rows = grid.where(F.col("method") != truth).join(real_x.select("seq_id").distinct(), "seq_id", "left_semi")
-    plain = pair_scores(real, said, rows).select("seq_id", "method", "f1")
-    return plain.join(pair_scores(real_x, said_x, rows).select("seq_id", "method", F.col("f1").alias("crossed_f1")), ["seq_id", "method"])
+    """(seq_id, method, f1, crossed_f1) of a table of pairs: ``array_scores`` of each row of ``grid`` (seq_id, method).
+    A method that is missing for a sequence scores against no pairs."""
+    none = F.expr("array()").cast("array<long>")
+    arrays = grid.select("seq_id", "method").distinct().join(gathered(pairs), list(KEYS), "left").select(*KEYS, F.coalesce("pairs", none).alias("pairs"))
+    return array_scores(arrays, truth).select("seq_id", "method", "f1", "crossed_f1")
 
 
 def without_crossings(pairs: DataFrame, sequences: DataFrame, truth: str = "truth") -> DataFrame:
-    real = crossing_pairs(pairs).where(F.col("method") == truth)
-    return sequences.select("seq_id").distinct().join(real, "seq_id", "left_anti")
+    real = gathered(pairs.where(F.col("method") == truth)).where(F.size(crossing(F.col("pairs"))) > 0)
+    return sequences.select("seq_id").distinct().join(real.select("seq_id"), "seq_id", "left_anti")
 
 
 def missing_predictions(sequences: DataFrame, predictions: DataFrame, key: str = "sequence") -> DataFrame:

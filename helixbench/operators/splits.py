@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixbench.operators.durable import checkpointed
 
 SIMILAR, SEED, SHARE = 0.8, 42, 0.2
-#: Sequences of one comparison's side; an assay's sequences are dealt into parts of about this size.
+#: Sequences of one comparison's side; those of an assay that have to be compared are dealt into parts of this size.
 PART = 256
+#: How far from a leader a sequence may be to be judged by it, as a share of the longer one's length; sequences that
+#: change folds in a round, as a share of the assay's.
+RADIUS, SWAPS = 0.25, 0.05
 
 
 def random_split(df: DataFrame, keys: Sequence[str], group: str = "dms_id", share: float = SHARE, seed: int = SEED) -> DataFrame:
@@ -59,27 +63,134 @@ def common_lengths(a: Sequence[str], b: Sequence[str], i: np.ndarray, j: np.ndar
     return out
 
 
+def _between(s: pd.Series, lead: pd.Series) -> pd.Series:
+    a, b = s.tolist(), lead.tolist()
+    at = np.arange(len(a))
+    return pd.Series(common_lengths(a, b, at, at) if a else [], dtype="int64")
+
+
+def _common(a: str, b: str) -> Column:
+    """The length of the longest common subsequence of two columns."""
+    return F.pandas_udf(_between, "long")(a, b)
+
+
+def _texts(df: DataFrame, group: str, sequence: str) -> DataFrame:
+    return df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
+
+
+def _consensus(rows: DataFrame) -> DataFrame:
+    """(dms_id, lead): letter by letter what most sequences of a group have there, up to the commonest length; of
+    several the last."""
+    size = rows.groupBy("dms_id", F.length("s").alias("l")).agg(F.count("*").alias("n")).groupBy("dms_id").agg(F.max_by("l", F.struct("n", "l")).alias("l"))
+    letters = rows.select("dms_id", F.posexplode(F.split("s", "")).alias("at", "c")).groupBy("dms_id", "at", "c").agg(F.count("*").alias("n"))
+    most = letters.groupBy("dms_id", "at").agg(F.max_by("c", F.struct("n", "c")).alias("c")).join(size, "dms_id").where("at < l")
+    word = F.sort_array(F.collect_list(F.struct("at", "c")))
+    return most.groupBy("dms_id").agg(F.array_join(F.transform(word, lambda x: x["c"]), "").alias("lead"))
+
+
+def _candidates(rows: DataFrame, members: int = 7) -> DataFrame:
+    """(dms_id, lead): strings that may lead a group: its consensus, and up to ``members`` of its sequences by hash."""
+    salt = F.pmod(F.xxhash64(F.lit(1), "s"), F.lit(members))
+    drawn = rows.groupBy("dms_id", salt.alias("salt")).agg(F.min_by("s", F.struct(F.xxhash64(F.lit(2), "s"), "s")).alias("lead"))
+    return _consensus(rows).select("dms_id", "lead").unionByName(drawn.select("dms_id", "lead")).distinct()
+
+
+class Index(NamedTuple):
+    """Which sequences of a group can be similar, by their distances from few leaders.
+
+    ``rows``: (dms_id, s, k, len, d, apart): the number k of the sequence's leader, its length, its distance from the
+    leader (letters in one but not in the other's longest common subsequence: a metric) and the leader's distances
+    from all leaders. A sequence far from all leaders has k = -1 and is judged by its length alone. ``pairs``: of two
+    signatures (k, len, d), a and b, whether all their sequences are similar (``sure``); pairs of which none can be
+    are not listed. ``sizes``: (dms_id, sig, n, rep) of each signature."""
+
+    rows: DataFrame
+    sizes: DataFrame
+    pairs: DataFrame
+
+
+def similarity_index(df: DataFrame, group: str = "dms_id", sequence: str = "sequence", rounds: int = 3) -> Index:
+    """In each round one of a few candidates becomes the leader of the sequences that are near it: the one that is
+    nearest to what is left of the group on the whole, where far sequences count alike.
+
+    Let p and q lead a and b. By the triangle inequality d(a, b) lies between d(p, q) - d(a, p) - d(b, q) (or what is
+    left of one of these after the others) and d(p, q) + d(a, p) + d(b, q), and the common length is half of what the
+    lengths add up to less d. Where that decides, it decides for all sequences of the two signatures at once; nothing
+    similar is ever left out, and only undecided pairs are compared letter by letter."""
+    rows = left = checkpointed(_texts(df, group, sequence))
+    found, leaders = None, None
+    for k in range(rounds):
+        radius = RADIUS * F.greatest(F.length("s"), F.length("lead"))
+        every = checkpointed(left.join(_candidates(left), "dms_id").withColumn("d", F.length("s") + F.length("lead") - 2 * _common("s", "lead")))
+        cost = every.groupBy("dms_id", "lead").agg(F.sum(F.least(F.col("d"), radius)).alias("cost"))
+        lead = checkpointed(cost.groupBy("dms_id").agg(F.min_by("lead", F.struct("cost", "lead")).alias("lead")).withColumn("k", F.lit(k)))
+        seen = every.join(lead, ["dms_id", "lead"])
+        near = F.col("d") <= radius
+        mine = seen.where(near).select("dms_id", "s", "k", F.length("s").alias("len"), F.col("d").cast("int").alias("d"))
+        found = mine if found is None else found.unionByName(mine)
+        leaders = lead if leaders is None else leaders.unionByName(lead)
+        left = checkpointed(seen.where(~near).select("dms_id", "s"))
+        if left.isEmpty():
+            break
+    found = found.unionByName(left.select("dms_id", "s", F.lit(-1).alias("k"), F.length("s").alias("len"), F.lit(0).alias("d")))
+    p, q = leaders.select("dms_id", "k", F.col("lead").alias("s")), leaders.select("dms_id", F.col("k").alias("other"), "lead")
+    gaps = p.join(q, "dms_id").withColumn("gap", (F.length("s") + F.length("lead") - 2 * _common("s", "lead")).cast("int"))
+    apart = gaps.groupBy("dms_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("other", "gap"))), lambda x: x["gap"]).alias("apart"))
+    rows = checkpointed(found.join(apart, ["dms_id", "k"], "left").select("dms_id", "s", "k", "len", "d", "apart", F.struct("k", "len", "d").alias("sig")))
+    sizes = checkpointed(rows.groupBy("dms_id", "sig").agg(F.count("*").alias("n"), F.min("s").alias("rep"), F.first("apart").alias("apart")))
+    a, b = sizes.select("dms_id", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("apart")), sizes.select("dms_id", F.col("sig").alias("b"), F.col("n").alias("n_b"))
+    both = a.join(b, "dms_id").where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("n_a") > 1)))
+    known = (F.col("a.k") >= 0) & (F.col("b.k") >= 0)
+    gap, da, db = F.get("apart", F.col("b.k")), F.col("a.d"), F.col("b.d")
+    total, longer = F.col("a.len") + F.col("b.len"), F.greatest("a.len", "b.len")
+    least = F.when(known, (total - (gap + da + db)) / 2).otherwise(0)
+    most = F.least(F.least("a.len", "b.len"), F.when(known, (total - F.greatest(gap - da - db, da - gap - db, db - gap - da, F.lit(0))) / 2))
+    pairs = both.withColumn("sure", least > F.lit(SIMILAR) * longer).where(F.col("sure") | (most > F.lit(SIMILAR) * longer))
+    return Index(rows, sizes.drop("apart"), checkpointed(pairs.select("dms_id", "a", "b", "n_a", "n_b", "sure")))
+
+
+def compared_pairs(index: Index) -> DataFrame:
+    """(dms_id, n_pairs, n_compared): pairs of distinct sequences, and those that are compared letter by letter."""
+    each = F.when(F.col("a") == F.col("b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
+    some = index.pairs.where(~F.col("sure")).groupBy("dms_id").agg(F.sum(each).alias("n_compared"))
+    every = index.rows.groupBy("dms_id").agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("n_pairs"))
+    return every.join(some, "dms_id", "left").fillna(0, ["n_compared"])
+
+
+def _undecided(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """The pairs of rows that their signatures leave open, as a matrix; the same bounds as the index's."""
+    la, lb = left.len.to_numpy()[:, None], right.len.to_numpy()[None, :]
+    longer, total = np.maximum(la, lb), la + lb
+    known = (left.k.to_numpy()[:, None] >= 0) & (right.k.to_numpy()[None, :] >= 0)
+    width = max((len(x) for x in left.apart if x is not None), default=1)
+    gaps = np.array([list(x) + [0] * (width - len(x)) if x is not None else [0] * width for x in left.apart])
+    gap = gaps[:, np.maximum(right.k.to_numpy(), 0) % width]
+    da, db = left.d.to_numpy()[:, None], right.d.to_numpy()[None, :]
+    least = np.where(known, (total - (gap + da + db)) / 2, 0)
+    most = np.minimum(np.minimum(la, lb), np.where(known, (total - np.maximum.reduce([gap - da - db, da - gap - db, db - gap - da, np.zeros_like(gap)])) / 2, np.inf))
+    return (least <= SIMILAR * longer) & (most > SIMILAR * longer)
+
+
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links and their numbers within one pair of parts: rows (s, other, n); ``other`` is null in counts."""
+    """Links between two parts among undecided pairs: rows (s, other, n); without ``other``, n adds up the weights of
+    the sequence's partners, the others span the links' components."""
     left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
     same = bool((pdf.side == 2).any())
     a, b = left.s.to_numpy(), right.s.to_numpy()
-    i, j = np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij")
-    i, j = i.ravel(), j.ravel()
+    ok = _undecided(left, right)
     if same:
-        i, j = i[i < j], j[i < j]
-    la, lb = np.array([len(x) for x in a])[i], np.array([len(x) for x in b])[j]
-    most = np.maximum(la, lb)
-    ok = np.minimum(la, lb) > SIMILAR * most
+        ok &= np.triu(np.ones_like(ok), 1)
+    i, j = np.nonzero(ok)
+    most = np.maximum(left.len.to_numpy()[i], right.len.to_numpy()[j])
     letters = sorted(set("".join(a)) | set("".join(b)))
     ca, cb = (np.array([[x.count(c) for c in letters] for x in side]).reshape(len(side), len(letters)) for side in (a, b))
-    ok[ok] = np.minimum(ca[i[ok]], cb[j[ok]]).sum(axis=1) > SIMILAR * most[ok]
-    i, j, most = i[ok], j[ok], most[ok]
-    good = common_lengths(a, b, i, j) > SIMILAR * most
+    may = np.minimum(ca[i], cb[j]).sum(axis=1) > SIMILAR * most
+    i, j, most = i[may], j[may], most[may]
+    good = common_lengths(a, b, i, j) > SIMILAR * most if len(i) else np.zeros(0, bool)
     i, j = i[good], j[good]
-    counts = np.concatenate([np.bincount(i, minlength=len(a)), np.bincount(j, minlength=len(b))])
+    counts = np.concatenate([np.bincount(i, right.w.to_numpy()[j], len(a)), np.bincount(j, left.w.to_numpy()[i], len(b))])
     names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    number = np.zeros(len(names), np.int64)
+    number = np.zeros(len(names))
     np.add.at(number, place, counts)
     rows = pd.DataFrame({"s": names[number > 0], "other": None, "n": number[number > 0]})
     low, x, y = np.arange(len(names)), place[i], place[len(a) + j]
@@ -94,58 +205,51 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         low = new
     moved = low != np.arange(len(names))
     links = pd.DataFrame({"s": names[moved], "other": names[low[moved]], "n": 0})
-    out = pd.concat([rows, links], ignore_index=True)
+    out = pd.concat([rows, links], ignore_index=True).astype({"n": "int64"})
     out.insert(0, "dms_id", pdf.dms_id.iloc[0])
     return out
 
 
+def indexed_links(index: Index, marked: DataFrame | None = None) -> DataFrame:
+    """(dms_id, s, other, n): rows without ``other`` add up to the number of links of a sequence (with ``marked``
+    (dms_id, s), of links to these), the others span the links' components.
+
+    Sure pairs of signatures are counted and joined signature by signature. Sequences that have an undecided pair are
+    put in the order of their signatures and dealt into parts of about 256; only parts with an undecided pair between
+    them are compared, each pair of parts by itself, so that a large group spreads over many tasks."""
+    rows = index.rows
+    rows = rows.withColumn("w", F.lit(1)) if marked is None else rows.join(marked.select("dms_id", "s", F.lit(1).alias("w")), ["dms_id", "s"], "left").fillna(0, ["w"])
+    weight = rows.groupBy("dms_id", "sig").agg(F.sum("w").alias("w_b"))
+    sure = index.pairs.where("sure")
+    both = sure.select("dms_id", "a", "b").unionByName(sure.where("a <> b").select("dms_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    rep = index.sizes.select("dms_id", F.col("sig").alias("b"), F.col("rep").alias("rep_b"))
+    partners = both.join(rep, ["dms_id", "b"]).join(weight.withColumnRenamed("sig", "b"), ["dms_id", "b"])
+    known = partners.groupBy("dms_id", F.col("a").alias("sig")).agg(F.sum("w_b").alias("total"), F.max(F.col("a") == F.col("b")).alias("own"), F.min("rep_b").alias("rep_b"))
+    own = rows.join(known, ["dms_id", "sig"])
+    counts = own.select("dms_id", "s", F.lit(None).cast("string").alias("other"), (F.col("total") - F.when(F.col("own"), F.col("w")).otherwise(0)).alias("n"))
+    star = own.where("s <> rep_b").select("dms_id", "s", F.col("rep_b").alias("other"), F.lit(0).cast("long").alias("n"))
+    reps = partners.where("a <> b").join(index.sizes.select("dms_id", F.col("sig").alias("a"), "rep"), ["dms_id", "a"])
+    star = star.unionByName(reps.select("dms_id", F.col("rep").alias("s"), F.col("rep_b").alias("other"), F.lit(0).cast("long").alias("n")))
+
+    open_ = index.pairs.where(~F.col("sure"))
+    met = open_.select("dms_id", F.explode(F.array("a", "b")).alias("sig")).distinct()
+    order = F.row_number().over(Window.partitionBy("dms_id").orderBy("sig", "s")) - 1
+    dealt = rows.join(met, ["dms_id", "sig"], "left_semi").withColumn("part", F.floor(order / PART).cast("int"))
+    held = dealt.select("dms_id", "sig", "part").distinct()
+    x = held.select("dms_id", F.col("sig").alias("a"), F.col("part").alias("pa"))
+    y = held.select("dms_id", F.col("sig").alias("b"), F.col("part").alias("pb"))
+    jobs = open_.join(x, ["dms_id", "a"]).join(y, ["dms_id", "b"]).select("dms_id", F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")).distinct()
+    side = F.when(F.col("x") == F.col("y"), 2).when(F.col("part") == F.col("x"), 0).otherwise(1)
+    ends = jobs.withColumn("part", F.explode(F.array_distinct(F.array("x", "y")))).withColumn("side", side)
+    found = dealt.join(ends, ["dms_id", "part"]).select("dms_id", "x", "y", "s", "k", "len", "d", "apart", "w", "side")
+    compared = found.groupBy("dms_id", "x", "y").applyInPandas(_compare, "dms_id string, s string, other string, n long")
+    return counts.unionByName(star).unionByName(compared)
+
+
 def similarity_links(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
     """(dms_id, s, other, n): between the distinct sequences of a group whose longest common subsequence exceeds 0.8
-    of the longer one's length; rows without ``other`` count links, the others span the links' components.
-
-    A group's sequences are dealt into parts of about 256, and each pair of parts is compared by itself, so that a
-    large assay spreads over many tasks; lengths and letter counts leave out pairs that cannot be similar."""
-    rows = df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
-    parts = rows.groupBy("dms_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = rows.join(parts, "dms_id").withColumn("own", F.pmod(F.xxhash64("s"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("dms_id", "s", side.cast("int").alias("side"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    return dealt.groupBy("dms_id", "x", "y").applyInPandas(_compare, "dms_id string, s string, other string, n long")
-
-
-def spanning_links(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
-    """(dms_id, s, other, n) whose links connect what all links would connect, without counting links: every sequence
-    is compared with its group's smallest one first, which joins most of a library of variants; only those that are
-    not similar to it are compared with all sequences of the group, part by part."""
-    rows = df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
-    first = rows.groupBy("dms_id").agg(F.min("s").alias("first"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-
-    def near(s: pd.Series, first: pd.Series) -> pd.Series:
-        a, b = s.tolist(), first.tolist()
-        at = np.arange(len(a))
-        return pd.Series(common_lengths(a, b, at, at) > SIMILAR * np.maximum([len(x) for x in a], [len(x) for x in b])) if a else pd.Series([], dtype=bool)
-
-    judged = checkpointed(rows.join(first, "dms_id").withColumn("near", F.pandas_udf(near, "boolean")("s", "first")))
-    star = judged.where("near and s <> first").select("dms_id", "s", F.col("first").alias("other"), F.lit(0).cast("long").alias("n"))
-    rest = judged.where("not near").select("dms_id", "s", "parts", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"))
-    own = F.pmod(F.xxhash64("s"), "parts").cast("int")
-    some = judged.where("not near").select("dms_id").distinct()
-    every = judged.join(some, "dms_id", "left_semi").select("dms_id", "s", "parts", F.lit(1).alias("side"), own.alias("y"))
-    # The few that are left meet every part; if they are many, they come in parts of their own.
-    many = rest.groupBy("dms_id").agg(F.ceil(F.count("*") / F.max("parts") / PART).cast("int").alias("pieces"))
-    left = rest.join(many, "dms_id").withColumn("x", F.pmod(F.xxhash64(F.lit(1), "s"), "pieces").cast("int")).select("dms_id", "s", "side", "x", "y")
-    right = every.join(many, "dms_id").select("dms_id", "s", "side", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("x"), "y")
-    found = left.unionByName(right).groupBy("dms_id", "x", "y").applyInPandas(_compare, "dms_id string, s string, other string, n long")
-    return star.unionByName(found.where("other is not null"))
-
-
-def similar_groups(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
-    """(dms_id, sequence, class) of each distinct sequence of each group: what a split needs."""
-    links = checkpointed(spanning_links(df, group, sequence))
-    rows = df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
-    out = rows.join(classes(links), ["dms_id", "s"], "left")
-    return out.select("dms_id", F.col("s").alias("sequence"), F.coalesce("class", "s").alias("class"))
+    of the longer one's length; rows without ``other`` count links, the others span the links' components."""
+    return indexed_links(similarity_index(df, group, sequence))
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -165,28 +269,79 @@ def classes(links: DataFrame) -> DataFrame:
             return now
 
 
-def similarity_classes(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
-    """(dms_id, sequence, class, n_links) of each distinct sequence of each group."""
-    links = similarity_links(df, group, sequence)
-    links = checkpointed(links)
+def _classed(index: Index) -> DataFrame:
+    links = checkpointed(indexed_links(index))
     counts = links.where("other is null").groupBy("dms_id", "s").agg(F.sum("n").alias("n_links"))
-    rows = df.where(F.col(sequence).isNotNull() & (F.length(sequence) > 0)).select(F.col(group).alias("dms_id"), F.col(sequence).alias("s")).distinct()
-    out = rows.join(classes(links), ["dms_id", "s"], "left").join(counts, ["dms_id", "s"], "left")
+    out = index.rows.select("dms_id", "s").join(classes(links), ["dms_id", "s"], "left").join(counts, ["dms_id", "s"], "left")
     return out.select("dms_id", F.col("s").alias("sequence"), F.coalesce("class", "s").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def similarity_split(similar: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """(dms_id, sequence, class, fold, unsplittable): whole classes go to ``val``, in the order of their md5, while
-    the assay's share is not exceeded; so no validation sequence is similar to a training one. An assay whose largest
-    class exceeds the training share is ``unsplittable`` and stays in training as a whole."""
+def similarity_classes(df: DataFrame, group: str = "dms_id", sequence: str = "sequence") -> DataFrame:
+    """(dms_id, sequence, class, n_links) of each distinct sequence of each group."""
+    return _classed(similarity_index(df, group, sequence))
+
+
+def _place(seed: int, *columns: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns).cast("binary"))
+
+
+def _filled(similar: DataFrame, share: float, seed: int) -> DataFrame:
+    """(dms_id, s, h, n_links, total, val): whole classes go to ``val``, the smallest first, as long as they fit; what
+    is then left of the share is filled with the sequences of the others that have the fewest links."""
     sizes = similar.groupBy("dms_id", "class").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("dms_id").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "dms_id", "class").cast("binary")), "class")
-    total = F.sum("n").over(Window.partitionBy("dms_id"))
-    largest = F.max("n").over(Window.partitionBy("dms_id"))
-    filled = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = sizes.select("dms_id", "class", (largest > (1 - share) * total).alias("unsplittable"), (filled <= F.ceil(share * total)).alias("in_val"))
-    fold = F.when(F.col("in_val") & ~F.col("unsplittable"), "val").otherwise("train")
-    return similar.join(placed.select("dms_id", "class", "unsplittable", fold.alias("fold")), ["dms_id", "class"]).select("dms_id", "sequence", "class", "fold", "unsplittable")
+    whole = Window.partitionBy("dms_id")
+    order = whole.orderBy("n", _place(seed, "dms_id", "class"), "class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    need = F.ceil(F.lit(share) * F.sum("n").over(whole))
+    fits = sizes.select("dms_id", "class", F.sum("n").over(whole).alias("total"), need.alias("need"), F.sum("n").over(order).alias("filled"))
+    fits = fits.withColumn("base", F.max(F.when(F.col("filled") <= F.col("need"), F.col("filled")).otherwise(0)).over(whole))
+    rows = similar.join(fits, ["dms_id", "class"]).withColumn("in", F.col("filled") <= F.col("need")).withColumn("h", _place(seed, "dms_id", "sequence"))
+    at = F.row_number().over(Window.partitionBy("dms_id", "in").orderBy("n_links", "h"))
+    val = F.col("in") | (at <= F.col("need") - F.col("base"))
+    return rows.select("dms_id", F.col("sequence").alias("s"), "class", "h", "n_links", "total", val.alias("val"))
+
+
+def _across(index: Index, folds: DataFrame) -> DataFrame:
+    """``folds`` with ``to_val``, the sequence's links to val, ``across``, those to the other fold, ``gain``, how many
+    fewer would lie across if it changed its fold, and ``cut``, the group's links across."""
+    links = indexed_links(index, folds.where("val").select("dms_id", "s")).where("other is null").groupBy("dms_id", "s").agg(F.sum("n").alias("to_val"))
+    rows = folds.join(links, ["dms_id", "s"], "left").fillna(0, ["to_val"])
+    across = F.when(F.col("val"), F.col("n_links") - F.col("to_val")).otherwise(F.col("to_val"))
+    rows = rows.withColumn("across", across).withColumn("gain", 2 * F.col("across") - F.col("n_links"))
+    return checkpointed(rows.withColumn("cut", F.sum(F.when(F.col("val"), F.col("across")).otherwise(0)).over(Window.partitionBy("dms_id"))))
+
+
+def _swapped(rows: DataFrame) -> DataFrame:
+    """The folds after the sequences of either fold that gain most have changed places, pair by pair: at most one in
+    twenty of the group, and only where both together gain more than the link that they may have."""
+    at = F.row_number().over(Window.partitionBy("dms_id", "val").orderBy(F.desc("gain"), "h"))
+    ranked = rows.withColumn("at", at)
+    pair = F.sum("gain").over(Window.partitionBy("dms_id", "at")), F.count("*").over(Window.partitionBy("dms_id", "at"))
+    moves = (pair[0] > 2) & (pair[1] == 2) & (F.col("at") <= F.ceil(F.lit(SWAPS) * F.col("total")))
+    return ranked.select("dms_id", "s", "class", "h", "n_links", "total", F.when(moves, ~F.col("val")).otherwise(F.col("val")).alias("val"))
+
+
+def similarity_split(df: DataFrame, group: str = "dms_id", sequence: str = "sequence", share: float = SHARE, seed: int = SEED, rounds: int = 2) -> DataFrame:
+    """(dms_id, sequence, class, fold, n_links, n_across): of each group, ceil(share * n) distinct sequences are
+    ``val``, with few links between the folds; ``n_across`` are those of a sequence that are left.
+
+    Classes of similar sequences are kept whole where that fits; a library whose variants are all similar to each
+    other has one class, which is cut. In each of ``rounds`` rounds sequences of both folds change places, and a group
+    keeps the new folds if fewer links lie across."""
+    index = similarity_index(df, group, sequence)
+    now = _across(index, checkpointed(_filled(_classed(index), share, seed)))
+    for _ in range(rounds):
+        new = _across(index, checkpointed(_swapped(now)))
+        better = new.select("dms_id", F.col("cut").alias("new_cut")).distinct().join(now.select("dms_id", F.col("cut").alias("old_cut")).distinct(), "dms_id").where("new_cut < old_cut").select("dms_id")
+        if better.isEmpty():
+            break
+        now = checkpointed(new.join(better, "dms_id", "left_semi").unionByName(now.join(better, "dms_id", "left_anti")))
+    return now.select("dms_id", F.col("s").alias("sequence"), "class", F.when(F.col("val"), "val").otherwise("train").alias("fold"), "n_links", F.col("across").alias("n_across"))
+
+
+def split_leftovers(split: DataFrame) -> DataFrame:
+    """(dms_id, n_val, n_train, n_across): sizes of the folds and similar pairs that lie across them."""
+    val = F.col("fold") == "val"
+    return split.groupBy("dms_id").agg(F.count_if(val).alias("n_val"), F.count_if(~val).alias("n_train"), F.sum(F.when(val, F.col("n_across")).otherwise(0)).alias("n_across"))
 
 
 def split_sizes(split: DataFrame) -> DataFrame:

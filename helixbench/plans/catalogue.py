@@ -114,19 +114,19 @@ _BOOT = _LONG + """,
 ids AS (SELECT dms_id, row_number() OVER (ORDER BY dms_id) - 1 AS pl FROM (SELECT DISTINCT dms_id FROM lo)),
 n AS (SELECT count(*) AS n FROM ids),
 dr AS (SELECT r.replicate, CAST(concat('0x', substr(md5(concat('42|', r.replicate, '|', k.k)), 1, 8)) AS BIGINT) % n.n AS pl
-       FROM n, (SELECT unnest(range(100)) AS replicate) r, (SELECT unnest(range((SELECT n FROM n))) AS k) k),
+       FROM n, (SELECT unnest(range({r})) AS replicate) r, (SELECT unnest(range((SELECT n FROM n))) AS k) k),
 di AS (SELECT a.metric, a.kind, a.model, a.dms_id, a.value - b.value AS d FROM ki a JOIN be USING (metric, kind) JOIN lo b ON b.metric = a.metric AND b.dms_id = a.dms_id AND b.model = be.model),
 mr AS (SELECT metric, kind, model, replicate, avg(d) AS mean FROM dr JOIN ids USING (pl) JOIN di USING (dms_id) WHERE d IS NOT NULL GROUP BY metric, kind, model, replicate)
 """
 
 
-@query(_BOOT + "SELECT metric, kind AS rna_type, model, round(stddev_samp(mean), 6) AS se FROM mr GROUP BY metric, kind, model")
+@query(_BOOT.replace("{r}", str(bootstrap.REPLICATES)) + "SELECT metric, kind AS rna_type, model, round(stddev_samp(mean), 6) AS se FROM mr GROUP BY metric, kind, model")
 def bootstrap_se(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = leaderboard.long_metrics(_assay_metrics(spark, sf_dir))
-    return bootstrap.bootstrap_errors(long, 100).withColumn("se", F.round("se", 6))
+    return bootstrap.bootstrap_errors(long).withColumn("se", F.round("se", 6))
 
 
-_SE = _BOOT.rstrip() + ",\nse AS (SELECT metric, kind, model, stddev_samp(mean) AS se FROM mr GROUP BY metric, kind, model)"
+_SE = _BOOT.replace("{r}", "100").rstrip() + ",\nse AS (SELECT metric, kind, model, stddev_samp(mean) AS se FROM mr GROUP BY metric, kind, model)"
 _WIDE_SE = ", ".join(f"round(max(CASE WHEN metric = {m!r} AND kind = {t!r} THEN {v} END), 6) AS \"{m}_{t}_{n}\"" for m in leaderboard.METRICS for t in [*TYPES, "All"] for v, n in (("mean", "Mean"), ("se", "SE")))
 
 
@@ -148,7 +148,7 @@ be_{d} AS (SELECT metric, model FROM (SELECT *, row_number() OVER (PARTITION BY
 ids_{d} AS (SELECT dms_id, row_number() OVER (ORDER BY dms_id) - 1 AS pl FROM (SELECT DISTINCT dms_id FROM lo_{d})),
 n_{d} AS (SELECT count(*) AS n FROM ids_{d}),
 dr_{d} AS (SELECT r.replicate, CAST(concat('0x', substr(md5(concat('42|', r.replicate, '|', k.k)), 1, 8)) AS BIGINT) % n.n AS pl
-       FROM n_{d} n, (SELECT unnest(range(100)) AS replicate) r, (SELECT unnest(range((SELECT n FROM n_{d}))) AS k) k),
+       FROM n_{d} n, (SELECT unnest(range({bootstrap.REPLICATES})) AS replicate) r, (SELECT unnest(range((SELECT n FROM n_{d}))) AS k) k),
 di_{d} AS (SELECT a.metric, a.model, a.dms_id, a.value - b.value AS d FROM lo_{d} a JOIN be_{d} be ON be.metric = a.metric JOIN lo_{d} b ON b.metric = a.metric AND b.dms_id = a.dms_id AND b.model = be.model),
 mr_{d} AS (SELECT metric, model, replicate, avg(d) AS mean FROM dr_{d} JOIN ids_{d} USING (pl) JOIN di_{d} USING (dms_id) WHERE d IS NOT NULL GROUP BY metric, model, replicate),
 se_{d} AS (SELECT metric, model, stddev_samp(mean) AS se FROM mr_{d} GROUP BY metric, model)"""
@@ -167,7 +167,7 @@ SELECT depth, model, {_DEPTH_SE} FROM l""")
 def depth_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).withColumn("depth", depth(F.col("mutant")))
     found = checkpointed(metrics.assay_metrics(rows, ["dms_id", "model", "depth"]))
-    errors = bootstrap.depth_errors(leaderboard.long_metrics(found, ("dms_id", "depth", "model")), 100)
+    errors = bootstrap.depth_errors(leaderboard.long_metrics(found, ("dms_id", "depth", "model")))
     table = leaderboard.depth_with_errors(leaderboard.by_depth(found), errors)
     return table.select("depth", "model", *rounded(*table.columns[2:]))
 
@@ -250,10 +250,46 @@ def position_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.number_positions(_attached(spark, sf_dir)).orderBy("sequence_id", "id").select("id", F.col("sequence_id").cast("string"), F.col("position_id").cast("string"))
 
 
-@query(_NUM + "\nSELECT id, sequence_id, position_id, usage FROM num WHERE sequence_id IN (SELECT sequence_id FROM num WHERE usage = 'Private')")
+_EVAL = """WITH pl AS (SELECT l.id, l.reactivity, l.usage, r.sequence_id, r.sequence FROM fx_labels l LEFT JOIN fx_ranges r ON l.id BETWEEN r.id_min AND r.id_max),
+ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY sequence_id ORDER BY id) - 1 AS INT) AS position_id FROM pl WHERE sequence IN (SELECT sequence FROM pl WHERE usage = 'Private'))"""
+
+
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.evaluation_set(fixture(spark, sf_dir, "fx_labels"), fixture(spark, sf_dir, "fx_ranges"))
+
+
+@query(_EVAL + "\nSELECT id, sequence_id, sequence, position_id, usage, round(reactivity, 6) AS reactivity FROM ev")
 def eval_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = structure.number_positions(_attached(spark, sf_dir))
-    return structure.with_usage(numbered, "Private").select("id", "sequence_id", "position_id", "usage")
+    return _evaluation(spark, sf_dir).select("id", "sequence_id", "sequence", "position_id", "usage", F.round("reactivity", 6).alias("reactivity"))
+
+
+@query(_EVAL + "\nSELECT id, round(prediction, 6) AS prediction FROM fx_id_predictions WHERE id IN (SELECT id FROM ev)")
+def eval_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.predictions_of(fixture(spark, sf_dir, "fx_id_predictions"), _evaluation(spark, sf_dir))
+    return rows.select("id", F.round("prediction", 6).alias("prediction"))
+
+
+@query(_EVAL + """,
+fr AS (SELECT sequence, min(id) AS id FROM pl WHERE usage = 'Private' GROUP BY sequence)
+SELECT pl.id, pl.sequence, CAST(pl.sequence_id AS VARCHAR) AS sequence_id, round(reactivity, 6) AS reactivity FROM fr JOIN pl ON pl.id = fr.id""")
+def private_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.first_of_each(fixture(spark, sf_dir, "fx_labels"), fixture(spark, sf_dir, "fx_ranges"))
+    return rows.select("id", "sequence", F.col("sequence_id").cast("string"), F.round("reactivity", 6).alias("reactivity"))
+
+
+#: Only ranges whose ids are all there: the labels of an order with fewer lines than its range has ids are left out.
+_GAPLESS = _AT + """,
+wh AS (SELECT r.sequence_id FROM fx_ranges r JOIN pl ON pl.sequence_id = r.sequence_id GROUP BY r.sequence_id, r.id_min, r.id_max HAVING count(DISTINCT pl.id) = r.id_max - r.id_min + 1)"""
+
+
+@query(_GAPLESS + "\nSELECT id, CAST(sequence_id AS VARCHAR) AS sequence_id, CAST(id - id_min AS INT) AS position_id FROM pl WHERE sequence_id IN (SELECT sequence_id FROM wh)")
+def gap_free_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions by distance, where it was checked that no range has a gap; else they are counted."""
+    ranges, rows = fixture(spark, sf_dir, "fx_ranges"), _attached(spark, sf_dir)
+    whole = structure.ranges_without_gaps(rows, ranges)
+    kept = structure.attach_ranges(fixture(spark, sf_dir, "fx_labels"), whole, inner=True)
+    numbered = structure.number_positions(kept, gap_free=structure.without_gaps(kept, whole), all_known=True)
+    return numbered.select("id", F.col("sequence_id").cast("string"), "position_id")
 
 
 @query(_AT + "\nSELECT count(*) AS n_shared FROM (SELECT sequence_id FROM pl WHERE usage = 'Private' INTERSECT SELECT sequence_id FROM pl WHERE usage = 'Public')")
@@ -320,7 +356,8 @@ def dotbracket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PAIRS + "\nSELECT seq_id, method, i, j FROM cr")
 def crossing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.crossing_pairs(_pairs(spark, sf_dir))
+    arrays = pairs.pair_arrays(fixture(spark, sf_dir, "fx_structures"))
+    return pairs.listed(arrays.select("seq_id", "method", pairs.crossing(F.col("pairs")).alias("pairs")))
 
 
 @query(
@@ -335,8 +372,8 @@ SELECT seq_id, method, round(CASE WHEN said + real > 0 THEN 2.0 * hit / (said +
   round(CASE WHEN said_x + real_x > 0 THEN 2.0 * hit_x / (said_x + real_x) ELSE 0 END, 6) AS crossed_f1 FROM f"""
 )
 def pair_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = fixture(spark, sf_dir, "fx_structures").select("seq_id", "method")
-    return pairs.structure_scores(_pairs(spark, sf_dir), grid).select("seq_id", "method", *rounded("f1", "crossed_f1"))
+    arrays = pairs.pair_arrays(fixture(spark, sf_dir, "fx_structures"))
+    return pairs.array_scores(arrays).select("seq_id", "method", *rounded("f1", "crossed_f1"))
 
 
 @query()
@@ -552,14 +589,41 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.similarity_classes(_mutated(spark, sf_dir), "dms_id", "mutated_sequence")
 
 
-@query(_CLASSES + """,
+def _gains(k: str, folds: str) -> str:
+    """CTE g<k>: links of each sequence to val (members: ``folds``) and across, and what moving it would gain."""
+    return f"""
+x{k} AS (SELECT dms_id, s, count(*) AS cr FROM (SELECT li.dms_id, li.a AS s FROM li JOIN {folds} f ON f.dms_id = li.dms_id AND f.s = li.b UNION ALL SELECT li.dms_id, li.b FROM li JOIN {folds} f ON f.dms_id = li.dms_id AND f.s = li.a) GROUP BY dms_id, s),
+y{k} AS (SELECT de.*, f.s IS NOT NULL AS iv, CASE WHEN f.s IS NOT NULL THEN deg - coalesce(cr, 0) ELSE coalesce(cr, 0) END AS ac FROM de LEFT JOIN x{k} x ON x.dms_id = de.dms_id AND x.s = de.s LEFT JOIN {folds} f ON f.dms_id = de.dms_id AND f.s = de.s),
+g{k} AS (SELECT *, 2 * ac - deg AS gain, sum(CASE WHEN iv THEN ac ELSE 0 END) OVER (PARTITION BY dms_id) AS cut FROM y{k})"""
+
+
+def _swap(k: int) -> str:
+    """CTEs of a round: the folds of g<k-1> after swaps, and of each assay the better ones as g<k>."""
+    o = "g0" if k == 1 else f"b{k - 1}"
+    return f"""
+k{k} AS (SELECT *, row_number() OVER (PARTITION BY dms_id, iv ORDER BY gain DESC, h) AS pl FROM {o}),
+m{k} AS (SELECT *, sum(gain) OVER (PARTITION BY dms_id, pl) > 2 AND count(*) OVER (PARTITION BY dms_id, pl) = 2 AND pl <= ceil(CAST(0.05 AS DOUBLE) * total) AS mv FROM k{k}),
+f{k} AS (SELECT dms_id, s FROM m{k} WHERE iv <> mv),{_gains(str(k), f"f{k}")},
+b{k} AS (SELECT n.* FROM g{k} n JOIN {o} o ON o.dms_id = n.dms_id AND o.s = n.s WHERE n.cut < o.cut UNION ALL SELECT o.* FROM g{k} n JOIN {o} o ON o.dms_id = n.dms_id AND o.s = n.s WHERE NOT n.cut < o.cut)"""
+
+
+_SPLIT = _CLASSES + f""",
 sz AS (SELECT dms_id, c, count(*) AS n FROM lab GROUP BY dms_id, c),
-pl AS (SELECT dms_id, c, sum(n) OVER (PARTITION BY dms_id) AS total, max(n) OVER (PARTITION BY dms_id) AS largest,
-  sum(n) OVER (PARTITION BY dms_id ORDER BY md5(concat('42|', dms_id, '|', c)), c ROWS UNBOUNDED PRECEDING) AS filled FROM sz)
-SELECT lab.dms_id, s AS sequence, c AS class, CASE WHEN filled <= ceil(CAST(0.2 AS DOUBLE) * total) AND NOT largest > CAST(0.8 AS DOUBLE) * total THEN 'val' ELSE 'train' END AS fold,
-  largest > CAST(0.8 AS DOUBLE) * total AS unsplittable FROM lab JOIN pl USING (dms_id, c)""")
+fi AS (SELECT dms_id, c, sum(n) OVER (PARTITION BY dms_id) AS total, sum(n) OVER (PARTITION BY dms_id ORDER BY n, md5(concat('42|', dms_id, '|', c)), c ROWS UNBOUNDED PRECEDING) AS filled FROM sz),
+ne AS (SELECT *, ceil(CAST(0.2 AS DOUBLE) * total) AS need, max(CASE WHEN filled <= ceil(CAST(0.2 AS DOUBLE) * total) THEN filled ELSE 0 END) OVER (PARTITION BY dms_id) AS base FROM fi),
+de AS (SELECT lab.dms_id, lab.s, lab.c, coalesce(nl.n, 0) AS deg, md5(concat('42|', lab.dms_id, '|', lab.s)) AS h, total, need, base, filled <= need AS whole
+       FROM lab JOIN ne ON ne.dms_id = lab.dms_id AND ne.c = lab.c LEFT JOIN nl ON nl.dms_id = lab.dms_id AND nl.s = lab.s),
+f0 AS (SELECT dms_id, s FROM (SELECT *, row_number() OVER (PARTITION BY dms_id, whole ORDER BY deg, h) AS pl FROM de) WHERE whole OR pl <= need - base),{_gains("0", "f0")},{_swap(1)},{_swap(2)}"""
+
+
+@query(_SPLIT + "\nSELECT dms_id, s AS sequence, c AS class, CASE WHEN iv THEN 'val' ELSE 'train' END AS fold, deg AS n_links, ac AS n_across FROM b2")
 def similarity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.similarity_split(splits.similar_groups(_mutated(spark, sf_dir), "dms_id", "mutated_sequence"))
+    return splits.similarity_split(_mutated(spark, sf_dir), "dms_id", "mutated_sequence")
+
+
+@query(_SPLIT + "\nSELECT dms_id, count(*) FILTER (iv) AS n_val, count(*) FILTER (NOT iv) AS n_train, CAST(max(cut) AS BIGINT) AS n_across FROM b2 GROUP BY dms_id")
+def split_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.split_leftovers(similarity_split(spark, sf_dir))
 
 
 def gc_share(sequences: list[str]) -> list[list[float]]:

@@ -50,6 +50,10 @@ SELECT l_orderkey * 10 + l_linenumber - 1 AS id, max(l_discount) * 15 - 0.1 AS r
 FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "fx_position_predictions": """
 SELECT l_orderkey AS sequence_id, l_linenumber - 1 AS position_id, max(l_tax) * 14 - 0.05 AS prediction
+FROM lineitem WHERE l_quantity > 5 GROUP BY l_orderkey, l_linenumber""",
+    # the same kind of predictions keyed by the labels' ids; some ids have no label
+    "fx_id_predictions": """
+SELECT l_orderkey * 10 + l_linenumber - 1 + CASE WHEN l_linenumber = 6 THEN 3 ELSE 0 END AS id, max(l_tax) * 14 - 0.05 AS prediction
 FROM lineitem WHERE l_quantity > 5 GROUP BY l_orderkey, l_linenumber""",
     # truth and two predictions, of which p1 shares the first half with the truth
     "fx_structures": """

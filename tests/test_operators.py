@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixbench.functions import expressions as E
-from helixbench.operators import bootstrap, leaderboard, logprob, merge, metrics, mutations, pairs, prefix, scoring, splits, structure
+from helixbench.operators import bootstrap, leaderboard, logprob, merge, metrics, mutations, pairs, scoring, splits, structure
 
 
 def frame(spark, rows, schema):
@@ -40,7 +40,7 @@ def test_assay_metrics_by_hand(spark):
     assert {r.dms_id: r.auc is None for r in grid.collect()} == {"nulls": True, "a": False}
 
 
-def test_pooled_auc_and_prefix_sums(spark):
+def test_pooled_auc(spark):
     rng = random.Random(2)
     rows = [(rng.choice("kl"), rng.random() < 0.4, round(rng.random(), 2)) for _ in range(400)]
     df = frame(spark, rows, "k string, y boolean, x double")
@@ -49,9 +49,15 @@ def test_pooled_auc_and_prefix_sums(spark):
     for k in "kl":
         assert abs(got[k] - plain_auc([r[1] for r in rows if r[0] == k], [r[2] for r in rows if r[0] == k])) < 1e-9
     assert abs(metrics.pooled_auc(df, F.col("y"), "x").first().auc + flipped - 1) < 1e-9
-    hist = df.groupBy("x").count()
-    sums = {r.x: r.count_before for r in prefix.prefix_sums(hist, [], "x", ["count"]).collect()}
-    assert sums == {x: sum(r[2] < x for r in rows) for x in {r[2] for r in rows}}
+    assert metrics.pooled_auc(df.limit(0), F.col("y"), "x").first().auc is None and metrics.pooled_auc(df.limit(0), F.col("y"), "x", ["k"]).count() == 0
+
+
+def test_pooled_auc_over_many_ranges_and_a_heavy_tie(spark):
+    """More distinct scores than ranges, and one score that half of all rows have."""
+    df = spark.range(20_000).selectExpr("pmod(xxhash64(id), 3) = 0 AS y", "CASE WHEN id % 2 = 0 THEN 0.0D ELSE pmod(xxhash64(1, id), 9000) / 9000D END AS x")
+    rows = df.collect()
+    got = metrics.pooled_auc(df, F.col("y"), "x")
+    assert abs(got.first().auc - plain_auc([r.y for r in rows], [r.x for r in rows])) < 1e-9
 
 
 def test_position_metrics_edge_cases(spark):
@@ -291,10 +297,58 @@ def test_similarity_classes_and_split(spark, monkeypatch):
         assert got[s].n_links == sum(near(s, o) for o in seqs if o != s)
         assert all(got[s]["class"] == got[o]["class"] for o in seqs if near(s, o))
         assert got[s]["class"] <= s
-    split = splits.similarity_split(similar).where("dms_id = 'a'").collect()
-    fold = {r.sequence: r.fold for r in split}
-    assert not [1 for x in seqs for y in seqs if near(x, y) and fold[x] != fold[y]]
-    assert 0 < sum(f == "val" for f in fold.values()) <= -(-len(seqs) // 5)
+    split = splits.similarity_split(df)
+    for g in ("a", "b"):
+        rows = split.where(F.col("dms_id") == g).collect()
+        fold = {r.sequence: r.fold for r in rows}
+        assert sum(f == "val" for f in fold.values()) == -(-len(fold) // 5)
+        for r in rows:
+            assert r.n_across == sum(near(r.sequence, o) and fold[o] != r.fold for o in fold if o != r.sequence)
+    left = {r.dms_id: r.n_across for r in splits.split_leftovers(split).collect()}
+    assert left["b"] == 0 and left["a"] < 8
+
+
+def library(rng, n, size, families=1, most=3):
+    """Variants of few families: some letters changed, put in or taken out."""
+    out = set()
+    bases = [[rng.choice("ACGU") for _ in range(size)] for _ in range(families)]
+    while len(out) < n:
+        s = list(rng.choice(bases))
+        for _ in range(rng.randrange(most + 1)):
+            at = rng.randrange(len(s))
+            s[at : at + rng.choice([1, 1, 0])] = [rng.choice("ACGU")] * rng.choice([1, 1, 0])
+        out.add("".join(s))
+    return sorted(out)
+
+
+def test_index_dismisses_nothing_and_compares_few(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PART", 16)
+    rng = random.Random(21)
+    groups = {"one": library(rng, 60, 40), "few": library(rng, 60, 40, 3), "many": library(rng, 40, 24, 12, 9), "long": library(rng, 20, 80, 2)}
+    df = frame(spark, [(g, s) for g, ss in groups.items() for s in ss], "dms_id string, sequence string")
+    index = splits.similarity_index(df)
+    got = {(r.dms_id, r.sequence): r for r in splits._classed(index).collect()}
+    marked = df.where(F.length("sequence") % 2 == 0).withColumnRenamed("sequence", "s")
+    to = {(r.dms_id, r.s): r.n for r in splits.indexed_links(index, marked).where("other is null").groupBy("dms_id", "s").agg(F.sum("n").alias("n")).collect()}
+    for g, ss in groups.items():
+        links = {s: {o for o in ss if o != s and lcs(s, o) > 0.8 * max(len(s), len(o))} for s in ss}
+        label = {s: s for s in ss}
+        while changed := {s: min([label[s], *(label[o] for o in links[s])]) for s in ss} != label and {s: min([label[s], *(label[o] for o in links[s])]) for s in ss}:
+            label = changed
+        for s in ss:
+            assert got[g, s].n_links == len(links[s]) and got[g, s]["class"] == label[s]
+            assert to.get((g, s), 0) == sum(len(o) % 2 == 0 for o in links[s])
+    compared = {r.dms_id: (r.n_pairs, r.n_compared) for r in splits.compared_pairs(index).collect()}
+    assert compared["one"][0] == 60 * 59 // 2 and compared["one"][1] * 10 <= compared["one"][0] and compared["few"][1] * 10 <= compared["few"][0]
+
+
+def test_swaps_lower_the_links_across(spark):
+    """Two halves joined by few links: neither fits the share, so one is cut, and the cut is no worse than a plain one."""
+    rng = random.Random(5)
+    df = frame(spark, [("a", s) for s in library(rng, 80, 20, 5, 6)], "dms_id string, sequence string")
+    first = splits.split_leftovers(splits.similarity_split(df, rounds=0)).first()
+    last = splits.split_leftovers(splits.similarity_split(df, rounds=4)).first()
+    assert first.n_val == last.n_val == 16 and last.n_across <= first.n_across
 
 
 def test_random_split_sizes(spark):
@@ -314,32 +368,43 @@ def test_scoring_and_reuse(spark, tmp_path):
     assert scoring.scored_once(spark, df, path, "m", score).count() == 5
 
 
-def test_spanning_links_join_what_all_links_join(spark):
-    rng = random.Random(11)
-    rows = []
-    for g in "xy":
-        for _ in range(12):
-            base = [rng.choice("ACGU") for _ in range(rng.randrange(12, 30))]
-            for _ in range(rng.randrange(1, 6)):
-                rows.append((g, "".join(base)))
-                base = list(base)
-                base[rng.randrange(len(base))] = rng.choice("ACGU")
-    df = frame(spark, rows, "dms_id string, sequence string")
-    want = {(r.dms_id, r.sequence): r["class"] for r in splits.similarity_classes(df).collect()}
-    got = {(r.dms_id, r.sequence): r["class"] for r in splits.similar_groups(df).collect()}
-    assert got == want and 4 < len(set(want.values())) < len(want)
-    assert splits.similar_groups(df.limit(0)).count() == 0
-
-
 def test_numbering_reads_its_input_once(spark):
     labels = frame(spark, [(i, "Private" if i == 3 else None) for i in range(12)], "id long, usage string")
     ranges = frame(spark, [("a", "ACGU", 2, 5), ("b", "AC", 8, 9)], "sequence_id string, sequence string, id_min long, id_max long")
     numbered = structure.number_positions(structure.attach_ranges(labels, ranges))
     assert {r.id: r.position_id for r in numbered.collect()} == {i: None for i in range(12)} | {2: 0, 3: 1, 4: 2, 5: 3, 8: 0, 9: 1}
-    chosen = structure.with_usage(numbered, "Private")
-    assert sorted(r.id for r in chosen.collect()) == [2, 3, 4, 5]
-    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") == 1
+
+
+def test_evaluation_sets_go_by_sequence(spark):
+    labels = frame(spark, [(i, "Private" if i in (3, 40) else None, i / 10) for i in range(20)] + [(40, "Private", 1.0)], "id long, usage string, x double")
+    ranges = frame(spark, [("a", "ACGU", 2, 5), ("b", "ACGU", 8, 11), ("c", "AC", 13, 14), ("d", None, 15, 16)], "sequence_id string, sequence string, id_min long, id_max long")
+    got = structure.evaluation_set(labels, ranges)
+    assert {(r.id, r.sequence_id, r.position_id) for r in got.collect()} == {(i, "a", i - 2) for i in range(2, 6)} | {(i, "b", i - 8) for i in range(8, 12)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1
+    predictions = frame(spark, [(3, 0.5), (13, 0.5), (99, 0.5), (None, 1.0)], "id long, prediction double")
+    assert [r.id for r in structure.predictions_of(predictions, got).collect()] == [3]
+    firsts = structure.first_of_each(labels.unionAll(labels), ranges)
+    assert sorted((r.id, r.sequence) for r in firsts.collect()) == [(3, "ACGU"), (40, None)]
+
+
+def test_pairs_stay_in_their_rows(spark):
+    df = frame(spark, [(1, "truth", "([)]"), (1, "p", "(.)."), (2, "truth", None), (2, "p", "((("), (3, "truth", ""), (3, "p", "()")], "seq_id int, method string, dotbracket string")
+    arrays = pairs.pair_arrays(df)
+    for out in (pairs.dotbracket_pairs(df), arrays.select(pairs.crossing(F.col("pairs")))):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    scores = pairs.array_scores(arrays)
+    assert scores._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert [(r.seq_id, r.precision, r.recall, r.f1, r.crossed_f1) for r in scores.collect()] == [(1, 1.0, 0.5, 2 / 3, 0.0)]
+    assert [(r.i, r.j) for r in pairs.dotbracket_pairs(df.where("method = 'truth'"), ["seq_id"]).collect()] == [(0, 2), (1, 3)]
+
+
+def test_crossings_of_places_with_several_partners(spark):
+    rng = random.Random(12)
+    rows = {k: {tuple(sorted(rng.sample(range(40), 2))) for _ in range(rng.randrange(12))} for k in range(60)}
+    df = frame(spark, [(k, *p) for k, ps in rows.items() for p in ps], "seq_id int, i int, j int")
+    got = {(r.seq_id, r.i, r.j) for r in pairs.crossing_pairs(df, ["seq_id"]).collect()}
+    assert got == {(k, *x) for k, ps in rows.items() for x in ps for y in ps if x[0] < y[0] < x[1] < y[1] or y[0] < x[0] < y[1] < x[1]}
 
 
 def test_wide_and_long_merge_agree_and_join_once(spark):
