@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixbench.llm import debruijn, decontaminate, language_id, licenses, media, mixing, simhash, token_store, toxicity
+from helixbench.llm import chat, debruijn, decontaminate, language_id, licenses, media, mixing, search, simhash, token_store, toxicity, whitening
 from helixbench.llm import url_filter as urls
 from helixbench.llm.common import remainder, table
 
@@ -123,5 +123,62 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_license_scan": op10_license_scan, "op9_mixing": op9_mixing, "op4_toxicity": op4_toxicity, "op6_language_id": op6_language_id, "op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL}
+#: Fixed values of the contract: a conversation whose texts are control strings.
+CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    one = "inline(array(" + ", ".join(f"named_struct('conv_id', {c}, 'turn', {t}, 'role', '{r}', 'text', '{x}')" for c, t, r, x in CONTROL_CONVERSATION) + "))"
+    rows = rows.unionByName(spark.range(1).selectExpr(one).select(*(F.col(f.name).cast(f.dataType) for f in rows.schema)))
+    read = chat.read_back(chat.conversations(chat.chained(rows)))
+    said = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.filter(F.transform("read", lambda x: x["loss"]), lambda x: x.isNotNull()), "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP11_SQL = (
+    r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(text, 'CONTROL', '\1\2\\\3', 'g') AS body FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS loss_sha256,
+  CAST(sum(length(url_encode(role)) + length(body) + MARKS) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("CONTROL", chat._CONTROL).replace("MARKS", str(sum(map(len, chat.CHAT[:3]))))
+)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+dn AS (SELECT *, len(w) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM dn),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+u AS (SELECT r, doc_id, n, unnest(w) AS t FROM dn),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM u WHERE t IN (SELECT t FROM b) GROUP BY r, doc_id, n, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, s),
+sc AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l)))) AS BIGINT) AS score FROM tf JOIN b USING (t) JOIN w USING (t), s GROUP BY item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+QUERIES = {"op10_license_scan": op10_license_scan, "op9_mixing": op9_mixing, "op4_toxicity": op4_toxicity, "op6_language_id": op6_language_id, "op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash, "op11_chat_format": op11_chat_format, "op12_whitening": op12_whitening, "op13_search": op13_search}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_chat_format": OP11_SQL, "op13_search": OP13_SQL}
