@@ -35,14 +35,13 @@ def only_new(sequences: DataFrame, stored: DataFrame, model: str) -> DataFrame:
 
 
 def scored_once(spark, sequences: DataFrame, path: str, model: str, scorer: Scorer) -> DataFrame:
-    """All predictions at ``path`` of the model, after those of new sequences were scored and appended."""
-    from pyspark.errors import AnalysisException
+    """All predictions at ``path`` of the model, after those of new sequences were scored and appended. The run's name
+    is the model's and the number of its runs before, so that a run that was killed is written again in its place."""
+    from helixbench.sources.files import append_result, finished_runs, read_results
 
-    try:
-        known = spark.read.parquet(path)
+    known = read_results(spark, path)
+    if known is not None:
         sequences = only_new(sequences, known, model)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    score_sequences(sequences, scorer).withColumn("model", F.lit(model)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("model") == model)
+    run = f"{model}-{sum(r.rpartition('-')[0] == model for r in finished_runs(spark, path))}"
+    append_result(score_sequences(sequences, scorer).withColumn("model", F.lit(model)), path, run)
+    return read_results(spark, path).where(F.col("model") == model).drop("run")

@@ -12,6 +12,7 @@ from helixbench.functions.expressions import depth, mutation_count, parse_mutati
 from helixbench.operators import bootstrap, leaderboard, logprob, merge, metrics, mutations, pairs, scoring, splits, structure
 from helixbench.operators.durable import checkpointed, shared_folder
 from helixbench.plans.fixtures import fixture, with_views
+from helixbench.schema import models
 from helixbench.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -682,3 +683,128 @@ def position_prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir, "fx_position_predictions").join(fixture(spark, sf_dir, "fx_ranges").select("sequence_id", "sequence"), "sequence_id")
     files.write_result(rows.withColumnRenamed("prediction", "prediction_stub"), path)
     return files.read_position_predictions(spark, path, "stub").select("sequence_id", "position_id", "sequence", "prediction")
+
+
+@query("""SELECT dms_id, rna_type, construct AS raw_construct_seq, CAST(2000 + s_suppkey % 20 AS INT) AS year, CAST(NULL AS VARCHAR) AS pdb_structure FROM fx_assays WHERE s_suppkey % 2 = 0
+UNION ALL SELECT dms_id, rna_type, construct, CAST(2000 + s_suppkey % 20 AS INT), NULL FROM fx_assays WHERE s_suppkey % 2 = 1""")
+def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the assays in a sheet of today's layout, half in one of the older layout, both read as one sheet."""
+    folder = _place(spark, "sheets")
+    rows = fixture(spark, sf_dir, "fx_assays").withColumn("year", 2000 + F.col("s_suppkey") % 20)
+    new = rows.where("s_suppkey % 2 = 0").select(F.col("dms_id").alias("DMS_ID"), F.col("year").alias("YEAR"), F.col("rna_type").alias("RNA_TYPE"), F.col("construct").alias("RAW_CONSTRUCT_SEQ"))
+    old = rows.where("s_suppkey % 2 = 1").select(F.col("dms_id").alias("fitness filename"), F.col("construct").alias("Raw Construct Sequence"), F.col("year").alias("Year"), F.col("rna_type").alias("Molecule Type"))
+    files.write_result(new, f"{folder}/new")
+    files.write_result(old, f"{folder}/old")
+    both = files.read_sheet(spark, f"{folder}/new").unionByName(files.read_sheet(spark, f"{folder}/old"))
+    return both.select("dms_id", "rna_type", "raw_construct_seq", "year", "pdb_structure")
+
+
+def _assay_folder(spark: SparkSession, sf_dir: str, rows: str) -> str:
+    folder = _place(spark, "manifest")
+    files.write_assays(fixture(spark, sf_dir, "fx_variants").where(rows).select("dms_id", "mutant", "dms_score"), folder)
+    return folder
+
+
+@query("SELECT dms_id, count(*) AS n FROM fx_variants WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 GROUP BY dms_id UNION ALL SELECT dms_id, 0 FROM fx_assays WHERE s_suppkey % 5 <> 0 AND dms_id NOT IN (SELECT dms_id FROM fx_variants WHERE s_suppkey % 3 <> 0)")
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assays of a sheet that lists some without a file, from a folder that has some beside the sheet."""
+    assays = files.read_assays(spark, _assay_folder(spark, sf_dir, "s_suppkey % 3 <> 0"))
+    sheet = fixture(spark, sf_dir, "fx_assays").where("s_suppkey % 5 <> 0").select("dms_id")
+    rows, missing = files.by_manifest(assays, sheet, strict=False)
+    return rows.groupBy("dms_id").agg(F.count("*").alias("n")).unionByName(missing.select("dms_id", F.lit(0).cast("long").alias("n")))
+
+
+@query(_MUTATED + """,
+li AS (SELECT DISTINCT sequence AS seqs, CAST(ascii(substr(md5(sequence), 2, 1)) AS DOUBLE) AS scores FROM mu WHERE substr(md5(sequence), 1, 1) < '8')
+SELECT dms_id, mutant, sequence, scores FROM mu LEFT JOIN li ON seqs = sequence""")
+def likelihood_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihoods of an external scorer, a file of two columns behind tabs, joined to the variants."""
+    path = _place(spark, "likelihoods")
+    rows = _mutated(spark, sf_dir).select("dms_id", "mutant", "mutated_sequence")
+    digest = F.md5(F.col("mutated_sequence").cast("binary"))
+    known = rows.where(F.substring(digest, 1, 1) < "8").select(F.col("mutated_sequence").alias("seqs"), F.ascii(F.substring(digest, 2, 1)).cast("double").alias("scores")).distinct()
+    known.write.option("header", True).option("sep", "\t").csv(path)
+    return mutations.with_likelihoods(rows, files.read_likelihoods(spark, path)).withColumnRenamed("mutated_sequence", "sequence")
+
+
+@query(_PAIRS + """,
+sq AS (SELECT DISTINCT seq_id, md5(concat('s', seq_id)) AS sequence FROM fx_structures)
+SELECT sequence, CAST(count(i) AS BIGINT) AS n_pairs, FALSE AS missing FROM sq LEFT JOIN pr ON pr.seq_id = sq.seq_id AND method = 'p1' WHERE sq.seq_id % 7 <> 0 GROUP BY sequence
+UNION ALL SELECT sequence, 0, TRUE FROM sq WHERE seq_id % 7 = 0""")
+def structure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures of a method keyed by sequence, from a table that lacks some: pairs of those there, and the others."""
+    path = _place(spark, "structures")
+    rows = fixture(spark, sf_dir, "fx_structures").withColumn("sequence", F.md5(F.concat(F.lit("s"), F.col("seq_id").cast("string")).cast("binary")))
+    rows.where("method = 'p1' AND seq_id % 7 <> 0").select("sequence", "method", "dotbracket", "seq_id").write.parquet(path)
+    said = files.read_structures(spark, path)
+    there = pairs.pair_arrays(said, ["sequence"]).select("sequence", F.size("pairs").cast("long").alias("n_pairs"), F.lit(False).alias("missing"))
+    absent = pairs.missing_predictions(rows.select("sequence").distinct(), said)
+    return there.unionByName(absent.select("sequence", F.lit(0).cast("long").alias("n_pairs"), F.lit(True).alias("missing")))
+
+
+@query("SELECT CASE model WHEN 'm1' THEN 'PSSM' ELSE 'EVmutation' END AS model, dms_id, mutant, score FROM fx_predictions WHERE model IN ('m1', 'm2')")
+def alignment_prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models that need an alignment, whose score columns lie in files of one layout, under odd and repeated
+    column names."""
+    folder = _place(spark, "alignments")
+    p = fixture(spark, sf_dir, "fx_predictions")
+    for name, model, score in (("m1", "PSSM", "prediction_independent"), ("m2", "EVmutation", "Prediction_Epistatic")):
+        rows = p.where(F.col("model") == name).select("dms_id", F.col("mutant").alias("mutations"), F.lit("x").alias("Mutant"), F.col("score").alias(score))
+        files.write_assays(rows, f"{folder}/{model}")
+    return files.read_predictions(spark, folder, models(with_alignments_only=True))
+
+
+@query("SELECT dms_id, mutant, dms_score FROM fx_variants WHERE mutant IS NOT NULL")
+def lower_case_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_variants").select(F.col("dms_id").alias("DMS_ID"), F.col("mutant").alias("Mutant"), F.col("dms_score").alias("DMS_score"))
+    return files.lower_columns(rows).dropna(subset=["mutant"])
+
+
+@query("""WITH v AS (SELECT DISTINCT dms_id, mutant, dms_score FROM fx_variants WHERE mutant IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY dms_id ORDER BY md5(concat('42|', dms_id, '|', mutant))) AS pl, count(*) OVER (PARTITION BY dms_id) AS n FROM v)
+SELECT dms_id, mutant, dms_score, CASE WHEN pl <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS fold FROM o""")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split written twice under its files' names, and read back."""
+    folder = _place(spark, "splits")
+    rows = fixture(spark, sf_dir, "fx_variants").where("mutant is not null").select("dms_id", "mutant", "dms_score").distinct()
+    split = checkpointed(splits.random_split(rows, ["dms_id", "mutant"]))
+    for _ in range(2):
+        files.write_split(split, folder, "random")
+    return files.read_split(spark, folder, "random", "mutant string, dms_score double")
+
+
+@query(_TYPED + f"\nSELECT 'first' AS run, model, count(*) AS n FROM ty GROUP BY model UNION ALL SELECT 'second', model, count(*) FROM ty WHERE rna_type <> 'ASIA' GROUP BY model")
+def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two runs appended to one table, one of them twice."""
+    folder = _place(spark, "results")
+    found = checkpointed(_assay_metrics(spark, sf_dir))
+    for run in ("first", "second", "first"):
+        rows = found if run == "first" else found.where("rna_type <> 'ASIA'")
+        files.append_result(rows.groupBy("model").agg(F.count("*").alias("n")), folder, run)
+    return files.read_results(spark, folder)
+
+
+@query("""WITH d AS (SELECT DISTINCT sequence_id, sequence FROM fx_ranges WHERE sequence IS NOT NULL),
+p AS (SELECT sequence_id, sequence, unnest(range(length(sequence))) AS k FROM d)
+SELECT sequence_id, sequence, CAST(k AS INT) AS position_id, round((length(substr(sequence, 1, k + 1)) - length(replace(replace(substr(sequence, 1, k + 1), 'G', ''), 'C', ''))) / (k + 1), 6) AS prediction FROM p
+WHERE sequence_id IN (SELECT min(sequence_id) FROM d GROUP BY sequence)""")
+def score_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences that come in two loads, the second with those of the first: each is scored once."""
+    path = _place(spark, "scored")
+    rows = fixture(spark, sf_dir, "fx_ranges").groupBy("sequence").agg(F.min("sequence_id").alias("sequence_id"))
+    scoring.scored_once(spark, rows.where("length(sequence) < 4"), path, "gc", gc_share)
+    return scoring.scored_once(spark, rows, path, "gc", gc_share).drop("model")
+
+
+@query("""SELECT 'id_max' AS "column", concat('x', sequence_id) AS value, count(*) AS n FROM fx_ranges WHERE sequence_id % 50 = 0 GROUP BY sequence_id
+UNION ALL SELECT NULL, concat(sequence_id, ',', sequence), count(*) FROM fx_ranges WHERE sequence_id % 50 = 1 GROUP BY sequence_id, sequence""")
+def rejected_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of ranges with cells that are no number and with lines that are cut short: both are reported."""
+    path = _place(spark, "ranges") + ".csv"
+    rows = fixture(spark, sf_dir, "fx_ranges")
+    end = F.when(F.col("sequence_id") % 50 == 0, F.concat(F.lit("x"), F.col("sequence_id").cast("string"))).otherwise(F.col("id_max").cast("string"))
+    line = F.concat_ws(",", F.col("sequence_id").cast("string"), "sequence", F.when(F.col("sequence_id") % 50 != 1, F.concat_ws(",", F.col("id_min").cast("string"), end)))
+    # One header for all: a text file begins with it.
+    lines = rows.select(line.alias("value")).unionByName(spark.range(1).select(F.lit("sequence_id,sequence,id_min,id_max").alias("value")))
+    lines.repartition(1).sortWithinPartitions(F.col("value").startswith("sequence_id").cast("int").desc()).write.text(path)
+    return files.range_rejects(spark, path).groupBy("column", "value").agg(F.count("*").alias("n"))

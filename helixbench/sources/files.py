@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from helixbench.functions.expressions import nan_to_null
 from helixbench.operators.pairs import distinct_pairs
-from helixbench.schema import ASSAY_SHEET, LABELS, MUTATION_COLUMNS, POSITION_PREDICTIONS, PREDICTIONS, RANGES, SCORE_COLUMNS, SHEET_ALIASES, STRUCTURES_BY_SEQUENCE
+from helixbench.schema import ASSAY_SHEET, LABELS, POSITION_PREDICTIONS, PREDICTIONS, RANGES, SCORE_COLUMNS, SHEET_ALIASES, STRUCTURES_BY_SEQUENCE
+from helixbench.session import reachable
+from helixbench.sources.datasources import AssayFiles, SplitFiles, listed
 
 
 def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -31,61 +33,38 @@ def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.lower() for c in df.columns))
 
 
-def mutation_column(columns: Sequence[str]) -> str:
-    """The first of the known names; an error if there is none."""
-    for name in MUTATION_COLUMNS:
-        if name in columns:
-            return name
-    raise ValueError(f"no mutation column among {list(columns)}")
+def read_csvs(spark: SparkSession, folder: str, wanted: dict[str, str]) -> DataFrame:
+    """A folder of CSV files of differing headers as one table: ``wanted`` maps canonical columns (``mutant`` is found
+    under any of its names) to types; columns that a file lacks are null, as are cells that are not of the type
+    (``rejected_cells`` lists these). With the ``dms_id`` that names the file, and its ``path``. Files are planned in
+    packs, and each header is read by the task that reads the file; an empty or absent folder is an error."""
+    raw = raw_csvs(spark, folder, wanted)
+    return nan_to_null(raw.select("dms_id", "path", *(F.col(f"`{n}`").try_cast(t).alias(n) for n, t in wanted.items())))
 
 
-def _headers(spark: SparkSession, paths: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header. Only first lines come to the driver, one for each distinct header with its files."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
-    return {tuple(_cells(r.header)): [unquote(p) for p in r.paths] for r in first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}
+def raw_csvs(spark: SparkSession, folder: str, wanted: dict[str, str]) -> DataFrame:
+    """The cells of ``read_csvs`` as they are in the files."""
+    if not listed(folder):
+        raise FileNotFoundError(folder)
+    reachable(spark).dataSource.register(AssayFiles)
+    return spark.read.format("assay_files").option("columns", json.dumps(list(wanted))).load(folder)
 
 
-def _cells(header: str) -> list[str]:
-    import csv
+def rejected_cells(raw: DataFrame, wanted: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """(keys, column, value): cells of ``raw`` that hold something, but nothing of the column's type."""
+    return raw.select(*keys, F.inline(_failed_casts(raw, wanted)))
 
-    return next(csv.reader([header.lstrip("﻿").rstrip("\r")]))
 
-
-def read_csvs(spark: SparkSession, paths: str, wanted: dict[str, str]) -> DataFrame:
-    """CSV files of differing headers as one table: ``wanted`` maps canonical columns (``mutant`` is found under any
-    of its names) to types; columns that a file lacks are null. Files are grouped by header and read by position, so
-    that columns never shift and repeated names keep their first column. With ``path`` of each row's file."""
-    out = None
-    for header, files in sorted(_headers(spark, paths).items()):
-        raw = spark.read.option("header", True).schema(", ".join(f"c{i} string" for i in range(len(header)))).csv(files)
-        place: dict[str, int] = {}
-        for i, name in enumerate(header):
-            place.setdefault(name.strip(), i)
-        place["mutant"] = place[mutation_column(place)] if any(m in place for m in MUTATION_COLUMNS) or "mutant" in wanted else -1
-        lower = {n.lower(): i for n, i in reversed(place.items())} | place
-        cell = lambda n, t: F.col(f"c{lower[n]}").try_cast(t) if lower.get(n, -1) >= 0 else F.lit(None).cast(t)
-        part = raw.select(*(cell(n, t).alias(n) for n, t in wanted.items()), F.col("_metadata.file_path").alias("path"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError(paths)
-    return nan_to_null(out)
-
-
-def _files(folder: str) -> str:
-    """One file for each assay, or one folder for each assay as ``write_assays`` makes it."""
-    return f"{folder}/{{*,dms_id=*/*}}.csv"
-
-
-def _stem(path: str = "path"):
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # Spark gives paths as URIs
-    return F.coalesce(F.nullif(F.regexp_extract(plain, r"/dms_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(plain, r"([^/]+)\.csv$", 1))
+def _failed_casts(raw: DataFrame, wanted: dict[str, str]) -> Column:
+    """The cells of a row that hold something, but nothing of their type, as structs (column, value)."""
+    failed = lambda n, t: F.when(F.col(f"`{n}`").isNotNull() & F.col(f"`{n}`").try_cast(t).isNull(), F.col(f"`{n}`").cast("string"))
+    cells = F.array(*(F.struct(F.lit(n).alias("column"), failed(n, t).alias("value")) for n, t in wanted.items()))
+    return F.filter(cells, lambda c: c["value"].isNotNull())
 
 
 def read_assays(spark: SparkSession, folder: str) -> DataFrame:
     """(dms_id, mutant, dms_score, sequence) of a folder of one CSV (or one folder of them) for each assay, named by it."""
-    rows = read_csvs(spark, _files(folder), {"mutant": "string", "dms_score": "double", "sequence": "string"})
-    return rows.select(_stem().alias("dms_id"), "mutant", "dms_score", "sequence")
+    return read_csvs(spark, folder, {"mutant": "string", "dms_score": "double", "sequence": "string"}).drop("path")
 
 
 def by_manifest(assays: DataFrame, sheet: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
@@ -103,22 +82,54 @@ def read_predictions(spark: SparkSession, folder: str, models: Sequence[str]) ->
     for model in models:
         column = SCORE_COLUMNS[model]
         try:
-            rows = read_csvs(spark, _files(f"{folder}/{model}"), {"mutant": "string", column: "double"})
-        except (AnalysisException, FileNotFoundError) as e:
-            if isinstance(e, AnalysisException) and "PATH_NOT_FOUND" not in str(e):
-                raise
+            rows = read_csvs(spark, f"{folder}/{model}", {"mutant": "string", column: "double"})
+        except FileNotFoundError:
             warnings.warn(f"no predictions of {model} in {folder}", stacklevel=2)
             continue
-        rows = rows.select(F.lit(model).alias("model"), _stem().alias("dms_id"), "mutant", F.col(column).alias("score"))
+        rows = rows.select(F.lit(model).alias("model"), "dms_id", "mutant", F.col(column).alias("score"))
         out = rows if out is None else out.unionByName(rows)
     return spark.createDataFrame([], PREDICTIONS) if out is None else out
 
 
+#: The column of a CSV reader that has the lines it could not split as the header asks.
+_CORRUPT = "_corrupt_record"
+
+
+def _raw_table(spark: SparkSession, path: str, names: dict[str, str], schema: StructType) -> DataFrame:
+    """The columns that ``schema`` asks for as they are in the files, Parquet or CSV, under canonical names: ``names``
+    are the files' own names of some. A CSV also has its malformed lines, whole, in a column of their own."""
+    own = lambda f: F.col(f"`{names.get(f.name, f.name)}`").alias(f.name)
+    if not path.rstrip("/").endswith(".csv"):
+        return spark.read.parquet(path).select(*(own(f) for f in schema.fields), F.lit(None).cast("string").alias(_CORRUPT))
+    header = spark.read.option("header", True).csv(path).columns
+    lines = StructType([*(StructField(c, StringType()) for c in header), StructField(_CORRUPT, StringType())])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+    reader = reader.option("columnPruning", False)  # else a short line passes where its last cells are not asked for
+    return reader.schema(lines).csv(path).select(*(own(f) for f in schema.fields), _CORRUPT)
+
+
 def _table(spark: SparkSession, path: str, names: dict[str, str], schema: StructType) -> DataFrame:
-    """Parquet, or CSV by its header, in canonical columns: ``names`` are the files' own names of some. Nothing is
-    inferred from CSV values; only the columns asked for are read."""
-    raw = spark.read.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
-    return nan_to_null(raw.select(*(F.col(f"`{names.get(f.name, f.name)}`").try_cast(f.dataType).alias(f.name) for f in schema.fields)))
+    """A table in canonical columns and types. Nothing is inferred from CSV values; only the columns asked for are
+    read. Cells that are not of their type are null, malformed lines are left out: ``rejects`` has both."""
+    raw = _raw_table(spark, path, names, schema).where(F.col(_CORRUPT).isNull())
+    return nan_to_null(raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields)))
+
+
+def rejects(spark: SparkSession, path: str, names: dict[str, str], schema: StructType) -> DataFrame:
+    """(column, value): what ``_table`` could not take from a table's files: malformed lines with a null column, and of
+    all other lines the cells that are not of their column's type."""
+    raw = _raw_table(spark, path, names, schema)
+    wanted = {f.name: f.dataType.simpleString() for f in schema.fields}
+    line = F.array(F.struct(F.lit(None).cast("string").alias("column"), F.col(_CORRUPT).alias("value")))
+    return raw.select(F.inline(F.when(F.col(_CORRUPT).isNull(), _failed_casts(raw, wanted)).otherwise(line)))
+
+
+def label_rejects(spark: SparkSession, path: str, reactivity: str = "reactivity_DMS_MaP") -> DataFrame:
+    return rejects(spark, path, {"usage": "Usage", "reactivity": reactivity}, LABELS)
+
+
+def range_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return rejects(spark, path, {}, RANGES)
 
 
 def read_labels(spark: SparkSession, path: str, reactivity: str = "reactivity_DMS_MaP") -> DataFrame:
@@ -174,9 +185,44 @@ def write_assays(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
 
 
 def write_split(df: DataFrame, folder: str, split_type: str) -> None:
-    df.withColumn("split_type", F.lit(split_type)).write.mode("append").partitionBy("split_type", "fold", "dms_id").parquet(folder)
-
-
-def append_result(df: DataFrame, folder: str) -> None:
-    """A row more in a leaderboard; the schema is the files' own, so there is no header to repeat."""
-    df.write.mode("append").parquet(folder)
+    """The folds of (dms_id, fold, other columns) as ``<split_type>/<fold>/<assay>_<fold>.csv``, with all other columns.
+    Files appear when all are written; a task that fails leaves none, and a second run replaces those of its names."""
+    reachable(df.sparkSession).dataSource.register(SplitFiles)
+    rows = df.repartition("dms_id", "fold").sortWithinPartitions("dms_id", "fold")
+    rows.write.format("split_files").option("kind", split_type).mode("append").save(folder)
+
+
+def read_split(spark: SparkSession, folder: str, split_type: str, columns: str) -> DataFrame:
+    """(dms_id, fold, columns) of the files of ``write_split``."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).schema(columns).csv(f"{folder}/{split_type}")
+    name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"\.csv$", "")
+    rows = rows.select("*", name.alias("_name"))
+    own = [c for c in rows.columns if c != "_name"]
+    return rows.select(F.regexp_replace("_name", "_[^_]*$", "").alias("dms_id"), F.regexp_extract("_name", "_([^_]*)$", 1).alias("fold"), *own)
+
+
+def append_result(df: DataFrame, folder: str, run: str) -> None:
+    """The rows of one run into a table of results. A run that is written again takes the place of what it has
+    written, so that rows are never there twice; it counts from when it is in the list of runs, which is written last,
+    so that one that was killed leaves nothing that is read. The schema is the files' own."""
+    spark = df.sparkSession
+    rows = df.withColumn("run", F.lit(run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(folder)
+    if run not in finished_runs(spark, folder):
+        spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{folder}/_runs")
+
+
+def finished_runs(spark: SparkSession, folder: str) -> set[str]:
+    """The runs whose rows are all there: one short name each."""
+    try:
+        return {r.run for r in spark.read.schema("run string").parquet(f"{folder}/_runs").distinct().collect()}
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return set()
+
+
+def read_results(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of all finished runs, with ``run``; None before the first."""
+    runs = finished_runs(spark, folder)
+    return spark.read.parquet(folder).withColumn("run", F.col("run").cast("string")).where(F.col("run").isin(sorted(runs))) if runs else None

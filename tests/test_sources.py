@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PythonException
 
 from helixbench.sources import files
 
@@ -18,8 +19,8 @@ def test_assays_of_differing_headers(spark, tmp_path):
 
 def test_no_mutation_column(spark, tmp_path):
     put(tmp_path / "a1.csv", "x,DMS_score\n1,2\n")
-    with pytest.raises(ValueError):
-        files.read_assays(spark, str(tmp_path))
+    with pytest.raises(PythonException, match="no mutation column"):
+        files.read_assays(spark, str(tmp_path)).collect()
 
 
 def test_manifest(spark, tmp_path):
@@ -60,10 +61,13 @@ def test_sinks(spark, tmp_path):
     files.write_assays(df, str(tmp_path / "w"))
     assert spark.read.option("header", True).csv(str(tmp_path / "w")).where("dms_id = 'a'").count() == 1
     files.write_split(df, str(tmp_path / "s"), "random")
-    assert (tmp_path / "s" / "split_type=random" / "fold=val" / "dms_id=a").is_dir()
-    for _ in range(2):
-        files.append_result(df, str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 4
+    assert (tmp_path / "s" / "random" / "val" / "a_val.csv").read_text() == "mutant,dms_score\nA1G,1.0\n"
+    assert sorted(p.name for p in (tmp_path / "s").rglob("*.csv")) == ["a_val.csv", "b_train.csv"]
+    got = files.read_split(spark, str(tmp_path / "s"), "random", "mutant string, dms_score double")
+    assert sorted(map(tuple, got.collect())) == [("a", "val", "A1G", 1.0), ("b", "train", "A1C", 2.0)]
+    for run in ("x", "x", "y"):
+        files.append_result(df, str(tmp_path / "r"), run)
+    assert sorted((r.run, r.dms_id) for r in files.read_results(spark, str(tmp_path / "r")).collect()) == [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b")]
     put(tmp_path / "l.tsv", "seqs\tscores\nACG\t-1.5\n")
     assert tuple(files.read_likelihoods(spark, str(tmp_path / "l.tsv")).first()) == ("ACG", -1.5)
     assert files.lower_columns(df.withColumnRenamed("mutant", "Mutant")).columns[1] == "mutant"
@@ -85,3 +89,43 @@ def test_tables_under_their_own_names(spark, tmp_path):
     put(tmp_path / "p.csv", "position_id,prediction_m,sequence_id,sequence\n3,nan,s1,ACG\n4,0.5,s1,ACG\n")
     got = files.read_position_predictions(spark, str(tmp_path / "p.csv"), "m")
     assert sorted(map(tuple, got.collect()), key=str) == [("ACG", "s1", 3, None), ("ACG", "s1", 4, 0.5)]
+
+
+def test_a_failed_writer_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([("a", "val", 1), ("b", "val", 0)], "dms_id string, fold string, x int")
+    files.write_split(df, str(tmp_path), "kept")
+    with pytest.raises(Exception):
+        files.write_split(df.selectExpr("dms_id", "fold", "1 div x AS x"), str(tmp_path), "lost")
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")) == ["kept/val/a_val.csv", "kept/val/b_val.csv"]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_staging")]
+
+
+def test_a_killed_append_is_not_read(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0)], "dms_id string, x double")
+    folder = str(tmp_path / "r")
+    assert files.read_results(spark, folder) is None
+    df.withColumn("run", df.dms_id).write.partitionBy("run").parquet(folder)  # rows that were written, the list was not
+    assert files.read_results(spark, folder) is None
+    files.append_result(df, folder, "b")
+    assert [(r.run, r.x) for r in files.read_results(spark, folder).collect()] == [("b", 1.0)]
+    files.append_result(df, folder, "a")
+    assert files.read_results(spark, folder).count() == 2
+
+
+def test_bad_cells_and_lines_are_reported(spark, tmp_path):
+    put(tmp_path / "l.csv", "Usage,id,reactivity_DMS_MaP,more\nPrivate,1,0.5,x\nPublic,z2,nan,x\nPublic,3,high,x\nPublic,4\n,5,,x\n")
+    path = str(tmp_path / "l.csv")
+    assert sorted((r.id, r.reactivity) for r in files.read_labels(spark, path).where("id is not null").collect()) == [(1, 0.5), (3, None), (5, None)]
+    assert sorted(map(tuple, files.label_rejects(spark, path).collect()), key=str) == [("id", "z2"), ("reactivity", "high"), (None, "Public,4")]
+    put(tmp_path / "f" / "a.csv", "mutant,DMS_score\nA1G,1,5\nC2U,none\n")
+    wanted = {"mutant": "string", "dms_score": "double"}
+    assert list(map(tuple, files.rejected_cells(files.raw_csvs(spark, str(tmp_path / "f"), wanted), wanted, ["dms_id"]).collect())) == [("a", "dms_score", "none")]
+
+
+def test_reading_plans_packs_of_files(spark, tmp_path):
+    for i in range(30):
+        put(tmp_path / f"a{i}.csv", f"DMS_score,x,mutation\n{i},1,A1G\n")
+    df = files.read_assays(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1 and sorted(r.dms_score for r in df.collect()) == [float(i) for i in range(30)]
+    with pytest.raises(FileNotFoundError):
+        files.read_assays(spark, str(tmp_path / "none"))
