@@ -128,19 +128,23 @@ def conversations(rows: DataFrame, best: int = 1, score: str | None = None, tree
     """(tree, leaf, rank, formatted, turns): the ``best`` root-to-leaf paths of each reply tree, each as one
     conversation. A branch's score is the mean of its nodes' ``score`` (without one, or where all are null, null);
     several rows of a node count as the smallest of (parent, role, text). Other columns are left out."""
-    way = paths(rows, tree, node, parent)
     value = F.lit(None).cast("double") if score is None else F.col(score).cast("double")
-    own = rows.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"), F.col(role).alias("role"), F.col(text).alias("text"), value.alias("value"))
-    own = own.where("n is not null").groupBy("t", "n").agg(F.min_by(F.struct("role", "text"), F.struct("p", "role", "text")).alias("turn"), F.avg("value").alias("value"))
-    own = stored(own, "turns")
-    scored = own.select("t", "n", "value")
+    rows = rows.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"), F.col(role).alias("role"), F.col(text).alias("text"), value.alias("value"))
+    rows = stored(rows.where("n is not null"), "turns")  # texts are made ready once, whatever the plan behind them
+    way = paths(rows, "t", "n", "p")
+    scored = rows.groupBy("t", "n").agg(F.avg("value").alias("value"))
     branches = way.join(scored, _same("tree", "t") & (F.col("node") == F.col("n"))).groupBy("tree", "leaf").agg(F.avg("value").alias("score"))
+    if score is None:
+        branches = way.select("tree", "leaf").distinct().withColumn("score", F.lit(None).cast("double"))
     chosen = ranked(branches, best).select(F.col("tree").alias("ct"), F.col("leaf").alias("cl"), "rank")
     kept = way.join(chosen, _same("tree", "ct") & (F.col("leaf") == F.col("cl"))).select("tree", "leaf", "rank", "node", F.col("depth").alias("at"))
-    said = own.select("t", "n", "turn")
-    turns = kept.join(said, _same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", "at", "turn.role", "turn.text")
+    said = rows.select("t", "n", "p", "role", "text")
+    turns = kept.join(said, _same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", "at", "p", "role", "text")
+    # Several rows of a node are told apart where the conversation's turns are together anyway.
+    again = F.lag("at").over(Window.partitionBy("tree", "leaf", "rank").orderBy("at", "p", "role", "text"))
+    turns = turns.withColumn("again", again.eqNullSafe(F.col("at"))).where("not again").select("tree", "leaf", "rank", "at", "role", "text")
     out = stored(format_turns(turns, ["tree", "leaf", "rank"], template), "conversations")
-    for done in (way, own):
+    for done in (way, rows):
         forget(done)
     return out
 
