@@ -490,25 +490,25 @@ def truncated_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dms_id", mutations.truncated(F.col("construct"), 10).alias("start"))
 
 
-_PARTS = """WITH v AS (SELECT DISTINCT dms_id, mutant FROM fx_variants WHERE mutant IS NOT NULL),
+def _marginal_sql(table: str, keys: str, own: str) -> str:
+    """CTE s (dms_id, mutant, d, bad): for each mutation the difference to the letter ``own``, null without both."""
+    return f"""WITH v AS (SELECT DISTINCT dms_id, mutant FROM fx_variants WHERE mutant IS NOT NULL),
 p AS (SELECT dms_id, mutant, unnest(string_split(mutant, ',')) AS m FROM v),
-x AS (SELECT p.dms_id, p.mutant, substr(m, 1, 1) AS old, CAST(substr(m, 2, length(m) - 2) AS INT) AS pos, substr(m, length(m), 1) AS new, construct FROM p JOIN fx_assays USING (dms_id)),
-s AS (SELECT x.dms_id, x.mutant, a.logp - b.logp AS d FROM x JOIN fx_logp a ON a.dms_id = x.dms_id AND a.pos = x.pos AND a.base = x.new
-      JOIN fx_logp b ON b.dms_id = x.dms_id AND b.pos = x.pos AND b.base = substr(x.construct, x.pos, 1))
-SELECT dms_id, mutant, sum(d) AS score"""
+x AS (SELECT p.dms_id, p.mutant, substr(m, 1, 1) AS old, CAST(substr(m, 2, length(m) - 2) AS INT) AS pos, substr(m, length(m), 1) AS new, construct FROM p JOIN fx_constructs USING (dms_id)),
+o AS (SELECT *, {own} AS own, substr(construct, pos, 1) <> old AS bad FROM x),
+s AS (SELECT o.dms_id, o.mutant, a.logp - b.logp AS d, bad FROM o LEFT JOIN {table} a ON {keys.format("a")} AND a.base = o.new LEFT JOIN {table} b ON {keys.format("b")} AND b.base = o.own)"""
 
 
-@query(_PARTS + ", FALSE AS mismatch FROM s GROUP BY dms_id, mutant")
+@query(_marginal_sql("fx_logp", "{0}.dms_id = o.dms_id AND {0}.pos = o.pos", "old") + "\nSELECT dms_id, mutant, CASE WHEN NOT bool_or(bad) AND count(*) = count(d) THEN sum(d) END AS score, bool_or(bad) AS mismatch FROM s GROUP BY dms_id, mutant")
 def wildtype_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logprob.wildtype_marginal(fixture(spark, sf_dir, "fx_variants"), fixture(spark, sf_dir, "fx_assays"), fixture(spark, sf_dir, "fx_logp"))
+    """Constructs of which every third has an N, so that some variants name another letter than is there."""
+    return logprob.wildtype_marginal(fixture(spark, sf_dir, "fx_variants"), fixture(spark, sf_dir, "fx_constructs"), fixture(spark, sf_dir, "fx_logp"))
 
 
-@query(_PARTS + " FROM s GROUP BY dms_id, mutant")
+@query(_marginal_sql("fx_masked", "{0}.dms_id = o.dms_id AND {0}.mutant = o.mutant AND {0}.pos = o.pos", "substr(replace(construct, 'N', ''), pos, 1)") + "\nSELECT dms_id, mutant, CASE WHEN count(*) = count(d) THEN sum(d) END AS score FROM s GROUP BY dms_id, mutant")
 def masked_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variants = fixture(spark, sf_dir, "fx_variants")
-    places = logprob.exploded(variants).select("dms_id", "mutant", "pos").distinct()
-    masked = places.join(fixture(spark, sf_dir, "fx_logp"), ["dms_id", "pos"])
-    return logprob.masked_marginal(variants, fixture(spark, sf_dir, "fx_assays"), masked)
+    """Each variant has a table of its own; N is taken out of the constructs, which moves the letters behind it."""
+    return logprob.masked_marginal(fixture(spark, sf_dir, "fx_variants"), fixture(spark, sf_dir, "fx_constructs"), fixture(spark, sf_dir, "fx_masked"), strip_n=True)
 
 
 _TOKENS = """WITH t AS (SELECT l.dms_id, l.pos, l.logp, substr(construct, l.pos, 1) = l.base AS own, l.pos % 5 = 0 AS padding FROM fx_logp l JOIN fx_assays USING (dms_id))
