@@ -71,7 +71,7 @@ CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('U')) AS b(base)""",
     # the same with a variant's position masked: each variant has values of its own
     "fx_masked": """
 SELECT p.dms_id, p.mutant, p.pos, l.base, l.logp - (ascii(substr(md5(concat(p.mutant, p.pos, l.base)), 1, 1)) % 8) * CAST(0.25 AS DOUBLE) AS logp
-FROM (SELECT DISTINCT dms_id, mutant, CAST(substr(m, 2, length(m) - 2) AS INT) AS pos
+FROM (SELECT DISTINCT dms_id, mutant, TRY_CAST(substr(m, 2, length(m) - 2) AS INT) AS pos
       FROM (SELECT dms_id, mutant, split_part(mutant, ',', 1) AS m FROM fx_variants WHERE mutant IS NOT NULL
             UNION ALL SELECT dms_id, mutant, split_part(mutant, ',', 2) FROM fx_variants WHERE mutant LIKE '%,%') t) p
 JOIN fx_logp l ON l.dms_id = p.dms_id AND l.pos = p.pos""",
