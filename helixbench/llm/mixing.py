@@ -1,15 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-With weights as shares of a period of ``slots`` time slots, the i-th block of a source of share w (i from 1) is
-released at floor((i-1)/w) and due at ceil(i/w); in each slot the released block with the earliest deadline runs.
-Every block then runs between its release and its deadline, so that at any slot a source has had its share of the
-blocks to within less than one. Releases and deadlines repeat with the period, so one period is scheduled, a table
-of fixed size, and each block finds its slot from its number.
-
-Weights that are no whole numbers of slots are not rounded to a period: the blocks that each source has in the whole
-mix are counted first. Of these, as many as go evenly into every period are scheduled in it; the few left over share
-slots that each period keeps free, by a second schedule over all periods. A source then has had its share to within
-less than three blocks, and each runs out at the end of the mix, however rare it is.
+The rows that each source gives to the mix are cut into blocks. With n blocks of a source among N in all, its i-th
+block (i from 1) is released at slot floor((i-1) N / n) and due at ceil(i N / n); in each slot the released block with
+the earliest deadline runs. Every block then runs between its release and its deadline, so that at any slot a source
+has had its share of the blocks to within less than one, from the first slot to the last, however rare it is.
+
+The schedule is made once, for at most ``SLOTS`` blocks: where that many of ``BLOCK`` rows do not hold the mix, blocks
+have more rows. So it has the same fineness over any corpus, and a bounded size.
 """
 
 from __future__ import annotations
@@ -20,13 +17,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import fresh
+from helixbench.llm.common import fresh, partitions
 
-BLOCK, SLOTS, LARGEST = 64, 10_000, 0.25
+BLOCK, SLOTS, LARGEST = 64, 1 << 18, 0.25
 _BUCKET_BITS = 12
 _NO_SOURCE = "\0"
-#: Names in a schedule: slots for the blocks that do not go evenly into the periods, and slots that stay empty.
-_REST, _IDLE = "\0rest", "\0idle"
 
 
 def capped(sizes: dict[str, int], largest: float = LARGEST) -> dict[str, Fraction]:
@@ -44,23 +39,6 @@ def capped(sizes: dict[str, int], largest: float = LARGEST) -> dict[str, Fractio
     return weights
 
 
-def quotas(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Whole slots of a period for each source with a positive weight, at least one, by largest remainders."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    if not weights:
-        return {}
-    slots = max(slots, len(weights))
-    total = sum(weights.values())
-    free = slots - len(weights)
-    exact = {s: w / total * slots - 1 for s, w in weights.items()}
-    positive = sum(max(0.0, x) for x in exact.values())
-    exact = {s: max(0.0, x) * free / positive if positive else 0.0 for s, x in exact.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: slots - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
 def period(shares: dict[str, int]) -> list[tuple[str, int]]:
     """(source, number of its block within the period) of each slot, earliest deadline first."""
     slots = sum(shares.values())
@@ -106,94 +84,51 @@ def targets(sizes: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
 
 
 class Plan:
-    """The rows of each source in the mix, and the slots of the sources' blocks.
+    """What each source gives to the mix, and when its blocks run.
 
-    ``blocks`` has the blocks of each source in one round of ``periods`` periods of ``slots`` slots, ``even`` how many
-    of them run in every period. ``places`` has (source, i, slot): for i < even, block i of each period and its slot
-    in the period; from there on, the blocks that are left over and their slots in the round.
-    """
+    ``kept`` has the rows of each source in the mix, ``block`` the rows of a block (a source's last one may have
+    fewer), ``blocks`` the sources' numbers of them, ``places`` (source, number of the block from 0, slot)."""
 
     def __init__(self, df: DataFrame, source: str, key: str, weights: dict[str, float] | None, block: int, slots: int):
         named = F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE))
         counted = df.select(named.alias("s"), F.col(key).alias("k")).distinct().groupBy("s").agg(F.count("*").alias("n"))
-        self.sizes = {r.s: r.n for r in counted.collect()}
-        wanted = capped(self.sizes) if weights is None else {s: w for s, w in weights.items() if s in self.sizes and w > 0}
-        self.block, self.periods = block, 1
-        total = sum(wanted.values())
-        if weights is not None and all(abs(w / total * slots - round(w / total * slots)) < 1e-9 and w / total * slots > 0.5 for w in wanted.values()):
-            self._repeat(quotas(wanted, slots))
-        else:
-            self._whole(targets(self.sizes, wanted), slots)
-
-    def _repeat(self, shares: dict[str, int]) -> None:
-        """Weights that are whole numbers of slots: one period repeats until the first source has run out."""
-        self.blocks = self.even = shares
-        plan = period(shares)
-        self.slots = len(plan)
-        self.places = [(s, i, slot) for slot, (s, i) in enumerate(plan)]
-        of: dict[str, list[int]] = {s: [] for s in shares}
-        for slot, (s, _) in enumerate(plan):
-            of[s].append(slot)
-        number = {s: -(-self.sizes[s] // self.block) for s in shares}
-        end = min((n // shares[s] * self.slots + of[s][n % shares[s]] for s, n in number.items()), default=0)
-        served = lambda s: end // self.slots * shares[s] + sum(x < end % self.slots for x in of[s])
-        self.kept = {s: min(self.sizes[s], served(s) * self.block) for s in shares}
-
-    def _whole(self, kept: dict[str, int], slots: int) -> None:
-        """A round that is the whole mix: every source in it runs out of the rows that it is to give."""
-        self.kept = kept
-        self.blocks = {s: -(-n // self.block) for s, n in kept.items()}
-        self.periods = max(1, -(-sum(self.blocks.values()) // slots))
-        self.even = {s: n // self.periods for s, n in self.blocks.items()}
-        over = {s: n % self.periods for s, n in self.blocks.items() if n % self.periods}
-        free = -(-sum(over.values()) // self.periods)
-        plan = period({s: n for s, n in [*self.even.items(), (_REST, free)] if n})
-        self.slots = len(plan)
-        self.places = [(s, i, slot) for slot, (s, i) in enumerate(plan) if s != _REST]
-        left = [slot for slot, (s, _) in enumerate(plan) if s == _REST]
-        idle = free * self.periods - sum(over.values())
-        for j, (s, i) in enumerate(period(over | ({_IDLE: idle} if idle else {}))):
-            if s != _IDLE:
-                self.places.append((s, self.even[s] + i, j // free * self.slots + left[j % free]))
+        sizes = {r.s: r.n for r in counted.collect()}
+        wanted = sizes if weights is None else {s: w for s, w in weights.items() if s in sizes and w > 0}
+        self.kept = targets(sizes, wanted)
+        self.block = max(block, -(-sum(self.kept.values()) // max(1, slots - len(self.kept))))
+        self.blocks = {s: -(-n // self.block) for s, n in self.kept.items()}
+        self.places = [(s, i, slot) for slot, (s, i) in enumerate(period(self.blocks))]
 
 
 def schedule(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """(key, source, block, place, slot, in_mix), one row for each distinct (source, key): the number of the row's
     block in its source, its place in the block, the slot in which the block runs, and whether the row is in the mix.
-    Reading by (slot, place) gives the mixture. Rows of sources without a positive weight have no slot and are not in
-    the mix.
-
-    ``weights`` name their sources; by default they follow the sizes with no source above a quarter (``capped``).
-    The mix ends where the first source has run out, up to where every source has its target weight to within a
-    block. By default this is the end of all sources but those above a quarter, so that only these are cut. A null
-    source is a source of its own. Within a source the order is a hash's. The driver sees the sources' sizes, one
-    period and, for each period, less than one block of every source; these are broadcast.
-    """
+    Reading by (slot, place) gives the mixture. Rows that are not in the mix have no slot.
+
+    ``weights`` name their sources (null is named "\\0"); by default they are the sources' sizes, and every row is in
+    the mix. With weights the mix is the largest that has them: it ends where the first source has run out, and rows
+    of the others beyond their share, and of sources without a weight, are left out. Within a source the order is a
+    hash's. ``block`` is the least size of a block, ``slots`` about the most blocks (more only with more sources). The
+    driver sees the sources' sizes and the schedule of the slots, which is broadcast."""
     plan = Plan(df, source, key, weights, block, slots)
     spark = df.sparkSession
-    ranked = _ranked(df, key, source).withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
-    table = spark.createDataFrame(plan.places, "source string, i long, slot long")
-    rows = [(s, n, plan.even[s], plan.kept[s]) for s, n in plan.blocks.items()]
-    share = spark.createDataFrame(rows, "source string, blocks long, even long, kept long")
-    numbered = ranked.join(F.broadcast(share), "source", "left").withColumn("number", F.col("block") % F.col("blocks"))
-    every, even = F.col("number") < F.col("even") * plan.periods, F.greatest("even", F.lit(1))
-    numbered = numbered.withColumn("i", F.when(every, F.col("number") % even).otherwise(F.col("number") - F.col("even") * (plan.periods - 1)))
-    placed = numbered.join(F.broadcast(table), ["source", "i"], "left")
-    before = F.floor(F.col("block") / F.col("blocks")) * plan.periods + F.when(every, F.floor(F.col("number") / even)).otherwise(0)
-    slot = before * plan.slots + F.col("slot")
+    numbered = _ranked(df, key, source).withColumn("block", F.floor(F.col("rank") / plan.block)).withColumn("place", (F.col("rank") % plan.block).cast("int"))
+    table = spark.createDataFrame(plan.places, "source string, block long, slot long")
+    kept = spark.createDataFrame(list(plan.kept.items()), "source string, kept long")
+    placed = numbered.join(F.broadcast(kept), "source", "left").withColumn("in_mix", F.coalesce(F.col("rank") < F.col("kept"), F.lit(False)))
+    placed = placed.join(F.broadcast(table), ["source", "block"], "left")
     named = F.when(F.col("source") != _NO_SOURCE, F.col("source"))
-    return placed.select(F.col("k").alias(key), named.alias(source), "block", "place", slot.alias("slot"), F.coalesce(F.col("rank") < F.col("kept"), F.lit(False)).alias("in_mix"))
+    return placed.select(F.col("k").alias(key), named.alias(source), "block", "place", F.when(F.col("in_mix"), F.col("slot")).alias("slot"), "in_mix")
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """The rows of ``df`` that ``schedule`` puts in the mix, columns unchanged; rows that share source and key stay
-    or go together. The texts are not shuffled: a source's cut is the hash of its last key in the mix."""
-    plan = Plan(df, source, key, weights, block, slots)
-    kept = F.create_map(*(F.lit(x) for s, n in plan.kept.items() for x in (s, n))) if plan.kept else F.lit(None).cast("map<string,bigint>")
-    last = _ranked(df, key, source).where(F.col("rank") == kept[F.col("source")] - 1)
-    of, cut = fresh(df, "_s", "_cut")
-    cuts = last.select(F.col("source").alias(of), F.struct("h", "k").alias(cut))
+    """The rows of ``df`` that ``schedule`` puts in the mix, columns unchanged, in the order of the mixture: each part
+    of the result has stretches of it, sorted. Rows that share source and key stay or go together."""
+    k, s, slot, place = fresh(df, "_k", "_s", "_slot", "_place")
+    order = schedule(df, key, source, weights, block, slots).where("in_mix")
+    order = order.select(F.col(key).alias(k), F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE)).alias(s), F.col("slot").alias(slot), F.col("place").alias(place))
     named = F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE))
-    own = F.struct(_hash(F.col(key)).alias("h"), F.col(key).alias("k"))
-    unsigned = lambda c: F.struct(c["h"] < 0, c["h"], c["k"])
-    return df.join(F.broadcast(cuts), (named == F.col(of)) & (unsigned(own) <= unsigned(F.col(cut)))).select(*(df[c] for c in df.columns))
+    mixed = df.join(order, F.col(key).eqNullSafe(F.col(k)) & (named == F.col(s)))
+    n = partitions(df.sparkSession)
+    stretch = F.floor(F.col(slot) * n / F.lit(slots))
+    return mixed.repartition(n, stretch).sortWithinPartitions(slot, place).select(*(df[c] for c in df.columns))
