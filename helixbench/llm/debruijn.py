@@ -1,31 +1,34 @@
 """Substring de-duplication on a compacted de Bruijn graph of words.
 
-A k-mer of words is an edge between its first and its last k-1 words. Edges that occur in several documents are
-what repeats; each gets a source coordinate, the place of its first occurrence (smallest document, then smallest
-position). Where a document walks along repeated edges whose source coordinates advance in step, the path has no
-branch and compacts into one span (document, start, source document, source start).
+A k-mer of words is an edge from the node of its first k-1 words to that of its last k-1. The graph has the edges that
+occur in several documents, each with its source coordinate, the place of its first occurrence (smallest document,
+then smallest position). A node with one edge in and one out does not branch: its two edges are one path. Paths
+compact by contraction, within tasks first, then by joins of what is left, until every edge knows its path and its
+place on it. A document's stretch along a path, with its source, is a span; the words of both are compared by a
+128-bit digest that is taken at the source.
 
 To keep unique edges off the network, every edge is filed under its minimizer, the smallest hash of the shorter
 word runs inside it: equal edges have equal minimizers, so only edges whose minimizer occurs in two documents are
-hashed in full. That filter loses no repeated edge. Neighbouring edges mostly share a minimizer, so they travel to
-its bucket as one row; paths compact within the buckets first and are then glued together across buckets. A whole
-text that a smaller document has too is one path from its first word to its last and takes no part in this.
+hashed in full. That filter loses no repeated edge. A whole text that a smaller document has too is one path from its
+first word to its last and takes no part in this. No step needs the rows of one edge, node or minimizer together:
+they are counted by partial sums and joined.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import partitions
+from helixbench.llm.common import forget, partitions, stored
 
 WORDS, ANCHOR = 13, 6
+#: Links that a task contracts at once, a bound on its memory.
+PART = 1 << 18
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -63,8 +66,12 @@ def _minimizers(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _row(text) -> int:
-    """Tells rows that share a key apart by their text."""
-    return zlib.crc32((text.as_py() or "").encode("utf-8", "surrogatepass"))
+    """Tells rows that share a key apart by their text: half of its SHA-1, as Spark has it in ``_text_row``."""
+    return int(hashlib.sha1((text.as_py() or "").encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+
+
+def _text_row(text: Column) -> Column:
+    return F.conv(F.substring(F.sha1(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _file(k: int):
@@ -92,31 +99,24 @@ def _copied(text, copies) -> bool:
 
 
 def _edges(k: int):
-    """(doc, text, minimizers) to the edges filed under one of these minimizers: a row for each run of edges."""
+    """(doc, text, minimizers) to the edges filed under one of these minimizers, with their nodes."""
 
     def run(batches):
         for batch in batches:
-            ids, rows, least, start, size, edge = [], [], [], [], [], []
+            ids, rows, at_, edge, left, right = [], [], [], [], [], []
             for i, (doc, text, wanted) in enumerate(zip(*batch.columns, strict=True)):
                 words = words_of(text.as_py()) if doc.is_valid and wanted.is_valid else []
                 if len(words) >= k:
                     with np.errstate(over="ignore"):
                         hashes = _hashes(words)
-                        m, e = _minimizers(hashes, k).view(np.int64), _runs(hashes, k).view(np.int64)
+                        m, e, node = (x.view(np.int64) for x in (_minimizers(hashes, k), _runs(hashes, k), _runs(hashes, k - 1)))
                     at = np.flatnonzero(np.isin(m, wanted.values.to_numpy()))
                     if len(at):
-                        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (m[at[1:]] != m[at[:-1]])]))
-                        least.append(m[at[new]])
-                        start.append(at[new])
-                        size.append(np.diff(np.append(new, len(at))))
-                        edge.append(e[at])
-                        ids.append(np.full(len(new), i))
-                        rows.append(np.full(len(new), _row(text)))
+                        for held, value in ((ids, np.full(len(at), i)), (rows, np.full(len(at), _row(text))), (at_, at), (edge, e[at]), (left, node[at]), (right, node[at + 1])):
+                            held.append(value)
             if ids:
-                offsets = np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int32)
-                edges = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(edge)))
-                flat = [pa.array(np.concatenate(x)) for x in (rows, least, start)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), flat[0], flat[1], flat[2].cast(pa.int32()), edges], names=["doc", "row", "m", "start", "edges"])
+                flat = [pa.array(np.concatenate(x)) for x in (rows, at_, edge, left, right)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), flat[0], flat[1].cast(pa.int32()), *flat[2:]], names=["doc", "row", "pos", "edge", "left", "right"])
 
     return run
 
@@ -128,9 +128,9 @@ def _dealt(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _copies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, copies): for documents whose whole text a smaller document has, the crc32 of such texts and that
+    """(doc, copies): for documents whose whole text a smaller document has, the rows of such texts and that
     document. Texts are compared by a 160-bit digest."""
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.sha1(F.col(text).cast("binary")).alias("h"), F.crc32(F.col(text).cast("binary")).alias("row"))
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.sha1(F.col(text).cast("binary")).alias("h"), _text_row(F.col(text)).alias("row"))
     first = rows.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     found = rows.join(first, "h").where("first < doc")
     return found.groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct("row", "first"))).alias("copies"))
@@ -141,30 +141,130 @@ def _with(docs: DataFrame, more: DataFrame) -> DataFrame:
     return docs.join(more.hint("shuffle_hash"), "doc", "left")
 
 
-def _repeated_spans(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+def occurrences(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """(doc, row, pos, edge, left, right): every place of every edge that may be repeated, as a stored table."""
     known = F.map_keys("copies").alias("copies")
-    filed = _with(docs, copies).select("doc", "text", known).mapInArrow(_file(k), "doc long, m long")
-    under = Window.partitionBy("m")
-    shared = filed.select("doc", "m", F.min("doc").over(under).alias("low"), F.max("doc").over(under).alias("high")).where("low < high")
-    wanted = shared.groupBy("doc").agg(F.collect_set("m").alias("ms"))
-    runs = _with(docs, wanted).select("doc", "text", "ms").mapInArrow(_edges(k), "doc long, row long, m long, start int, edges array<long>")
-    filed = runs.repartition(partitions(docs.sparkSession), "m")
-    edges = filed.select("m", "doc", "row", "start", F.posexplode("edges").alias("i", "edge")).withColumn("pos", F.col("start") + F.col("i"))
-    first = Window.partitionBy("m", "edge").orderBy("doc", "pos")
-    sourced = edges.withColumn("s", F.first(F.struct("doc", "pos")).over(first)).where("doc > s.doc")
-    repeated = sourced.select("m", "doc", "row", "start", "pos", F.lit(1).alias("n"), F.col("s.doc").alias("src_doc"), F.col("s.pos").alias("src_pos"))
-    local = _compact(repeated, ["m", "doc", "row", "start"])
-    return _compact(local, ["doc", "row"])
-
-
-def _compact(paths: DataFrame, within: list[str]) -> DataFrame:
-    """Paths that continue each other, in the document and at the source alike, become one."""
-    along = Window.partitionBy(*within).orderBy("pos", "src_doc", "src_pos")
-    before = F.lag("n").over(along)
-    step = (F.col("pos") == F.lag("pos").over(along) + before) & (F.col("src_doc") == F.lag("src_doc").over(along)) & (F.col("src_pos") == F.lag("src_pos").over(along) + before)
-    numbered = paths.withColumn("path", F.when(step, 0).otherwise(1)).withColumn("path", F.sum("path").over(along))
-    one = numbered.groupBy(*within, "path").agg(F.min("pos").alias("pos"), F.sum("n").cast("int").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_pos"))
-    return one.drop("path", *(c for c in within if c not in ("doc", "row")))
+    filed = stored(_with(docs, copies).select("doc", "text", known).mapInArrow(_file(k), "doc long, m long"), "filed")
+    shared = filed.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("m")
+    wanted = filed.join(shared, "m").groupBy("doc").agg(F.collect_list("m").alias("ms"))
+    out = stored(_with(docs, wanted).select("doc", "text", "ms").mapInArrow(_edges(k), "doc long, row long, pos int, edge long, left long, right long"), "occurrences")
+    forget(filed)
+    return out
+
+
+def graph(places: DataFrame) -> DataFrame:
+    """(edge, left, right, src): the edges of several documents, as a stored table; src has (doc, pos, row) of the
+    first occurrence."""
+    first = F.min(F.struct("doc", "pos", "row"))
+    every = places.groupBy("edge").agg(first.alias("src"), F.max("doc").alias("high"), F.min("left").alias("left"), F.min("right").alias("right"))
+    return stored(every.where("src.doc < high").select("edge", "left", "right", "src"), "graph")
+
+
+def links(edges: DataFrame) -> DataFrame:
+    """(a, b, at): edges a and b that meet in a node which no other edge enters or leaves; ``at`` is a's source."""
+    enters = edges.groupBy("right").agg(F.count("*").alias("n"), F.min(F.struct("edge", "src.doc")).alias("a")).where("n = 1")
+    leaves = edges.groupBy("left").agg(F.count("*").alias("n"), F.min("edge").alias("b")).where("n = 1")
+    met = enters.select("right", "a").join(leaves.select("left", "b"), F.col("right") == F.col("left"))
+    return met.where("a.edge <> b").select(F.col("a.edge").alias("a"), "b", F.col("a.doc").alias("at"))
+
+
+def _contract(batches):
+    """Links (a, b) to (edge, end, dist), for each a the edge at the end of its path among the links at hand, and the
+    steps to it. Edges on a ring have none."""
+    held = []
+
+    def made():
+        table = pa.Table.from_batches(held)
+        a, b = (table.column(i).to_numpy() for i in range(2))
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        step, dist = np.arange(len(names)), np.zeros(len(names), np.int64)
+        step[at[: len(a)]] = at[len(a) :]
+        dist[at[: len(a)]] = 1
+        last = step == np.arange(len(names))
+        for _ in range(len(names).bit_length()):
+            dist += dist[step]
+            step = step[step]
+        mine = at[: len(a)][last[step[at[: len(a)]]]]
+        return pa.RecordBatch.from_arrays([pa.array(names[x]) for x in (mine, step[mine])] + [pa.array(dist[mine])], names=["edge", "end", "dist"])
+
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PART:
+            yield made()
+            held, n = [], 0
+    if n:
+        yield made()
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(edge, src, path, place): every edge of the graph with its path, named by the last edge, and its place on it
+    (rising by one from edge to edge, 0 at the end), as a stored table. Paths mostly follow one source document, so
+    links are dealt by it and contract there; what hangs together across tasks doubles its steps by joins."""
+    own = links(edges).repartition(partitions(edges.sparkSession), "at").select("a", "b")
+    hops = stored(own.mapInArrow(_contract, "edge long, end long, dist long"), "hops")
+    ends = hops.select(F.col("end").alias("edge")).distinct()
+    bridges = stored(hops.join(ends, "edge", "left_semi"), "bridges")  # ends that go on in another task
+    rounds = max(1, bridges.count()).bit_length() + 1
+    for _ in range(rounds):
+        if bridges.isEmpty():
+            break
+        on = bridges.select(F.col("edge").alias("end"), F.col("end").alias("far"), F.col("dist").alias("more"))
+        new = stored(bridges.join(on, "end", "left").select("edge", F.coalesce("far", "end").alias("end"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("far").isNotNull().alias("moved")), "bridges")
+        forget(bridges)
+        moved, bridges = not new.where("moved").isEmpty(), new.drop("moved")
+        if not moved:
+            break
+    # What still goes on after all rounds is a ring over several tasks; it stays cut where they met.
+    ring = bridges.join(bridges.select(F.col("edge").alias("end")), "end", "left_semi").select("edge")
+    on = bridges.join(ring, "edge", "left_anti").select(F.col("edge").alias("end"), F.col("end").alias("far"), F.col("dist").alias("more"))
+    full = hops.join(on, "end", "left").select("edge", F.coalesce("far", "end").alias("path"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+    out = edges.select("edge", "src").join(full, "edge", "left").select("edge", "src", F.coalesce("path", "edge").alias("path"), (-F.coalesce("dist", F.lit(0))).alias("place"))
+    out = stored(out, "paths")
+    for done in (hops, bridges):
+        forget(done)
+    return out
+
+
+def _repeated_spans(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """Spans (doc, row, pos, n, src_doc, src_pos, digest): stretches of a document along a path whose sources advance
+    in step, with the digest of their words at the source; a stored table."""
+    places = occurrences(docs, copies, k)
+    edges = graph(places)
+    paths = compacted(edges)
+    met = places.select("doc", "row", "pos", "edge").join(paths, "edge").where("doc > src.doc")
+    # Places of one stretch rise by one; a document that leaves a path and comes back to it has two.
+    keyed = met.select("doc", "row", "pos", "path", (F.col("pos") - F.col("place")).alias("lane"), F.col("src.doc").alias("src_doc"), F.col("src.row").alias("src_row"), (F.col("src.pos") - F.col("pos")).alias("shift"))
+    lane = ["doc", "row", "path", "lane", "src_doc", "src_row", "shift"]
+    island = F.col("pos") - F.row_number().over(Window.partitionBy(*lane).orderBy("pos"))
+    spans = keyed.withColumn("island", island).groupBy(*lane, "island").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("n"))
+    spans = stored(spans.select("doc", "row", "pos", "n", "src_doc", "src_row", (F.col("pos") + F.col("shift")).alias("src_pos")), "spans")
+    asked = spans.select("src_doc", "src_row", "src_pos", "n").distinct().groupBy(F.col("src_doc").alias("doc")).agg(F.collect_list(F.struct("src_row", "src_pos", "n")).alias("asked"))
+    said = docs.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_source_digests(k), "src_doc long, src_row long, src_pos int, n int, digest binary")
+    out = stored(spans.join(said.distinct(), ["src_doc", "src_row", "src_pos", "n"]).select(*_PATH_NAMES, "digest"), "sourced")
+    for done in (places, edges, paths, spans):
+        forget(done)
+    return out
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _source_digests(k: int):
+    """(doc, text, asked) to the digests of the words of the spans that are asked of this text."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, text, asked in zip(*batch.columns, strict=True):
+                row, words = _row(text), words_of(text.as_py())
+                out += [(doc.as_py(), row, x["src_pos"], x["n"], _digest(words[x["src_pos"] : x["src_pos"] + x["n"] + k - 1])) for x in asked.as_py() if x["src_row"] == row]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["src_doc", "src_row", "src_pos", "n", "digest"])
+
+    return run
 
 
 def _whole(k: int):
@@ -173,10 +273,10 @@ def _whole(k: int):
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, copies in zip(*batch.to_pydict().values(), strict=True):
-                row, n = zlib.crc32((text or "").encode("utf-8", "surrogatepass")), len(words_of(text))
-                if n >= k and row in (copies := dict(copies)):
-                    out.append((doc, row, 0, n - k + 1, copies[row], 0))
+            for doc, text, copies in zip(*batch.columns, strict=True):
+                row, n, copies = _row(text), len(words_of(text.as_py())), dict(copies.as_py())
+                if n >= k and row in copies:
+                    out.append((doc.as_py(), row, 0, n - k + 1, copies[row], 0))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PATH_TYPES, strict=True)] if out else [pa.array([], t) for t in _PATH_TYPES], names=_PATH_NAMES)
 
     return run
@@ -185,14 +285,30 @@ def _whole(k: int):
 _PATH_NAMES, _PATH_TYPES = ["doc", "row", "pos", "n", "src_doc", "src_pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
 
+def _checked(k: int):
+    """(doc, text, paths) to those of its spans whose words have the digest of their source."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, text, paths in zip(*batch.columns, strict=True):
+                words, row = words_of(text.as_py()), _row(text)
+                out += [(doc.as_py(), row, p["pos"], p["n"], p["src_doc"], p["src_pos"]) for p in paths.as_py() if p["row"] == row and _digest(words[p["pos"] : p["pos"] + p["n"] + k - 1]) == p["digest"]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_PATH_TYPES)], names=_PATH_NAMES)
+
+    return run
+
+
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """(key, start, n_words, src_doc, src_start): the compacted paths. Words start .. start+n_words-1 of the document
-    are the words from src_start on of a document with a smaller key. Rows without a key take no part, texts of
-    fewer than k words have no edge, rows that share a key (repeated rows too) are one document's variants and
-    never each other's source; ``row``, the crc32 of the text, tells them apart."""
+    """(key, row, start, n_words, src_doc, src_start): the documents' stretches along the compacted paths. Words start
+    .. start+n_words-1 of the document are the words from src_start on of a document with a smaller key. Rows without
+    a key take no part, texts of fewer than k words have no edge, rows that share a key (repeated rows too) are one
+    document's variants and never each other's source; ``row``, a digest of the text, tells them apart."""
     docs, copies = _dealt(df, key, text), _copies(df, key, text)
     whole = docs.join(copies, "doc").mapInArrow(_whole(k), "doc long, row long, pos int, n int, src_doc long, src_pos int")
-    spans = _repeated_spans(docs, copies, k).select(*_PATH_NAMES).unionAll(whole).distinct()
+    paths = _repeated_spans(docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n", "src_doc", "src_pos", "digest")).alias("paths"))
+    found = docs.join(paths.hint("shuffle_hash"), "doc").select("doc", "text", "paths").mapInArrow(_checked(k), "doc long, row long, pos int, n int, src_doc long, src_pos int")
+    spans = found.unionAll(whole).distinct()
     return spans.select(F.col("doc").alias(key), "row", F.col("pos").alias("start"), (F.col("n") + k - 1).alias("n_words"), "src_doc", F.col("src_pos").alias("src_start"))
 
 
@@ -209,7 +325,7 @@ def _drop(k: int, kept_text: bool):
                     words = words if len(words) < k else []
                 elif paths.is_valid:
                     row = _row(text)
-                    own = [(p["pos"], p["n"]) for p in paths.as_py() if p["row"] == row]
+                    own = [(p["pos"], p["n"]) for p in paths.as_py() if p["row"] == row and _digest(words[p["pos"] : p["pos"] + p["n"] + k - 1]) == p["digest"]]
                     edge = np.zeros(len(words) + 1, np.int64)
                     for start, n in own:
                         edge[start] += 1
@@ -232,7 +348,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     the input; null without ``kept_text``. Null and empty texts have no words. Rows without a key lose nothing and
     are nobody's source."""
     docs, copies = _dealt(df, key, text), _copies(df, key, text)
-    paths = _repeated_spans(docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n")).alias("paths"))
+    paths = _repeated_spans(docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n", "digest")).alias("paths"))
     every = _with(_with(docs, paths), copies).select("doc", "text", "paths", F.map_keys("copies").alias("copies"))
     out = every.mapInArrow(_drop(k, kept_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("doc", key)

@@ -83,6 +83,18 @@ win AS (SELECT doc_id, item_id, diag, j, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER
 SELECT doc_id, item_id, min(j + diag) AS first_word, max(j + diag) + 12 AS last_word FROM win WHERE m >= 11 AND n = 13 GROUP BY doc_id, item_id
 """
 
+#: A window starts in a row; rows of one doc_id are one document, so that none is the other's source.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT r, doc_id, i, concat_ws(' ', GRAMS) AS g, count(*) OVER (PARTITION BY r) AS n FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT g, min(doc_id) AS first FROM g WHERE i + 13 <= n GROUP BY g),
+h AS (SELECT r, i FROM g JOIN f USING (g) WHERE i + 13 <= n AND doc_id > first),
+k AS (SELECT t.r, t.t, t.i, max(h.i) OVER (PARTITION BY t.r ORDER BY t.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM t LEFT JOIN h ON h.r = t.r AND h.i = t.i),
+s AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(t, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+""".replace("GRAMS", ", ".join(f"lead(t, {j}) OVER o" if j else "t" for j in range(13)))
+
 #: Fixed values of the contract: the tokenizer's file and the id that ends a document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -181,4 +193,4 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
 
 
 QUERIES = {"op10_license_scan": op10_license_scan, "op9_mixing": op9_mixing, "op4_toxicity": op4_toxicity, "op6_language_id": op6_language_id, "op3_decontamination": op3_decontamination, "op8_media": op8_media, "op7_token_store": op7_token_store, "op5_debruijn_dedup": op5_debruijn_dedup, "op1_url_filter": op1_url_filter, "op2_simhash": op2_simhash, "op11_chat_format": op11_chat_format, "op12_whitening": op12_whitening, "op13_search": op13_search}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_chat_format": OP11_SQL, "op13_search": OP13_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_debruijn_dedup": OP5_SQL, "op11_chat_format": OP11_SQL, "op13_search": OP13_SQL}
