@@ -10,8 +10,8 @@ place on it. A document's stretch along a path, with its source, is a span; the
 To keep unique edges off the network, every edge is filed under its minimizer, the smallest hash of the shorter
 word runs inside it: equal edges have equal minimizers, so only edges whose minimizer occurs in two documents are
 hashed in full. That filter loses no repeated edge. A whole text that a smaller document has too is one path from its
-first word to its last and takes no part in this. No step needs the rows of one edge, node or minimizer together:
-they are counted by partial sums and joined.
+first word to its last and takes no part in this. Neighbouring edges mostly share a minimizer, so they travel as one
+row; what advances in step with its source is put together in the minimizer's bucket before it travels on.
 """
 
 from __future__ import annotations
@@ -99,24 +99,34 @@ def _copied(text, copies) -> bool:
 
 
 def _edges(k: int):
-    """(doc, text, minimizers) to the edges filed under one of these minimizers, with their nodes."""
+    """(doc, text, minimizers) to the edges filed under one of these minimizers: a row for each run of edges, with the
+    nodes before, between and behind them."""
 
     def run(batches):
         for batch in batches:
-            ids, rows, at_, edge, left, right = [], [], [], [], [], []
+            ids, rows, least, start, size, edge, node = [], [], [], [], [], [], []
             for i, (doc, text, wanted) in enumerate(zip(*batch.columns, strict=True)):
                 words = words_of(text.as_py()) if doc.is_valid and wanted.is_valid else []
                 if len(words) >= k:
                     with np.errstate(over="ignore"):
                         hashes = _hashes(words)
-                        m, e, node = (x.view(np.int64) for x in (_minimizers(hashes, k), _runs(hashes, k), _runs(hashes, k - 1)))
+                        m, e, between = (x.view(np.int64) for x in (_minimizers(hashes, k), _runs(hashes, k), _runs(hashes, k - 1)))
                     at = np.flatnonzero(np.isin(m, wanted.values.to_numpy()))
                     if len(at):
-                        for held, value in ((ids, np.full(len(at), i)), (rows, np.full(len(at), _row(text))), (at_, at), (edge, e[at]), (left, node[at]), (right, node[at + 1])):
-                            held.append(value)
+                        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (m[at[1:]] != m[at[:-1]])]))
+                        n = np.diff(np.append(new, len(at)))
+                        least.append(m[at[new]])
+                        start.append(at[new])
+                        size.append(n)
+                        edge.append(e[at])
+                        node.append(np.concatenate([between[a : a + c + 1] for a, c in zip(at[new], n, strict=True)]))
+                        ids.append(np.full(len(new), i))
+                        rows.append(np.full(len(new), _row(text)))
             if ids:
-                flat = [pa.array(np.concatenate(x)) for x in (rows, at_, edge, left, right)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), flat[0], flat[1].cast(pa.int32()), *flat[2:]], names=["doc", "row", "pos", "edge", "left", "right"])
+                n = np.concatenate(size)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]).astype(np.int32)), pa.array(np.concatenate(x))) for c, x in ((n, edge), (n + 1, node))]
+                flat = [pa.array(np.concatenate(x)) for x in (rows, least, start)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), flat[0], flat[1], flat[2].cast(pa.int32()), *lists], names=["doc", "row", "m", "start", "edges", "nodes"])
 
     return run
 
@@ -141,31 +151,45 @@ def _with(docs: DataFrame, more: DataFrame) -> DataFrame:
     return docs.join(more.hint("shuffle_hash"), "doc", "left")
 
 
-def occurrences(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
-    """(doc, row, pos, edge, left, right): every place of every edge that may be repeated, as a stored table."""
+def _found(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """What repeats, as a stored table of two kinds of rows. ``edge`` is not null: an edge that several documents have,
+    with its nodes and its source (src_doc, src_row, src_pos), a row each. Else: a stretch of n edges of (doc, row)
+    from pos on whose sources, all in smaller documents, advance in step; stretches end where the minimizer changes."""
     known = F.map_keys("copies").alias("copies")
-    filed = stored(_with(docs, copies).select("doc", "text", known).mapInArrow(_file(k), "doc long, m long"), "filed")
-    shared = filed.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("m")
-    wanted = filed.join(shared, "m").groupBy("doc").agg(F.collect_list("m").alias("ms"))
-    out = stored(_with(docs, wanted).select("doc", "text", "ms").mapInArrow(_edges(k), "doc long, row long, pos int, edge long, left long, right long"), "occurrences")
-    forget(filed)
-    return out
-
-
-def graph(places: DataFrame) -> DataFrame:
-    """(edge, left, right, src): the edges of several documents, as a stored table; src has (doc, pos, row) of the
-    first occurrence."""
-    first = F.min(F.struct("doc", "pos", "row"))
-    every = places.groupBy("edge").agg(first.alias("src"), F.max("doc").alias("high"), F.min("left").alias("left"), F.min("right").alias("right"))
-    return stored(every.where("src.doc < high").select("edge", "left", "right", "src"), "graph")
+    filed = _with(docs, copies).select("doc", "text", known).mapInArrow(_file(k), "doc long, m long")
+    under = Window.partitionBy("m")
+    shared = filed.select("doc", "m", F.min("doc").over(under).alias("low"), F.max("doc").over(under).alias("high")).where("low < high")
+    wanted = shared.groupBy("doc").agg(F.collect_set("m").alias("ms"))
+    runs = _with(docs, wanted).select("doc", "text", "ms").mapInArrow(_edges(k), "doc long, row long, m long, start int, edges array<long>, nodes array<long>")
+    dealt = runs.repartition(partitions(docs.sparkSession), "m")
+    ends = F.transform("edges", lambda e, i: F.struct(e.alias("edge"), F.get("nodes", i).alias("left"), F.get("nodes", i + 1).alias("right")))
+    edges = dealt.select("m", "doc", "row", "start", F.posexplode(ends).alias("i", "e")).select("m", "doc", "row", "start", (F.col("start") + F.col("i")).alias("pos"), "e.*")
+    one = Window.partitionBy("m", "edge")
+    sourced = edges.withColumn("s", F.first(F.struct("doc", "pos", "row")).over(one.orderBy("doc", "pos", "row"))).withColumn("high", F.max("doc").over(one)).where("s.doc < high")
+    graph = sourced.where("doc = s.doc AND pos = s.pos AND row = s.row").groupBy("m", "edge").agg(F.min("left").alias("left"), F.min("right").alias("right"), F.min("s").alias("s"))
+    none = lambda *names: [F.lit(None).cast("int" if n in ("pos", "n") else "long").alias(n) for n in names]
+    graph = graph.select("edge", "left", "right", *none("doc", "row", "pos", "n"), F.col("s.doc").alias("src_doc"), F.col("s.row").alias("src_row"), F.col("s.pos").alias("src_pos"))
+    later = sourced.where("doc > s.doc").select("m", "doc", "row", "start", "pos", F.lit(1).alias("n"), F.col("s.doc").alias("src_doc"), F.col("s.row").alias("src_row"), F.col("s.pos").alias("src_pos"))
+    stretches = _in_step(later, ["m", "doc", "row", "start"])
+    return stored(graph.unionAll(stretches.select(*none("edge", "left", "right"), "doc", "row", "pos", "n", "src_doc", "src_row", "src_pos")), "found")
+
+
+def _in_step(stretches: DataFrame, within: list[str]) -> DataFrame:
+    """Stretches that continue each other, in the document and at the source alike, become one."""
+    along = Window.partitionBy(*within).orderBy("pos", "src_doc", "src_row", "src_pos")
+    before = lambda c: F.lag(c).over(along)
+    step = (F.col("pos") == before("pos") + before("n")) & (F.col("src_doc") == before("src_doc")) & (F.col("src_row") == before("src_row")) & (F.col("src_pos") == before("src_pos") + before("n"))
+    numbered = stretches.withColumn("part", F.when(step, 0).otherwise(1)).withColumn("part", F.sum("part").over(along))
+    one = numbered.groupBy(*within, "part").agg(F.min("pos").alias("pos"), F.sum("n").cast("int").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_row").alias("src_row"), F.min("src_pos").alias("src_pos"))
+    return one.drop("part")
 
 
 def links(edges: DataFrame) -> DataFrame:
     """(a, b, at): edges a and b that meet in a node which no other edge enters or leaves; ``at`` is a's source."""
-    enters = edges.groupBy("right").agg(F.count("*").alias("n"), F.min(F.struct("edge", "src.doc")).alias("a")).where("n = 1")
+    enters = edges.groupBy("right").agg(F.count("*").alias("n"), F.min(F.struct("edge", "src_doc")).alias("a")).where("n = 1")
     leaves = edges.groupBy("left").agg(F.count("*").alias("n"), F.min("edge").alias("b")).where("n = 1")
     met = enters.select("right", "a").join(leaves.select("left", "b"), F.col("right") == F.col("left"))
-    return met.where("a.edge <> b").select(F.col("a.edge").alias("a"), "b", F.col("a.doc").alias("at"))
+    return met.where("a.edge <> b").select(F.col("a.edge").alias("a"), "b", F.col("a.src_doc").alias("at"))
 
 
 def _contract(batches):
@@ -199,7 +223,7 @@ def _contract(batches):
 
 
 def compacted(edges: DataFrame) -> DataFrame:
-    """(edge, src, path, place): every edge of the graph with its path, named by the last edge, and its place on it
+    """(edge, src_doc, src_row, src_pos, path, place): every edge of the graph with its path, named by the last edge, and its place on it
     (rising by one from edge to edge, 0 at the end), as a stored table. Paths mostly follow one source document, so
     links are dealt by it and contract there; what hangs together across tasks doubles its steps by joins."""
     own = links(edges).repartition(partitions(edges.sparkSession), "at").select("a", "b")
@@ -220,30 +244,38 @@ def compacted(edges: DataFrame) -> DataFrame:
     ring = bridges.join(bridges.select(F.col("edge").alias("end")), "end", "left_semi").select("edge")
     on = bridges.join(ring, "edge", "left_anti").select(F.col("edge").alias("end"), F.col("end").alias("far"), F.col("dist").alias("more"))
     full = hops.join(on, "end", "left").select("edge", F.coalesce("far", "end").alias("path"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
-    out = edges.select("edge", "src").join(full, "edge", "left").select("edge", "src", F.coalesce("path", "edge").alias("path"), (-F.coalesce("dist", F.lit(0))).alias("place"))
+    source = ["src_doc", "src_row", "src_pos"]
+    out = edges.select("edge", *source).join(full, "edge", "left").select("edge", *source, F.coalesce("path", "edge").alias("path"), (-F.coalesce("dist", F.lit(0))).alias("place"))
     out = stored(out, "paths")
     for done in (hops, bridges):
         forget(done)
     return out
 
 
+def _stretched(paths: DataFrame) -> DataFrame:
+    """(doc, row, low, m, path): the paths where they lie at their sources, m edges from place low on."""
+    keys = ["path", "src_doc", "src_row", "lane"]
+    laned = paths.withColumn("lane", F.col("src_pos") - F.col("place"))
+    island = F.col("src_pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("src_pos"))
+    out = laned.withColumn("island", island).groupBy(*keys, "island").agg(F.min("src_pos").alias("low"), F.count("*").cast("int").alias("m"))
+    return out.select(F.col("src_doc").alias("of_doc"), F.col("src_row").alias("of_row"), "low", "m", "path")
+
+
 def _repeated_spans(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
-    """Spans (doc, row, pos, n, src_doc, src_pos, digest): stretches of a document along a path whose sources advance
-    in step, with the digest of their words at the source; a stored table."""
-    places = occurrences(docs, copies, k)
-    edges = graph(places)
-    paths = compacted(edges)
-    met = places.select("doc", "row", "pos", "edge").join(paths, "edge").where("doc > src.doc")
-    # Places of one stretch rise by one; a document that leaves a path and comes back to it has two.
-    keyed = met.select("doc", "row", "pos", "path", (F.col("pos") - F.col("place")).alias("lane"), F.col("src.doc").alias("src_doc"), F.col("src.row").alias("src_row"), (F.col("src.pos") - F.col("pos")).alias("shift"))
-    lane = ["doc", "row", "path", "lane", "src_doc", "src_row", "shift"]
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*lane).orderBy("pos"))
-    spans = keyed.withColumn("island", island).groupBy(*lane, "island").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("n"))
-    spans = stored(spans.select("doc", "row", "pos", "n", "src_doc", "src_row", (F.col("pos") + F.col("shift")).alias("src_pos")), "spans")
+    """Spans (doc, row, pos, n, src_doc, src_pos, digest): a document's stretches cut where the paths of their source
+    end, with the digest of their words there; a stored table."""
+    found = _found(docs, copies, k)
+    paths = compacted(found.where("edge is not null").select("edge", "left", "right", "src_doc", "src_row", "src_pos"))
+    long = _in_step(found.where("edge is null").select("doc", "row", "pos", "n", "src_doc", "src_row", "src_pos"), ["doc", "row"])
+    along = _stretched(paths)
+    low, high = F.greatest("src_pos", "low"), F.least(F.col("src_pos") + F.col("n"), F.col("low") + F.col("m"))
+    met = long.join(along, (F.col("src_doc") == F.col("of_doc")) & (F.col("src_row") == F.col("of_row")) & (low < high))
+    spans = met.select("doc", "row", (F.col("pos") + low - F.col("src_pos")).alias("pos"), (high - low).alias("n"), "src_doc", "src_row", low.alias("src_pos"))
+    spans = stored(spans, "spans")
     asked = spans.select("src_doc", "src_row", "src_pos", "n").distinct().groupBy(F.col("src_doc").alias("doc")).agg(F.collect_list(F.struct("src_row", "src_pos", "n")).alias("asked"))
     said = docs.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_source_digests(k), "src_doc long, src_row long, src_pos int, n int, digest binary")
     out = stored(spans.join(said.distinct(), ["src_doc", "src_row", "src_pos", "n"]).select(*_PATH_NAMES, "digest"), "sourced")
-    for done in (places, edges, paths, spans):
+    for done in (found, paths, spans):
         forget(done)
     return out
 

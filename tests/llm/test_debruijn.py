@@ -96,7 +96,7 @@ def test_compaction_against_a_walk(spark, monkeypatch):
     rng = random.Random(6)
     nodes = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(100 + i, 101 + i) for i in range(50)] + [(300, 301), (301, 300)]
     edges = {1000 + i: n for i, n in enumerate(dict.fromkeys(nodes))}
-    df = spark.createDataFrame([(e, left, right, (rng.randrange(5), 0, 0)) for e, (left, right) in edges.items()], "edge long, left long, right long, src struct<doc:long,pos:int,row:long>")
+    df = spark.createDataFrame([(e, left, right, rng.randrange(5), 0, 0) for e, (left, right) in edges.items()], "edge long, left long, right long, src_doc long, src_row long, src_pos int")
     got = {r.edge: (r.path, r.place) for r in debruijn.compacted(df).collect()}
     nexts = {}
     for e, (_, right) in edges.items():
