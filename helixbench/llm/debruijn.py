@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import forget, partitions, stored
+from helixbench.llm.common import forget, partitions, sized, stored
 
 WORDS, ANCHOR = 13, 6
 #: Links that a task contracts at once, a bound on its memory.
@@ -165,13 +165,13 @@ def _found(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     ends = F.transform("edges", lambda e, i: F.struct(e.alias("edge"), F.get("nodes", i).alias("left"), F.get("nodes", i + 1).alias("right")))
     edges = dealt.select("m", "doc", "row", "start", F.posexplode(ends).alias("i", "e")).select("m", "doc", "row", "start", (F.col("start") + F.col("i")).alias("pos"), "e.*")
     one = Window.partitionBy("m", "edge")
-    sourced = edges.withColumn("s", F.first(F.struct("doc", "pos", "row")).over(one.orderBy("doc", "pos", "row"))).withColumn("high", F.max("doc").over(one)).where("s.doc < high")
-    graph = sourced.where("doc = s.doc AND pos = s.pos AND row = s.row").groupBy("m", "edge").agg(F.min("left").alias("left"), F.min("right").alias("right"), F.min("s").alias("s"))
-    none = lambda *names: [F.lit(None).cast("int" if n in ("pos", "n") else "long").alias(n) for n in names]
-    graph = graph.select("edge", "left", "right", *none("doc", "row", "pos", "n"), F.col("s.doc").alias("src_doc"), F.col("s.row").alias("src_row"), F.col("s.pos").alias("src_pos"))
-    later = sourced.where("doc > s.doc").select("m", "doc", "row", "start", "pos", F.lit(1).alias("n"), F.col("s.doc").alias("src_doc"), F.col("s.row").alias("src_row"), F.col("s.pos").alias("src_pos"))
-    stretches = _in_step(later, ["m", "doc", "row", "start"])
-    return stored(graph.unionAll(stretches.select(*none("edge", "left", "right"), "doc", "row", "pos", "n", "src_doc", "src_row", "src_pos")), "found")
+    order = one.orderBy("doc", "pos", "row")
+    sourced = edges.withColumn("s", F.first(F.struct("doc", "pos", "row")).over(order)).withColumn("at", F.row_number().over(order)).withColumn("high", F.max("doc").over(one))
+    # An edge's first place is its row in the graph, those in larger documents are what repeats.
+    sourced = sourced.where("s.doc < high AND (at = 1 OR doc > s.doc)")
+    own = lambda c: F.when(F.col("at") == 1, F.col(c)).alias(c)
+    rows = sourced.select("m", "doc", "row", "start", "pos", F.lit(1).alias("n"), F.col("s.doc").alias("src_doc"), F.col("s.row").alias("src_row"), F.col("s.pos").alias("src_pos"), own("edge"), own("left"), own("right"))
+    return stored(_in_step(rows, ["m", "doc", "row", "start", "edge", "left", "right"]).drop("m", "start"), "found")
 
 
 def _in_step(stretches: DataFrame, within: list[str]) -> DataFrame:
@@ -261,7 +261,7 @@ def _stretched(paths: DataFrame) -> DataFrame:
     return out.select(F.col("src_doc").alias("of_doc"), F.col("src_row").alias("of_row"), "low", "m", "path")
 
 
-def _repeated_spans(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+def _repeated_spans(df: DataFrame, key: str, text: str, docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """Spans (doc, row, pos, n, src_doc, src_pos, digest): a document's stretches cut where the paths of their source
     end, with the digest of their words there; a stored table."""
     found = _found(docs, copies, k)
@@ -273,9 +273,12 @@ def _repeated_spans(docs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     spans = met.select("doc", "row", (F.col("pos") + low - F.col("src_pos")).alias("pos"), (high - low).alias("n"), "src_doc", "src_row", low.alias("src_pos"))
     spans = stored(spans, "spans")
     asked = spans.select("src_doc", "src_row", "src_pos", "n").distinct().groupBy(F.col("src_doc").alias("doc")).agg(F.collect_list(F.struct("src_row", "src_pos", "n")).alias("asked"))
-    said = docs.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_source_digests(k), "src_doc long, src_row long, src_pos int, n int, digest binary")
+    asked = stored(asked, "asked")
+    sources, _ = sized(asked.select("doc"), "sources")  # only their texts are read again, where their ids may be sent
+    few = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).join(sources, "doc", "left_semi")
+    said = few.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_source_digests(k), "src_doc long, src_row long, src_pos int, n int, digest binary")
     out = stored(spans.join(said.distinct(), ["src_doc", "src_row", "src_pos", "n"]).select(*_PATH_NAMES, "digest"), "sourced")
-    for done in (found, paths, spans):
+    for done in (found, paths, spans, asked, sources):
         forget(done)
     return out
 
@@ -338,7 +341,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
     document's variants and never each other's source; ``row``, a digest of the text, tells them apart."""
     docs, copies = _dealt(df, key, text), _copies(df, key, text)
     whole = docs.join(copies, "doc").mapInArrow(_whole(k), "doc long, row long, pos int, n int, src_doc long, src_pos int")
-    paths = _repeated_spans(docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n", "src_doc", "src_pos", "digest")).alias("paths"))
+    paths = _repeated_spans(df, key, text, docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n", "src_doc", "src_pos", "digest")).alias("paths"))
     found = docs.join(paths.hint("shuffle_hash"), "doc").select("doc", "text", "paths").mapInArrow(_checked(k), "doc long, row long, pos int, n int, src_doc long, src_pos int")
     spans = found.unionAll(whole).distinct()
     return spans.select(F.col("doc").alias(key), "row", F.col("pos").alias("start"), (F.col("n") + k - 1).alias("n_words"), "src_doc", F.col("src_pos").alias("src_start"))
@@ -380,7 +383,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     the input; null without ``kept_text``. Null and empty texts have no words. Rows without a key lose nothing and
     are nobody's source."""
     docs, copies = _dealt(df, key, text), _copies(df, key, text)
-    paths = _repeated_spans(docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n", "digest")).alias("paths"))
+    paths = _repeated_spans(df, key, text, docs, copies, k).groupBy("doc").agg(F.collect_list(F.struct("row", "pos", "n", "digest")).alias("paths"))
     every = _with(_with(docs, paths), copies).select("doc", "text", "paths", F.map_keys("copies").alias("copies"))
     out = every.mapInArrow(_drop(k, kept_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("doc", key)
