@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbench.llm.common import fresh, partitions
+from helixbench.llm.common import fresh, sized
 
 BLOCK, SLOTS, LARGEST = 64, 1 << 18, 0.25
 _BUCKET_BITS = 12
@@ -122,13 +122,15 @@ def schedule(df: DataFrame, key: str = "doc_id", source: str = "source", weights
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """The rows of ``df`` that ``schedule`` puts in the mix, columns unchanged, in the order of the mixture: each part
-    of the result has stretches of it, sorted. Rows that share source and key stay or go together."""
-    k, s, slot, place = fresh(df, "_k", "_s", "_slot", "_place")
-    order = schedule(df, key, source, weights, block, slots).where("in_mix")
-    order = order.select(F.col(key).alias(k), F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE)).alias(s), F.col("slot").alias(slot), F.col("place").alias(place))
+    """The rows of ``df`` that ``schedule`` puts in the mix, columns unchanged; rows that share source and key stay
+    or go together. The texts are not shuffled: a source's cut is the hash of its last key in the mix, one row for
+    each source, sent to all tasks where there are few and joined else."""
+    plan = Plan(df, source, key, weights, block, slots)
+    of, cut = fresh(df, "_s", "_cut")
+    ends = df.sparkSession.createDataFrame([(s, n - 1) for s, n in plan.kept.items()], "source string, rank long")
+    last = _ranked(df, key, source).join(ends, ["source", "rank"])
+    cuts, _ = sized(last.select(F.col("source").alias(of), F.struct("h", "k").alias(cut)), "cuts")
     named = F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE))
-    mixed = df.join(order, F.col(key).eqNullSafe(F.col(k)) & (named == F.col(s)))
-    n = partitions(df.sparkSession)
-    stretch = F.floor(F.col(slot) * n / F.lit(slots))
-    return mixed.repartition(n, stretch).sortWithinPartitions(slot, place).select(*(df[c] for c in df.columns))
+    own = F.struct(_hash(F.col(key)).alias("h"), F.col(key).alias("k"))
+    unsigned = lambda c: F.struct(c["h"] < 0, c["h"], c["k"])
+    return df.join(cuts, (named == F.col(of)) & (unsigned(own) <= unsigned(F.col(cut)))).select(*(df[c] for c in df.columns))

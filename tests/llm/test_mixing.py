@@ -79,13 +79,12 @@ def test_blocks_grow_where_the_slots_do_not_suffice(spark):
     check(got, sizes, sizes, -(-601 // 47))
 
 
-def test_the_mix_is_in_the_order_of_the_slots(spark):
+def test_the_mix_has_the_rows_of_the_schedule(spark):
     df = docs(spark, {"a": 60, "b": 30, "c": 10})
-    place = {r.doc_id: (r.slot, r.place) for r in mixing.schedule(df, block=3).collect()}
-    parts = mixing.mix(df, block=3).rdd.mapPartitions(lambda rows: [[r.doc_id for r in rows]]).collect()
-    assert sum(map(len, parts)) == 100
-    for part in parts:
-        assert [place[d] for d in part] == sorted(place[d] for d in part)
+    for weights in (None, {"a": 0.5, "b": 0.5}, {"a": 0.2, "b": 0.3, "c": 0.5}):
+        placed = {r.doc_id for r in mixing.schedule(df, weights=weights, block=3).where("in_mix").collect()}
+        assert {r.doc_id for r in mixing.mix(df, weights=weights, block=3).collect()} == placed
+    assert "text" not in mixing.schedule(df).columns
 
 
 def test_repeats_empty_and_unknown_sources(spark):
