@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def reachable(spark: SparkSession) -> SparkSession:
