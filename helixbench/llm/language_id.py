@@ -4,6 +4,11 @@ A text becomes hashed counts of its n-grams of 1 to 4 letters, where a run of an
 more sign (the edge of a word), as square roots scaled to unit length. A linear machine for each family, one against
 the rest, picks the family; within it each pair of languages has a linear support vector machine of its own, and the language that wins most pairs, then the
 largest sum of margins, then the first name, is the prediction.
+
+The machines only choose among learned languages. Whether a text resembles these at all is told by its likeness: the
+length of its vector within the span of the languages' mean vectors, so that a text in several learned languages is as
+near as one in one of them. Likeness grows with a text's n-grams, hence the floors by their number, set below what
+the learned texts reach: other scripts and strings of letters fall below, a close relative of a learned language may not.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ class Model(NamedTuple):
     families: list[str]
     family_weights: np.ndarray  # family x (WIDTH + 1)
     pairs: dict[str, list[tuple[int, int, np.ndarray]]]  # by family: languages a, b and the weights of a against b
+    span: np.ndarray  # orthonormal rows that span the languages' mean vectors
+    floors: np.ndarray  # least likeness of a text by the bit length of its number of n-grams; 0 where too few were seen
 
 
 @lru_cache(maxsize=1)
@@ -106,7 +113,31 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         for a, b in combinations(members, 2):
             rows = np.flatnonzero((label == a) | (label == b))
             pairs[name].append((a, b, _machine(x[rows], np.where(label[rows] == a, 1.0, -1.0))))
-    return Model(languages, families, np.array(rest).reshape(len(families), WIDTH + 1).astype(np.float32), pairs)
+    means = np.array([x[label == i, :WIDTH].mean(axis=0) for i in range(len(languages))])
+    span = np.linalg.qr(means.T)[0].T.astype(np.float32)
+    return Model(languages, families, np.array(rest).reshape(len(families), WIDTH + 1).astype(np.float32), pairs, span, _floors(span, sample))
+
+
+#: Learned texts of about the same number of n-grams that a floor needs, and its share of their lowest hundredth: low
+#: enough that a text stays of which half is names, code or another language.
+SEEN, SLACK = 20, 0.5
+
+
+def _floors(span: np.ndarray, sample: list[tuple[str, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Floors of likeness by bit length, rising. Texts shorter than those learned from have none, as they tell too
+    little; longer ones have that of the longest."""
+    like = np.array([np.linalg.norm(span[:, at] @ value) for _, at, value in sample])
+    bits = np.array([len(at).bit_length() for _, at, _ in sample])
+    floors = np.zeros(BITS + 2)
+    for b in range(1, len(floors)):
+        same = like[bits == b]
+        floors[b] = SLACK * np.quantile(same, 0.01) if len(same) >= SEEN else floors[b - 1]
+    return np.minimum.accumulate(floors[::-1])[::-1]
+
+
+def familiar(model: Model, at: np.ndarray, value: np.ndarray) -> bool:
+    """Whether a text resembles the learned languages, one or several of them."""
+    return bool(np.linalg.norm(model.span[:, at] @ value) >= model.floors[len(at).bit_length()])
 
 
 def predict(model: Model, at: np.ndarray, value: np.ndarray) -> tuple[str, float]:
@@ -159,21 +190,22 @@ def train(df: DataFrame, usable: Column, key: str = "doc_id", text: str = "text"
     return Model(*pickle.loads(made)) if made else None
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, text: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """``df`` with the predicted language and its score (0 to 1) as columns ``into``, one row for each row; columns
-    of these names are replaced. A null text or one without a letter is ``und`` with score 0; so is every text
+    of these names are replaced. A third name gets whether the text resembles the learned languages (``familiar``;
+    false where the language is unknown). A null text or one without a letter is ``und`` with score 0; so is every text
     where no model could be trained. Whole texts are read, and nothing is shuffled."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, familiar boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             counts = features(t) if shared.value else None
-            out.append(predict(shared.value, *counts) if counts else (UNKNOWN, 0.0))
-        return pd.DataFrame(out, columns=["lang", "score"])
+            out.append((*predict(shared.value, *counts), familiar(shared.value, *counts)) if counts else (UNKNOWN, 0.0, False))
+        return pd.DataFrame(out, columns=["lang", "score", "familiar"])
 
     rest = [f"`{c}`" for c in df.columns if c not in into]
     (own,) = fresh(df, "_judged")
     judged = df.select(*rest, judge(F.col(text).cast("string")).alias(own))
-    return judged.select(*rest, F.col(f"{own}.lang").alias(into[0]), F.col(f"{own}.score").alias(into[1]))
+    return judged.select(*rest, *(F.col(f"{own}.{c}").alias(name) for c, name in zip(("lang", "score", "familiar"), into, strict=False)))

@@ -50,3 +50,17 @@ def test_ngrams_of_a_text():
     assert abs((value**2).sum() - 1) < 1e-6 and len(at) <= 10
     assert language_id.features(" 1 ") is None and language_id.features(None) is None
     assert [x.tolist() for x in language_id.features("ab")] == [x.tolist() for x in language_id.features("12 AB ..\n")]
+
+
+def test_texts_of_unlearned_and_of_several_languages(spark):
+    df = docs(spark)
+    model = language_id.train(df, F.col("doc_id") % 3 != 1)
+    rng = random.Random(3)
+    mixed = " ".join(rng.choice(WORDS["en"]) for _ in range(15)) + " " + " ".join(rng.choice(WORDS["fr"]) for _ in range(15))
+    letters = " ".join("".join(rng.choice("bcfghjkmpqvwxzy") for _ in range(6)) for _ in range(30))
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью"
+    rows = [(1, mixed), (2, letters), (3, russian), (4, "people"), (5, None), (6, "7")]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string").union(df.select("doc_id", "text").where("doc_id < 300")), model, into=("l", "s", "familiar"))
+    assert got.columns == ["doc_id", "text", "l", "s", "familiar"]
+    assert {r.text: r.familiar for r in got.collect() if r.text in (mixed, letters, russian, "people", "7", None)} == {mixed: True, letters: False, russian: False, "people": True, "7": False, None: False}
+    assert got.where("familiar").count() == 302
