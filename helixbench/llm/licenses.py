@@ -161,6 +161,26 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def masks(template: list[str]) -> dict[str, int]:
+    """For each word the bits of its places in the template."""
+    out: dict[str, int] = {}
+    for j, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def common_length(text: list[str], where: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of the text and a template of ``size`` words, whose ``masks`` are
+    given: all places of a row of the usual table at once, one bit each, clear where the row's value rises."""
+    whole = (1 << size) - 1
+    flat = whole
+    for w in text:
+        if there := where.get(w):
+            met = flat & there
+            flat = (flat + met | flat - met) & whole
+    return size - flat.bit_count()
+
+
 @lru_cache(maxsize=4)
 def _finder(every: tuple[str, ...]) -> ahocorasick.Automaton:
     """Finds any of the words in a text, be it within a longer word."""
@@ -187,6 +207,7 @@ class Scanner:
                     break
                 own.add(w)
             self.signs[name] = own
+        self.masks = {name: masks(t) for name, t in self.templates.items()}
         self.every = tuple(sorted({w for s in self.signs.values() for w in s}))
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int, int, float]]:
@@ -205,15 +226,17 @@ class Scanner:
             at = sorted(i for w in self.signs[name] for i in held.get(w, ()))
             reach = int(self.spread * len(template))
             for a, b in _stretches(at, reach):  # no stretch is covered without a sign, so all lie within a reach of one
-                for found in self._covered(tokens, template, max(0, a - reach), min(len(tokens), b + reach), reach):
+                for found in self._covered(tokens, template, self.masks[name], max(0, a - reach), min(len(tokens), b + reach), reach):
                     first, last = found[0][0], found[-1][0]
                     out.append((name, len(found), first, last, spans[first][0], spans[last][1], len(found) / len(template)))
         return sorted(_outer(out), key=lambda r: (r[2], r[0]))
 
-    def _covered(self, tokens: list[str], template: list[str], low: int, high: int, reach: int):
+    def _covered(self, tokens: list[str], template: list[str], where: dict[str, int], low: int, high: int, reach: int):
         """Alignments that cover the template, one after the other, none over another. Every window of ``reach`` words
         in low .. high-1 whose words alone could cover it is aligned, and where it does, again from its first word on
-        in narrower windows too, as another copy close behind would leave few words unique."""
+        in narrower windows too, as another copy close behind would leave few words unique. No alignment is longer
+        than the longest common subsequence, which grows by at most one for each word that the window moves on: a
+        window that lacks n words is followed by n - 1 that need no look."""
         need = -int(-self.least * len(template) // 1)
         wanted, seen, common = Counter(template), Counter(), 0
         a = b = low
@@ -224,8 +247,11 @@ class Scanner:
                 b += 1
             step = 1
             if common >= need:
-                found = self._at(tokens, template, a, b)
-                if len(found) >= need:
+                lacking = need - common_length(tokens[a:b], where, len(template))
+                found = self._at(tokens, template, a, b) if lacking <= 0 else []
+                if lacking > 0:
+                    step = lacking
+                elif len(found) >= need:
                     start = found[0][0]
                     widths = {min(high - start, int(len(template) * x)) for x in (1.0, 1.1, 1.25, 1.5, self.spread)}
                     found = max((self._at(tokens, template, start, start + n) for n in sorted(widths)), key=lambda f: (len(f), -f[-1][0] if f else 0))

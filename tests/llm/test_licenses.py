@@ -125,3 +125,21 @@ def test_null_keys_repeats_and_a_long_text(spark):
     rows = [(None, line), (1, line), (1, line), (2, "word " * 400_000 + line)]
     got = sorted(((r.doc_id, r.license, r.first_word) for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == [(1, "MIT", 0), (1, "MIT", 0), (2, "MIT", 400_000), (None, "MIT", 0)]
+
+
+def test_common_length_against_the_table():
+    rng = random.Random(11)
+    for _ in range(300):
+        template = [f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 90))]
+        text = [f"w{rng.randrange(11)}" for _ in range(rng.randrange(90))]
+        assert licenses.common_length(text, licenses.masks(template), len(template)) == longest_common(text, template)
+
+
+def test_shuffled_words_of_a_template_cost_few_alignments(monkeypatch):
+    rng, asked = random.Random(12), []
+    plain = licenses.align
+    monkeypatch.setattr(licenses, "align", lambda a, b: asked.append(1) or plain(a, b))
+    template = licenses.words(licenses.TEMPLATES["MIT text"])
+    text = [w for _ in range(100) for w in rng.sample(template, len(template))]
+    assert [r[0] for r in scan(" ".join([*text, *template, *text[:900]])) if r[0] == "MIT text"] == ["MIT text"]
+    assert len(asked) < len(text) / 20
