@@ -407,6 +407,34 @@ def test_crossings_of_places_with_several_partners(spark):
     assert got == {(k, *x) for k, ps in rows.items() for x in ps for y in ps if x[0] < y[0] < x[1] < y[1] or y[0] < x[0] < y[1] < x[1]}
 
 
+def test_a_long_structure_is_parsed_and_judged_in_time(spark):
+    """A bracket for most of 40,000 places, beside short structures: neither steps nor copies grow with the square."""
+    import time
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("([)]") for _ in range(n)) for n in (40_000, 0, 7, 50, 300)] + [None, "(" * 300 + ")" * 300, "([)]"]
+    df = frame(spark, [(k, "truth", x) for k, x in enumerate(texts)], "seq_id int, method string, dotbracket string")
+    start = time.monotonic()
+    arrays = pairs.pair_arrays(df)
+    got = {r.seq_id: (r.pairs, set(r.crossed)) for r in arrays.select("seq_id", "pairs", pairs.crossing(F.col("pairs")).alias("crossed")).collect()}
+    assert time.monotonic() - start < 30
+    for k, text in enumerate(texts):
+        want = stack_pairs(text or "")
+        assert [(p >> 32, p & 0xFFFFFFFF) for p in got[k][0]] == sorted(want, key=lambda p: p[1])
+        if k:
+            assert got[k][1] == {i << 32 | j for i, j in want if any(x < i < y < j or i < x < j < y for x, y in want)}
+    assert {r.seq_id for r in pairs.arrays_without_crossings(arrays).collect()} == {k for k in got if not got[k][1]}
+
+
+def test_parsed_pairs_are_no_broadcast(spark):
+    """The size of the table that structures are made from says nothing of their pairs."""
+    from helixbench.plans import catalogue
+    from tests.conftest import SF
+
+    for name in ("ct_pairs", "pair_f1", "structures_without_crossings"):
+        assert "BroadcastExchange" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wide_and_long_merge_agree_and_join_once(spark):
     variants = frame(spark, [("a", "A1T", 1.0), ("a", "C2G", 2.0), ("b", "A1G", 3.0)], "dms_id string, mutant string, dms_score double")
     scores = [("m", "a", "A1U", None), ("m", "a", "C2G", 0.7), ("n", "a", "A1T", 0.1), ("n", "a", "C2G", 0.2), ("n", "b", None, 0.3)]
