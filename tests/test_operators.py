@@ -227,6 +227,26 @@ def test_mutation_modes(spark, mode, mutant, want):
     assert [(r.mutated_sequence, r.reason) for r in got] == [want]
 
 
+def test_variants_are_folded_batch_by_batch(spark):
+    """An expression folded in the plan took a tenth of a millisecond for each variant."""
+    import time
+
+    rows = spark.range(200_000).select(F.lit("a").alias("dms_id"), F.concat(F.lit("A1G,C"), F.col("id") % 40 + 1, F.lit("U,U"), F.col("id") % 7, F.lit("-")).alias("mutant"))
+    for mode in mutations.MODES:
+        made = mutations.mutated_sequences(rows, frame(spark, [("a", "ACGU" * 8)], "dms_id string, construct string"), mode)
+        assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    start = time.monotonic()
+    got = {(r.reason, r.n) for r in made.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    assert time.monotonic() - start < 15
+    want = {}
+    for i in range(280):
+        at, gone = i % 40 + 1, i % 7
+        seq = "GCGU" + "ACGU" * 7
+        reason = "outside" if at > 32 else "mismatch" if seq[at - 1] != "C" else "outside" if gone < 1 else "mismatch" if (seq[: at - 1] + "U" + seq[at:])[gone - 1] != "U" else None
+        want[reason] = want.get(reason, 0) + sum(1 for _ in range(i, 200_000, 280))
+    assert got == set(want.items())
+
+
 def test_unknown_construct_and_whole_assays(spark):
     variants = frame(spark, [("a", "A1G"), ("b", "A1G"), ("a", "C1G")], "dms_id string, mutant string")
     got = mutations.mutated_sequences(variants, frame(spark, [("a", "A")], "dms_id string, construct string"), "insert")
