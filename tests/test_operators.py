@@ -114,6 +114,19 @@ def test_bootstrap_by_hand(spark):
             assert abs(got[k, m] - np.std(means, ddof=1)) < 1e-9
 
 
+def test_draws_are_counted_in_blocks(spark, monkeypatch):
+    """Texts of all lengths hash as hashlib has them; the draws of 5,000 assays come as counts in blocks."""
+    import hashlib
+
+    numbers = np.array([0, 9, 10, 99, 100, 4095, 123_456, 10_000_000])
+    for prefix in (b"42|7|", b"42|9999|", b"x" * 40):
+        assert bootstrap.first_words(prefix, numbers).tolist() == [int(hashlib.md5(prefix + str(k).encode()).hexdigest()[:8], 16) for k in numbers]
+    rows = bootstrap.draws(spark, 5000, 3).collect()
+    assert sorted((r.replicate, r.block) for r in rows) == [(k, b) for k in range(3) for b in (0, 1)]
+    want = np.bincount([int(hashlib.md5(f"42|1|{k}".encode()).hexdigest()[:8], 16) % 5000 for k in range(5000)], minlength=5000)
+    assert sum((list(r.times) for r in sorted(rows, key=lambda r: r.block) if r.replicate == 1), []) == want.tolist()
+
+
 # ---------------------------------------------------------------- merge
 
 
