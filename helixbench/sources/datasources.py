@@ -9,22 +9,27 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import os
 import posixpath
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from helixbench.schema import MUTATION_COLUMNS
 
-#: Bytes of small files that one task reads.
-PACK = 32 << 20
+#: Bytes of small files that one task reads; opening a file counts as so many.
+PACK, OPEN = 32 << 20, 64 << 10
+#: Calls to a filesystem that the driver has under way while it moves and deletes files.
+AT_ONCE = 16
 
 
 def filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -33,13 +38,28 @@ def filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri)
 
 
+def _infos(fs: arrow_fs.FileSystem, folder: str, recursive: bool = False) -> list[arrow_fs.FileInfo]:
+    return fs.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True, recursive=recursive))
+
+
+def _is_assay(file: arrow_fs.FileInfo, base: str) -> bool:
+    parts = posixpath.relpath(file.path, base).split("/")
+    kept = len(parts) == 1 or (len(parts) == 2 and parts[0].startswith("dms_id="))
+    return kept and file.type == arrow_fs.FileType.File and parts[-1].endswith(".csv") and not parts[-1].startswith(("_", "."))
+
+
 def listed(folder: str) -> list[tuple[str, int]]:
     """(path, size) of a folder's CSV files: one for each assay, or several in ``dms_id=<assay>``; none without it."""
     fs, base = filesystem(folder)
-    found = fs.get_file_info(arrow_fs.FileSelector(base, allow_not_found=True, recursive=True))
-    inner = lambda p: posixpath.relpath(p, base).split("/")
-    kept = lambda parts: len(parts) == 1 or (len(parts) == 2 and parts[0].startswith("dms_id="))
-    return sorted((f.path, f.size or 0) for f in found if f.type == arrow_fs.FileType.File and f.path.endswith(".csv") and kept(inner(f.path)) and not posixpath.basename(f.path).startswith(("_", ".")))
+    return sorted((f.path, f.size or 0) for f in _infos(fs, base, True) if _is_assay(f, base))
+
+
+def any_listed(folder: str) -> bool:
+    """Whether ``listed`` has a file, found without listing them all."""
+    fs, base = filesystem(folder)
+    top = _infos(fs, base)
+    inner = lambda f: f.type == arrow_fs.FileType.Directory and f.base_name.startswith("dms_id=")
+    return any(_is_assay(f, base) for f in top) or any(_is_assay(g, base) for f in top if inner(f) for g in _infos(fs, f.path))
 
 
 def assay_of(path: str) -> str:
@@ -80,52 +100,39 @@ class AssayReader(DataSourceReader):
     def partitions(self) -> list[Pack]:
         packs, size = [], PACK
         for path, n in listed(self.folder):
-            if size + n > PACK:
+            if size + n + OPEN > PACK:
                 packs.append(Pack([]))
                 size = 0
             packs[-1].paths.append(path)
-            size += n
+            size += n + OPEN
         return packs
 
     def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.folder)
+        held, n = [], 0
         for path in partition.paths:
             with fs.open_input_stream(path) as raw:
                 lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
                 header = next(lines, None)
                 if header is None:
                     continue
-                at, rows = places(header, self.wanted), []
-                for line in lines:
-                    if line:
-                        rows.append(line)
-                    if len(rows) == self.batch:
-                        yield self._made(path, rows, at)
-                        rows = []
-                if rows:
-                    yield self._made(path, rows, at)
-
-    def _made(self, path: str, rows: list[list[str]], at: dict[str, int]) -> pa.RecordBatch:
-        cell = lambda row, c: (row[at[c]] or None) if c in at and at[c] < len(row) else None
-        columns = [[assay_of(path)] * len(rows), [path] * len(rows), *([cell(r, c) for r in rows] for c in self.wanted)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["dms_id", "path", *self.wanted])
+                at, whole = places(header, self.wanted), filter(None, lines)
+                while rows := list(itertools.islice(whole, self.batch - n)):
+                    held.append(self._made(path, rows, at))
+                    n += len(rows)
+                    if n == self.batch:
+                        yield self._joined(held)
+                        held, n = [], 0
+        if held:
+            yield self._joined(held)
 
+    def _made(self, path: str, rows: list[list[str]], at: dict[str, int]) -> pa.Table:
+        cells = lambda i: [(r[i] or None) if i < len(r) else None for r in rows]
+        columns = [pa.array(cells(at[c]), pa.string()) if c in at else pa.nulls(len(rows), pa.string()) for c in self.wanted]
+        return pa.table([pa.repeat(assay_of(path), len(rows)), pa.repeat(path, len(rows)), *columns], names=["dms_id", "path", *self.wanted])
 
-class AssayFiles(DataSource):
-    """``spark.read.format("assay_files").option("columns", json).load(folder)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "assay_files"
-
-    def _wanted(self) -> list[str]:
-        return json.loads(self.options["columns"])
-
-    def schema(self) -> str:
-        return ", ".join(f"`{c}` string" for c in ["dms_id", "path", *self._wanted()])
-
-    def reader(self, schema) -> AssayReader:
-        return AssayReader(self.options["path"], self._wanted())
+    def _joined(self, parts: list[pa.Table]) -> pa.RecordBatch:
+        return pa.concat_tables(parts).combine_chunks().to_batches()[0]
 
 
 class Staged(NamedTuple):
@@ -138,31 +145,45 @@ class Written(WriterCommitMessage):
         self.files = files
 
 
-class SplitWriter(DataSourceWriter):
-    """Rows that come sorted by (dms_id, fold), each pair in one task, as ``<type>/<fold>/<assay>_<fold>.csv``."""
+def _shared(work: Callable, items: Sequence) -> None:
+    """``work`` on each item, in threads that take a part of the items each."""
+    each = lambda first: [work(x) for x in items[first::AT_ONCE]]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(each, range(min(AT_ONCE, len(items)))))
+
 
-    def __init__(self, folder: str, kind: str, columns: list[str]):
-        self.folder, self.kind, self.columns = folder, kind, columns
-        _, base = filesystem(folder)
-        self.base = base
-        self.staging = f"{base}/_staging-{uuid.uuid4().hex}"
+class NamedWriter(DataSourceArrowWriter):
+    """A CSV file, named by ``name``, for each of the keys. Rows come sorted by them, each in one task; files are
+    written to a staging folder and moved when all tasks are done."""
 
-    def write(self, rows) -> Written:
+    def __init__(self, folder: str, keys: list[str], columns: list[str], overwrite: bool = False):
+        self.folder, self.keys, self.overwrite = folder, keys, overwrite
+        self.columns = [c for c in columns if c not in keys]
+        _, self.base = filesystem(folder)
+        self.staging = f"{self.base}/_staging-{uuid.uuid4().hex}"
+
+    def name(self, key: tuple) -> str:
+        """The place within the folder."""
+        raise NotImplementedError
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, _ = filesystem(self.folder)
         mine, done, open_, now, out = f"{self.staging}/{uuid.uuid4().hex}", [], None, None, None
         fs.create_dir(mine)
         try:
-            for row in rows:
-                key = row["dms_id"], row["fold"]
-                if key != now:
-                    if open_:
-                        open_.close()
-                    now, name = key, f"{(key[0] or '').replace('.csv', '').replace('/', '_')}_{key[1]}.csv"
-                    done.append(Staged(f"{mine}/{len(done)}.csv", f"{self.base}/{self.kind}/{key[1]}/{name}"))
-                    open_ = io.TextIOWrapper(fs.open_output_stream(done[-1].staged), "utf-8", newline="")
-                    out = csv.writer(open_, lineterminator="\n")
-                    out.writerow(self.columns)
-                out.writerow(["" if row[c] is None else row[c] for c in self.columns])
+            for batch in batches:
+                keys = zip(*(batch.column(k).to_pylist() for k in self.keys))
+                rows = zip(*(batch.column(c).to_pylist() for c in self.columns)) if self.columns else itertools.repeat(())
+                for key, same in itertools.groupby(zip(keys, rows), lambda row: row[0]):
+                    if key != now:
+                        if open_:
+                            open_.close()
+                        now = key
+                        done.append(Staged(f"{mine}/{len(done)}.csv", f"{self.base}/{self.name(key)}"))
+                        open_ = io.TextIOWrapper(fs.open_output_stream(done[-1].staged), "utf-8", newline="")
+                        out = csv.writer(open_, lineterminator="\n")
+                        out.writerow(self.columns)
+                    out.writerows(row for _, row in same)
         finally:
             if open_:
                 open_.close()
@@ -171,18 +192,59 @@ class SplitWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         fs, _ = filesystem(self.folder)
         files = [f for m in messages if m for f in m.files]
-        for folder in {posixpath.dirname(f.final) for f in files}:
-            fs.create_dir(folder)
-        for f in files:
-            fs.move(f.staged, f.final)
-        fs.delete_dir(self.staging) if files else None
+        if self.overwrite:
+            old = [f for f in _infos(fs, self.base) if f.path != self.staging]
+            _shared(lambda f: fs.delete_dir(f.path) if f.type == arrow_fs.FileType.Directory else fs.delete_file(f.path), old)
+        _shared(fs.create_dir, sorted({posixpath.dirname(f.final) for f in files}))
+        _shared(lambda f: fs.move(f.staged, f.final), files)
+        self._cleared(fs)
 
     def abort(self, messages) -> None:
-        fs, _ = filesystem(self.folder)
+        self._cleared(filesystem(self.folder)[0])
+
+    def _cleared(self, fs: arrow_fs.FileSystem) -> None:
         if fs.get_file_info(self.staging).type == arrow_fs.FileType.Directory:
             fs.delete_dir(self.staging)
 
 
+class SplitWriter(NamedWriter):
+    """(dms_id, fold) as ``<type>/<fold>/<assay>_<fold>.csv``."""
+
+    kind = ""
+
+    def name(self, key: tuple) -> str:
+        return f"{self.kind}/{key[1]}/{(key[0] or '').replace('.csv', '').replace('/', '_')}_{key[1]}.csv"
+
+
+class AssayWriter(NamedWriter):
+    """An assay as ``dms_id=<assay>/<own name>.csv``, the assay's name escaped as Spark does it for its partitions."""
+
+    def name(self, key: tuple) -> str:
+        escaped = re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda c: f"%{ord(c[0]):02X}", key[0] or "")
+        return f"dms_id={escaped or '__HIVE_DEFAULT_PARTITION__'}/part-{uuid.uuid4().hex}.csv"
+
+
+class AssayFiles(DataSource):
+    """``spark.read.format("assay_files").option("columns", json).load(folder)``; ``df.write.format("assay_files")`` to
+    the same folder, for rows that come sorted by their assay, each assay in one task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "assay_files"
+
+    def _wanted(self) -> list[str]:
+        return json.loads(self.options["columns"])
+
+    def schema(self) -> str:
+        return ", ".join(f"`{c}` string" for c in ["dms_id", "path", *self._wanted()])
+
+    def reader(self, schema) -> AssayReader:
+        return AssayReader(self.options["path"], self._wanted())
+
+    def writer(self, schema, overwrite: bool) -> AssayWriter:
+        return AssayWriter(self.options["path"], ["dms_id"], schema.names, overwrite)
+
+
 class SplitFiles(DataSource):
     """``df.write.format("split_files").option("kind", "random").mode("append").save(folder)``; files of the same name
     are replaced, others stay."""
@@ -192,4 +254,6 @@ class SplitFiles(DataSource):
         return "split_files"
 
     def writer(self, schema, overwrite: bool) -> SplitWriter:
-        return SplitWriter(self.options["path"], self.options["kind"], [f.name for f in schema.fields if f.name not in ("dms_id", "fold")])
+        made = SplitWriter(self.options["path"], ["dms_id", "fold"], schema.names)
+        made.kind = self.options["kind"]
+        return made

@@ -15,7 +15,7 @@ from helixbench.functions.expressions import nan_to_null
 from helixbench.operators.pairs import distinct_pairs
 from helixbench.schema import ASSAY_SHEET, LABELS, POSITION_PREDICTIONS, PREDICTIONS, RANGES, SCORE_COLUMNS, SHEET_ALIASES, STRUCTURES_BY_SEQUENCE
 from helixbench.session import reachable
-from helixbench.sources.datasources import AssayFiles, SplitFiles, listed
+from helixbench.sources.datasources import AssayFiles, SplitFiles, any_listed
 
 
 def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -44,7 +44,7 @@ def read_csvs(spark: SparkSession, folder: str, wanted: dict[str, str]) -> DataF
 
 def raw_csvs(spark: SparkSession, folder: str, wanted: dict[str, str]) -> DataFrame:
     """The cells of ``read_csvs`` as they are in the files."""
-    if not listed(folder):
+    if not any_listed(folder):
         raise FileNotFoundError(folder)
     reachable(spark).dataSource.register(AssayFiles)
     return spark.read.format("assay_files").option("columns", json.dumps(list(wanted))).load(folder)
@@ -180,8 +180,11 @@ def parse_ct(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_assays(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """One directory of CSV for each assay; ``read_assays`` and ``read_predictions`` read them back."""
-    df.repartition("dms_id").write.mode(mode).partitionBy("dms_id").option("header", True).csv(folder)
+    """One directory of CSV for each assay; ``read_assays`` and ``read_predictions`` read them back. Files appear when
+    all are written. A null is an empty cell."""
+    reachable(df.sparkSession).dataSource.register(AssayFiles)
+    text = df.select("dms_id", *(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != "dms_id"))
+    text.repartition("dms_id").sortWithinPartitions("dms_id").write.format("assay_files").mode(mode).save(folder)
 
 
 def write_split(df: DataFrame, folder: str, split_type: str) -> None:

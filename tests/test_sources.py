@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import PythonException
 
-from helixbench.sources import files
+from helixbench.sources import datasources, files
 
 
 def put(path, text, encoding="utf-8"):
@@ -129,3 +129,24 @@ def test_reading_plans_packs_of_files(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 1 and sorted(r.dms_score for r in df.collect()) == [float(i) for i in range(30)]
     with pytest.raises(FileNotFoundError):
         files.read_assays(spark, str(tmp_path / "none"))
+
+
+def test_written_assays_come_back_as_they_were(spark, tmp_path):
+    rows = [("a/b c", 'say "x", y', " 1 "), ("a/b c", "two\nlines", None), ("ü%2", "A1G", "2.5")]
+    df = spark.createDataFrame(rows, "dms_id string, mutant string, note string")
+    read = lambda: sorted(map(tuple, files.read_csvs(spark, str(tmp_path / "w"), {"mutant": "string", "note": "string"}).drop("path").collect()), key=str)
+    files.write_assays(df, str(tmp_path / "w"))
+    files.write_assays(df, str(tmp_path / "w"))
+    assert read() == sorted(rows, key=str)
+    files.write_assays(df.where("note is null"), str(tmp_path / "w"), mode="append")
+    assert read() == sorted([*rows, rows[1]], key=str)
+    assert len(list((tmp_path / "w").iterdir())) == 2 and not [p for p in (tmp_path / "w").rglob("*") if p.is_file() and p.suffix != ".csv"]
+
+
+def test_small_files_are_read_into_common_batches(tmp_path):
+    for i in range(30):
+        put(tmp_path / f"a{i}.csv", "DMS_score,mutation\n" + f"{i},A1G\n" * 10)
+    reader = datasources.AssayReader(str(tmp_path), ["mutant", "dms_score"], 128)
+    (pack,) = reader.partitions()
+    batches = list(reader.read(pack))
+    assert [b.num_rows for b in batches] == [128, 128, 44] and sorted({r["dms_id"] + r["dms_score"] for b in batches for r in b.to_pylist()}) == sorted(f"a{i}{i}" for i in range(30))
