@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -477,3 +478,16 @@ def test_wide_and_long_merge_agree_and_join_once(spark):
     assert wide._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     report = {(r.dms_id, r.model): (r.n_variants, r.n_lost, r.has_file) for r in merge.loss_report(variants, predictions, ["m", "n"]).collect()}
     assert report == {("a", "m"): (2, 0, True), ("a", "n"): (2, 0, True), ("b", "m"): (1, 1, False), ("b", "n"): (1, 1, True)}
+
+
+def test_parts_of_assays_grow_with_their_rows(spark, monkeypatch):
+    from helixbench.plans import catalogue, fixtures
+    from tests.conftest import SF
+
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    few, many = -(-n // 500), -(-4 * n // 500)
+    plan = catalogue.QUERIES["assay_metrics"](spark, SF)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert re.search(rf"hashpartitioning\(dms_id#\d+, model#\d+, {many}\)", physical) and len(re.findall(rf"hashpartitioning\(dms_id#\d+, mutant#\d+, {many}\)", physical)) == 2
+    assert re.search(rf"hashpartitioning\(l_suppkey#\d+L?, {few}\)", physical)
