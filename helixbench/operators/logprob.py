@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbench.functions.expressions import parse_mutations, to_rna
+from helixbench.functions.expressions import mutation_parts, to_rna
 
 
 def log_softmax(logits: DataFrame, keys: Sequence[str], logit: str = "logit") -> DataFrame:
@@ -20,7 +20,7 @@ def log_softmax(logits: DataFrame, keys: Sequence[str], logit: str = "logit") ->
 def exploded(variants: DataFrame) -> DataFrame:
     """(dms_id, mutant, old, pos, new) for each mutation of each distinct variant."""
     rows = variants.where("mutant is not null").select("dms_id", "mutant").distinct()
-    return rows.select("dms_id", "mutant", F.explode(parse_mutations(to_rna(F.col("mutant")))).alias("m")).select("dms_id", "mutant", "m.*")
+    return rows.select("dms_id", "mutant", F.explode(F.split(to_rna(F.col("mutant")), ",")).alias("m")).select("dms_id", "mutant", *mutation_parts(F.col("m")))
 
 
 def _difference(parts: DataFrame, logp: DataFrame, on: Sequence[str], old: str = "old") -> DataFrame:

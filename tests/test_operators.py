@@ -491,3 +491,35 @@ def test_parts_of_assays_grow_with_their_rows(spark, monkeypatch):
     physical = plan[plan.index("== Physical Plan ==") :]
     assert re.search(rf"hashpartitioning\(dms_id#\d+, model#\d+, {many}\)", physical) and len(re.findall(rf"hashpartitioning\(dms_id#\d+, mutant#\d+, {many}\)", physical)) == 2
     assert re.search(rf"hashpartitioning\(l_suppkey#\d+L?, {few}\)", physical)
+
+
+def test_positions_are_read_as_in_spark(spark):
+    texts = ["A12G", "A 3G", "A+3G", "A-3G", "A\t7 G", "A1_2G", "A٣G", "A2147483647G", "A2147483648G", "A3.0G", "AG", "A", "", "A99999999999999G", "A007G", ",A1G"]
+    rows = frame(spark, [(t,) for t in texts], "t string").select("t", F.posexplode(E.parse_mutations(F.col("t"))).alias("k", "m")).select("t", "k", "m.*").collect()
+    for r in rows:
+        m = r.t.split(",")[r.k]
+        assert (r.old, r.pos, r.new) == (m[:1], mutations._position(m[1:-1]), m[-1:]), r
+    made = mutations.mutated_sequences(frame(spark, [("a", t) for t in texts], "dms_id string, mutant string"), frame(spark, [("a", "ACGA")], "dms_id string, construct string"), "substitute")
+    assert {r.mutant: r.reason for r in made.collect()} | {"A+3G": "mismatch", "A3.0G": "position", ",A1G": "position"} == {r.mutant: r.reason for r in made.collect()}
+
+
+def test_variants_are_made_once_for_their_masked_tables(spark):
+    from helixbench.plans import catalogue
+    from tests.conftest import SF
+
+    for name, scans in (("masked_marginal", 0), ("likelihood_files", 0)):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        physical = plan[plan.index("== Physical Plan ==") :]
+        assert len(re.findall(r"FileScan parquet [^\n]*l_suppkey", physical)) == scans, name
+
+
+def test_rejected_ranges_are_written_in_parts(spark, monkeypatch):
+    from helixbench.plans import catalogue
+    from tests.conftest import SF
+
+    seen = []
+    monkeypatch.setattr(catalogue.files, "range_rejects", lambda s, path: seen.append(path) or s.createDataFrame([], "column string, value string"))
+    monkeypatch.setattr(catalogue, "fixture", lambda s, d, name, found=catalogue.fixture: found(s, d, name).repartition(3, "sequence_id"))
+    catalogue.QUERIES["rejected_ranges"](spark, SF)
+    parts = [r.value.split("\n") for r in spark.read.text(seen[0], wholetext=True).collect()]
+    assert len(parts) == 3 and all(p[0] == "sequence_id,sequence,id_min,id_max" and not any("sequence_id" in x for x in p[1:]) for p in parts)
