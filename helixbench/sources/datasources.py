@@ -97,9 +97,15 @@ class AssayReader(DataSourceReader):
     def __init__(self, folder: str, wanted: list[str], batch: int = 8192):
         self.folder, self.wanted, self.batch = folder, wanted, batch
 
+    def files(self) -> list[tuple[str, int]]:
+        return listed(self.folder)
+
+    def places(self, header: list[str]) -> dict[str, int]:
+        return places(header, self.wanted)
+
     def partitions(self) -> list[Pack]:
         packs, size = [], PACK
-        for path, n in listed(self.folder):
+        for path, n in self.files():
             if size + n + OPEN > PACK:
                 packs.append(Pack([]))
                 size = 0
@@ -116,7 +122,7 @@ class AssayReader(DataSourceReader):
                 header = next(lines, None)
                 if header is None:
                     continue
-                at, whole = places(header, self.wanted), filter(None, lines)
+                at, whole = self.places(header), filter(None, lines)
                 while rows := list(itertools.islice(whole, self.batch - n)):
                     held.append(self._made(path, rows, at))
                     n += len(rows)
@@ -135,6 +141,18 @@ class AssayReader(DataSourceReader):
         return pa.concat_tables(parts).combine_chunks().to_batches()[0]
 
 
+class SplitReader(AssayReader):
+    """The same of the files of ``SplitWriter``, whose columns are taken in their order."""
+
+    def files(self) -> list[tuple[str, int]]:
+        fs, base = filesystem(self.folder)
+        kept = lambda f: f.type == arrow_fs.FileType.File and f.path.endswith(".csv") and not f.base_name.startswith(("_", "."))
+        return sorted((f.path, f.size or 0) for f in _infos(fs, base, True) if kept(f))
+
+    def places(self, header: list[str]) -> dict[str, int]:
+        return {c: i for i, c in enumerate(self.wanted)}
+
+
 class Staged(NamedTuple):
     staged: str
     final: str
@@ -247,12 +265,18 @@ class AssayFiles(DataSource):
 
 class SplitFiles(DataSource):
     """``df.write.format("split_files").option("kind", "random").mode("append").save(folder)``; files of the same name
-    are replaced, others stay."""
+    are replaced, others stay. ``spark.read.format("split_files").option("columns", json).load(folder)`` reads them."""
 
     @classmethod
     def name(cls) -> str:
         return "split_files"
 
+    def schema(self) -> str:
+        return ", ".join(f"`{c}` string" for c in ["dms_id", "path", *json.loads(self.options["columns"])])
+
+    def reader(self, schema) -> SplitReader:
+        return SplitReader(self.options["path"], json.loads(self.options["columns"]))
+
     def writer(self, schema, overwrite: bool) -> SplitWriter:
         made = SplitWriter(self.options["path"], ["dms_id", "fold"], schema.names)
         made.kind = self.options["kind"]

@@ -196,12 +196,13 @@ def write_split(df: DataFrame, folder: str, split_type: str) -> None:
 
 
 def read_split(spark: SparkSession, folder: str, split_type: str, columns: str) -> DataFrame:
-    """(dms_id, fold, columns) of the files of ``write_split``."""
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).schema(columns).csv(f"{folder}/{split_type}")
-    name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"\.csv$", "")
-    rows = rows.select("*", name.alias("_name"))
-    own = [c for c in rows.columns if c != "_name"]
-    return rows.select(F.regexp_replace("_name", "_[^_]*$", "").alias("dms_id"), F.regexp_extract("_name", "_([^_]*)$", 1).alias("fold"), *own)
+    """(dms_id, fold, columns) of the files of ``write_split``, read in packs; a cell that is not of its type is null."""
+    reachable(spark).dataSource.register(SplitFiles)
+    schema = StructType.fromDDL(columns)
+    rows = spark.read.format("split_files").option("columns", json.dumps(schema.names)).load(f"{folder}/{split_type}")
+    name = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"\.csv$", "")
+    own = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    return rows.select(F.regexp_replace(name, "_[^_]*$", "").alias("dms_id"), F.regexp_extract(name, "_([^_]*)$", 1).alias("fold"), *own)
 
 
 def append_result(df: DataFrame, folder: str, run: str) -> None:

@@ -150,3 +150,11 @@ def test_small_files_are_read_into_common_batches(tmp_path):
     (pack,) = reader.partitions()
     batches = list(reader.read(pack))
     assert [b.num_rows for b in batches] == [128, 128, 44] and sorted({r["dms_id"] + r["dms_score"] for b in batches for r in b.to_pylist()}) == sorted(f"a{i}{i}" for i in range(30))
+
+
+def test_split_files_are_read_in_packs_with_any_cells(spark, tmp_path):
+    rows = [(f"a_{i}", fold, f'm{i} "x",\ny', i / 4) for i in range(20) for fold in ("val", "train")] + [("b +%", "val", None, None)]
+    df = spark.createDataFrame(rows, "dms_id string, fold string, mutant string, x double")
+    files.write_split(df, str(tmp_path), "random")
+    got = files.read_split(spark, str(tmp_path), "random", "mutant string, x double")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str) and got.rdd.getNumPartitions() == 1
