@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixbench.functions import expressions as E
-from helixbench.operators import bootstrap, leaderboard, logprob, merge, metrics, mutations, pairs, scoring, splits, structure
+from helixbench.operators import bootstrap, durable, leaderboard, logprob, merge, metrics, mutations, pairs, scoring, splits, structure
 
 
 def frame(spark, rows, schema):
@@ -385,6 +386,32 @@ def test_swaps_lower_the_links_across(spark):
     assert first.n_val == last.n_val == 16 and last.n_across <= first.n_across
 
 
+def test_small_groups_are_judged_like_large_ones(spark, monkeypatch):
+    """What one task makes of whole groups is what the same groups give when they are spread over tasks."""
+    rng = random.Random(31)
+    groups = {"one": library(rng, 60, 40), "few": library(rng, 60, 40, 3), "many": library(rng, 90, 24, 12, 9), "long": library(rng, 20, 80, 2), "mixed": library(rng, 50, 20, 5, 6), "single": ["A"]}
+    df = frame(spark, [(g, s) for g, ss in groups.items() for s in ss] * 2 + [("one", None), ("one", ""), (None, "ACGU")], "dms_id string, sequence string")
+    got = []
+    for bound in (1024, 55, 0):
+        monkeypatch.setattr(splits, "SMALL", bound)
+        split, similar = splits.similarity_split(df), splits.similarity_classes(df)
+        got.append((sorted(map(tuple, split.collect())), sorted(map(tuple, similar.select("dms_id", "sequence", "class", "n_links").collect()))))
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == sum(map(len, groups.values()))
+    assert any(r[-1] for r in got[0][0])
+
+
+def test_a_split_of_small_groups_keeps_few_bytes(spark):
+    """Sequences of small groups are shuffled and stored once, not once for each step."""
+    rng = random.Random(32)
+    rows = [(f"g{g}", s) for g in range(40) for s in library(rng, 60, 32, 1, 2)]
+    df = frame(spark, rows, "dms_id string, sequence string")
+    folder = durable.shared_folder(spark).removeprefix("file://")
+    size = lambda: sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+    before = size()
+    assert splits.similarity_split(df).count() == len(rows)
+    assert size() - before < 60 * len(rows)
+
+
 def test_random_split_sizes(spark):
     df = frame(spark, [("a", i) for i in range(11)] + [("b", 1)], "dms_id string, i int")
     got = {(r.dms_id, r.fold): r.n for r in splits.split_sizes(splits.random_split(df, ["dms_id", "i"])).collect()}
